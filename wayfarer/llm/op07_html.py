@@ -170,6 +170,7 @@ LABELLED = np.array([
     (70, 0.00, 60, 0.0, 50, 0.0, 0, 0, 1), (45, 0.10, 8, 0.0, 60, 0.0, 0, 0, 1), (30, 0.00, 4, 1.0, 50, 0.0, 0, 0, 1), (25, 0.20, 40, 0.0, 3, 1.0, 0, 0, 1),
     (12, 0.00, 50, 0.0, 60, 0.0, 0, 0, 1), (6, 0.00, 3, 1.0, 45, 0.0, 0, 0, 1), (4, 0.00, 35, 0.0, 40, 0.0, 0, 0, 1), (18, 0.00, 25, 0.0, 5, 0.0, 0, 0, 1),
     (8, 0.00, 30, 0.1, 28, 0.0, 0, 0, 1), (22, 0.05, 6, 0.0, 6, 0.0, 0, 0, 1), (5, 0.00, 60, 0.0, 20, 0.0, 0, 0, 1), (16, 0.00, 2, 1.0, 18, 0.0, 0, 0, 1),
+    (2, 0.00, 45, 0.0, 50, 0.0, 0, 0, 1), (1, 0.00, 38, 0.0, 60, 0.0, 0, 0, 1), (3, 0.00, 30, 0.0, 41, 0.0, 0, 0, 1), (3, 0.00, 52, 0.0, 24, 0.1, 0, 0, 1),
     # and link lists, crumbs and lone captions there
     (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.00, 2, 1.0, 40, 0.0, 0, 0, 0), (5, 0.80, 50, 0.0, 4, 1.0, 0, 0, 0), (2, 0.00, 1, 1.0, 2, 1.0, 0, 0, 0),
     (20, 0.90, 10, 1.0, 12, 0.9, 0, 0, 0), (4, 0.00, 2, 1.0, 3, 0.7, 0, 0, 0), (10, 0.60, 70, 0.0, 6, 1.0, 0, 0, 0), (40, 0.70, 30, 0.0, 30, 0.8, 0, 0, 0),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import minhash_sketch as ms
 from . import tables
 from . import textbytes as tb
+from .grouped import by_first_column
 from .minhash_sketch import MinHashParams
 
 #: Documents in a block of a family, and ids that may be broadcast (16 bytes each).
@@ -140,27 +141,13 @@ def links_by_task(rows: DataFrame, p: MinHashParams) -> DataFrame:
     """Links of ``rows(task, side, doc_id, group, shingles, signature)``; a task has at most two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
+        def links(t: pa.Table) -> pa.RecordBatch:
             sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
             sigs = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(len(sets), -1)
             found = block_links(t["doc_id"].to_numpy(), t["side"].to_numpy(), t["group"].to_numpy(), sets, sigs, p)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-        open_task, parts = None, []
-        for batch in batches:
-            task = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if parts and task[lo] != open_task:
-                    yield close(parts)
-                    parts = []
-                open_task = task[lo]
-                parts.append(batch.slice(lo, hi - lo))
-        if parts:
-            yield close(parts)
+        yield from by_first_column(batches, links)
 
     cols = ["task", "side", "doc_id", "group", "shingles", "signature"]
     return rows.select(*cols).repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(run, "a long, b long")
