@@ -139,8 +139,8 @@ def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageModel:
     return fit_sample(out, p)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with a struct column ``language`` (name, score); every other column as it is."""
+def identify(docs: DataFrame, model: LanguageModel, name: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``name`` (name, score); every other column as it is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("name string, score double")
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             names, scores = shared.value.predict(pa.array(texts, pa.large_string(), from_pandas=True))
             yield pd.DataFrame({"name": names, "score": scores})
 
-    return docs.withColumn("language", language(F.col("text").cast("string")))
+    return docs.withColumn(name, language(F.col("text").cast("string")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

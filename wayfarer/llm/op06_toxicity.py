@@ -97,7 +97,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams(), toxic_share: float | None = None) -> ToxicityModel:
+    """``toxic_share``: of all labelled rows, if the sample has another one."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
@@ -124,8 +125,8 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
     col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     r = ratio[keep]
-    # Classes weigh alike, so that 0.5 lies between them whatever their shares.
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    share = n1 / len(y) if toxic_share is None else toxic_share
+    weight = np.where(y == 1, share / n1, (1 - share) / n0)
     w, b = np.zeros(len(keep)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, p.rounds + 1):
@@ -145,17 +146,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     """Trains on the bounded sample of ``labels(doc_id, toxic)`` that ``held_out`` leaves."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(p.sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(p.sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"octet_length(text) <= {p.longest}")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * sample rows
     once = {(r["doc_id"], r["text"]): r["toxic"] for r in rows}
     kept = sorted(once)
-    return train([t for _, t in kept], np.array([once[k] for k in kept], np.int64), p)
+    return train([t for _, t in kept], np.array([once[k] for k in kept], np.int64), p, share)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1); every other column as it is."""
+def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1); every other column as it is."""
     p, spark = model.params, docs.sparkSession
     shared = spark.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
 
@@ -167,7 +170,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             z = np.array([table[make.of(t or "")].sum() for t in texts.tolist()], np.float64) + intercept
             yield pd.Series(_sigmoid(z))
 
-    return docs.withColumn("toxicity", toxicity(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn(name, toxicity(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
