@@ -4,13 +4,13 @@ Steps:
 
 1. every document gets its shingle set, MinHash minima, band keys and a fingerprint of the set;
 2. documents with equal sets share one representative, so exact copies cost nothing later;
-3. representatives that share a band key fall into one *family* (connected by stars around the
-   smallest member of each bucket, never by all pairs);
+3. the members of all buckets (representatives with a band key in common) that have the same smallest
+   member form a *family*; candidates are families, never lists of pairs;
 4. families are cut into blocks of bounded size. Inside a task the packed b-bit signatures of a block
    are compared by counting equal minima; pairs whose collision-corrected estimate may reach the
    threshold are confirmed on the full sets, and only a spanning set of links leaves the task;
-5. families larger than a block first go through two linear rounds with different block layouts.
-   Then only blocks that still hold different components meet, so that no link is lost.
+5. in a family of a few blocks every block meets every other. Larger ones first go through two linear
+   rounds with different block layouts; then only blocks that hold different components meet.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a text with fewer
 words than a shingle is one shingle; repeated rows and equal texts share a component; rows with a
@@ -35,6 +35,8 @@ from .minhash_sketch import MinHashParams
 
 #: Documents in a block of a family, and ids that may be broadcast (16 bytes each).
 BLOCK = 256
+#: A family of more blocks than this goes through the linear rounds.
+HUGE = 16
 BROADCAST_IDS = 1_000_000
 
 CONTRACT = MinHashParams(words=3, threshold=0.85)
@@ -65,27 +67,20 @@ def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, keys array<long>")
 
 
-def family_sets(docs: DataFrame, members: DataFrame, small: bool, p: MinHashParams) -> DataFrame:
-    """``(doc_id, family, shingles, signature)`` of the representatives in ``members(doc_id, family)``."""
+def document_sets(docs: DataFrame, ids: DataFrame, small: bool, p: MinHashParams) -> DataFrame:
+    """``(doc_id, shingles, signature)`` of the documents in ``ids(doc_id)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ms.constants(p)
         for batch in batches:
-            for at, to, data, offsets in tb.slices(batch.column(2)):
+            for at, to, data, offsets in tb.slices(batch.column(1)):
                 sets = ms.shingle_sets(data, offsets, p.words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, to - at),
-                        batch.column(1).slice(at, to - at),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([ms.packed(ms.minima(s, a, b), p.bits) for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "family", "shingles", "signature"],
-                )
+                signatures = [ms.packed(ms.minima(s, a, b), p.bits) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "shingles", "signature"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "family", "text")
-    return rows.mapInArrow(run, "doc_id long, family long, shingles binary, signature binary")
+    rows = texts.join(F.broadcast(ids) if small else ids, "doc_id")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary, signature binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -153,53 +148,74 @@ def links_by_task(rows: DataFrame, p: MinHashParams) -> DataFrame:
     return rows.select(*cols).repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def _block(rows: DataFrame, salt: int, members: str = "size") -> DataFrame:
+    """``rows`` with a block number in their family."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col(members) / (BLOCK * 3 // 4))))
+
+
+def _meeting(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of both blocks of each of ``pairs(family, block, other)``, by task."""
+    pairs = pairs.withColumn("task", F.xxhash64("family", "block", "other", F.lit(4)))
+    one = placed.join(pairs.select("family", "block", "task"), ["family", "block"]).withColumn("side", F.lit(0))
+    two = placed.join(pairs.where("block != other").select("family", F.col("other").alias("block"), "task"), ["family", "block"]).withColumn("side", F.lit(1))
+    return one.unionByName(two)
+
+
 def _large_family_links(rows: DataFrame, p: MinHashParams) -> DataFrame:
-    """All links, up to connection, of families that exceed a block. ``rows``: doc_id, family, shingles, signature."""
-    spark = rows.sparkSession
-    sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
-    rows = tables.stored(rows.join(sizes, "family"))
+    """Links of families of a few blocks: every block meets every other. ``rows``: doc_id, family, size, shingles, signature."""
+    placed = _block(rows, 3).withColumn("group", F.col("doc_id"))
+    last = F.ceil(F.col("size") / (BLOCK * 3 // 4)) - 1
+    sizes = rows.select("family", "size").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    pairs = sizes.select("family", "block", F.explode(F.sequence("block", last)).alias("other"))
+    return links_by_task(_meeting(placed, pairs), p)
+
+
+def _huge_family_links(rows: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links of families of many blocks: two linear rounds connect most, then only blocks that hold different components meet."""
+    rows = tables.stored(rows)
     found: DataFrame | None = None
-    labels = rows.select("doc_id", F.col("doc_id").alias("group"))
-    for salt in (1, 2):  # linear rounds: every document meets one block
-        block = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col("size") / (BLOCK * 3 // 4)))
-        placed = rows.join(labels, "doc_id").withColumn("task", F.xxhash64("family", block, F.lit(salt))).withColumn("side", F.lit(0))
+    labels = rows.select("family", "doc_id", F.col("doc_id").alias("group"))
+    for salt in (1, 2):  # every document meets one block
+        placed = _block(rows, salt).join(labels, ["family", "doc_id"]).withColumn("task", F.xxhash64("family", "block", F.lit(salt))).withColumn("side", F.lit(0))
         new = tables.stored(links_by_task(placed, p))
         found = new if found is None else tables.stored(found.unionByName(new))
-        labels = rows.select("doc_id").join(tables.stored(tables.components(found)).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"))
-        labels = tables.stored(labels)
-    # What is left: blocks of like components side by side; those that hold different ones meet.
-    placed = rows.join(labels, "doc_id")
+        parts = tables.components(found).withColumnRenamed("id", "doc_id")
+        labels = tables.stored(rows.select("family", "doc_id").join(parts, "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("group")))
+    placed = rows.join(labels, ["family", "doc_id"])
     weight = placed.groupBy("family", "group").agg(F.count("*").alias("weight"))
     top = weight.groupBy("family").agg(F.max(F.struct("weight", "group")).alias("top")).select("family", F.col("top.group").alias("main"))
     placed = placed.join(top, "family").withColumn("rest", F.col("group") != F.col("main"))
     count = placed.groupBy("family", "rest").agg(F.count("*").alias("members"))
-    placed = placed.join(count, ["family", "rest"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("members") / (BLOCK * 3 // 4))) * 2 + F.col("rest").cast("int"))
+    placed = _block(placed.join(count, ["family", "rest"]), 3, "members").withColumn("block", F.col("block") * 2 + F.col("rest").cast("int"))
     placed = tables.stored(placed.select("family", "block", "rest", "doc_id", "group", "shingles", "signature"))
     blocks = placed.select("family", "block", "rest").distinct()
     right = blocks.select("family", F.col("block").alias("other"), F.col("rest").alias("other_rest"))
-    # A block of the main component meets blocks of the rest; those meet each other and themselves.
-    meet = blocks.where("rest").join(right, "family").where("NOT other_rest OR block <= other").select("family", "block", "other")
-    meet = meet.withColumn("task", F.xxhash64("family", "block", "other", F.lit(4)))
-    one = placed.join(meet.select("family", "block", "task"), ["family", "block"]).withColumn("side", F.lit(0))
-    two = placed.join(meet.where("block != other").select("family", F.col("other").alias("block"), "task"), ["family", "block"]).withColumn("side", F.lit(1))
-    return found.unionByName(links_by_task(one.unionByName(two), p))
+    # A block of the rest meets those of the main component, of the rest, and itself.
+    pairs = blocks.where("rest").join(right, "family").where("NOT other_rest OR block <= other").select("family", "block", "other")
+    return found.unionByName(links_by_task(_meeting(placed, pairs), p))
 
 
 def representative_links(docs: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
-    """Confirmed links ``(a, b)`` between representatives ``reps(doc_id, keys)``, enough to connect what belongs together."""
+    """Confirmed links ``(a, b)`` between representatives ``reps(doc_id, keys)``, enough to connect what belongs together.
+
+    A family is all members of the buckets that have the same smallest member; two documents of one
+    bucket share a family, and a document may be in several.
+    """
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = keyed.join(hubs, "key").where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    members = tables.stored(tables.components(stars).select(F.col("id").alias("doc_id"), F.col("component").alias("family")))
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("family"), F.count("*").alias("n")).where("n > 1").select("key", "family")
+    members = tables.stored(keyed.join(hubs, "key").select("doc_id", "family").distinct())
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    ids = members.select("doc_id").distinct()
     small = members.count() <= BROADCAST_IDS
-    sets = tables.stored(family_sets(docs, members, small, p).dropDuplicates(["doc_id"]))
-    sizes = sets.groupBy("family").agg(F.count("*").alias("size"))
-    large = tables.stored(sizes.where(F.col("size") > 2 * BLOCK).select("family"))
-    plain = sets.join(large, "family", "left_anti").withColumn("task", F.col("family")).withColumn("side", F.lit(0)).withColumn("group", F.col("doc_id"))
+    sets = document_sets(docs, ids, small, p).dropDuplicates(["doc_id"])
+    rows = tables.stored(sets.join(members, "doc_id").join(sizes, "family"))
+    most = rows.agg(F.max("size")).first()[0] or 0
+    plain = rows.where(F.col("size") <= 2 * BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("group"), "shingles", "signature")
     links = links_by_task(plain, p)
-    if not large.isEmpty():
-        links = links.unionByName(_large_family_links(sets.join(large, "family", "left_semi"), p))
+    if most > 2 * BLOCK:
+        links = links.unionByName(_large_family_links(rows.where((F.col("size") > 2 * BLOCK) & (F.col("size") <= HUGE * BLOCK)), p))
+    if most > HUGE * BLOCK:
+        links = links.unionByName(_huge_family_links(rows.where(F.col("size") > HUGE * BLOCK), p))
     return links
 
 
@@ -216,6 +232,23 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, the one with the smallest id; rows without an id stay.
+
+    Texts aren't shuffled: the ids that go are few enough to broadcast, or are joined beyond that bound.
+    """
+    found = tables.stored(near_duplicates(docs, p).where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone, again = tables.stored(gone), tables.stored(again)
+    small = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, Jaccard 0.85 or more."""
     out = near_duplicates(tables.read(spark, sf_dir, "documents"), CONTRACT)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Nodes that one task contracts at a time; about 150 bytes each.
+MOST_NODES = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,37 +36,78 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as rows ``(id, component)``, with the smallest id.
 
-    Alternates the large-star and small-star steps: every step is one grouped minimum joined back, so
-    no node's neighbours are ever gathered, and edges never exceed their first number. Each round is
-    written to the shared folder. Nodes without edges don't appear. Self-links count for nothing.
+    Every partition first replaces its links by stars around the smallest ids that it can see. Then
+    large-star and small-star steps alternate: each is one grouped minimum joined back, so no node's
+    neighbours are ever gathered. Each round is written to the shared folder; a round that changes
+    nothing ends. Nodes without links don't appear, links of a node to itself count for nothing.
     """
-    now = stored(_ordered(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))))
-    last = None
+    now, mark = _round(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"))
     for _ in range(max_rounds):
-        row = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        mark = tuple(row)
-        if mark == last or row[0] == 0:
+        if not mark[0]:
+            break
+        now, new = _round(_small_star(_large_star(now)))
+        if new == mark:
             break
-        last = mark
-        now = stored(_small_star(_large_star(now)))
+        mark = new
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("id"), F.col("a").alias("component"))
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def _ordered(edges: DataFrame) -> DataFrame:
-    """Each link once, smaller id first."""
-    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Contracts within partitions and stores; returns the stored links and a mark of their set."""
+    seen = Observation()
+    stars = edges.mapInArrow(_contract, "a long, b long").observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    out = stored(stars)
+    return out, (seen.get["n"], seen.get["s"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the links of a partition, with bounded memory: after MOST_NODES nodes they are given out and forgotten."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up[root] != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        nodes = [x for x in up if find(x) != x]
+        out = pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+        up.clear()
+        return out
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > MOST_NODES:
+            yield stars()
+    yield stars()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a != b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
