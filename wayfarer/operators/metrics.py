@@ -125,8 +125,8 @@ def divergences(values: DataFrame, logarithmic: Column, keys: list[str]) -> Data
     p0, q0 = F.lit(SMOOTH) / total("n_real"), F.lit(SMOOTH) / total("n_sim")
     sums = rows.groupBy(*keys).agg(F.sum(jsd(p, q)).alias("s"), F.count("*").alias("bins"), F.first(jsd(p0, q0)).alias("empty"))
     out = ends.join(F.broadcast(sums), keys, "left")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(math.log(2)), F.col("s") + (BINS - F.col("bins")) * F.col("empty")))
-    return out.select(*keys, F.when((F.col("n_real") == 0) | (F.col("n_sim") == 0), float("nan")).otherwise(F.coalesce(score, F.lit(0.0))).alias("jsd"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(math.log(2)), F.coalesce(F.col("s") + (BINS - F.col("bins")) * F.col("empty"), F.lit(0.0))))
+    return out.select(*keys, F.when((F.col("n_real") == 0) | (F.col("n_sim") == 0), float("nan")).otherwise(score).alias("jsd"))
 
 
 def metric_divergences(values: DataFrame) -> DataFrame:

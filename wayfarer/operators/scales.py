@@ -66,60 +66,107 @@ class Scales:
         return spark.createDataFrame(rows, "rank int, mu_log double, var_log double, weight double")
 
 
-def weighted_logs(km: DataFrame, bins: float | None = 1e-4) -> DataFrame:
-    """``(x, n)``: log distances with counts; rounded to ``bins`` so that the passes read a small table."""
+def weighted_logs(km: DataFrame, bins: float | None = 1e-3) -> DataFrame:
+    """``(x, n)``: log distances with counts; rounded to ``bins`` so that a fit reads a small table."""
     x = F.log("km")
     return km.where("km > 0").groupBy((F.rint(x / bins) * bins if bins else x).alias("x")).agg(F.count("*").alias("n"))
 
 
-def fit_scales(logs: DataFrame, k: int = 4, rounds: int = 40, cap: float | None = None, start: Scales | None = None) -> Scales:
-    """Expectation maximisation: each round is one aggregate of three sums per scale over ``logs(x, n)``."""
-    logs = logs.cache()
+#: A table of at most this many different log distances is fitted from its counts; bins of a thousandth
+#: over all distances on Earth are some twenty thousand. A larger one (exact values) stays in Spark.
+MOST_COUNTS = 200_000
+
+
+class _Counts:
+    """Sums of one round over collected counts."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray) -> None:
+        self.x, self.n = x, n.astype(float)
+
+    def start(self, k: int) -> tuple[list[float], float]:
+        upto = np.cumsum(self.n) / self.n.sum()
+        mean = (self.n @ self.x) / self.n.sum()
+        return [float(self.x[np.searchsorted(upto, (i + 0.5) / k)]) for i in range(k)], float(self.n @ (self.x - mean) ** 2 / self.n.sum())
+
+    def round(self, mu: list[float], var: list[float], w: list[float]) -> tuple[float, float, list[tuple[float, float, float]]]:
+        m, v = np.array(mu)[:, None], np.array(var)[:, None]
+        p = np.log(np.maximum(np.array(w), 1e-300))[:, None] - 0.5 * np.log(2 * np.pi * v) - (self.x - m) ** 2 / (2 * v)
+        top = p.max(axis=0)
+        e = np.exp(p - top)
+        z = e.sum(axis=0)
+        r = self.n * e / z
+        return float(self.n @ (np.log(z) + top)), float(self.n.sum()), [(float(a.sum()), float(a @ self.x), float(a @ self.x**2)) for a in r]
+
+
+class _Rows:
+    """The same sums as one aggregate over a table."""
+
+    def __init__(self, logs: DataFrame) -> None:
+        self.logs = logs
+
+    def start(self, k: int) -> tuple[list[float], float]:
+        q = self.logs.agg(F.percentile("x", [(i + 0.5) / k for i in range(k)], F.col("n")).alias("q"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("ss")).first()
+        return list(q["q"]), q["ss"] / q["n"] - (q["s"] / q["n"]) ** 2
+
+    def round(self, mu: list[float], var: list[float], w: list[float]) -> tuple[float, float, list[tuple[float, float, float]]]:
+        k = len(mu)
+        parts = [F.lit(math.log(max(w[i], 1e-300)) - 0.5 * math.log(2 * math.pi * var[i])) - (F.col("x") - mu[i]) * (F.col("x") - mu[i]) / (2 * var[i]) for i in range(k)]
+        rows = self.logs.withColumn("p", F.array(*parts)).withColumn("top", F.array_max("p"))
+        rows = rows.withColumn("e", F.transform("p", lambda v: F.exp(v - F.col("top")))).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+        sums = [F.sum(F.col("n") * (F.log("z") + F.col("top"))), F.sum("n")]
+        for i in range(k):
+            r = F.col("n") * F.col("e")[i] / F.col("z")
+            sums += [F.sum(r), F.sum(r * F.col("x")), F.sum(r * F.col("x") * F.col("x"))]
+        s = list(rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums)]).first())
+        return s[0], s[1], [tuple(s[2 + 3 * i : 5 + 3 * i]) for i in range(k)]
+
+
+def _sums(logs: DataFrame) -> _Counts | _Rows:
+    table = logs.limit(MOST_COUNTS + 1).toPandas()
+    if not len(table):
+        raise ValueError("no steps to fit scales to")
+    if len(table) > MOST_COUNTS:
+        return _Rows(logs.cache())
+    table = table.sort_values("x")
+    return _Counts(table["x"].to_numpy(), table["n"].to_numpy())
+
+
+def fit_scales(logs: DataFrame | _Counts | _Rows, k: int = 4, rounds: int = 100, cap: float | None = None, start: Scales | None = None) -> Scales:
+    """Expectation maximisation over ``logs(x, n)``: each round needs three sums per scale."""
+    sums = _sums(logs) if isinstance(logs, DataFrame) else logs
     if start is None:
-        q = logs.agg(F.sum("n").alias("n"), F.percentile("x", [(i + 0.5) / k for i in range(k)], F.col("n")).alias("q"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("ss")).first()
-        if not q["n"]:
-            raise ValueError("no steps to fit scales to")
-        var = max(1e-6, q["ss"] / q["n"] - (q["s"] / q["n"]) ** 2)
-        mu, sig, w = list(q["q"]), [max(1e-6, var / k)] * k, [1.0 / k] * k
+        mu, spread = sums.start(k)
+        var, w = [max(1e-6, spread / k)] * k, [1.0 / k] * k
     else:
-        mu, sig, w = list(start.mu), list(start.var), list(start.weight)
+        mu, var, w = list(start.mu), list(start.var), list(start.weight)
         k = len(mu)
     if cap is not None:
-        sig = [min(v, cap * cap) for v in sig]
-    before, total = -math.inf, 0
+        var = [min(v, cap * cap) for v in var]
+    before, total = -math.inf, 0.0
     for _ in range(rounds):
-        parts = [F.lit(math.log(max(w[i], 1e-300)) - 0.5 * math.log(2 * math.pi * sig[i])) - (F.col("x") - mu[i]) * (F.col("x") - mu[i]) / (2 * sig[i]) for i in range(k)]
-        top = F.greatest(*parts) if k > 1 else parts[0]
-        rows = logs.withColumn("p", F.array(*parts)).withColumn("top", top)
-        rows = rows.withColumn("e", F.transform("p", lambda v: F.exp(v - F.col("top")))).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
-        sums = [F.sum(F.col("n") * F.log("z") + F.col("n") * F.col("top")).alias("ll"), F.sum("n").alias("n")]
-        for i in range(k):
-            r = F.col("n") * F.col("e")[i] / F.col("z")
-            sums += [F.sum(r).alias(f"r{i}"), F.sum(r * F.col("x")).alias(f"x{i}"), F.sum(r * F.col("x") * F.col("x")).alias(f"y{i}")]
-        s = rows.agg(*sums).first()
-        total = s["n"]
-        for i in range(k):
-            r = max(s[f"r{i}"], 1e-12)
-            w[i], mu[i] = r / total, s[f"x{i}"] / r
-            v = s[f"y{i}"] / r - mu[i] ** 2
-            sig[i] = max(1e-6, v if cap is None else min(v, cap * cap))
-        if abs(s["ll"] - before) <= 1e-7 * abs(s["ll"]):
+        likelihood, total, parts = sums.round(mu, var, w)
+        for i, (r, rx, rxx) in enumerate(parts):
+            r = max(r, 1e-12)
+            w[i], mu[i] = r / total, rx / r
+            v = rxx / r - mu[i] ** 2
+            var[i] = max(1e-6, v if cap is None else min(v, cap * cap))
+        if abs(likelihood - before) <= 1e-8 * abs(likelihood):
             break
-        before = s["ll"]
+        before = likelihood
     order = np.argsort(mu)
-    logs.unpersist()
-    return Scales(*(tuple(float(v[i]) for i in order) for v in (mu, sig, w)), log_likelihood=float(s["ll"]), n=int(total))
+    return Scales(*(tuple(float(v[i]) for i in order) for v in (mu, var, w)), log_likelihood=float(likelihood), n=int(total))
 
 
 def fit_capped_scales(logs: DataFrame, k: int = 4, max_sigma: float = 0.7) -> Scales:
     """A free fit, then twenty capped rounds only if some scale is wider than the cap."""
+    logs = _sums(logs)
     free = fit_scales(logs, k)
     return fit_scales(logs, k, 20, max_sigma, free) if max(free.var) > max_sigma**2 else free
 
 
 def choose_scales(logs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic") -> tuple[Scales, list[tuple[int, float, float]]]:
     """The mixture with the least criterion, and ``(k, bic, aic)`` of all."""
-    fits, scores = [], []
+    fits, scores, logs = [], [], _sums(logs)
     for k in sizes:
         f = fit_scales(logs, k)
         bic, aic = -2 * f.log_likelihood + (3 * k - 1) * math.log(f.n), -2 * f.log_likelihood + 2 * (3 * k - 1)

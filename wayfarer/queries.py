@@ -737,7 +737,7 @@ gs AS (SELECT use.{key}, side, value, use.lg, lo, hi, nr, ns, hi / 100 AS width,
 bn AS (SELECT {key}, side, nr, ns, greatest(0, least(99, CAST(CASE WHEN lg THEN floor((log10(value) - log10(lo * 0.99e0)) / ((log10(hi * 1.01e0) - log10(lo * 0.99e0)) / 100)) ELSE g + CASE WHEN value >= (g + 1) * width THEN 1 WHEN value < g * width THEN -1 ELSE 0 END END AS BIGINT))) AS bin FROM gs),
 ct AS (SELECT {key}, bin, nr, ns, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'sim') AS s FROM bn GROUP BY 1, 2, 3, 4),
 sm AS (SELECT {key}, sum({term(share('r', 'nr'), share('s', 'ns'))}) + (100 - count(*)) * first({term(share('0e0', 'nr'), share('0e0', 'ns'))}) AS s FROM ct GROUP BY 1),
-div AS (SELECT ends.{key}, CASE WHEN nr = 0 OR ns = 0 THEN CAST('nan' AS DOUBLE) ELSE coalesce(greatest(0e0, least(ln(2e0), sm.s)), 0e0) END AS jsd FROM ends LEFT JOIN sm ON sm.{key} = ends.{key})"""
+div AS (SELECT ends.{key}, CASE WHEN nr = 0 OR ns = 0 THEN CAST('nan' AS DOUBLE) ELSE greatest(0e0, least(ln(2e0), coalesce(sm.s, 0e0))) END AS jsd FROM ends LEFT JOIN sm ON sm.{key} = ends.{key})"""
 
 
 EVAL = with_sql(S, PTS, CG, FEATURES, _divergence_sql("vals", "metric", "metric IN ('SD', 'RG', 'DTD')"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +85,19 @@ def write_daily(daily: DataFrame, path: str) -> None:
     daily.write.mode("overwrite").json(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` into the folder that ``spark.checkpoint.dir`` names (a temporary one where it names none) and
+    reads it back: the plan behind starts anew, and lost executors cost only what came after."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-wayfarer-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Anchors, vocabularies, mixtures, reports and metrics as Parquet."""
     writer = df.write.mode("overwrite")
