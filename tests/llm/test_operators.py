@@ -1,0 +1,368 @@
+"""Corpus operators against the libraries, brute force and held-out rows, on small tables with edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from wayfarer.llm import byte_gru, minhash_sketch, op01_embeddings, op02_language, op03_pieces, op04_token_counts, op05_audio, op06_toxicity, op07_html, op08_minhash, op09_packing, op10_licences, tables  # noqa: E402
+from wayfarer.llm.ragged_merges import Merges, merge, merge_long  # noqa: E402
+from wayfarer.llm.word_ids import WordIds  # noqa: E402
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, language string"
+ODD = [None, "", " ", "\n\n", "a", "Hello, world!", "the the the", "é" * 40, "x" * 5000, "▁ ▁", "a\u0000b", "  two  spaces ", "日本語 テキスト 🙂", "<|endoftext|> and <|endoftext|>", "don't stop 12345"]
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, None, "s", 0, "own", "own") for i, t in enumerate(texts)], DOC)
+
+
+def fuzz(n, seed=3):
+    rng = random.Random(seed)
+    parts = [*"abcXYZ éÉßñ'.,!?\n\t 　Σσİ0123½中文🙂\x1c\x1d\x85", "the", "'ll", "'s", " ", " ", "<|endoftext|>", "﻿", "▁"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+
+
+# -- tokenizers ------------------------------------------------------------------------------------
+
+
+def test_token_counts_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ODD + fuzz(800) + ["a" * 900 + " " * 300 + "b!" * 300]
+    rows = {r["doc_id"]: r for r in op04_token_counts.token_counts(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert (rows[i]["n_tokens"], rows[i]["n_bytes"], rows[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
+    assert op04_token_counts.token_counts(documents(spark, [])).count() == 0
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ODD + fuzz(800)
+    for r in op03_pieces.encode_documents(documents(spark, texts)).collect():
+        text = texts[r["doc_id"]] or ""
+        ids = lib.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+        assert r["decoded"] == lib.decode(ids) and r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        raw, pieces = text.encode(), op03_pieces.Pieces.of(public_tokenizers.path("piece_bpe_32k.model"))
+        for i, a, b in list(zip(ids, r["starts"], r["ends"], strict=True))[1:-1]:
+            want, got = pieces.raw[i].replace("▁".encode(), b" "), raw[a:b].replace("▁".encode(), b" ")
+            assert got == want or b" " + got == want
+
+
+def test_normalisation_walks_the_compiled_map():
+    sp = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    if not hasattr(sp, "SentencePieceNormalizer"):
+        pytest.skip("no normalizer in this library")
+    lib = sp.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    proto = pb.ModelProto()
+    proto.ParseFromString(lib.serialized_model_proto())
+    pieces = op03_pieces.Pieces.of(public_tokenizers.path("piece_bpe_32k.model"))
+    own = op03_pieces.Pieces.__new__(op03_pieces.Pieces)
+    spec = proto.normalizer_spec
+    own.chars, own.prefix, own.squeeze, own.escape = op03_pieces.CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+    for t in ("ﬁne ＡＢＣ ①②", "plain", "é é", "㍿ ½", "  a   b ", ""):
+        got, where = own.normalize(t)
+        assert got == lib.normalize(t)
+        assert len(where) == len(got.encode()) + 1 and (np.diff(where) >= 0).all() and where[-1] == len(t.encode())
+    assert pieces.chars.longest(b"abc", 0) is None
+
+
+def test_ragged_merges_are_the_heaps():
+    rng = np.random.default_rng(1)
+    table = Merges(np.array([0, 1, 2, 3, 0]), np.array([1, 2, 0, 3, 0]), np.array([2, 0, 1, 3, 4]), np.array([3, 4, 5, 6, 7]))
+    seqs = [rng.integers(0, 3, rng.integers(1, 30)) for _ in range(300)] + [rng.integers(0, 3, 400)]
+    out, counts = merge(np.concatenate(seqs), np.array([len(s) for s in seqs]), table)
+    at = 0
+    for s, n in zip(seqs, counts, strict=True):
+        assert out[at : at + n].tolist() == merge_long(s.tolist(), table)
+        at += n
+
+
+def test_word_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), WordIds.of(path)
+    for t in [t or "" for t in ODD] + fuzz(2000, 5):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_holds_each_id_once(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    texts = ODD + [" ".join(rng.choice(["alpha", "beta", "gamma."]) for _ in range(rng.randint(0, 5000))) for _ in range(150)]
+    rows = op09_packing.pack(documents(spark, texts).repartition(3)).toPandas()
+    ids = [lib.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for doc, own in rows.sort_values("start").groupby("doc_id"):
+        at = 0
+        for r in own.itertuples():
+            assert r.start == at and r.doc_tokens == len(ids[doc])
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[doc][at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids[doc])
+    assert set(rows["doc_id"]) == set(range(len(texts)))
+    for _, s in rows.sort_values("offset").groupby("sequence_id"):
+        assert (s["offset"] == s["length"].cumsum() - s["length"]).all() and s["length"].sum() <= 2048
+    size = rows.groupby("sequence_id")["length"].sum()
+    assert ((2048 - size)[(size & (size - 1)) != 0]).sum() <= 0.02 * size.sum()
+    assert op09_packing.pack(documents(spark, [])).count() == 0
+
+
+# -- models ----------------------------------------------------------------------------------------
+
+
+def test_gru_gradients():
+    net = byte_gru.ByteGru(3, 3)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    rng = np.random.default_rng(0)
+    x, mask, y = rng.integers(0, 256, (5, 4)), np.ones((5, 4)), np.array([0, 1, 2, 1])
+    mask[3:, 1] = 0
+    _, g = net.gradients(x, mask, y)
+    for k in net.w:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old, e = net.w[k][at], 1e-3
+        net.w[k][at] = old + e
+        up = net.gradients(x, mask, y)[0]
+        net.w[k][at] = old - e
+        down = net.gradients(x, mask, y)[0]
+        net.w[k][at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2 / e, rel=1e-2, abs=1e-5)
+
+
+def test_language_on_held_out_rows(spark):
+    out = op02_language.op2_language_id(spark, "/root/testdata/sf0.01").toPandas()
+    docs = tables.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang").toPandas()
+    both = out.merge(docs, on="doc_id")
+    assert len(out) == len(docs) and (both["held_out"] == both["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    held = both[both["held_out"]]
+    assert (held["lang_pred"] == held["lang"]).mean() > 0.97 and out["score"].between(0, 1).all()
+
+
+def test_language_edges(spark):
+    model = op02_language.fit_sample([("the cat and the dog " * 8, "en"), ("der hund und die katze " * 8, "de")])
+    df = documents(spark, [None, "", "1234 !!", "und der hund " * 5000, "the dog"])
+    got = {r["doc_id"]: r for r in op02_language.identify(df, model, "found").collect()}
+    assert [got[i]["found"]["name"] for i in range(3)] == ["und"] * 3 and got[0]["language"] == "own" and got[3]["found"]["name"] == "de"
+    none = op02_language.fit(df)
+    assert none.languages == [] and none.predict(pa.array(["abc"]))[0] == ["und"]
+    assert op02_language.fit_sample([("abc", "en")]).predict(pa.array(["abc"]))[0] == ["en"]
+
+
+def test_toxicity_finds_words_in_long_texts(spark):
+    rng = random.Random(1)
+    clean = lambda n: " ".join(rng.choice(["stone", "river", "cloud", "leaf", "morning", "paper"]) for _ in range(n))
+    texts = [clean(60) + (" you moron " if i % 4 == 0 else " ") + clean(60) for i in range(300)]
+    model = op06_toxicity.train(texts, np.array([i % 4 == 0 for i in range(300)], int))
+    df = documents(spark, [None, "", clean(20_000), clean(10_000) + " moron " + clean(10_000), "moron"])
+    got = [r["p"] for r in op06_toxicity.score(df, model, "p").orderBy("doc_id").collect()]
+    assert max(got[:3]) < 0.5 < min(got[3:]) and got[0] == got[1]
+    assert op06_toxicity.train([], np.zeros(0)).intercept < 0
+
+
+def test_toxicity_query(spark, small):
+    out = op06_toxicity.op6_toxicity(spark, small).toPandas()
+    assert len(out) == tables.read(spark, small, "documents").count() and out["score"].between(0, 1).all() and (out["predicted"] == (out["score"] >= 0.5)).all()
+
+
+# -- media, pages, licences ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (3, 2), (1, 1)])
+def test_polyphase_is_plain_filtering(up, down):
+    p = op05_audio.AudioParams(up=up, down=down)
+    x = np.random.default_rng(1).standard_normal(577).astype(np.float32)
+    taps = op05_audio.lowpass(p)
+    raised = np.zeros(len(x) * up, np.float32)
+    raised[::up] = x
+    full = np.convolve(raised, taps)[len(taps) // 2 :][: len(raised)][::down]
+    assert np.allclose(op05_audio.resample(x, p), full, atol=1e-5)
+
+
+def test_media_round_trip(spark):
+    texts = ODD + ["b" * 576, "b" * 577]
+    rows = {r["doc_id"]: r for r in op05_audio.media_columns(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        r = rows[i]
+        assert op05_audio.from_wave(r["media"])[1] == want and r["payload_sha256"] == hashlib.sha256(want).hexdigest()
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(raw), len(want), zlib.crc32(want[-32:]), len(r["media"]))
+        t = pa.ipc.open_stream(r["tensors"]).read_all()
+        assert t["log_mel"].type.shape == [32, 20] and sum(t["frames"].to_pylist()) == int(r["feature"].split(";")[0][7:])
+    assert rows[0]["feature"] == rows[1]["feature"]
+
+
+def test_segments_have_hysteresis():
+    p = op05_audio.AudioParams(rise=1.0, fall=0.0)
+    energy = np.array([0, 0, 5, 2.6, 2.6, 0, 2.6, 0, 0, 0, 5, 5.0])
+    assert op05_audio.segments(energy, p) == [(2, 5), (10, 12)]
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class=top>Site</header><nav><a href=1>Home</a> <a href=2>News</a></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>Big &amp; new</h1><p>Some <b>bo</b>ld   text<br>goes on<p>Er.<aside>More</aside><p><a href=x>all a link here</a></p></article>
+<div class=comments><p>Great article, I liked it a lot because it was long and good.</p></div><form><p>Sign up</p></form><footer>&copy; me</footer><script>if(a<b){"</p>"}</script></body></html>"""
+
+
+def test_main_text(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<article>x" + "<p>y" * 3000), (5, "u", "<article>x")]
+    out = op07_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    first = next(r for r in out if r["page_id"] == 1)
+    assert len(out) == 6 and first["text"] == "Big & new\nSome bold text goes on\nEr.\nall a link here" and first["n_chars"] == len(first["text"])
+    assert [r["text"] for r in out if r["page_id"] in (2, 3, 4)] == ["", "", ""]
+    assert any(r["text"].count("\n") == 3000 for r in out)
+
+
+def test_tree_fits_its_table():
+    tree = op07_html.grow(op07_html.LABELLED)
+    right = [op07_html.keeps(tree, tuple(r[:-1])) == bool(r[-1]) for r in op07_html.LABELLED]
+    assert np.mean(right) > 0.95
+
+
+def test_licences_are_brute_force(spark):
+    texts = [*ODD, "cc by cc-by CC.By", "All rights", "reserved", "GNU general public license all rights reserved ALL RIGHTS RESERVED", "é cc", "by", "so Released under the MIT License. end", "released then under a mit thing license"]
+    rows = {r["doc_id"]: r for r in op10_licences.scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(k, label) for p, label in op10_licences.BASE.items() for k in range(len(words)) if tuple(words[k : k + len(p)]) == p]
+        r = rows[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    assert rows[len(texts) - 2]["labels"] == "mit" and rows[len(texts) - 1]["labels"] == ""
+
+
+def test_automaton_statistics_are_brute_force():
+    rng = random.Random(4)
+    seqs = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(6)]
+    auto = op10_licences.SuffixAutomaton(seqs)
+    text = [rng.randrange(3) for _ in range(200)]
+    inside = lambda run, s: any(s[k : k + len(run)] == run for k in range(len(s)))
+    for state, size, i in auto.matches(text):
+        best = max(n for n in range(i + 2) if n == 0 or any(inside(text[i + 1 - n : i + 1], s) for s in seqs))
+        assert size == best
+        assert not size or auto.owners[state] == {k for k, s in enumerate(seqs) if inside(text[i + 1 - size : i + 1], s)}
+
+
+# -- near duplicates -------------------------------------------------------------------------------
+
+
+def brute_components(texts, words, threshold):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return frozenset(zip(*[w[k:] for k in range(words)], strict=False)) if len(w) >= words else frozenset([tuple(w)]) if w else frozenset()
+
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= round(100 * threshold) * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [len(s) for s in sets], [find(i) for i in range(len(texts))]
+
+
+def copies(n, seed=1):
+    """Texts of which some are exact and near copies of others, in families of different size."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    out = list(ODD) + [None, "", "a", "one two", "ONE two"]
+    while len(out) < n:
+        base = [word() for _ in range(rng.randint(20, 80))]
+        for _ in range(rng.choice([1, 1, 1, 2, 5, 40])):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = word()
+            out.append(" ".join(own))
+    return out[:n]
+
+
+@pytest.mark.parametrize(("block", "huge"), [(256, 16), (8, 16), (8, 1)])
+def test_minhash_loses_no_link(spark, monkeypatch, block, huge):
+    monkeypatch.setattr(op08_minhash, "BLOCK", block)
+    monkeypatch.setattr(op08_minhash, "HUGE", huge)
+    texts = copies(300)
+    sizes, want = brute_components(texts, 3, 0.85)
+    got = {r["doc_id"]: r for r in op08_minhash.near_duplicates(documents(spark, texts), op08_minhash.CONTRACT).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes and [got[i]["component_id"] for i in range(len(texts))] == want
+
+
+def test_one_of_each_group_stays(spark):
+    texts = copies(200, 7)
+    _, want = brute_components(texts, 5, 0.8)
+    df = documents(spark, texts)
+    df = df.unionByName(df.where("doc_id = 3")).unionByName(df.where("doc_id = 4").selectExpr("CAST(NULL AS BIGINT) AS doc_id", *df.columns[1:]))
+    out = op08_minhash.one_of_each(df)
+    ids = [r["doc_id"] for r in out.collect()]
+    assert out.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(set(want)) and ids.count(None) == 1
+    assert op08_minhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 4, 8])
+def test_signatures_estimate_similarity(bits):
+    p = minhash_sketch.MinHashParams(bits=bits, bands=100, rows=5)
+    a, b = minhash_sketch.constants(p)
+    x = np.random.default_rng(1).integers(0, 1 << 63, 1500).astype(np.uint64)
+    sig = [np.frombuffer(minhash_sketch.packed(minhash_sketch.minima(np.unique(s), a, b), bits), np.uint8)[None] for s in (x[:1000], x[200:1200])]
+    assert minhash_sketch.estimates(sig[0], sig[1], p)[0] == pytest.approx(800 / 1200, abs=0.1)
+
+
+def test_vectors_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op01_embeddings, "CELL", 40)
+    monkeypatch.setattr(op01_embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(260):
+        base = rng.standard_normal(8)
+        for _ in range(int(rng.choice([1, 1, 3, 12]))):
+            rows.append((base + rng.standard_normal(8) * 0.06).astype(np.float32))
+    rows = rows[:400]
+    data = [(i, [float(v) for v in x], int(i % 2)) for i, x in enumerate(rows)]
+    data += [(1000, data[0][1], 0), (1001, None, 0), (1002, [0.0] * 8, 0), (1003, [float("nan")] + [1.0] * 7, 0), (1004, data[0][1], None), (1005, [1.0, 2.0], 0), (1006, [None] * 8, 1), (1007, [float("inf")] * 8, 1), (None, data[0][1], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    out = op01_embeddings.near_duplicates(df).collect()
+    got = {r["vec_id"]: r for r in out}
+    ids = [i for i, *_ in data[:401]]
+    x = np.array([v for _, v, _ in data[:401]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([label for *_, label in data[:401]])
+    link = (x @ x.T >= 0.98) & (lab[:, None] == lab[None]) & ~np.eye(401, dtype=bool)
+    low = np.array(ids)
+    for _ in range(60):
+        low = np.array([min(low[i], *low[link[i]]) if link[i].any() else low[i] for i in range(401)])
+    assert len(out) == len(data)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in ids] == [(int(link[k].sum()), int(low[k])) for k, i in enumerate(ids)]
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (*range(1001, 1008), None))
+    assert op01_embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = {r["id"]: r["component"] for r in tables.components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()}
+    up = {x: x for e in chain for x in e}
+    for _ in range(300):
+        for a, b in chain:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == {k: v for k, v in up.items() if any(k in e and e[0] != e[1] for e in chain)}
+    assert tables.components(spark.createDataFrame([], "a long, b long")).count() == 0
