@@ -200,6 +200,19 @@ def prj4(spark, d):
     return out
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """``df`` written as a table into the shared folder and read again."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    rd.write_table(df, path, partition)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("src6_anchors_table", with_sql(S, H) + " SELECT user_id, home_lng AS t1_lng, home_lat AS t1_lat, work_lng AS t2_lng, work_lat AS t2_lat FROM hints SEMI JOIN stays USING (user_id)")
+def src6(spark, d):
+    return _written(spark, _hint_anchors(spark, d).select("user_id", "t1_lng", "t1_lat", "t2_lng", "t2_lat"), "anchors")
+
+
 # -- days, filters ---------------------------------------------------------------------------------
 
 
@@ -768,6 +781,11 @@ def summary(spark, d):
     return me.summary(pts(spark, d)).select("metric", F.round("jsd", 5).alias("jsd"))
 
 
+@query("src8_metrics_table", EVAL + " SELECT metric, round(jsd, 5) AS jsd FROM div")
+def src8(spark, d):
+    return _written(spark, me.metric_divergences(_scored(spark, d)).select("metric", F.round("jsd", 5).alias("jsd")), "metrics")
+
+
 @query("ev_moments", EVAL + " SELECT side, metric, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std FROM vals GROUP BY 1, 2")
 def moments(spark, d):
     return me.metric_moments(_scored(spark, d)).select("side", "metric", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
