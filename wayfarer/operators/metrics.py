@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_KM_MEAN, haversine, metric_centre_lat, metric_centre_lng, metric_column, metric_row
+from ..sources.readers import stored
 from .scales import BANDS, band
 
 BINS, SMOOTH = 100, 1e-9
@@ -64,30 +65,40 @@ def round3(c: str) -> Column:
     return F.rint(F.col(c) * 1000) / 1000
 
 
-def features(pts: DataFrame) -> DataFrame:
-    """``(side, metric, value)`` of all distributional metrics."""
-    moved = steps(pts)
-    w = Window.partitionBy("side", "traj_id")
-    moved = moved.withColumn("c_lat", F.avg("lat").over(w)).withColumn("c_lng", F.avg("lng").over(w))
+def features(pts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``(side, metric, value)`` of all distributional metrics, or of those asked for; the others aren't computed."""
+    moved, w = steps(pts), Window.partitionBy("side", "traj_id")
     long = (F.col("t_end") - F.col("t_start")) * 24 * 60
-    each = moved.select("side", F.explode(F.array(
-        F.struct(F.lit("SD").alias("metric"), F.col("km").alias("value")),
-        F.struct(F.lit("SI").alias("metric"), F.col("gap_s").alias("value")),
-        F.struct(F.lit("STAY").alias("metric"), F.when(long > 1.0, long).alias("value")),
-    )).alias("f")).select("side", "f.metric", "f.value")
-    per = moved.groupBy("side", "traj_id").agg(
-        F.sqrt(F.avg(haversine("lat", "lng", "c_lat", "c_lng", R_KM_MEAN))).alias("RG"),
-        F.when(F.count("*") >= 2, F.sum("km")).alias("DTD"),
-        F.countDistinct(F.struct(round3("lat"), round3("lng"))).cast("double").alias("DUL"),
-    )
-    cells = pts.groupBy("side", "traj_id", metric_row("lat").alias("row"), metric_column("lat", "lng").alias("col")).agg(F.count("*").alias("n"))
-    ranked = cells.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "row", "col")))
-    places = ranked.groupBy("side", "traj_id").agg(
-        F.when((F.count("*") >= 3) & (F.sum("n") >= 3), -F.regr_slope(F.log("n"), F.log("k"))).alias("VIS"),
-        F.when(F.sum("n") >= 2, F.sum(F.when(F.col("k") <= 3, F.col("n")).otherwise(0)) / F.sum("n")).alias("IRANK"),
-    )
-    unpivot = lambda df, names: df.select("side", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])).alias("f")).select("side", "f.metric", "f.value")
-    return each.unionByName(unpivot(per, ("RG", "DTD", "DUL"))).unionByName(unpivot(places, ("VIS", "IRANK"))).where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
+    of_points = {"SD": F.col("km"), "SI": F.col("gap_s"), "STAY": F.when(long > 1.0, long)}
+    of_trajectories = {
+        "RG": F.sqrt(F.avg(haversine("lat", "lng", "c_lat", "c_lng", R_KM_MEAN))),
+        "DTD": F.when(F.count("*") >= 2, F.sum("km")),
+        "DUL": F.countDistinct(F.struct(round3("lat"), round3("lng"))).cast("double"),
+    }
+    of_places = {
+        "VIS": F.when((F.count("*") >= 3) & (F.sum("n") >= 3), -F.regr_slope(F.log("n"), F.log("k"))),
+        "IRANK": F.when(F.sum("n") >= 2, F.sum(F.when(F.col("k") <= 3, F.col("n")).otherwise(0)) / F.sum("n")),
+    }
+    wanted = lambda d: {m: c for m, c in d.items() if only is None or m in only}
+
+    def unpivot(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in cols.items()]))
+        return df.select("side", each.alias("f")).select("side", "f.metric", "f.value")
+
+    parts = []
+    if cols := wanted(of_points):
+        parts.append(unpivot(moved, cols))
+    if cols := wanted(of_trajectories):
+        per = moved.withColumn("c_lat", F.avg("lat").over(w)).withColumn("c_lng", F.avg("lng").over(w)).groupBy("side", "traj_id").agg(*[c.alias(m) for m, c in cols.items()])
+        parts.append(unpivot(per, {m: F.col(m) for m in cols}))
+    if cols := wanted(of_places):
+        cells = pts.groupBy("side", "traj_id", metric_row("lat").alias("row"), metric_column("lat", "lng").alias("col")).agg(F.count("*").alias("n"))
+        places = cells.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "row", "col"))).groupBy("side", "traj_id").agg(*[c.alias(m) for m, c in cols.items()])
+        parts.append(unpivot(places, {m: F.col(m) for m in cols}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
 
 
 def histogram(values: DataFrame, logarithmic: Column, keys: list[str]) -> DataFrame:
@@ -183,22 +194,22 @@ def evaluate(pts: DataFrame, known: DataFrame | None = None, bands: tuple = BAND
     """``(metric, value)``: all divergences and moments, the scale profile; an empty side stops the job."""
     if known is not None:
         pts = pts.where("side = 'real'").unionByName(snap_to_known(pts.where("side = 'sim'"), known).select(*pts.columns))
-    pts = coarse(pts).cache()
+    pts = stored(coarse(pts))
     sides = {r["side"] for r in pts.select("side").distinct().collect()}
     if sides != {"real", "sim"}:
         raise ValueError("both sides need trajectories")
-    values = features(pts).cache()
+    values = stored(features(pts))
     scores = metric_divergences(values).select(F.concat("metric", F.lit(".jsd")).alias("metric"), F.col("jsd").alias("value"))
     moments = metric_moments(values).where(F.col("metric").isin("DTD", "DUL", "VIS"))
     each = F.explode(F.create_map(*[c for k in ("n", "mean", "std") for c in (F.lit(k), F.col(k).cast("double"))])).alias("item", "value")
     scores = scores.unionByName(moments.select("metric", "side", each).select(F.concat("metric", F.lit("."), "side", F.lit("_"), "item").alias("metric"), "value"))
-    km = steps(pts).where("km > 0").select("side", "km")
+    km = stored(steps(pts).where("km > 0").select("side", "km"))
     return scores.unionByName(scale_profile(km, bands).select(F.concat(F.lit("SFP."), "item").alias("metric"), F.col("jsd").alias("value")))
 
 
 def summary(pts: DataFrame) -> DataFrame:
     """``(metric, jsd)`` of the four headline scores, without snapping."""
-    return metric_divergences(features(coarse(pts))).where(F.col("metric").isin("SD", "SI", "STAY", "RG"))
+    return metric_divergences(features(coarse(pts), ("SD", "SI", "STAY", "RG")))
 
 
 def ccdf(km: DataFrame, partitions: int | None = None) -> DataFrame:

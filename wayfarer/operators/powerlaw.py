@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import ccdf
+from .scales import choose_scales, weighted_logs
 
 #: Tail starts that are tried, and least numbers of values.
 STARTS = (0.5, 1.0, 2.0, 3.0, 5.0, 7.5, 10.0)
@@ -104,3 +105,17 @@ def fit_joint(stats: dict, x_min: float = 2.0, r0: float = 1.5) -> tuple[float,
     i = int(np.argmin([cost(b, cutoff(b)) for b in grid]))
     beta = _golden(lambda b: cost(b, cutoff(b)), grid[max(0, i - 1)], grid[min(18, i + 1)], 1e-4)
     return float(beta), math.exp(cutoff(beta))
+
+
+def fit_deltas(km: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> list[tuple[str, float]]:
+    """``(item, sim - real)`` of exponent, cutoff and the scales of both sides' mixtures, by rank as far as both reach."""
+    sums = sums_of(km)
+    tails = {r["side"]: r["alpha_2km"] for r in best_tail(tail_fits(km)).collect()}
+    out = []
+    if {"real", "sim"} <= {s for s, b in tails.items() if b is not None} and {"real", "sim"} <= set(sums):
+        cut = {s: fit_cutoff(sums[s], tails[s]) for s in ("real", "sim")}
+        out += [("beta", float(tails["sim"] - tails["real"])), ("kappa", cut["sim"] - cut["real"])]
+    fits = {s: choose_scales(weighted_logs(km.where(F.col("side") == s)), sizes)[0] for s in ("real", "sim")}
+    for i, (r, s) in enumerate(zip(zip(fits["real"].mu, fits["real"].weight, strict=True), zip(fits["sim"].mu, fits["sim"].weight, strict=True), strict=False), 1):
+        out += [(f"scale{i}_km", math.exp(s[0]) - math.exp(r[0])), (f"scale{i}_weight", s[1] - r[1])]
+    return out

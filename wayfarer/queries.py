@@ -756,15 +756,14 @@ div AS (SELECT ends.{key}, CASE WHEN nr = 0 OR ns = 0 THEN CAST('nan' AS DOUBLE)
 EVAL = with_sql(S, PTS, CG, FEATURES, _divergence_sql("vals", "metric", "metric IN ('SD', 'RG', 'DTD')"))
 
 
-def _scored(spark, d):
-    return me.features(me.coarse(pts(spark, d)))
+def _scored(spark, d, only=None):
+    return me.features(me.coarse(pts(spark, d)), only)
 
 
 def _add_metric(name: str, metric: str) -> None:
     @query(name, EVAL + f" SELECT metric, round(jsd, 5) AS jsd FROM div WHERE metric = '{metric}'")
     def run(spark, d):
-        one = _scored(spark, d).where(F.col("metric") == metric)
-        return me.metric_divergences(one).select("metric", F.round("jsd", 5).alias("jsd"))
+        return me.metric_divergences(_scored(spark, d, (metric,))).select("metric", F.round("jsd", 5).alias("jsd"))
 
 
 for _name, _metric in (("ev_sd", "SD"), ("ev_si", "SI"), ("ev_stay", "STAY"), ("ev_rg", "RG"), ("ev_dtd", "DTD"), ("ev_dul", "DUL"), ("ev_vis", "VIS"), ("ev_irank", "IRANK")):
@@ -863,6 +862,11 @@ def dlt(spark, d):
     return s.groupBy(F.col("band").alias("item")).agg(r6(F.max(F.when(F.col("side") == "sim", F.col("fraction"))) - F.max(F.when(F.col("side") == "real", F.col("fraction"))), "delta"))
 
 
+@query("ev_dlt_fits")
+def dlt_fits(spark, d):
+    return spark.createDataFrame(pl.fit_deltas(side_steps(spark, d)), "item string, delta double")
+
+
 _KNOWN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays WHERE seq % 50 = 0)"
 
 
