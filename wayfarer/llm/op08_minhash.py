@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     reps = sketch.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("fp", "r.doc_id", "r.keys")
     reps = tables.stored(reps)
     links = representative_links(docs, reps.where("keys IS NOT NULL").select("doc_id", "keys"), p)
-    found = tables.components(links)
+    # Stored first: a stage then runs one Python worker a task, for the links or for the components.
+    found = tables.components(tables.stored(links))
     labels = reps.join(found, reps["doc_id"] == found["id"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
     joined = sketch.select("doc_id", "n_shingles", "fp").join(labels, "fp", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -136,6 +136,7 @@ def pack(docs: DataFrame, vocab_path: str | None = None, window: int = WINDOW, o
                 if size >= 20_000:
                     yield _rows(iter(done))
                     done, size = [], 0
+        words.forget()
         yield _rows(iter(done))
         yield _rows(((part << 33, w) for w in packer.rest()), left=True)
 

@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Nodes that one task contracts at a time; about 150 bytes each.
 MOST_NODES = 500_000
+ROWS_PER_BATCH = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default number of rows in an Arrow batch: documents are long, and a Python worker holds
+    a batch several times over. A number that the user has chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

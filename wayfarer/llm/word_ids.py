@@ -13,7 +13,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Stretches kept by one Python worker; about 200 bytes each.
-CACHED = 500_000
+CACHED = 250_000
 
 #: Letters that normalisation only lower-cases, then punctuation that makes one pre-token.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-z0-9\\s'<|>\x80-\U0010ffff]*)")
@@ -84,6 +84,11 @@ class WordIds:
             _made[path] = cls(path)
         return _made[path]
 
+    def forget(self) -> None:
+        """Gives the memory of what was looked up back to the worker, for whatever task comes next."""
+        self.cache.words.clear()
+        self.cache.clear()
+
     def ids(self, text: str) -> bytes:
         odd = any(c in text for c in _NO_SPACES)
         return b"".join(map(self.cache.__getitem__, _SPACES.split(text) if odd else text.split()))
