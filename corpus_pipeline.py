@@ -21,6 +21,7 @@ LEAST_LANGUAGE = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold. Null and empty texts stay."""
+    tables.bounded_batches(spark)
     model = op06_toxicity.fit(docs, tables.read(spark, sf_dir, "labels"))
     name = tables.free_name(docs, "toxicity")
     return op06_toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(*docs.columns)
@@ -28,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language. Texts that are null or have no letter go."""
+    tables.bounded_batches(spark)
     name = tables.free_name(docs, "language")
     known = op02_language.identify(docs, op02_language.fit(docs), name)
     return known.where((F.col(f"{name}.name") != op02_language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LANGUAGE)).select(*docs.columns)
@@ -35,11 +37,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8 or more: the one with the smallest id."""
+    tables.bounded_batches(spark)
     return op08_minhash.one_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    tables.bounded_batches(spark)
     return op09_packing.pack(docs)
 
 
