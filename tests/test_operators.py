@@ -196,3 +196,17 @@ def test_workflows(spark, small):
     p = queries.pts(spark, small)
     with pytest.raises(ValueError):
         workflows.compare(p.where("side = 'real'"), p.limit(0))
+
+
+def test_rings_widen_before_far_points_meet_degrees(spark):
+    known = [(float(i % 9) * 0.5, float(i // 9) * 0.5) for i in range(81)]
+    pts = [(0, 0.6, 0.6), (1, 1.12, 2.03), (2, -40.0, 70.0), (3, 2.0, 9.0), (4, 0.0, 0.0)]
+    table = lambda rows: spark.createDataFrame([(*r,) for r in rows], "seq int, lat double, lng double")
+    places = spark.createDataFrame(known, "lat double, lng double")
+    for rows in (pts, pts[:2]):
+        out = metrics.snap_to_known(table(rows), places)
+        want = {s: min(known, key=lambda k: ((k[0] - a) ** 2 + (k[1] - b) ** 2, k)) for s, a, b in rows}
+        assert {r["seq"]: (r["lat"], r["lng"]) for r in out.collect()} == want
+    # Both are within the widest ring, so no spot meets a whole table.
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

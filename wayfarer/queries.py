@@ -881,6 +881,23 @@ def snp2(spark, d):
     return me.snap_to_known(s.select("seq", "lat", "lng"), s.where("seq % 50 = 0").select("lat", "lng")).select("seq", "lat", "lng")
 
 
+_TRAIN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays JOIN split USING (user_id, date) WHERE split = 'train')"
+
+
+def train_locations(spark, d):
+    return sp.split_days(fx.stays(spark, d)).where("split = 'train'").select("lat", "lng").distinct()
+
+
+@query("snp3_train_locations", with_sql(S, SPLIT) + f" SELECT * FROM {_TRAIN}")
+def snp3(spark, d):
+    return train_locations(spark, d).select(F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng"))
+
+
+@query("snp4_snap_to_train", with_sql(S, SPLIT) + f" SELECT seq, k_lat AS lat, k_lng AS lng FROM stays JOIN (SELECT lat, lng, k_lat, k_lng FROM (SELECT DISTINCT lat, lng FROM stays), {_TRAIN} QUALIFY row_number() OVER (PARTITION BY lat, lng ORDER BY (lat - k_lat) * (lat - k_lat) + (lng - k_lng) * (lng - k_lng), k_lat, k_lng) = 1) USING (lat, lng)")
+def snp4(spark, d):
+    return me.snap_to_known(fx.stays(spark, d).select("seq", "lat", "lng"), train_locations(spark, d)).select("seq", "lat", "lng")
+
+
 @query("ev_all")
 def ev_all(spark, d):
     p = pts(spark, d)
