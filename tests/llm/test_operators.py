@@ -60,6 +60,16 @@ def test_pieces_are_the_librarys(spark):
             assert got == want or b" " + got == want
 
 
+def test_the_query_digests_the_span_of_each_piece(spark, small):
+    out = {r["doc_id"]: r for r in op03_pieces.op3_sentencepiece(spark, small).collect()}
+    rows = op03_pieces.encode_documents(tables.read(spark, small, "documents")).collect()
+    for r in rows:
+        spans = np.array(r["starts"] + r["ends"], "<i8")
+        assert out[r["doc_id"]]["n_spans"] == r["n_tokens"] == len(r["starts"])
+        assert out[r["doc_id"]]["spans_sha256"] == hashlib.sha256(spans.tobytes()).hexdigest()
+    assert len(out) == len(rows) > 0
+
+
 def test_normalisation_walks_the_compiled_map():
     sp = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -244,12 +244,13 @@ class Pieces:
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None, with_spans: bool = True, with_text: bool = True) -> DataFrame:
-    """``(doc_id, n_tokens, ids binary, starts, ends, decoded, ids_sha256, decoded_sha256)`` of each document.
+    """``(doc_id, n_tokens, ids binary, starts, ends, decoded, ids_sha256, decoded_sha256, n_spans, spans_sha256)`` of each document.
 
-    ids are little-endian 32-bit integers. Spans and the decoded text are null unless asked for.
+    ids are little-endian 32-bit integers; the digest of spans is of all starts, then all ends, as little-endian
+    64-bit integers. Every piece is projected; lists of spans, ids and the decoded text are null unless asked for.
     """
     path = model_path or public_tokenizers.path(MODEL)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_spans", pa.int64()), ("spans_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
@@ -257,23 +258,23 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, with_spans:
             texts = batch.column(1).fill_null("")
             for at, to, _, _ in tb.slices(texts):
                 rows = texts.slice(at, to - at).to_pylist()
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(9)]
                 for text, segments in zip(rows, pieces.prepare(rows), strict=True):
                     ids, decoded = pieces.encode(segments), pieces.decode(segments)
-                    span = pieces.spans(text, segments) if with_spans else None
-                    row = (len(ids) // 4, ids if with_text else None, None if span is None else span[:, 0], None if span is None else span[:, 1], decoded.decode(errors="replace") if with_text else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    span = pieces.spans(text, segments)
+                    row = (len(ids) // 4, ids if with_text else None, span[:, 0] if with_spans else None, span[:, 1] if with_spans else None, decoded.decode(errors="replace") if with_text else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(span), hashlib.sha256(span.astype("<i8").tobytes("F")).hexdigest())
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, starts array<long>, ends array<long>, decoded string, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, starts array<long>, ends array<long>, decoded string, ids_sha256 string, decoded_sha256 string, n_spans long, spans_sha256 string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded with begin and end ids, and decoded again."""
+    """All documents encoded with begin and end ids, each piece with its span of bytes, and decoded again."""
     out = encode_documents(tables.read(spark, sf_dir, "documents"), with_spans=False, with_text=False)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_spans", "spans_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_sentencepiece": op3_sentencepiece}
