@@ -210,3 +210,19 @@ def test_rings_widen_before_far_points_meet_degrees(spark):
     # Both are within the widest ring, so no spot meets a whole table.
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rare_cells_are_next_cells(spark, small):
+    from wayfarer import queries
+
+    cells = queries.grid(spark, small)[2].orderBy("cell_id").toPandas()
+    lat, lng = np.radians(cells["lat"].to_numpy()), np.radians(cells["lng"].to_numpy())
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
+    d = np.log(np.maximum(2 * 6371.0 * np.arcsin(np.sqrt(h)), 0.05))
+    got = queries.QUERIES["pri9_next_cells"](spark, small).toPandas()
+    assert set(got["prev"]) == set(cells["cell_id"]) and (cells["cnt"] < 60).any()
+    for r in got.sample(60, random_state=1).itertuples():
+        mu, var, w = queries.SCALES.mu[r.scale], queries.SCALES.var[r.scale], max(0.05, math.sqrt(queries.SCALES.var[r.scale]) * 0.5)
+        dens = np.exp(-0.5 * ((d[r.prev][:, None] - d[r.prev]) / w) ** 2).mean(axis=1)
+        score = -0.5 * (d[r.prev] - mu) ** 2 / max(var, 0.01) - np.log(np.maximum(dens, 1e-9))
+        assert r.score == pytest.approx(score[r.cell], abs=1e-5) and (score > r.score + 1e-5).sum() < r.nth

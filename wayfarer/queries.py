@@ -649,9 +649,15 @@ def pri8(spark, d):
     return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
 
 
+@query("pri10_density_of_all_cells", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS) + " SELECT prev, scale, cell, round(log_density, 5) AS log_density FROM dens")
+def pri10(spark, d):
+    out = pr.log_cell_density(grid(spark, d)[2], SCALES)
+    return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
+
+
 @query("pri9_next_cells")
 def pri9(spark, d):
-    vocab = grid(spark, d, 60)[2]
+    vocab = grid(spark, d)[2]
     return pr.next_cells(pr.log_distances(vocab), pr.log_cell_density(vocab, SCALES), SCALES.table(spark))
 
 
