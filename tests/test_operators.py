@@ -212,6 +212,27 @@ def test_rings_widen_before_far_points_meet_degrees(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_long_history_is_cut_without_a_change(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for user, n in (("a", 3000), ("b", 7), ("c", 900)):
+        walk = np.cumsum(rng.normal(0, 1.5e-3, (n, 2)) * (rng.random((n, 1)) < 0.15), axis=0)
+        ts = np.cumsum(np.where(rng.random(n) < 0.02, 9000, rng.integers(20, 200, n))).astype(float)
+        rows += [(user, float(t), float(116 + x), float(39 + y)) for t, (x, y) in zip(ts, walk, strict=True)]
+    df = spark.createDataFrame(rows, "user_id string, ts double, lng double, lat double").repartition(5)
+    for merge in (None, 200.0):
+        want = []
+        for user in "abc":
+            lng, lat, ts = (np.array([r[i] for r in rows if r[0] == user]) for i in (2, 3, 1))
+            found = naive_stays(lng, lat, ts, 200, 10)
+            want += [(user, i, *s) for i, s in enumerate(found if merge is None else stays.merge_near(found, merge))]
+        out = stays.detect_stays(df, merge_metres=merge, chunk=40)
+        got = sorted(tuple(r) for r in out.collect())
+        assert [g[:2] for g in got] == [x[:2] for x in want] and np.allclose([g[2:] for g in got], [x[2:] for x in want], rtol=1e-12)
+    gaps = lambda chunk: sorted(tuple(r) for r in stays.detect_stays(df, max_gap_s=3600, chunk=chunk).collect())
+    assert gaps(40) == gaps(10**9) and len(gaps(40)) > len(got)
+
+
 def test_rare_cells_are_next_cells(spark, small):
     from wayfarer import queries
 

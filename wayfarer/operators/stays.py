@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import R_METRES, haversine
+
 UTC8_SECONDS = 28800
 _RAW = "user_id string, seq int, lng double, lat double, t_in double, t_out double"
 
@@ -55,31 +59,54 @@ def merge_near(stays: list[tuple[float, float, float, float]], metres: float) ->
     return out
 
 
-def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0, merge_metres: float | None = 200.0, max_gap_s: float | None = None) -> DataFrame:
+def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0, merge_metres: float | None = 200.0, max_gap_s: float | None = None, chunk: int = 50_000) -> DataFrame:
     """Raw stays of ``points(user_id, ts, lng, lat, ...)``, merged unless ``merge_metres`` is None.
 
-    The scan is sequential, so a user's points meet in one task with three number columns. ``max_gap_s``
-    cuts histories at longer gaps, which spreads a user over many groups.
+    A step over twice ``metres`` has no run across it, so a history is cut there once ``chunk`` points have
+    passed, without a change of the result; cuts are scanned in tasks of their own. ``max_gap_s`` also cuts
+    histories at longer gaps, with stays of their own. Stays are then merged and numbered row by row.
     """
+    w = Window.partitionBy("user_id").orderBy("ts", "lng", "lat")
     rows = points.select("user_id", F.col("ts").cast("double").alias("ts"), "lng", "lat")
+    step = haversine(F.lag("lat").over(w), F.lag("lng").over(w), "lat", "lng", R_METRES)
+    # A little over twice, as sines differ in their last digits.
+    apart = F.coalesce((step > 2.001 * metres + 0.01) & ~F.isnan(step), F.lit(False))
+    rows = rows.withColumn("cut", F.when(apart, F.floor(F.row_number().over(w) / chunk)).otherwise(0))
     part = F.lit(0).cast("long")
     if max_gap_s is not None:
-        w = Window.partitionBy("user_id").orderBy("ts", "lng", "lat")
         rows = rows.withColumn("gap", F.coalesce((F.col("ts") - F.lag("ts").over(w) > max_gap_s).cast("int"), F.lit(0)))
         part = F.sum("gap").over(w)
-    rows = rows.select("user_id", part.alias("part"), "ts", "lng", "lat")
+    rows = rows.select("user_id", part.alias("part"), F.max("cut").over(w).alias("cut"), "ts", "lng", "lat")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "lng", "lat"], kind="stable")
         found = scan_stays(pdf["lng"].to_numpy(), pdf["lat"].to_numpy(), pdf["ts"].to_numpy(), metres, minutes)
-        if merge_metres is not None:
-            found = merge_near(found, merge_metres)
         out = pd.DataFrame(found, columns=["lng", "lat", "t_in", "t_out"])
-        out.insert(0, "seq", np.arange(len(out), dtype=np.int32))
-        out.insert(0, "user_id", key[0])
+        out.insert(0, "nth", np.arange(len(out), dtype=np.int32))
+        for name, value in zip(("cut", "part", "user_id"), key[::-1], strict=True):
+            out.insert(0, name, value)
         return out
 
-    return rows.groupBy("user_id", "part").applyInPandas(run, _RAW)
+    found = rows.groupBy("user_id", "part", "cut").applyInPandas(run, "user_id string, part long, cut long, nth int, lng double, lat double, t_in double, t_out double")
+    in_order = found.repartition("user_id", "part").sortWithinPartitions("user_id", "part", "cut", "nth")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seq, last = None, 0, []
+        for pdf in batches:
+            out = []
+            for user, part, *stay in pdf[["user_id", "part", "lng", "lat", "t_in", "t_out"]].itertuples(index=False, name=None):
+                if (user, part) != key:
+                    out += [(key[0], seq, *s) for s in last]
+                    key, seq, last = (user, part), 0, []
+                last = [*last, tuple(stay)] if merge_metres is None else merge_near([*last, tuple(stay)], merge_metres)
+                if len(last) > 1:
+                    out.append((user, seq, *last[0]))
+                    seq, last = seq + 1, last[1:]
+            yield pd.DataFrame(out, columns=["user_id", "seq", "lng", "lat", "t_in", "t_out"])
+        if last:
+            yield pd.DataFrame([(key[0], seq, *last[0])], columns=["user_id", "seq", "lng", "lat", "t_in", "t_out"])
+
+    return in_order.mapInPandas(join, _RAW)
 
 
 def with_local_time(raw: DataFrame, with_seconds: bool = False, day_start_hour: int = 0) -> DataFrame:
