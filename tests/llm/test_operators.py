@@ -376,3 +376,11 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     assert got == {k: v for k, v in up.items() if any(k in e and e[0] != e[1] for e in chain)}
     assert tables.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_query_digests_the_tensors(spark, small):
+    out = {r["doc_id"]: r for r in op05_audio.op5_media_columns(spark, small).collect()}
+    rows = op05_audio.media_columns(tables.read(spark, small, "documents"), columns=["doc_id", "tensors"]).collect()
+    for r in rows:
+        assert (out[r["doc_id"]]["tensor_bytes"], out[r["doc_id"]]["tensors_sha256"]) == (len(r["tensors"]), hashlib.sha256(r["tensors"]).hexdigest())
+    assert len(out) == len(rows) > 0

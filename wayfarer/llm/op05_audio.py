@@ -188,10 +188,11 @@ class Features:
 
 _COLUMNS = {
     "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "tensor_bytes": pa.int64(), "tensors_sha256": pa.string(),
     "media": pa.binary(), "tensors": pa.binary(), "segment_starts": pa.list_(pa.float64()), "segment_ends": pa.list_(pa.float64()),
 }
 _SQL_TYPES = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.float64()): "array<double>"}
-DIGEST = list(_COLUMNS)[:8]
+DIGEST = list(_COLUMNS)[:10]
 
 
 def media_columns(docs: DataFrame, p: AudioParams = AudioParams(), columns: list[str] | None = None) -> DataFrame:
@@ -209,8 +210,8 @@ def media_columns(docs: DataFrame, p: AudioParams = AudioParams(), columns: list
                     media = to_wave(payload, p.rate)
                     _, back = from_wave(media)
                     mel, spans, line = features.of(back)
-                    row = {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": line, "media": media, "segment_starts": [a for a, _ in spans], "segment_ends": [b for _, b in spans]}
-                    row["tensors"] = tensors(mel, p) if "tensors" in out else None
+                    stream = tensors(mel, p)
+                    row = {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": line, "tensor_bytes": len(stream), "tensors_sha256": hashlib.sha256(stream).hexdigest(), "media": media, "tensors": stream, "segment_starts": [a for a, _ in spans], "segment_ends": [b for _, b in spans]}
                     for k, v in out.items():
                         v.append(row[k])
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], _COLUMNS[k]) for k in names], names)
@@ -220,7 +221,7 @@ def media_columns(docs: DataFrame, p: AudioParams = AudioParams(), columns: list
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the stored form and the audio features of all documents."""
+    """Digests of the stored form, the audio features and the tensors of all documents."""
     return media_columns(tables.read(spark, sf_dir, "documents"), columns=DIGEST)
 
 
