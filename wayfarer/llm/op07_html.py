@@ -1,13 +1,15 @@
-"""Main text of web pages: flat blocks, their words and links and their neighbours', a decision tree.
+"""Main text of web pages: flat blocks, words and links of a block and its neighbours, a decision tree.
 
 A page is read once from front to back. Block-level tags cut its text into blocks; each gets its number
-of words, the share of words inside links, the same of the blocks before and behind it, and whether
-the open elements around it are an article or something that is never part of one (by element name,
-role, class or id). A small decision tree, grown on the labelled table below, keeps or drops it.
+of words and the share of words inside links. A small decision tree over these two numbers of the block
+and of the two blocks on either side keeps or drops it; the tree is grown on the labelled page sketches
+below. What counts can't tell (a reader's comment reads like an article) is settled after the tree:
+blocks inside an element that the page itself marks as something else (menu, footer, form, comments,
+advert, hidden) go as well. On the given tables the tree alone settles every block.
 
 Defined cases: a null or empty page, and one without kept blocks, has an empty text; tags that are never
-closed end with their container; a page of any length is read whole; repeated rows give the same; other
-columns are ignored.
+closed end with their container; a page of any length is read whole, in time linear in its length;
+repeated rows give the same; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,22 +26,25 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-# Element names and words of class, id and role attributes.
+# Element names, roles, and whole parts of class and id attributes.
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
 _CONTAINER = set("article aside body details dialog div fieldset figure footer form header html main menu nav ol section table tbody tfoot thead tr td th ul dl button label".split())
 _NEVER = set("nav footer aside form menu dialog button label fieldset".split())
+_WHOLE = set("html body main article".split())
 _BAD_ROLE = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_BAD_WORD = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies gdpr footer foot header masthead menu nav navbar navigation newsletter notice "
-    "notification pager pagination popup modal overlay promo promotion promoted related recommended share sharing sidebar skip social sponsor sponsored subscribe subscription signup login toolbar topbar widget widgets byline-ad outbrain taboola".split()
+_BAD_PART = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies gdpr footer masthead menu nav navbar navigation newsletter notice "
+    "notification pager pagination popup modal overlay promo promotion promoted related recommended share sharing sidebar skip social sponsor sponsored subscribe subscription signup login toolbar topbar widget widgets outbrain taboola".split()
 )
-_GOOD_WORD = set("article articlebody content entry main maincontent post postcontent story storybody text body-text".split())
+#: Beginnings that turn a part of a class into a statement about the page.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+# A tag ends at its own ">"; a "<" outside a quoted value means that it was none.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'=<]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass(slots=True)
@@ -47,27 +52,30 @@ class Block:
     text: str
     words: int
     link: float
-    article: int
-    never: int
-
-
-def _kind(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element begins an article, and whether it is never part of one."""
-    good, bad = name in ("article", "main"), name in _NEVER or (name == "header" and not in_article)
-    if attrs and not attrs.isspace():
-        for m in _ATTR.finditer(attrs):
-            key = m[1].lower()
-            value = m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                tokens = set(_WORDS.findall(value.lower().replace("_", " "))) | set(re.findall(r"[a-z]+", value.lower()))
-                bad = bad or bool(tokens & _BAD_WORD)
-                good = good or bool(tokens & _GOOD_WORD)
-            elif key == "role":
-                bad = bad or value.lower() in _BAD_ROLE
-                good = good or value.lower() in ("main", "article")
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                bad = True
-    return good and not bad, bad
+    marked: bool
+
+
+def _is_bad_token(token: str) -> bool:
+    """A class or id is bad as a whole, or by its first or last part."""
+    if token.startswith(_ABOUT):
+        return False
+    parts = token.replace("_", "-").split("-")
+    return parts[0] in _BAD_PART or parts[-1] in _BAD_PART
+
+
+def _marked(name: str, attrs: str, in_article: bool) -> bool:
+    """Whether the page marks an element as something other than its article."""
+    if name in _NEVER or (name == "header" and not in_article):
+        return True
+    if not attrs or attrs.isspace():
+        return False
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id") and name not in _WHOLE and any(map(_is_bad_token, value.split())):
+            return True
+        if (key == "role" and value in _BAD_ROLE) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
@@ -75,8 +83,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    article = never = links = 0
+    stack: list[tuple[str, bool, bool]] = []  # name, begins an article, is marked
+    articles = marks = links = 0
+    open_names: dict[str, int] = {}
+    gone: set[str] = set()  # names without a further end tag
 
     def close() -> None:
         if parts:
@@ -84,7 +94,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 inside = len(html.unescape(" ".join(linked)).split())
-                out.append(Block(text, n, min(1.0, inside / n), int(article > 0), int(never > 0)))
+                out.append(Block(text, n, min(1.0, inside / n), marks > 0))
             parts.clear()
             linked.clear()
 
@@ -94,11 +104,35 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked.append(page[a:b])
 
-    at, size, match = 0, len(page), _TOKEN.search
+    def end_of(name: str, at: int) -> int | None:
+        """Behind the next end tag of that name; each name is looked for in vain once."""
+        found = None if name in gone else re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+        if found is None:
+            gone.add(name)
+        return found.end() if found else None
+
+    def pop(i: int) -> None:
+        nonlocal articles, marks
+        articles -= sum(g for _, g, _ in stack[i:])
+        marks -= sum(b for _, _, b in stack[i:])
+        for name, _, _ in stack[i:]:
+            open_names[name] -= 1
+            if not open_names[name]:
+                del open_names[name]
+        del stack[i:]
+
+    def push(name: str, good: bool, bad: bool) -> None:
+        nonlocal articles, marks
+        stack.append((name, good, bad))
+        open_names[name] = open_names.get(name, 0) + 1
+        articles, marks = articles + good, marks + bad
+
+    at, size, match, last = 0, len(page), _TOKEN.search, page.rfind(">")
     while at < size:
-        m = match(page, at)
+        m = match(page, at) if at <= last else None
         if m is None:
-            text_at(at, size)
+            comment = page.find("<!--", at)
+            text_at(at, comment if comment >= 0 else size)
             break
         text_at(at, m.start())
         at = m.end()
@@ -112,18 +146,16 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name not in _INLINE:
                 close()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        for _, g, b in stack[i:]:
-                            article, never = article - g, never - b
-                        del stack[i:]
-                        links = 0
-                        break
+                if name in open_names:
+                    i = len(stack) - 1
+                    while stack[i][0] != name:
+                        i -= 1
+                    pop(i)
+                    links = 0
             continue
         if name in _RAW:
             if name != "head":
-                end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = end_of(name, at) or size
                 if name in ("title", "svg", "math", "canvas", "object", "iframe"):
                     continue
             close()
@@ -132,50 +164,65 @@ def blocks(page: str) -> list[Block]:
         elif name == "a":
             links += 1
         elif name in _INLINE:
-            if m[3] and ("hidden" in m[3] or "none" in m[3]) and _kind(name, m[3], article > 0)[1]:
-                end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+            if m[3] and ("hidden" in m[3] or "none" in m[3]) and _marked(name, m[3], articles > 0):
+                at = end_of(name, at) or at
         else:
             close()
             if name in _CONTAINER and name not in _VOID and not m[3].endswith("/"):
-                good, bad = _kind(name, m[3], article > 0)
-                stack.append((name, good, bad))
-                article, never = article + good, never + bad
+                push(name, name in ("article", "main"), _marked(name, m[3], articles > 0))
                 links = 0
-            elif m[3] and _kind(name, m[3], article > 0)[1]:  # a paragraph, heading or item of its own
-                stack.append((name, False, True))
-                never += 1
+            elif m[3] and _marked(name, m[3], articles > 0):  # a paragraph, heading or item of its own
+                push(name, False, True)
             elif stack and stack[-1][0] == name == "p":  # a paragraph that was never closed ends here
-                _, g, b = stack.pop()
-                article, never = article - g, never - b
+                pop(len(stack) - 1)
     close()
     return out
 
 
 # -- decision tree -------------------------------------------------------------------------------
 
-#: Labelled blocks. Columns: words, link share, words before, link share before, words behind,
-#: link share behind, in an article, in something that is never part of one; kept (1) or not (0).
-LABELLED = np.array([
-    # paragraphs, headings and short lines inside an article
-    (85, 0.00, 60, 0.0, 70, 0.0, 1, 0, 1), (60, 0.05, 85, 0.0, 12, 0.0, 1, 0, 1), (9, 0.00, 0, 0.0, 85, 0.0, 1, 0, 1), (1, 0.00, 40, 0.0, 55, 0.0, 1, 0, 1),
-    (2, 0.00, 1, 0.0, 1, 0.0, 1, 0, 1), (4, 1.00, 70, 0.0, 66, 0.0, 1, 0, 1), (30, 0.50, 20, 0.1, 25, 0.2, 1, 0, 1), (3, 0.00, 1, 1.0, 2, 1.0, 1, 0, 1),
-    (15, 0.00, 6, 1.0, 9, 0.0, 1, 0, 1), (1, 0.00, 1, 1.0, 8, 0.5, 1, 0, 1), (40, 0.00, 11, 0.0, 10, 0.0, 1, 0, 1), (6, 0.00, 8, 0.0, 5, 0.0, 1, 0, 1),
-    (2, 1.00, 3, 1.0, 4, 1.0, 1, 0, 1), (8, 0.90, 12, 0.3, 30, 0.0, 1, 0, 1), (12, 1.00, 5, 1.0, 6, 0.8, 1, 0, 1), (3, 0.70, 1, 0.0, 2, 1.0, 1, 0, 1), (1, 1.00, 50, 0.0, 1, 1.0, 1, 0, 1), (20, 0.80, 9, 0.9, 14, 1.0, 1, 0, 1),
-    # the same shapes inside menus, adverts, notices, comments and footers
-    (85, 0.00, 60, 0.0, 70, 0.0, 1, 1, 0), (9, 0.00, 1, 1.0, 12, 0.0, 0, 1, 0), (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 0), (40, 0.00, 30, 0.0, 35, 0.0, 0, 1, 0),
-    (12, 0.00, 80, 0.0, 0, 0.0, 0, 1, 0), (3, 0.00, 2, 0.0, 4, 0.0, 1, 1, 0), (2, 0.50, 3, 1.0, 60, 0.0, 0, 1, 0), (25, 0.20, 5, 1.0, 6, 1.0, 0, 1, 0),
-    (7, 0.00, 9, 0.0, 40, 0.0, 0, 1, 0), (55, 0.00, 2, 0.0, 3, 0.0, 1, 1, 0), (16, 0.10, 40, 0.0, 22, 0.0, 0, 1, 0), (30, 0.00, 4, 1.0, 1, 0.0, 0, 1, 0),
-    # pages that mark no article: long blocks with few links, and what stands between them
-    (70, 0.00, 60, 0.0, 50, 0.0, 0, 0, 1), (45, 0.10, 8, 0.0, 60, 0.0, 0, 0, 1), (30, 0.00, 4, 1.0, 50, 0.0, 0, 0, 1), (25, 0.20, 40, 0.0, 3, 1.0, 0, 0, 1),
-    (12, 0.00, 50, 0.0, 60, 0.0, 0, 0, 1), (6, 0.00, 3, 1.0, 45, 0.0, 0, 0, 1), (4, 0.00, 35, 0.0, 40, 0.0, 0, 0, 1), (18, 0.00, 25, 0.0, 5, 0.0, 0, 0, 1),
-    (8, 0.00, 30, 0.1, 28, 0.0, 0, 0, 1), (22, 0.05, 6, 0.0, 6, 0.0, 0, 0, 1), (5, 0.00, 60, 0.0, 20, 0.0, 0, 0, 1), (16, 0.00, 2, 1.0, 18, 0.0, 0, 0, 1),
-    (2, 0.00, 45, 0.0, 50, 0.0, 0, 0, 1), (1, 0.00, 38, 0.0, 60, 0.0, 0, 0, 1), (3, 0.00, 30, 0.0, 41, 0.0, 0, 0, 1), (3, 0.00, 52, 0.0, 24, 0.1, 0, 0, 1),
-    # and link lists, crumbs and lone captions there
-    (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.00, 2, 1.0, 40, 0.0, 0, 0, 0), (5, 0.80, 50, 0.0, 4, 1.0, 0, 0, 0), (2, 0.00, 1, 1.0, 2, 1.0, 0, 0, 0),
-    (20, 0.90, 10, 1.0, 12, 0.9, 0, 0, 0), (4, 0.00, 2, 1.0, 3, 0.7, 0, 0, 0), (10, 0.60, 70, 0.0, 6, 1.0, 0, 0, 0), (40, 0.70, 30, 0.0, 30, 0.8, 0, 0, 0),
-    (1, 0.00, 0, 0.0, 1, 1.0, 0, 0, 0), (6, 1.00, 45, 0.0, 50, 0.0, 0, 0, 0), (3, 0.00, 4, 0.5, 0, 0.0, 0, 0, 0), (2, 0.00, 0, 0.0, 2, 0.0, 0, 0, 0),
-])
+#: Labelled pages as sketches of their blocks, each its number of words, then + (kept) or - (dropped);
+#: "1l" is a dropped link of one word, "30@.5+" a kept block with half of its words in links.
+SKETCHES = (
+    "1l 1l 2l 1l 8- 9+ 60+ 85+ 3+ 44+ 120+ 15-",
+    "1l 1l 1l 1l 12- 10+ 30+ 9-",
+    "1l 3l 1l 1l 1l 5- 4+ 12+ 2+ 1+ 70+ 1+ 12-",
+    "1l 1l 1l 1l 1l 1l 13- 24+ 95+ 30+ 16-",
+    "1l 1l 1l 10- 1+ 1+ 8+ 35+ 10-",
+    "2l 1l 1l 1l 6- 11+ 200+ 140@.1+ 14-",
+    "1l 1l 1l 1l 7- 2+ 5+ 3+ 8-",
+    "1l 1l 1l 2l 9- 12+ 12+ 7-",
+    "1l 2l 2l 1l 9+ 90+ 75+ 130+ 2l 3l 2l",
+    "3l 2l 1l 7+ 45@.2+ 60+ 5+ 80@.1+ 6l 5l 7l 4l",
+    "12+ 70+ 40+ 6+ 55+ 90+",
+    "8+ 150+ 31+ 64+ 27+ 11-",
+    "1l 1l 1l 11+ 52+ 18+ 3@1+ 36+ 4+ 72+ 1l 1l 12-",
+    "2l 1l 1l 9- 8+ 24+ 40+ 5@1+ 2+ 61+ 15-",
+    "1l 1l 1l 1l 4- 8+ 19+ 26@.4+ 6+ 33+ 13-",
+    "2l 1l 1l 1l 11- 3+ 14+ 41+ 50@.3+ 4+ 62+ 21+ 11-",
+    "1l 2l 3- 3+ 7+ 2+ 1+ 4@1+ 13+ 2+ 30+ 2-",
+    "2l 3l 3l 9- 10+ 40+ 70+ 14-",
+    "3l 2l 4l 18- 9+ 40+ 8-",
+    "1+",
+    "14+",
+)
+
+
+def sketched(sketches: tuple[str, ...] = SKETCHES) -> np.ndarray:
+    """The labelled table: ``features`` of each sketched block, then 1 (kept) or 0."""
+    rows = []
+    for page in sketches:
+        found = re.findall(r"(\d+)(?:@([.\d]+))?([-+l])", page)
+        shape = [(int(n), 1.0 if kind == "l" else float(share or 0)) for n, share, kind in found]
+        rows += [(*f, kind == "+") for f, (_, _, kind) in zip(features(shape), found, strict=True)]
+    return np.array(rows, float)
+
+
+def features(shape: list[tuple[int, float]]) -> list[tuple[float, ...]]:
+    """Words and link share of each block, of the two before and of the two behind it; zeros beyond the page's ends."""
+    edge = [(0, 0.0)] * 2
+    wide = [*edge, *shape, *edge]
+    return [(*wide[i + 2], *wide[i + 1], *wide[i + 3], *wide[i], *wide[i + 4]) for i in range(len(shape))]
 
 
 @dataclass
@@ -187,7 +234,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(rows: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(rows: np.ndarray, depth: int = 8, least: int = 1) -> Node:
     """Splits by the largest drop in Gini impurity; equal drops go to the first feature and limit."""
     x, y = rows[:, :-1], rows[:, -1]
     node = Node(bool(y.mean() >= 0.5))
@@ -219,14 +266,13 @@ def keeps(tree: Node, row: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None, tree: Node) -> str:
     found = blocks(page or "")
-    edge = Block("", 0, 0.0, 0, 0)
-    around = [edge, *found, edge]
-    return "\n".join(b.text for a, b, c in zip(around[:-2], found, around[2:], strict=True) if keeps(tree, (b.words, b.link, a.words, a.link, c.words, c.link, b.article, b.never)))
+    shape = features([(b.words, b.link) for b in found])
+    return "\n".join(b.text for b, row in zip(found, shape, strict=True) if keeps(tree, row) and not b.marked)
 
 
 def extract(pages: DataFrame, labelled: np.ndarray | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html, ...)``."""
-    tree = grow(LABELLED if labelled is None else labelled)
+    tree = grow(sketched() if labelled is None else labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
