@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,19 +85,44 @@ def write_daily(daily: DataFrame, path: str) -> None:
     daily.write.mode("overwrite").json(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` into the folder that ``spark.checkpoint.dir`` names (a temporary one where it names none) and
-    reads it back: the plan behind starts anew, and lost executors cost only what came after."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that ``spark.checkpoint.dir`` names, which all executors see.
+
+    Where none is named, a local session gets a temporary one; on a cluster that would be a folder of the
+    driver alone, so the job stops.
+    """
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-wayfarer-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+        spark.conf.set(key, folder)
+    return f"{folder.rstrip('/')}/wayfarer-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` into the shared folder and reads it back: the plan behind starts anew, and lost executors
+    cost only what came after."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``stored(df)`` and its number of rows, from the same pass."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Deletes all steps that this application has stored; for the end of a job, when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Anchors, vocabularies, mixtures, reports and metrics as Parquet."""
     writer = df.write.mode("overwrite")
