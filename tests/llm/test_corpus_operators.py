@@ -13,7 +13,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wayfarer.llm import byte_gru, minhash_sketch, op01_embeddings, op02_language, op03_pieces, op04_token_counts, op05_audio, op06_toxicity, op07_html, op08_minhash, op09_packing, op10_licences, tables  # noqa: E402
+from wayfarer.llm import byte_gru, minhash_sketch, op01_embeddings, op02_language, op03_pieces, op04_token_counts, op05_audio, op06_toxicity, op07_html, op08_minhash, op09_packing, op10_licences, tables, textbytes  # noqa: E402
 from wayfarer.llm.ragged_merges import Merges, merge, merge_long  # noqa: E402
 from wayfarer.llm.word_ids import WordIds  # noqa: E402
 
@@ -375,6 +375,52 @@ def test_one_of_each_group_stays(spark):
     assert op08_minhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_loses_none_of_them(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (5, b), (9, b + " more"), (9, d), (2, d), (8, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], DOC)
+    out = sorted((r["doc_id"], r["text"] or "") for r in op08_minhash.one_of_each(df).collect())
+    assert out == [(2, d), (3, a), (5, b), (7, c), (8, "")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in op08_minhash.near_duplicates(df).collect())
+    assert got == [(2, 2), (3, 3), (5, 3), (5, 5), (5, 5), (7, 7), (8, 8), (8, 8), (9, 2), (9, 5)]
+
+
+@pytest.mark.parametrize("p", [op08_minhash.CONTRACT, minhash_sketch.MinHashParams()])
+def test_no_link_of_a_whole_table_is_lost(spark, p):
+    """Copies with one changed word in about seven sit at the threshold; all pairs are compared by brute force."""
+    rng = random.Random(11)
+    texts = [r["text"] for r in tables.read(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    for i in range(0, 240):
+        words = (texts[i] or "").split()[:400]
+        for k in range(0, len(words), max(1, len(words) // rng.randint(1, 8) + 1)):
+            words[k] = f"new{i}"
+        texts.append(" ".join(words))
+    sizes, want = brute_components(texts, p.words, p.threshold)
+    got = {r["doc_id"]: r for r in op08_minhash.near_duplicates(documents(spark, texts), p).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == want and [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert sum(i != w for i, w in enumerate(want[1000:], 1000)) > 50
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT", 3)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(60)], "k long, v long")
+    table = rows.groupBy("k").agg(op08_minhash.F.count("*").alias("n"))
+    plain = sorted(tuple(r) for r in rows.join(table, ["k"]).collect())
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", bound)
+        assert sorted(tuple(r) for r in tables.join_skewed(rows, table, ["k"], "n", 60, "v").collect()) == plain
+
+
+def test_words_of_long_texts_are_hashed_alike(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abCDé") for _ in range(rng.choice([1, 3, 9, 400]))) for _ in range(300)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = textbytes.word_hashes(data, offsets, ~textbytes.SPACES)
+    monkeypatch.setattr(textbytes, "SLICE_BYTES", 128)
+    got = textbytes.word_hashes(data, offsets, ~textbytes.SPACES)
+    assert (got[0] == want[0]).all() and got[1].tolist() == want[1].tolist() == [0, 300]
+
+
 @pytest.mark.parametrize("bits", [1, 4, 8])
 def test_signatures_estimate_similarity(bits):
     p = minhash_sketch.MinHashParams(bits=bits, bands=100, rows=5)

@@ -19,11 +19,11 @@ class MinHashParams:
 
     words: int = 5
     threshold: float = 0.8
-    bands: int = 25
+    bands: int = 38
     rows: int = 5
-    bits: int = 8
+    bits: int = 4
     seed: int = 20240229
-    slack: float = 4.0
+    slack: float = 6.0
 
     @property
     def hashes(self) -> int:
@@ -48,11 +48,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 
     A row with fewer words has its whole sequence as one shingle; a row without words has none.
     """
-    data = tb.lower_ascii(data)
-    starts, ends, row = tb.word_spans(data, offsets, ~tb.SPACES)
-    h = tb.span_hashes(data, starts, ends)
+    h, first = tb.word_hashes(data, offsets, ~tb.SPACES)
     n = len(offsets) - 1
-    first = np.searchsorted(row, np.arange(n + 1))
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
         rolled = tb.mix64(rolled * np.uint64(3) + h[k : k + len(rolled)])
@@ -89,12 +86,12 @@ def _finish32(x: np.ndarray) -> np.ndarray:
 
 
 def packed(low: np.ndarray, bits: int) -> bytes:
-    """Low ``bits`` bits of every (mixed) minimum."""
-    kept = _finish32(low) & np.uint32((1 << bits) - 1)
-    if bits == 8:
-        return kept.astype(np.uint8).tobytes()
-    each = ((kept[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return np.packbits(each.reshape(-1)).tobytes()
+    """Low ``bits`` bits of every (mixed) minimum: all lowest bits first, then all second ones, and so on."""
+    kept = _finish32(low)
+    planes = np.zeros((bits, -(-len(low) // 64) * 64), np.uint8)
+    for k in range(bits):
+        planes[k, : len(low)] = (kept >> np.uint32(k)) & np.uint32(1)
+    return np.packbits(planes, axis=1).tobytes()
 
 
 def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -106,16 +103,11 @@ def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def estimates(left: np.ndarray, right: np.ndarray, p: MinHashParams) -> np.ndarray:
-    """Collision-corrected similarity of signatures (rows of packed bytes), by counting equal minima.
+    """Collision-corrected similarity of signatures (rows of packed bytes), by bit counts.
 
-    Equal low bits are counted with bit operations: the packed words are combined by exclusive or,
-    and the minima whose bits are all zero are equal.
+    Words of 64 minima are combined by exclusive or, one for each kept bit; minima differ where any bit does.
     """
-    differ = left ^ right
-    if p.bits == 8:
-        same = p.hashes - np.count_nonzero(differ, axis=1)
-    else:
-        bits = np.unpackbits(differ, axis=1)[:, : p.hashes * p.bits].reshape(len(differ), p.hashes, p.bits)
-        same = p.hashes - np.count_nonzero(bits.any(axis=2), axis=1)
+    differ = (np.ascontiguousarray(left).view(np.uint64) ^ np.ascontiguousarray(right).view(np.uint64)).reshape(len(left), p.bits, -1)
+    same = p.hashes - np.bitwise_count(np.bitwise_or.reduce(differ, axis=1)).sum(axis=1, dtype=np.int64)
     c = 2.0**-p.bits
     return (same / p.hashes - c) / (1 - c)

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from ..sources.readers import counted, stored
+
+__all__ = ["attach", "bounded_batches", "components", "counted", "free_name", "join_skewed", "read", "stored"]
+
 #: Nodes that one task contracts at a time; about 150 bytes each.
 MOST_NODES = 500_000
 ROWS_PER_BATCH = 1000
+#: Rows that may be broadcast (some 60 bytes each), rows of a key beyond which it is joined apart, tasks of a salted key.
+BROADCAST_ROWS, HOT, SALTS = 1_000_000, 500, 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default number of rows in an Arrow batch: documents are long, and a Python worker holds
-    a batch several times over. A number that the user has chosen stays."""
+    """Lowers the number of rows in an Arrow batch, unless somebody has set it: documents are long, and a Python
+    worker holds a batch several times over. The setting is the session's, so later jobs see it too."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
@@ -29,21 +32,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it; a temporary one only where it names none."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-wayfarer-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+def attach(rows: DataFrame, table: DataFrame, key: list[str], most: int, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and ``most`` rows at most.
+
+    Within the bound the table is broadcast. Beyond it rows of a key are dealt over several tasks, by a
+    hash of their column ``spread``.
+    """
+    if most <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(salted, [*key, "_salt"], how).drop("_salt")
+
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, spread: str) -> DataFrame:
+    """``rows`` joined with ``table``, whose column ``n`` says how many of the ``total`` rows share its key.
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back: later steps survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wayfarer-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Keys of more than HOT rows, of which there can't be more than total / HOT, are attached apart; what is
+    left has no key that one task could choke on.
+    """
+    if total <= HOT:
+        return rows.join(table, key)
+    hot, most = table.where(F.col(n) > HOT), total // HOT
+    marks = hot.select(*key, F.lit(True).alias("_hot"))
+    cold = attach(rows, marks, key, most, spread, "left").where("_hot IS NULL").drop("_hot")
+    return cold.join(table.where(F.col(n) <= HOT), key).unionByName(attach(rows, hot, key, most, spread))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -59,14 +71,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every partition first replaces its links by stars around the smallest ids that it can see. Then
     large-star and small-star steps alternate: each is one grouped minimum joined back, so no node's
-    neighbours are ever gathered. Each round is written to the shared folder; a round that changes
-    nothing ends. Nodes without links don't appear, links of a node to itself count for nothing.
+    neighbours are ever gathered; nodes with many neighbours are joined apart. Each round is written to the
+    shared folder; a round that changes nothing ends. Nodes without links don't appear, links of a node to
+    itself count for nothing.
     """
     now, mark = _round(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"))
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now, new = _round(_small_star(_large_star(now)))
+        now, new = _round(_small_star(_large_star(now, mark[0]), mark[0]))
         if new == mark:
             break
         mark = new
@@ -114,13 +127,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Larger neighbours of a node move to its smallest neighbour, or to itself if it is smaller."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a != b")
+    low = both.groupBy("a").agg(F.min("b").alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0").select("a", F.least("a", "low").alias("low"), "n")
+    return join_skewed(both.where("b > a"), low, ["a"], "n", n, "b").select(F.col("low").alias("a"), "b").where("a != b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("b").agg(F.min("a").alias("low"))
-    moved = edges.join(low, "b").where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Smaller neighbours of a node move to the smallest of them."""
+    low = edges.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("n"))
+    moved = join_skewed(edges, low, ["b"], "n", n, "a").where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(low.select(F.col("low").alias("a"), "b")).distinct()

@@ -1,7 +1,7 @@
 """Byte-level helpers shared by the text operators: views of Arrow strings, words, hashes.
 
-They run inside Arrow tasks on slices of a few megabytes, so memory stays bounded whatever
-the size of a record batch.
+They run inside Arrow tasks on slices of a megabyte of whole texts. A longer text is a slice of its own,
+whose words are hashed piece by piece, so its scratch memory stays that of a piece and some eight bytes a word.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tu
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * SLICE_BYTES + 1)
         for i, base in enumerate((_MULTIPLIER, _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -101,6 +101,47 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _long_word_hash(data: np.ndarray, start: int, end: int) -> np.ndarray:
+    """``span_hashes`` of one span of any length, a piece at a time."""
+    total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    up = _power_tables(SLICE_BYTES + 1)[0]
+    for at in range(start, end, SLICE_BYTES):
+        piece = data[at : min(end, at + SLICE_BYTES)].astype(np.uint64) + np.uint64(1)
+        total += factor * (piece * up[: len(piece)]).sum(dtype=np.uint64)
+        factor = factor * up[SLICE_BYTES]
+    return mix64(total + np.uint64(end - start))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a slice, letters A-Z lowered, and the first word of each row, with the end behind."""
+    if len(data) <= 2 * SLICE_BYTES:
+        low = lower_ascii(data)
+        starts, ends, row = word_spans(low, offsets, in_word)
+        return span_hashes(low, starts, ends), np.searchsorted(row, np.arange(len(offsets)))
+    # One long text: pieces end at bytes that belong to no word; a word longer than a piece is hashed alone.
+    parts, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + SLICE_BYTES)
+        if to < len(data):
+            outside = np.flatnonzero(~in_word[data[at:to]])
+            if len(outside):
+                to = at + int(outside[-1]) + 1
+            else:
+                end = to
+                while end < len(data) and len(outside) == 0:
+                    outside = np.flatnonzero(~in_word[data[end : end + SLICE_BYTES]])
+                    end = end + int(outside[0]) if len(outside) else min(len(data), end + SLICE_BYTES)
+                parts.append(_long_word_hash(lower_ascii(data[at:end]), 0, end - at))
+                at = end
+                continue
+        low = lower_ascii(data[at:to])
+        starts, ends, _ = word_spans(low, np.array([0, to - at]), in_word)
+        parts.append(span_hashes(low, starts, ends))
+        at = to
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The same hashes for given words."""
     data = np.frombuffer(b"".join(words), np.uint8)
