@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -430,8 +431,32 @@ def test_signatures_estimate_similarity(bits):
     assert minhash_sketch.estimates(sig[0], sig[1], p)[0] == pytest.approx(800 / 1200, abs=0.1)
 
 
-def test_vectors_are_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(op01_embeddings, "CELL", 40)
+def brute_links(x, label, threshold=0.98):
+    """Link counts and smallest reachable row of unit vectors, by all products within labels."""
+    n = len(x)
+    count, pairs = np.zeros(n, int), []
+    for value in np.unique(label):
+        own = np.flatnonzero(label == value)
+        for at in range(0, len(own), 1000):
+            i, j = np.nonzero(x[own[at : at + 1000]] @ x[own].T >= threshold)
+            i, j = own[at : at + 1000][i], own[j]
+            i, j = i[i != j], j[i != j]
+            count += np.bincount(i, minlength=n)
+            pairs.append((i, j))
+    low = np.arange(n)
+    for _ in range(200):
+        before = low.copy()
+        for i, j in pairs:
+            np.minimum.at(low, i, low[j])
+        if (low == before).all():
+            break
+    return count, low
+
+
+@pytest.mark.parametrize(("cell", "task", "kind"), [(40, 16, "float"), (40, 8192, "double"), (1024, 8192, "float")])
+def test_vectors_are_brute_force(spark, monkeypatch, cell, task, kind):
+    monkeypatch.setattr(op01_embeddings, "CELL", cell)
+    monkeypatch.setattr(op01_embeddings, "TASK", task)
     monkeypatch.setattr(op01_embeddings, "BLOCK", 16)
     rng = np.random.default_rng(2)
     rows = []
@@ -440,25 +465,46 @@ def test_vectors_are_brute_force(spark, monkeypatch):
         for _ in range(int(rng.choice([1, 1, 3, 12]))):
             rows.append((base + rng.standard_normal(8) * 0.06).astype(np.float32))
     rows = rows[:400]
-    data = [(i, [float(v) for v in x], int(i % 2)) for i, x in enumerate(rows)]
-    data += [(1000, data[0][1], 0), (1001, None, 0), (1002, [0.0] * 8, 0), (1003, [float("nan")] + [1.0] * 7, 0), (1004, data[0][1], None), (1005, [1.0, 2.0], 0), (1006, [None] * 8, 1), (1007, [float("inf")] * 8, 1), (None, data[0][1], 0)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    data = [(i, [float(v) for v in x], int(i % 2), "x") for i, x in enumerate(rows)]
+    data += [(1000, data[0][1], 0, "x"), (1001, None, 0, "x"), (1002, [0.0] * 8, 0, "x"), (1003, [float("nan")] + [1.0] * 7, 0, "x"), (1004, data[0][1], None, "x"), (1005, [1.0, 2.0], 0, "x"), (1006, [None] * 8, 1, "x"), (1007, [float("inf")] * 8, 1, "x"), (None, data[0][1], 0, "x")]
+    df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>, label int, rep string")
     out = op01_embeddings.near_duplicates(df).collect()
     got = {r["vec_id"]: r for r in out}
     ids = [i for i, *_ in data[:401]]
-    x = np.array([v for _, v, _ in data[:401]])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lab = np.array([label for *_, label in data[:401]])
-    link = (x @ x.T >= 0.98) & (lab[:, None] == lab[None]) & ~np.eye(401, dtype=bool)
-    low = np.array(ids)
-    for _ in range(60):
-        low = np.array([min(low[i], *low[link[i]]) if link[i].any() else low[i] for i in range(401)])
+    x = np.array([v for _, v, *_ in data[:401]])
+    count, low = brute_links(x / np.linalg.norm(x, axis=1, keepdims=True), np.array([row[2] for row in data[:401]]))
     assert len(out) == len(data)
-    assert [(got[i]["n_links"], got[i]["component_id"]) for i in ids] == [(int(link[k].sum()), int(low[k])) for k, i in enumerate(ids)]
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in ids] == [(int(count[k]), ids[low[k]]) for k, i in enumerate(ids)]
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (*range(1001, 1008), None))
     assert op01_embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_vectors_at_the_real_constants(spark, tmp_path):
+    """20,000 vectors, of which one label holds half: dozens of cells, guests between them, a tight group of 2,000."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 16)).astype(np.float32)
+    x[4000:6000] = x[3999] + rng.standard_normal((2000, 16)).astype(np.float32) * 0.05
+    for i in range(6000, 12_000):
+        x[i] = x[i - 6000] + rng.standard_normal(16).astype(np.float32) * 0.06
+    label = np.where(np.arange(20_000) % 2 == 0, 0, rng.integers(1, 6, 20_000))
+    table = pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16).cast(pa.list_(pa.float32())), "label": label.astype(np.int32)})
+    pa.parquet.write_table(table, tmp_path / "v.parquet")
+    u = x.astype(float)
+    count, low = brute_links(u / np.linalg.norm(u, axis=1, keepdims=True), label)
+    out = op01_embeddings.near_duplicates(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas().set_index("vec_id").sort_index()
+    assert (out["n_links"].to_numpy() == count).all() and (out["component_id"].to_numpy() == low).all() and count.max() > 500
+
+
+def test_each_link_has_a_guest_within_half_the_angle():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 6))
+    x = np.concatenate([x, x + rng.standard_normal((400, 6)) * 0.1])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home, guest = op01_embeddings.cells_of(x, op01_embeddings.spherical_kmeans(x, 12), 0.98)
+    i, j = np.nonzero(x @ x.T >= 0.98)
+    assert ((home[i] == home[j]) | guest[i, home[j]] | guest[j, home[i]]).all() and (home[i] != home[j]).any() and guest.mean() < 0.5
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

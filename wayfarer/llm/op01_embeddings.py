@@ -1,11 +1,14 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one vector kept per group.
 
-Equal vectors of a label share one representative. Representatives are assigned to the cell of their
-nearest centre; the centres are fitted on a bounded sample. A vector is also a *guest* in every cell
-whose boundary it is close enough to: two vectors within the angle of the threshold lie on either side
-of the plane between two centres only if both are within that angle of the plane, so no link is lost
-between cells. Each cell's own vectors are multiplied, block by block, with its own and guest vectors.
-A task returns the number of links of each own vector and a spanning set of links, never all pairs.
+Equal vectors of a label share one representative. The centres of a label are fitted on a bounded sample
+of its representatives; each of these belongs to the cell of its nearest centre. A vector is also a
+*guest* in every cell whose boundary is nearer than half the threshold's angle: of two vectors within
+that angle on either side of the plane between two centres, at least one is within half of it, and is
+compared as a guest in the other one's cell. So no link is lost between cells, at any size.
+
+A cell's own vectors are multiplied, block by block, with its own and guest vectors. A task returns the
+number of links of each vector and a spanning set of links, never all pairs. Where both vectors of a pair
+are guests at each other's, the pair counts in the cell with the smaller number.
 
 Defined cases: null and zero vectors, vectors with null, infinite or NaN components and vectors without
 a label link with nothing; vectors of different lengths are never compared; repeated rows link with
@@ -26,8 +29,10 @@ from . import tables
 from .grouped import by_first_column
 
 THRESHOLD = 0.98
-#: Vectors of the largest label per cell, most cells, vectors that centres are fitted on, rows of a block.
-CELL, MOST_CELLS, SAMPLE, BLOCK = 4096, 1024, 20_000, 1024
+#: Vectors a cell is meant to hold, most cells of a label, vectors that a label's centres are fitted on.
+CELL, MOST_CELLS, SAMPLE = 1024, 4096, 20_000
+#: Vectors placed by one task at a time, vectors of a cell in one task, rows of a product.
+CHUNK, TASK, BLOCK = 50_000, 8192, 512
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +44,15 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x / norm, norm[:, 0]
 
 
+def _element(df: DataFrame) -> str:
+    """``float`` where vectors have single precision, else ``double``; products are always of doubles."""
+    return "float" if df.select("embedding").dtypes[0][1] == "array<float>" else "double"
+
+
 def usable(df: DataFrame) -> DataFrame:
     """``(vec_id, label, fp, embedding)`` of the rows that can link at all. fp stands for label and vector."""
+    kind = _element(df)
+    single = kind == "float"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,17 +60,17 @@ def usable(df: DataFrame) -> DataFrame:
             for vec_id, vector, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not vector or None in vector:
                     continue
-                x = np.array(vector, np.float32)
+                x = np.array(vector, np.float32 if single else np.float64)
                 if not np.isfinite(x).all() or not x.any():
                     continue
-                x = x + np.float32(0)  # no negative zeros
+                x = x + x.dtype.type(0)  # no negative zeros
                 for c, v in zip(rows, (vec_id, label, hashlib.blake2b(x.tobytes() + str(label).encode(), digest_size=16).digest(), x), strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.float32()))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.float32() if single else pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["vec_id", "label", "fp", "embedding"])
 
-    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    return rows.mapInArrow(run, "vec_id long, label int, fp binary, embedding array<float>")
+    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), F.col("label").cast("int")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
+    return rows.mapInArrow(run, f"vec_id long, label int, fp binary, embedding array<{kind}>")
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -74,111 +86,145 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return np.unique(centres, axis=0)
 
 
-def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """For each unit vector its own cell, then the cells in which it is a guest."""
+def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each unit vector, and which cells (rows x cells) it is a guest in."""
     if len(centres) < 2:
-        return [np.zeros(1, np.int64)] * len(x)
+        return np.zeros(len(x), np.int64), np.zeros((len(x), 1), bool)
     cos = x @ centres.T
     home = cos.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))
     beyond = (cos[np.arange(len(x)), home][:, None] - cos) / apart[home]  # sine of the angle to the plane between
-    near = beyond <= np.sqrt(1 - threshold * threshold) + 1e-7
-    near[np.arange(len(x)), home] = False
-    return [np.concatenate([[h], np.flatnonzero(row)]) for h, row in zip(home, near, strict=True)]
-
-
-def block_links(ids: np.ndarray, left: np.ndarray, right: np.ndarray, x: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Link count of each left row (links to itself don't count) and for every linked row the smallest id that it reaches in this block."""
-    i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-    i, j = left[i], right[j]
-    other = ids[i] != ids[j]
-    i, j = i[other], j[other]
-    count = np.bincount(i, weight[j], len(ids)).astype(np.int64)
-    low = ids.copy()
-    while len(i):  # smallest id spreads along links and along what is known already
-        before = low.copy()
-        m = np.minimum(low[i], low[j])
-        np.minimum.at(low, i, m)
-        np.minimum.at(low, j, m)
-        if (low == before).all():
-            break
-    return count, low, np.unique(np.concatenate([i, j]))
+    guest = beyond <= np.sqrt((1 - threshold) / 2) + 1e-7
+    guest[np.arange(len(x)), home] = False
+    return home, guest
+
+
+def linked_pairs(cell: int, home: np.ndarray, guests: list[list[int]], x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (left, right) of rows whose product reaches the threshold, and which of them count in this cell.
+
+    Left rows are the cell's own. A pair of two own vectors appears in both orders and counts for its left
+    one; a pair with a guest appears once and counts for both, unless it counts in the guest's own cell.
+    """
+    for at in range(0, len(left), BLOCK):
+        own = left[at : at + BLOCK]
+        i, j = np.nonzero(x[own] @ x[right].T >= threshold)
+        i, j = own[i], right[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+        counts = np.ones(len(i), bool)
+        for k in np.flatnonzero((home[j] != cell) & (home[j] < cell)).tolist():
+            counts[k] = int(home[j[k]]) not in guests[i[k]]
+        yield i, j, counts
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows(task, left, rep, mult, embedding)`` -> ``(rep, links, low)``."""
+    """``rows(task, left, right, rep, mult, cell, home, guests, embedding)`` -> ``(rep, links, low)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(t: pa.Table) -> pa.RecordBatch:
-            is_left = t["left"].to_numpy()
             x, _ = units(t["embedding"].combine_chunks())
-            ids = t["rep"].to_numpy()
-            count, low, linked = block_links(ids, np.flatnonzero(is_left), np.flatnonzero(~is_left), x, t["mult"].to_numpy(), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked]), pa.array(low[linked])], ["rep", "links", "low"])
+            ids, mult, home, cell = t["rep"].to_numpy(), t["mult"].to_numpy(), t["home"].to_numpy(), int(t["cell"][0].as_py())
+            left, right = np.flatnonzero(t["left"].to_numpy(zero_copy_only=False)), np.flatnonzero(t["right"].to_numpy(zero_copy_only=False))
+            links, low, seen = np.zeros(len(ids)), ids.copy(), np.zeros(len(ids), bool)
+            for i, j, counts in linked_pairs(cell, home, t["guests"].to_pylist(), x, left, right, threshold):
+                seen[i] = seen[j] = True
+                guest = counts & (home[j] != cell)
+                links += np.bincount(i[counts], mult[j[counts]], len(ids)) + np.bincount(j[guest], mult[i[guest]], len(ids))
+                while len(i):  # the smallest id spreads along links
+                    before = low.copy()
+                    m = np.minimum(low[i], low[j])
+                    np.minimum.at(low, i, m)
+                    np.minimum.at(low, j, m)
+                    if (low == before).all():
+                        break
+            return pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(links[seen].astype(np.int64)), pa.array(low[seen])], ["rep", "links", "low"])
 
         yield from by_first_column(batches, each)
 
-    cols = ["task", "left", "rep", "mult", "embedding"]
+    cols = ["task", "left", "right", "rep", "mult", "cell", "home", "guests", "embedding"]
     return rows.select(*cols).repartition("task").sortWithinPartitions("task").mapInArrow(run, "rep long, links long, low long")
 
 
-def _placed(reps: DataFrame, centres: np.ndarray, length: int, threshold: float) -> DataFrame:
-    """A row per representative and cell: ``(rep, label, mult, embedding, n, cell, home)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(4).to_numpy()
-            cells = [np.zeros(1, np.int64)] * batch.num_rows
-            own = np.flatnonzero(n == length)
-            if len(own):
-                x, _ = units(batch.column(3).take(pa.array(own)))
-                for i, c in zip(own.tolist(), cells_of(x, centres, threshold), strict=True):
-                    cells[i] = c
-            counts = np.array([len(c) for c in cells])
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            home = np.zeros(len(row), bool)
-            home[np.cumsum(counts) - counts] = True
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells).astype(np.int64)), pa.array(home)], [*out.schema.names, "cell", "home"])
-
-    return reps.select("rep", "label", "mult", "embedding", F.size("embedding").alias("n")).mapInArrow(run, "rep long, label int, mult long, embedding array<float>, n int, cell long, home boolean")
-
-
-def direct_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(rep, links, low)`` rows of ``reps(rep, label, mult, embedding)``: to be summed, and links of a spanning set."""
-    shape = reps.groupBy("label", F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
-    top = shape.orderBy(F.desc("rows"), "n", "label").first()
-    length, most = (top["n"], top["rows"]) if top else (0, 0)
-    k = min(MOST_CELLS, -(-most // CELL))
-    centres = np.zeros((0, length))
-    if k > 1:
-        some = reps.where(F.size("embedding") == length).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-        centres = spherical_kmeans(units(some["embedding"].combine_chunks())[0], k)
-    placed = tables.stored(_placed(reps, centres, length, threshold))
+def _centres(reps: DataFrame) -> DataFrame:
+    """``(label, n, total, centres)``: the centres of each label's vectors of one length, end to end, from a sample of some SAMPLE of them."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, _ = units(t["embedding"].combine_chunks())
+        order = np.argsort(t["rep"].to_numpy(), kind="stable")
+        wanted = int(min(MOST_CELLS, max(2, -(-t["total"][0].as_py() // CELL))))
+        centres = spherical_kmeans(x[order], wanted)
+        return t.select(["label", "n", "total"]).slice(0, 1).append_column("centres", pa.array([centres.ravel()], pa.list_(pa.float64())))
+
+    some = reps.where(F.pmod(F.xxhash64("rep", F.lit(7)), "total") < SAMPLE)
+    return some.groupBy("label", "n").applyInArrow(fit, "label int, n int, total long, centres array<double>")
+
+
+def _placed(reps: DataFrame, centres: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """A row per representative and cell: ``(rep, label, mult, embedding, n, cell, home, guests)``.
+
+    A label's representatives are dealt over tasks of some CHUNK rows, each with the label's centres.
+    """
+    parts = F.ceil(F.col("total") / CHUNK)
+    dealt = reps.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(11)), parts))
+    copies = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("label", "n", "part", "centres")
+    schema = f"rep long, label int, mult long, embedding array<{kind}>, n int, cell long, home long, guests array<long>"
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["rep", "label", "mult", "embedding", "n"]
+        if not left.num_rows:
+            return left.select(names).append_column("cell", pa.array([], pa.int64())).append_column("home", pa.array([], pa.int64())).append_column("guests", pa.array([], pa.list_(pa.int64())))
+        length = left["n"][0].as_py()
+        c = right["centres"].combine_chunks().flatten().to_numpy().reshape(-1, length)
+        out = []
+        for at in range(0, left.num_rows, 4096):
+            part = left.select(names).slice(at, 4096)
+            home, guest = cells_of(units(part["embedding"].combine_chunks())[0], c, threshold)
+            row, cell = np.nonzero(guest)
+            which = np.concatenate([np.arange(len(home)), row])
+            ends = np.concatenate([[0], np.cumsum(guest.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell.astype(np.int64)))
+            taken = pa.array(which)
+            out.append(part.take(taken).append_column("cell", pa.array(np.concatenate([home, cell]).astype(np.int64))).append_column("home", pa.array(home[which].astype(np.int64))).append_column("guests", lists.take(taken)))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("label", "n", "part").cogroup(copies.groupBy("label", "n", "part")).applyInArrow(place, schema)
+
+
+def direct_links(reps: DataFrame, total: int, kind: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``(rep, links, low)`` rows of ``total`` ``reps(rep, label, mult, embedding)``: to be summed, and links of a spanning set."""
+    reps = reps.withColumn("n", F.size("embedding"))
+    sizes, n_sizes = tables.counted(reps.groupBy("label", "n").agg(F.count("*").alias("total")))
+    reps = tables.attach(reps, sizes, ["label", "n"], n_sizes, "rep")
+    placed, n_placed = tables.counted(_placed(reps, _centres(reps), threshold, kind))
     key = ["label", "n", "cell"]
-    sizes = placed.groupBy(*key).agg(F.ceil(F.count_if("home") / BLOCK).alias("lefts"), F.ceil(F.count("*") / BLOCK).alias("rights")).where("lefts > 0")
-    rows = placed.join(sizes, key)
-    block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
-    task = lambda l, r: F.xxhash64(*key, l, r)
-    left = rows.where("home").withColumn("l", block(F.col("lefts"), 1)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)))
-    right = rows.withColumn("r", block(F.col("rights"), 2)).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
-    cols = [task(F.col("l"), F.col("r")).alias("task"), "rep", "mult", "embedding"]
-    both = left.select(*cols, F.lit(True).alias("left")).unionByName(right.select(*cols, F.lit(False).alias("left")))
-    return _compare(both, threshold)
+    cells = placed.groupBy(*key).agg(F.count_if(F.col("home") == F.col("cell")).alias("own"), F.count("*").alias("rows"), F.ceil(F.count("*") / TASK).alias("blocks")).where("own > 0 AND rows > 1")
+    rows = tables.join_skewed(placed, cells, key, "rows", n_placed, "rep")
+    # Every block of a cell meets every block; a row is left in its own block's tasks if it is at home, and right in all that look at its block.
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), "blocks")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("b", block).withColumn("at_home", F.col("home") == F.col("cell"))
+    task = lambda l, r: F.xxhash64(*key, l, r).alias("task")
+    cols = ["rep", "mult", "cell", "home", "guests", "embedding"]
+    within = rows.select(task(F.col("b"), F.col("b")), F.col("at_home").alias("left"), F.lit(True).alias("right"), *cols)
+    wide = rows.where("blocks > 1").withColumn("o", others).where("o != b")
+    left = wide.where("at_home").select(task(F.col("b"), F.col("o")), F.lit(True).alias("left"), F.lit(False).alias("right"), *cols)
+    right = wide.select(task(F.col("o"), F.col("b")), F.lit(False).alias("left"), F.lit(True).alias("right"), *cols)
+    return _compare(within.unionByName(left).unionByName(right), threshold)
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``df(vec_id, embedding, label, ...)``."""
-    rows = tables.stored(usable(df))
+    kind = _element(df)
+    rows, n_rows = tables.counted(usable(df))
     reps = rows.groupBy("fp").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("r"), F.count("*").alias("mult"))
-    reps = tables.stored(reps.select("fp", F.col("r.vec_id").alias("rep"), "r.label", "r.embedding", "mult"))
-    found = tables.stored(direct_links(reps, threshold))
+    reps, n_reps = tables.counted(reps.select("fp", F.col("r.vec_id").alias("rep"), "r.label", "r.embedding", "mult"))
+    found = tables.stored(direct_links(reps.drop("fp"), n_reps, kind, threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = tables.components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = reps.select("fp", "rep", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("fp", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = rows.select("vec_id", "fp").join(known, "fp").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    ids = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("int").alias("label"))
+    known = known.select("fp", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    linked = tables.join_skewed(rows.select("vec_id", "fp"), known, ["fp"], "mult", n_rows, "vec_id").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    ids = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("int").alias("label"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     can = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("e", lambda v: v != 0), F.lit(False))
     alone = ids.where(~can).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
