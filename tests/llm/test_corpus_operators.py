@@ -187,6 +187,51 @@ def test_toxicity_finds_words_in_long_texts(spark):
     assert op06_toxicity.train([], np.zeros(0)).intercept < 0
 
 
+def test_toxicity_ratios_are_plain_counts():
+    p = op06_toxicity.ToxicityParams(orders=(4,), least_df=1, least_apart=0.0, kept=1 << 21)
+    texts, y = ["bad bad words", "bad day", "good day", "nice words", "good good"], np.array([1, 1, 0, 0, 0])
+    grams = [{t[k : k + 4] for t in [f" {x} "] for k in range(len(t) - 3)} for x in texts]
+    make, model = op06_toxicity.Features(p), op06_toxicity.train(texts, y, p)
+    assert [len(make.of(t)) for t in texts] == [len(g) for g in grams]
+    table = model.table()
+    for gram in (" bad", "bad ", "ood ", "day "):
+        n1, n0 = (sum(gram in g for g, label in zip(grams, y, strict=True) if label == k) for k in (1, 0))
+        ratio = np.log((n1 + 0.5) / 3) - np.log((n0 + 0.5) / 4)
+        weight = table[op06_toxicity.Features(p).of(gram[1:-1])[0]] if gram[0] == gram[-1] == " " else table[_bucket(gram, p)]
+        assert np.sign(weight) == np.sign(ratio)
+
+
+def _bucket(gram, p):
+    packed = len(gram)
+    for byte in gram.encode():
+        packed = packed << 8 | byte
+    return (packed * int(op06_toxicity._GRAM) & (1 << 64) - 1) >> (64 - p.bits)
+
+
+def test_features_of_long_texts_are_those_of_one_piece():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdé") for _ in range(5)) for _ in range(400))
+    whole, pieces = (op06_toxicity.Features(op06_toxicity.ToxicityParams(piece=n)) for n in (1 << 18, 64))
+    assert sorted(whole.of(text).tolist()) == pieces.of(text).tolist()
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    out = op06_toxicity.op6_toxicity(spark, d).toPandas().merge(tables.read(spark, d, "labels").select("doc_id", "toxic").toPandas(), on="doc_id")
+    held = out[out["held_out"] & out["toxic"].notna()]
+    toxic, clean = held[held["toxic"] == 1], held[held["toxic"] == 0]
+    assert toxic["predicted"].mean() > 0.8 and clean["predicted"].mean() < 0.01
+
+
+def test_toxicity_of_an_empty_table_and_repeated_rows(spark):
+    df = documents(spark, ["you moron", "nice day", "you moron"] * 20)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(60)] + [(1, None), (0, 0)], "doc_id long, toxic int")
+    again = op06_toxicity.fit(df.unionByName(df), labels)
+    once = op06_toxicity.fit(df, labels)
+    assert (again.weights == once.weights).all() and again.intercept == once.intercept
+    assert op06_toxicity.score(df.limit(0), once).count() == 0 and op06_toxicity.fit(df.limit(0), labels.limit(0)).intercept == -40.0
+
+
 def test_toxicity_query(spark, small):
     out = op06_toxicity.op6_toxicity(spark, small).toPandas()
     assert len(out) == tables.read(spark, small, "documents").count() and out["score"].between(0, 1).all() and (out["predicted"] == (out["score"] >= 0.5)).all()

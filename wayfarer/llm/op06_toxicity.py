@@ -2,16 +2,17 @@
 
 A text is lower-cased, everything but letters and digits becomes a space, and its distinct byte
 n-grams are hashed to buckets. Buckets get the smoothed log ratio of their frequencies in toxic and
-clean texts; those whose frequencies differ by ``least_apart``
-standard errors are kept, so that what is common in long texts can't outweigh a few toxic words, and logistic regression is trained on
-the presence of a bucket times its ratio.
+clean texts, of either sign; those whose frequencies differ by ``least_apart`` standard errors are kept,
+and logistic regression is trained on the presence of a bucket times its ratio. Without that choice of
+buckets the chance differences of rare ones, of which a long text has thousands, outweigh a few toxic words.
 
 The model is fitted on a bounded sample of labelled rows: at most ``sample`` texts of each class in
-hash order, of at most ``longest`` bytes each. Every text is scored whole.
+hash order, of at most ``longest`` bytes each. Every text is scored whole, a piece at a time.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; unlabelled
 and held-out rows teach nothing; without labelled rows of both classes every score is the share of
-toxic labels (0 without labels); repeated rows score alike; clashing extra columns are ignored.
+toxic labels (0 without labels); repeated rows score alike and teach once; equal scores need no order, as
+a score of exactly 0.5 counts as toxic; clashing extra columns are ignored.
 """
 
 from collections.abc import Callable, Iterator
@@ -27,16 +28,18 @@ from . import tables
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    orders: tuple[int, ...] = (4, 5)
-    bits: int = 20
-    kept: int = 6000
+    orders: tuple[int, ...] = (4, 5, 6, 7, 8)
+    bits: int = 21
+    kept: int = 20_000
     least_kept: int = 300
     sample: int = 2500
     longest: int = 200_000
     least_df: int = 5
-    least_apart: float = 6.0
+    least_apart: float = 3.0
     penalty: float = 1e-3
     rounds: int = 400
+    #: Bytes of a text that are looked at together.
+    piece: int = 1 << 18
 
 
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -60,11 +63,17 @@ class Features:
 
     def of(self, text: str) -> np.ndarray:
         raw = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
+        size, more = self.p.piece, max(self.p.orders) - 1
+        parts = [self._of_piece(raw[at : at + size + more], at + size < len(raw)) for at in range(0, len(raw), size)]
+        return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+    def _of_piece(self, raw: np.ndarray, goes_on: bool) -> np.ndarray:
+        """Buckets of the n-grams that start in a piece, which holds the bytes that its last ones need."""
         x = _TEXT_CLASS[raw].astype(np.uint64)
         shift = np.uint64(64 - self.p.bits)
         parts = []
         for n in self.p.orders:
-            m = len(x) - n + 1
+            m = self.p.piece if goes_on and len(x) >= self.p.piece + n - 1 else len(x) - n + 1
             if m > 0:
                 packed = np.full(m, n, np.uint64)
                 for k in range(n):
@@ -115,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
     ratio = np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
     share = (df[0] + df[1]) / len(y)
     apart = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    apart[((df[0] + df[1]) < p.least_df) | (ratio <= 0)] = 0
+    apart[(df[0] + df[1]) < p.least_df] = 0
     keep = np.sort(np.argsort(-apart, kind="stable")[: p.kept])
     keep = keep[(apart[keep] > 0) & ((apart[keep] >= p.least_apart) | (np.argsort(np.argsort(-apart[keep], kind="stable"), kind="stable") < p.least_kept))]
     place = np.full(size, -1, np.int32)
@@ -151,10 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(p.sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(p.sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"octet_length(text) <= {p.longest}")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * sample rows
-    once = {(r["doc_id"], r["text"]): r["toxic"] for r in rows}
-    kept = sorted(once)
-    return train([t for _, t in kept], np.array([once[k] for k in kept], np.int64), p, share)
+    # One text of an id, the smallest, so that at most 2 * sample rows arrive whatever repeats.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), p, share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:

@@ -133,11 +133,9 @@ class Scanner:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each word in the vocabulary (-1: none) and the first word of each row, with the end behind."""
-        data = tb.lower_ascii(data)
-        starts, ends, row = tb.word_spans(data, offsets, tb.ALNUM)
-        h = tb.span_hashes(data, starts, ends)
+        h, first = tb.word_hashes(data, offsets, tb.ALNUM)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.word_of[at], -1), np.searchsorted(row, np.arange(len(offsets)))
+        return np.where(self.hashes[at] == h, self.word_of[at], -1), first
 
     def base_places(self, words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, str]]:
         """Start of each place of each base phrase; no place crosses two rows."""
