@@ -31,8 +31,8 @@ from . import textbytes as tb
 from .ragged_merges import Merges, merge
 
 MODEL = "piece_bpe_32k.model"
-#: Segments that one Python worker keeps; about 300 bytes each.
-CACHED = 400_000
+#: Segments that one Python worker keeps, about 300 bytes each, and characters in all of them.
+CACHED, CACHED_CHARS = 400_000, 16_000_000
 MARK = "▁"
 
 #: Begins the kept form of a segment that isn't a mark and unmarked characters; no text has this code point.
@@ -124,6 +124,7 @@ class Pieces:
         self.shown = [r if i in is_byte else r.replace(MARK.encode(), b" ") for i, r in enumerate(self.raw)]
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
+        self.held = 0
 
     # -- normalisation -------------------------------------------------------------------------
 
@@ -187,6 +188,7 @@ class Pieces:
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
+        self.held += sum(map(len, new))
         full = [s[1:] if s[:1] == _OWN else MARK + s for s in new]
         symbols = self.symbol_of[np.frombuffer("".join(full).encode("utf-32-le"), np.uint32)]
         merged, counts = merge(symbols, np.array([len(s) for s in full], np.int64), self.table)
@@ -214,9 +216,10 @@ class Pieces:
 
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Segments of each text, all of them known afterwards."""
-        if len(self.ids) > CACHED:
+        if len(self.ids) > CACHED or self.held > CACHED_CHARS:
             self.ids.clear()
             self.texts.clear()
+            self.held = 0
         parts = [self._segments_of(t) for t in texts]
         new: set[str] = set()
         for p in parts:

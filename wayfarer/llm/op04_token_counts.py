@@ -28,8 +28,8 @@ from .word_ids import byte_letters
 
 VOCAB = "byte_bpe_50k.json"
 LIMIT = 512
-#: Stretches and pre-tokens that one Python worker keeps; about 150 bytes each.
-CACHED = 500_000
+#: Stretches and pre-tokens that one Python worker keeps, about 150 bytes each, and characters in all of them.
+CACHED, CACHED_CHARS = 500_000, 32_000_000
 
 #: The vocabulary's pre-token pattern; white space is the Unicode property.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -50,6 +50,7 @@ class Counter:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pretokens: dict[str, int] = {}
         self.stretches: dict[str, int | None] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -66,6 +67,7 @@ class Counter:
         symbols = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         _, counts = merge(symbols, np.array([len(b) for b in raw], np.int64), self.table)
         self.pretokens.update(zip(words, counts.tolist(), strict=True))
+        self.held += sum(map(len, words))
 
     def _whole(self, text: str) -> int:
         found = PRETOKEN.findall(text)
@@ -75,14 +77,15 @@ class Counter:
     def _stretch(self, new: set[str]) -> None:
         parts = {s: None if _EDGE.search(s) else PRETOKEN.findall(" " + s) for s in new}
         self._learn({w for p in parts.values() if p for w in p})
+        self.held += sum(map(len, new))
         for s, p in parts.items():
             self.stretches[s] = None if p is None else sum(map(self.pretokens.__getitem__, p))
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.stretches) > CACHED:
+        if max(len(self.stretches), len(self.pretokens)) > CACHED or self.held > CACHED_CHARS:
             self.stretches.clear()
-        if len(self.pretokens) > CACHED:
             self.pretokens.clear()
+            self.held = 0
         cut, known, out = [], self.stretches, []
         for text in texts:
             parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
