@@ -1,12 +1,16 @@
 """Helpers against naive forms, invariants and edge tables."""
 
+import dataclasses
 import datetime as dt
 import math
+import pathlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wayfarer.operators import filters, metrics, powerlaw, relabel, samples, scales, split, stays, tokens, vocab
+from wayfarer.functions import geo
+from wayfarer.operators import evaluation, filters, metrics, powerlaw, relabel, samples, scales, split, stays, tokens, vocab
 from wayfarer.plans import workflows
 from wayfarer.sources import readers
 
@@ -198,6 +202,97 @@ def test_workflows(spark, small):
         workflows.compare(p.where("side = 'real'"), p.limit(0))
 
 
+def test_a_user_with_21_stays_a_day_goes_from_gps_only(spark):
+    """Two users over six days; on one day the first has 21 stays."""
+    day, home, work = 86400, (116.4, 39.9), (116.45, 39.95)
+    stays = []
+    for user in ("many", "few"):
+        for k in range(6):
+            n = 21 if user == "many" and k == 2 else 2
+            for i in range(n):
+                lng, lat = home if i % 2 == 0 else work
+                t = k * day + (i + 1) * day // (n + 1) - 28800
+                stays.append((user, k * 100 + i, lng, lat, float(t), float(t + 1800)))
+    cal = spark.createDataFrame([(dt.date(1970, 1, 1) + dt.timedelta(k), "workday") for k in range(-1, 8)], "date date, day_type string")
+    hints = spark.createDataFrame([(u, home, work) for u in ("many", "few")], "user_id string, home struct<lng: double, lat: double>, work struct<lng: double, lat: double>")
+    raw = spark.createDataFrame(stays, "user_id string, seq int, lng double, lat double, t_in double, t_out double")
+    tower, anchors = workflows.preprocess_tower(raw, hints, cal)
+    assert {r["user_id"] for r in tower.select("user_id").distinct().collect()} == {"many", "few"} == {r["user_id"] for r in anchors.collect()}
+    points = [(u, t + m * 60.0, lng + 1e-7, lat) for u, _, lng, lat, t, _ in stays for m in range(0, 31, 10)]
+    gps, anchors = workflows.preprocess_gps(spark.createDataFrame(points, "user_id string, ts double, lng double, lat double"), cal)
+    assert {r["user_id"] for r in gps.select("user_id").distinct().collect()} == {"few"} == {r["user_id"] for r in anchors.collect()}
+    assert all(round(r["lng"], 6) == r["lng"] for r in gps.collect())
+
+
+def test_relabelling_rewrites_anchors(spark, small):
+    from wayfarer import fixtures as fx
+
+    raw = fx.stays(spark, small, jitter=False).select("user_id", "seq", "lng", "lat", "t_in", "t_out")
+    plain = workflows.preprocess_tower(raw, fx.hints(spark, small), fx.calendar(spark, small))[1]
+    rows, moved = workflows.preprocess_tower(raw, fx.hints(spark, small), fx.calendar(spark, small), dataclasses.replace(workflows.TOWER, relabel="grid"))
+    ranks = {r["user_id"]: r for r in relabel.rank_cells(rows.where("split = 'train'")).collect()}
+    got = {r["user_id"]: (r["t1_lng"], r["t1_lat"], r["t2_lng"], r["t2_lat"]) for r in moved.collect()}
+    assert got == {u: (r["p_lng"], r["p_lat"], r["s_lng"], r["s_lat"]) for u, r in ranks.items()} and got
+    assert any(got[r["user_id"]][:2] != (r["t1_lng"], r["t1_lat"]) for r in plain.collect())
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai", "America/New_York"])
+def test_gps_times_know_no_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        text = "h\n" * 6 + "39.9,116.4,0,0,0,2024-01-01,08:00:00\n39.9,116.4,0,0,0,2024-03-10,02:30:00\n39.9,116.4,0,0,0,2024-13-01,08:00:00"
+        got = readers.parse_gps(spark.createDataFrame([("x/u1/Trajectory/a.plt", text)], "path string, value string")).collect()
+        assert sorted(r["ts"] for r in got) == [1704067200.0, 1710009000.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_padded_durations_have_a_middle(spark):
+    row = spark.range(1).select(geo.duration_middle(F.lit(24)).alias("m"), geo.duration_low(F.lit(-1)).alias("l"), geo.duration_middle(F.lit(None).cast("int")).alias("n")).first()
+    assert (row["m"], row["l"], row["n"]) == (1260.0, 0.0, None)
+
+
+@pytest.mark.parametrize(("n", "some"), [(49, False), (50, True)])
+def test_few_distances_have_no_mixture(spark, n, some):
+    km = spark.range(n).selectExpr("CAST(1 + id * 0.37 AS DOUBLE) AS km")
+    best, scores = scales.choose_scales(scales.weighted_logs(km))
+    assert (best is not None) == some == bool(scores)
+
+
+def test_deltas_without_a_side_are_nan(spark):
+    km = spark.range(300).selectExpr("'real' AS side", "CAST(2 + id * 0.1 AS DOUBLE) AS km")
+    got = dict(powerlaw.fit_deltas(km))
+    assert math.isnan(got["beta"]) and math.isnan(got["kappa"]) and not any(k.startswith("scale") for k in got)
+    rows = {r["metric"]: r["value"] for r in evaluation.band_scores(km).collect()}
+    assert math.isnan(rows["bands.delta.urban"])
+
+
+def test_boundaries_are_where_densities_meet():
+    s = scales.Scales((-1.0, 0.5, 2.5), (0.4, 0.9, 0.3), (0.3, 0.5, 0.2))
+    density = lambda x, i: s.weight[i] / math.sqrt(s.var[i]) * math.exp(-((x - s.mu[i]) ** 2) / 2 / s.var[i])
+    for i, km in enumerate(s.boundaries()):
+        assert density(math.log(km), i) == pytest.approx(density(math.log(km), i + 1))
+    even = scales.Scales((0.0, 2.0), (0.5, 0.5), (0.5, 0.5))
+    assert even.boundaries() == pytest.approx([math.e]) == even.boundaries(compat=True)
+
+
+def test_points_by_aliases_and_type(spark):
+    df = spark.createDataFrame([("t", [(39.9, 116.4, 72.0, "x")]), ("u", [(99.0, 1.0, 0.5, "y")])], "traj_id string, points array<struct<latitude: double, longitude: double, t_i: double, activity: string>>")
+    got = readers.normalise_points(df, None, "real").collect()
+    assert [(r["traj_id"], r["lat"], r["lng"], r["t_start"], r["t_end"], r["category"]) for r in got] == [("t", 39.9, 116.4, 0.5, 0.5, "x")]
+    lists = spark.createDataFrame([("t", [["0.1", "0.2", "n", "i", "116.4", "39.9"], ["0.3", "p", "39.8", "116.3"]])], "traj_id string, points array<array<string>>")
+    got = sorted((r["seq"], r["lat"], r["lng"], r["t_end"], r["poi_id"]) for r in readers.normalise_points(lists, None, "sim").collect())
+    assert [g[1:] for g in sorted(got, key=lambda g: g[1])] == [(39.8, 116.3, 0.3, "p"), (39.9, 116.4, 0.2, "i")]
+
+
+def test_stored_steps_are_forgotten(spark):
+    df = readers.stored(spark.range(3))
+    assert df.count() == 3 and readers.counted(spark.range(5))[1] == 5
+    path = pathlib.Path(readers.shared_folder(spark))
+    assert any(path.iterdir())
+
+
 def test_rings_widen_before_far_points_meet_degrees(spark):
     known = [(float(i % 9) * 0.5, float(i // 9) * 0.5) for i in range(81)]
     pts = [(0, 0.6, 0.6), (1, 1.12, 2.03), (2, -40.0, 70.0), (3, 2.0, 9.0), (4, 0.0, 0.0)]

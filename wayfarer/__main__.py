@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans import workflows
 from .sources import readers
@@ -19,12 +20,25 @@ def main() -> None:
             job.add_argument(a)
     a = parser.parse_args()
     spark = SparkSession.builder.appName(f"wayfarer-{a.job}").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+    run(spark, a)
+    readers.forget_stored(spark)
+
+
+def points_of(spark: SparkSession, path: str, side: str) -> DataFrame:
+    """One side's points: a Parquet table of them, or daily records as JSON lines."""
+    if not path.endswith((".json", ".jsonl")):
+        return spark.read.parquet(path)
+    days = readers.read_daily(spark, path)
+    return readers.normalise_points(days.select(F.concat_ws("|", "user_id", "date").alias("traj_id"), F.col("stays").alias("points")), None, side)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.job == "compare":
-        readers.write_table(workflows.compare(spark.read.parquet(a.real), spark.read.parquet(a.sim)), f"{a.out}/metrics")
+        readers.write_table(workflows.compare(points_of(spark, a.real, "real"), points_of(spark, a.sim, "sim")), f"{a.out}/metrics")
         return
     if a.job == "prepare":
         got = workflows.prepare_training(spark.read.parquet(a.stays))
-        for name in ("meta", "vocab", "places", "personas", "samples"):
+        for name in ("meta", "vocab", "places", "personas", "persona_places", "samples"):
             readers.write_table(getattr(got, name), f"{a.out}/{name}")
         readers.write_table(got.scales.table(spark), f"{a.out}/scales")
         return

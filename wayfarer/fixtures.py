@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.readers import wall_seconds
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,8 +30,8 @@ def stays(spark: SparkSession, sf_dir: str, jitter: bool = True) -> DataFrame:
         F.expr(f"CAST(least({minute} + floor(value * 3), 1440) AS DOUBLE)").alias("end_min"),
         F.expr(f"CAST(116200000 + (loc % 10) * (loc % 10) * 4000 + {j5} AS DOUBLE) / 1000000").alias("lng"),
         F.expr(f"CAST(39750000 + (loc DIV 10) * (loc DIV 10) * 3000 + {j3} AS DOUBLE) / 1000000").alias("lat"),
-        F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) - 28800").alias("t_in"),
-        F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) - 28800 + CAST(floor(value * 3) AS BIGINT) * 60").alias("t_out"),
+        (wall_seconds(F.col("ts")) - 28800).cast("long").alias("t_in"),
+        (wall_seconds(F.col("ts")) - 28800 + F.expr("CAST(floor(value * 3) AS BIGINT) * 60")).cast("long").alias("t_out"),
     )
 
 

@@ -71,13 +71,18 @@ def duration_bin(minutes: Column | str) -> Column:
     return out.when(m.isNotNull(), len(DURATION_EDGES) - 2)
 
 
+def _of_duration(b: Column, values: list[float]) -> Column:
+    """The value of a bin; what lies outside the bins, as a padded sample's 24, counts as the nearest one."""
+    place = F.greatest(F.lit(1), F.least(b + 1, F.lit(len(values))))
+    return F.when(b.isNotNull(), F.element_at(F.array(*[F.lit(float(v)) for v in values]), place.cast("int")))
+
+
 def duration_low(b: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(float(e)) for e in DURATION_EDGES[:-1]]), (b + 1).cast("int"))
+    return _of_duration(b, list(DURATION_EDGES[:-1]))
 
 
 def duration_middle(b: Column) -> Column:
-    mids = [(a + c) / 2 for a, c in zip(DURATION_EDGES[:-1], DURATION_EDGES[1:], strict=True)]
-    return F.element_at(F.array(*[F.lit(float(e)) for e in mids]), (b + 1).cast("int"))
+    return _of_duration(b, [(a + c) / 2 for a, c in zip(DURATION_EDGES[:-1], DURATION_EDGES[1:], strict=True)])
 
 
 def arrival_bin(minute: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_KM, R_METRES, haversine
+from ..functions.hashing import draw
 
 #: The box around the city and the thresholds in use.
 BOX = (115.4, 117.5, 39.4, 41.1)
@@ -58,8 +59,8 @@ def few_stays_a_day(stays: DataFrame, most: int = 20) -> DataFrame:
 
 
 def sample_users(stays: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """All stays of ``n`` users, the first in hash order: the same users on every run and cluster."""
-    users = stays.select("user_id").distinct().orderBy(F.xxhash64("user_id", F.lit(seed)), "user_id").limit(n)
+    """All stays of ``n`` users, the first in the order of their draws: the same users on every run and cluster."""
+    users = stays.select("user_id").distinct().orderBy(draw("user_id", seed=seed), "user_id").limit(n)
     return stays.join(users, "user_id", "left_semi")
 
 

@@ -204,23 +204,6 @@ def scale_profile(km: DataFrame, bands: tuple = BANDS) -> DataFrame:
     return per.withColumnRenamed("band", "item").unionByName(top).unionByName(both)
 
 
-def evaluate(pts: DataFrame, known: DataFrame | None = None, bands: tuple = BANDS) -> DataFrame:
-    """``(metric, value)``: all divergences and moments, the scale profile; an empty side stops the job."""
-    if known is not None:
-        pts = pts.where("side = 'real'").unionByName(snap_to_known(pts.where("side = 'sim'"), known).select(*pts.columns))
-    pts = stored(coarse(pts))
-    sides = {r["side"] for r in pts.select("side").distinct().collect()}
-    if sides != {"real", "sim"}:
-        raise ValueError("both sides need trajectories")
-    values = stored(features(pts))
-    scores = metric_divergences(values).select(F.concat("metric", F.lit(".jsd")).alias("metric"), F.col("jsd").alias("value"))
-    moments = metric_moments(values).where(F.col("metric").isin("DTD", "DUL", "VIS"))
-    each = F.explode(F.create_map(*[c for k in ("n", "mean", "std") for c in (F.lit(k), F.col(k).cast("double"))])).alias("item", "value")
-    scores = scores.unionByName(moments.select("metric", "side", each).select(F.concat("metric", F.lit("."), "side", F.lit("_"), "item").alias("metric"), "value"))
-    km = stored(steps(pts).where("km > 0").select("side", "km"))
-    return scores.unionByName(scale_profile(km, bands).select(F.concat(F.lit("SFP."), "item").alias("metric"), F.col("jsd").alias("value")))
-
-
 def summary(pts: DataFrame) -> DataFrame:
     """``(metric, jsd)`` of the four headline scores, without snapping."""
     return metric_divergences(features(coarse(pts), ("SD", "SI", "STAY", "RG")))
@@ -234,7 +217,8 @@ def ccdf(km: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     counts = km.where("km > 0").groupBy("side", F.col("km").alias("x")).agg(F.count("*").alias("n"))
     n = partitions or int(km.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, "side", "x").withColumn("part", F.spark_partition_id()).cache()
+    ranged = counts.repartitionByRange(n, "side", "x").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged)  # ranges are drawn anew when rows are computed again; what is written stays
     sums = ranged.groupBy("side", "part").agg(F.sum("n").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("side").orderBy("part")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy("side")))
     upto = F.sum("n").over(Window.partitionBy("side", "part").orderBy("x")) - F.col("n")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import ccdf
-from .scales import choose_scales, weighted_logs
+from .scales import Scales, choose_scales, weighted_logs
 
 #: Tail starts that are tried, and least numbers of values.
 STARTS = (0.5, 1.0, 2.0, 3.0, 5.0, 7.5, 10.0)
@@ -107,15 +107,37 @@ def fit_joint(stats: dict, x_min: float = 2.0, r0: float = 1.5) -> tuple[float,
     return float(beta), math.exp(cutoff(beta))
 
 
-def fit_deltas(km: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> list[tuple[str, float]]:
-    """``(item, sim - real)`` of exponent, cutoff and the scales of both sides' mixtures, by rank as far as both reach."""
-    sums = sums_of(km)
+NAN = float("nan")
+
+
+def analyse(km: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic", r0: float = 1.5) -> dict[str, dict]:
+    """Exponent, cutoff, number of values and mixture of each side; NaN and None where a side has too few values."""
+    sums = sums_of(km, r0=r0)
     tails = {r["side"]: r["alpha_2km"] for r in best_tail(tail_fits(km)).collect()}
-    out = []
-    if {"real", "sim"} <= {s for s, b in tails.items() if b is not None} and {"real", "sim"} <= set(sums):
-        cut = {s: fit_cutoff(sums[s], tails[s]) for s in ("real", "sim")}
-        out += [("beta", float(tails["sim"] - tails["real"])), ("kappa", cut["sim"] - cut["real"])]
-    fits = {s: choose_scales(weighted_logs(km.where(F.col("side") == s)), sizes)[0] for s in ("real", "sim")}
-    for i, (r, s) in enumerate(zip(zip(fits["real"].mu, fits["real"].weight, strict=True), zip(fits["sim"].mu, fits["sim"].weight, strict=True), strict=False), 1):
-        out += [(f"scale{i}_km", math.exp(s[0]) - math.exp(r[0])), (f"scale{i}_weight", s[1] - r[1])]
+    out = {}
+    for side in ("real", "sim"):
+        beta = tails.get(side)
+        kappa = fit_cutoff(sums[side], beta, r0=r0) if beta is not None and side in sums else NAN
+        scales, _ = choose_scales(weighted_logs(km.where(F.col("side") == side)), sizes, criterion)
+        out[side] = {"beta": NAN if beta is None else float(beta), "kappa": kappa, "n": int(sums[side]["n"]) if side in sums else 0, "scales": scales}
     return out
+
+
+def scale_rows(scales: Scales | None) -> list[tuple[str, float]]:
+    """``(item, value)`` of a mixture's components, by rank."""
+    if scales is None:
+        return []
+    parts = enumerate(zip(scales.mu, scales.weight, strict=True), 1)
+    return [(f"scale{i}.{name}", v) for i, (mu, weight) in parts for name, v in (("mu_log", mu), ("km", math.exp(mu)), ("weight", weight))]
+
+
+def deltas(found: dict[str, dict]) -> list[tuple[str, float]]:
+    """``(item, sim - real)`` of exponent, cutoff and mixtures, these by rank as far as both reach; NaN if a side lacks one."""
+    real, sim = found["real"], found["sim"]
+    out = [(k, sim[k] - real[k]) for k in ("beta", "kappa")]
+    a, b = dict(scale_rows(real["scales"])), dict(scale_rows(sim["scales"]))
+    return out + [(k, b[k] - v) for k, v in a.items() if k in b]
+
+
+def fit_deltas(km: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> list[tuple[str, float]]:
+    return deltas(analyse(km, sizes))

@@ -18,10 +18,16 @@ def log_distances(vocab: DataFrame, floor_km: float = 0.05, most_km: float | Non
     a = vocab.select(F.col("cell_id").alias("prev"), F.col("lng").alias("x1"), F.col("lat").alias("y1"))
     b = vocab.select(F.col("cell_id").alias("cell"), F.col("lng").alias("x2"), F.col("lat").alias("y2"))
     km = haversine("y1", "x1", "y2", "x2", R_KM)
-    rows = a.join(b) if most_km is None else a.join(b, F.abs(F.col("y1") - F.col("y2")) <= most_km / 110.0)
-    rows = rows.withColumn("km", km)
-    if most_km is not None:
-        rows = rows.where(F.col("km") <= most_km)
+    if most_km is None:
+        rows = a.join(b).withColumn("km", km)
+    else:
+        # Buckets as high as most_km, and as wide at the latitude of their row's far edge; a cell meets nine of them.
+        high = most_km / 110.0
+        wide = lambda row: F.lit(high) / F.greatest(F.lit(0.01), F.cos(F.radians((F.greatest(F.abs(row), F.abs(row + 1)) + 1) * high)))
+        around = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
+        a = a.withColumn("row", F.floor(F.col("y1") / high)).withColumn("col", F.floor(F.col("x1") / wide(F.col("row"))))
+        b = b.withColumn("dy", around).withColumn("row", F.floor(F.col("y2") / high) + F.col("dy")).withColumn("dx", around).withColumn("col", F.floor(F.col("x2") / wide(F.col("row"))) + F.col("dx"))
+        rows = a.join(b, ["row", "col"]).withColumn("km", km).where(F.col("km") <= most_km)
     return rows.select("prev", "cell", F.log(F.greatest("km", F.lit(floor_km))).alias("log_km"))
 
 
@@ -51,9 +57,12 @@ def log_cell_density(vocab: DataFrame, scales: Scales, factor: float = 0.5, leas
 
 
 def next_cells(distances: DataFrame, density: DataFrame, scales: DataFrame, k: int = 5) -> DataFrame:
-    """``(prev, scale, cell, score, nth)``: the k cells of the best distance prior for each previous cell and scale."""
+    """``(prev, scale, cell, score, nth)``: the k cells of the best distance prior for each previous cell and scale.
+
+    Scores that agree to nine places are equal; the smaller cell comes first.
+    """
     s = F.broadcast(scales.select(F.col("rank").alias("scale"), "mu_log", "var_log"))
     rows = distances.join(density, ["prev", "cell"]).join(s, "scale")
     score = -0.5 * (F.col("log_km") - F.col("mu_log")) * (F.col("log_km") - F.col("mu_log")) / F.greatest("var_log", F.lit(0.01)) - F.col("log_density")
-    w = Window.partitionBy("prev", "scale").orderBy(F.desc("score"), "cell")
+    w = Window.partitionBy("prev", "scale").orderBy(F.desc(F.round("score", 9)), "cell")
     return rows.select("prev", "scale", "cell", score.alias("score")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)

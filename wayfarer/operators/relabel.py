@@ -94,6 +94,11 @@ def relabel_by_distance(stays: DataFrame, ranks: DataFrame, metres: float = 300.
     return rows.withColumn("intent_class", F.when(F.col("p_lng").isNull(), F.col("intent_class")).otherwise(intent(near("p"), near("s")))).drop(*cols)
 
 
+def anchors_from_ranks(ranks: DataFrame) -> DataFrame:
+    """``(user_id, t1_lng, t1_lat, t2_lng, t2_lat)``: the two ranked places as home and work."""
+    return ranks.select("user_id", F.col("p_lng").alias("t1_lng"), F.col("p_lat").alias("t1_lat"), F.col("s_lng").alias("t2_lng"), F.col("s_lat").alias("t2_lat"))
+
+
 def label_shares(stays: DataFrame) -> DataFrame:
     """``(label, n, percent)``."""
     total = stays.agg(F.count("*").alias("total"))

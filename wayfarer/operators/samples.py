@@ -70,7 +70,22 @@ def history_arrays(rows: DataFrame, newest_first: bool = False) -> DataFrame:
     bounds = F.filter(F.zip_with(F.transform(ends, lambda e, i: e - F.col("_k.days")[i]), ends, lambda a, b: F.array(a, b)), lambda p: p[1] > p[0])
     zero = F.array(F.lit(0))
     arrays = {f"hist_{n}": F.when(F.size("_h") > 0, _field("_h", f)).otherwise(zero) for f, n in zip(FIELDS, ("cells", "scales", "durations", "arrivals", "loc_types"), strict=True)}
-    return rows.withColumns(arrays).withColumn("hist_day_boundaries", F.when(F.size(bounds) > 0, bounds).otherwise(F.array(F.array(F.lit(0), F.lit(0))))).drop("_k", "_h", "hist")
+    return rows.withColumns(arrays).withColumn("hist_day_boundaries", F.when(F.size(bounds) > 0, bounds).otherwise(F.array(F.array(F.lit(0), F.lit(0))))).withColumn("hist_day_counts", F.size(bounds)).drop("_k", "_h", "hist")
+
+
+def with_people(rows: DataFrame, members: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``persona_id`` (0 for users without one) and ``user_idx`` to samples. Both tables have a row a user."""
+    rows = rows.join(members.select("user_id", F.col("persona").alias("persona_id")), "user_id", "left").join(index, "user_id", "left")
+    return rows.withColumn("persona_id", F.coalesce("persona_id", F.lit(0)))
+
+
+def pad_history(rows: DataFrame, tokens: int, days: int = HISTORY_DAYS) -> DataFrame:
+    """History arrays of ``history_arrays`` filled up with zeros to ``tokens`` tokens and ``days`` boundaries."""
+    names = [f"hist_{n}" for n in ("cells", "scales", "durations", "arrivals", "loc_types")]
+    missing = lambda c, n: F.greatest(F.lit(n) - F.size(c), F.lit(0))
+    cols = {c: F.concat(c, F.array_repeat(F.lit(0), missing(c, tokens))) for c in names}
+    none = F.array(F.lit(0), F.lit(0))
+    return rows.withColumns(cols | {"hist_day_boundaries": F.concat("hist_day_boundaries", F.array_repeat(none, missing("hist_day_boundaries", days)))})
 
 
 def pad_to(rows: DataFrame, length: int, n_cells: int, n_scales: int) -> DataFrame:

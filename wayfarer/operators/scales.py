@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_KM, haversine
+from ..sources.readers import stored
 
 
 def step_distances(rows: DataFrame, keys: list[str], order: list[str], radius: float = R_KM) -> DataFrame:
@@ -45,27 +46,38 @@ class Scales:
         return F.when(km < 0.01, 0).otherwise(F.array_position(F.array(*scores), best).cast("int") - 1)
 
     def boundaries(self, compat: bool = False) -> list[float]:
-        """Kilometres at which neighbouring scales weigh alike. ``compat`` turns the sign of the logarithms' part."""
-        out = []
-        for i in range(len(self.mu) - 1):
-            (m1, m2), (v1, v2), (w1, w2) = self.mu[i : i + 2], self.var[i : i + 2], self.weight[i : i + 2]
-            logs = math.log(w2 / w1) + 0.5 * math.log(v1 / v2)
-            a = 0.5 / v1 - 0.5 / v2
-            b = m2 / v2 - m1 / v1
-            c = 0.5 * m1 * m1 / v1 - 0.5 * m2 * m2 / v2 + (-logs if compat else logs)
-            if abs(a) < 1e-10:
-                x = -c / b
-            else:
-                root = math.sqrt(max(0.0, b * b - 4 * a * c))
-                x = min(((-b + root) / (2 * a), (-b - root) / (2 * a)), key=lambda v: abs(v - (m1 + m2) / 2))
-            out.append(math.exp(x))
-        return out
+        """Kilometres at which neighbouring scales weigh alike. ``compat`` turns the sign of the constant part."""
+        parts = list(zip(self.mu, self.var, self.weight, strict=True))
+        return [math.exp(_meeting(a, b, -1.0 if compat else 1.0)) for a, b in zip(parts[:-1], parts[1:], strict=True)]
 
     def table(self, spark) -> DataFrame:
         rows = [(i, *r) for i, r in enumerate(zip(self.mu, self.var, self.weight, strict=True))]
         return spark.createDataFrame(rows, "rank int, mu_log double, var_log double, weight double")
 
 
+def _meeting(one: tuple[float, float, float], two: tuple[float, float, float], sign: float) -> float:
+    """Where the weighted densities of two normals (mean, variance, weight) are equal, as near to the middle as can be.
+
+    The logarithm of their ratio is a parabola; three of its values, at both means and between, are enough
+    to tell its smaller root as seen from the middle. Without a root its turning point stands in.
+    """
+
+    def ratio(x: float) -> float:
+        (m1, v1, w1), (m2, v2, w2) = one, two
+        return sign * (math.log(w1 / w2) - 0.5 * math.log(v1 / v2)) - (x - m1) ** 2 / (2 * v1) + (x - m2) ** 2 / (2 * v2)
+
+    middle, half = (one[0] + two[0]) / 2, (two[0] - one[0]) / 2
+    if half == 0:
+        return middle
+    left, at, right = ratio(one[0]), ratio(middle), ratio(two[0])
+    bend, slope = (left + right - 2 * at) / (2 * half * half), (right - left) / (2 * half)
+    root = math.sqrt(max(0.0, slope * slope - 4 * bend * at))
+    if slope * slope < 4 * bend * at:
+        return middle - slope / (2 * bend)
+    far = -(slope + math.copysign(root, slope)) / 2
+    return middle + (at / far if far else 0.0)
+
+
 def weighted_logs(km: DataFrame, bins: float | None = 1e-3) -> DataFrame:
     """``(x, n)``: log distances with counts; rounded to ``bins`` so that a fit reads a small table."""
     x = F.log("km")
@@ -126,7 +138,7 @@ def _sums(logs: DataFrame) -> _Counts | _Rows:
     if not len(table):
         raise ValueError("no steps to fit scales to")
     if len(table) > MOST_COUNTS:
-        return _Rows(logs.cache())
+        return _Rows(stored(logs))
     table = table.sort_values("x")
     return _Counts(table["x"].to_numpy(), table["n"].to_numpy())
 
@@ -164,8 +176,14 @@ def fit_capped_scales(logs: DataFrame, k: int = 4, max_sigma: float = 0.7) -> Sc
     return fit_scales(logs, k, 20, max_sigma, free) if max(free.var) > max_sigma**2 else free
 
 
-def choose_scales(logs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic") -> tuple[Scales, list[tuple[int, float, float]]]:
-    """The mixture with the least criterion, and ``(k, bic, aic)`` of all."""
+#: Fixed value: fewer distances than this have no mixture.
+LEAST_TO_CHOOSE = 50
+
+
+def choose_scales(logs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic") -> tuple[Scales | None, list[tuple[int, float, float]]]:
+    """The mixture with the least criterion, and ``(k, bic, aic)`` of all; None and no scores for under fifty distances."""
+    if (logs.agg(F.sum("n").alias("n")).first()["n"] or 0) < LEAST_TO_CHOOSE:
+        return None, []
     fits, scores, logs = [], [], _sums(logs)
     for k in sizes:
         f = fit_scales(logs, k)

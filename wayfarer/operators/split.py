@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import DRAWS, draw
+
 
 def split_days(stays: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds ``split``: the first days of each user train, at least one."""
@@ -35,6 +37,5 @@ def split_statistics(split: DataFrame) -> DataFrame:
 
 
 def validation_split(samples: DataFrame, keys: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds ``fold``: a fixed share of samples by the hash of their keys validates."""
-    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
-    return samples.withColumn("fold", F.when(place < int(share * 1_000_000), "validation").otherwise("train"))
+    """Adds ``fold``: samples whose draw lies in the first ``share`` of all draws validate."""
+    return samples.withColumn("fold", F.when(draw(*keys, seed=seed) < int(share * DRAWS), "validation").otherwise("train"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import arrival_bin, duration_bin, duration_middle, haversine
+from ..functions.hashing import DRAWS, draw
+from ..sources.readers import stored
 from .scales import Scales, day_steps, step_distances
 from .vocab import with_cell_id
 
@@ -57,8 +59,14 @@ def day_sequences(token_rows: DataFrame) -> DataFrame:
 
 
 def user_index(rows: DataFrame) -> DataFrame:
-    """``(user_id, user_idx)`` in the order of ids. Only the users are ranked."""
-    return rows.select("user_id").distinct().withColumn("user_idx", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("int"))
+    """``(user_id, user_idx)`` in the order of ids: places within ranges of ids, after the sizes of the ranges before."""
+    users = rows.select("user_id").distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(users.repartitionByRange(parts, "user_id").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("user_id")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(before), "part").select("user_id", (F.col("before") + F.col("place")).cast("int").alias("user_idx"))
 
 
 def decode_days(days: DataFrame, vocab: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -134,11 +142,10 @@ def stays_per_day_prior(stays: DataFrame) -> DataFrame:
 
 
 def draw_stay_counts(days: DataFrame, prior: DataFrame, seed: int = 42) -> DataFrame:
-    """Adds ``n``, at least 2, to ``days(user_id, date, day_type)``: the inverse of the prior at a hash of the day."""
+    """Adds ``n``, at least 2, to ``days(user_id, date, day_type)``: the inverse of the prior at the day's draw."""
     w = Window.partitionBy("day_type").orderBy("n")
     upto = prior.withColumn("upto", F.sum("prob").over(w)).groupBy("day_type").agg(F.array_sort(F.collect_list(F.struct("upto", "n"))).alias("steps"))
-    u = F.pmod(F.xxhash64("user_id", "date", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    rows = days.withColumn("_u", u).join(F.broadcast(upto), "day_type", "left")
+    rows = days.withColumn("_u", draw("user_id", "date", seed=seed) / DRAWS).join(F.broadcast(upto), "day_type", "left")
     hit = F.filter("steps", lambda s: F.col("_u") <= s["upto"])
     return rows.withColumn("n", F.greatest(F.coalesce(F.get(hit, F.lit(0))["n"], F.element_at("steps", -1)["n"], F.lit(2)), F.lit(2))).drop("_u", "steps")
 

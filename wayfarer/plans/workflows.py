@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import anchors as an
+from ..operators import evaluation as ev
 from ..operators import filters as fl
-from ..operators import metrics as me
 from ..operators import relabel as rl
 from ..operators import samples as sa
 from ..operators import scales as sc
@@ -21,7 +22,10 @@ from ..sources.readers import stored
 
 @dataclass(frozen=True)
 class DatasetConfig:
-    """Thresholds of a data set. ``sample`` users are kept, all if None."""
+    """Thresholds of a data set. ``sample`` users are kept, all if None; ``most_stays`` a day, any number if None.
+
+    ``relabel`` is None, ``grid`` or ``cluster``: labels and anchors from how often places are visited.
+    """
 
     name: str
     least_days: int
@@ -30,13 +34,15 @@ class DatasetConfig:
     sample: int | None = None
     seed: int = 42
     train_share: float = 0.8
-    relabel: str | None = "grid"
+    relabel: str | None = None
+    anchor_degrees: float = 0.005
     grid_degrees: float = 0.001
     cluster_metres: float = 300.0
 
 
-GPS = DatasetConfig("gps", least_days=3)
-TOWER = DatasetConfig("tower", least_days=5, most_stays=20, sample=500)
+#: Settings of the two data sets.
+GPS = DatasetConfig("gps", least_days=3, most_stays=20)
+TOWER = DatasetConfig("tower", least_days=5, sample=500)
 
 
 def preprocess_gps(points: DataFrame, calendar: DataFrame, config: DatasetConfig = GPS) -> tuple[DataFrame, DataFrame]:
@@ -46,16 +52,20 @@ def preprocess_gps(points: DataFrame, calendar: DataFrame, config: DatasetConfig
     """
     raw = stored(st.detect_stays(points))
     anchors = stored(an.detect_home_work(raw))
-    stays = st.with_local_time(raw, with_seconds=True)
+    stays = st.with_local_time(raw, with_seconds=True).withColumns({c: F.bround(c, 6) for c in ("lng", "lat")})
     stays = stored(fl.full_days(fl.near_home(fl.home_in_box(stays, anchors), anchors), config.least_stays))
-    stays = an.intent_by_distance(fl.observed_users(stays, config.least_days), anchors)
+    stays = fl.observed_users(stays, config.least_days)
+    if config.most_stays is not None:
+        stays = fl.few_stays_a_day(stays, config.most_stays)
+    stays = an.intent_by_distance(stays, anchors)
+    anchors = anchors.withColumns({c: F.bround(c, 6) for c in ("t1_lng", "t1_lat", "t2_lng", "t2_lat")})
     return _finish(st.with_day_type(stays, calendar), anchors, config)
 
 
 def preprocess_tower(raw: DataFrame, hints: DataFrame, calendar: DataFrame, config: DatasetConfig = TOWER) -> tuple[DataFrame, DataFrame]:
     """The same of ``raw(user_id, seq, lng, lat, t_in, t_out)`` with home and work hints."""
     stays = stored(st.merge_fragments(st.with_local_time(raw)))
-    anchors = stored(an.anchors_from_hints(stays, hints, config.grid_degrees))
+    anchors = stored(an.anchors_from_hints(stays, hints, config.anchor_degrees))
     stays, _ = fl.with_anchor(stays, anchors)
     stays = stored(fl.plausible_steps(fl.observed_users(stays, config.least_days)))
     stays = stored(fl.observed_users(fl.long_days(stays), config.least_days))
@@ -63,19 +73,25 @@ def preprocess_tower(raw: DataFrame, hints: DataFrame, calendar: DataFrame, conf
         stays = fl.few_stays_a_day(stays, config.most_stays)
     if config.sample is not None:
         stays = fl.sample_users(stays, config.sample, config.seed)
-    return _finish(st.with_day_type(an.intent_by_cell(stays, anchors, config.grid_degrees), calendar), anchors, config)
+    return _finish(st.with_day_type(an.intent_by_cell(stays, anchors, config.anchor_degrees), calendar), anchors, config)
 
 
 def _finish(stays: DataFrame, anchors: DataFrame, config: DatasetConfig) -> tuple[DataFrame, DataFrame]:
-    """Split by days, relabel with ranks of training days only, anchors of training users."""
+    """Split by days, anchors of training users; if asked for, labels and anchors anew from the ranks of training days."""
     split, anchors = sp.aligned_anchors(sp.split_days(stored(stays), config.train_share), anchors)
     split = stored(split)
+    if config.relabel is None:
+        return split, anchors
     train = split.where("split = 'train'")
     if config.relabel == "grid":
-        split = rl.relabel_by_cell(split, rl.rank_cells(train, config.grid_degrees), config.grid_degrees)
+        ranks = stored(rl.rank_cells(train, config.grid_degrees))
+        split = rl.relabel_by_cell(split, ranks, config.grid_degrees)
     elif config.relabel == "cluster":
-        split = rl.relabel_by_distance(split, rl.rank_clusters(train, config.cluster_metres), config.cluster_metres)
-    return split, anchors
+        ranks = stored(rl.rank_clusters(train, config.cluster_metres))
+        split = rl.relabel_by_distance(split, ranks, config.cluster_metres)
+    else:
+        raise ValueError(f"unknown relabelling {config.relabel!r}")
+    return split, rl.anchors_from_ranks(ranks)
 
 
 @dataclass
@@ -85,6 +101,7 @@ class Prepared:
     scales: sc.Scales
     places: DataFrame
     personas: DataFrame
+    persona_places: DataFrame
     samples: DataFrame
 
 
@@ -96,11 +113,12 @@ def prepare_training(stays: DataFrame, min_count: int = 1, scales: int = 4, max_
     fitted = sc.fit_capped_scales(sc.weighted_logs(sc.day_steps(stays, 0.01)), scales, max_sigma)
     places = stored(an.frequent_cells(vo.with_cell_id(stays, vocab, meta)))
     rows = stored(tk.tokens(stays, vocab, meta, fitted, places))
-    members = tk.personas(tk.scale_vectors(stays, fitted))
-    samples = sa.flatten(sa.windows(tk.day_sequences(rows)), vocab.count(), scales, places)
-    return Prepared(meta, vocab, fitted, places, members, sa.history_arrays(samples))
+    members = stored(tk.personas(tk.scale_vectors(stays, fitted)))
+    samples = sa.history_arrays(sa.flatten(sa.windows(tk.day_sequences(rows)), vocab.count(), scales, places))
+    samples = sa.with_people(samples, members, tk.user_index(rows))
+    return Prepared(meta, vocab, fitted, places, members, tk.persona_places(members, places), samples)
 
 
-def compare(real: DataFrame, sim: DataFrame, known: DataFrame | None = None, boundaries: list[float] | None = None) -> DataFrame:
-    """``(metric, value)`` of points of both sides."""
-    return me.evaluate(real.unionByName(sim), known, sc.bands_from(boundaries) if boundaries else sc.BANDS)
+def compare(real: DataFrame, sim: DataFrame, known: DataFrame | None = None, boundaries: list[float] | None = None, **settings) -> DataFrame:
+    """``(metric, value)`` of points of both sides; further settings are those of ``evaluate``."""
+    return ev.evaluate(real.unionByName(sim), known, sc.bands_from(boundaries) if boundaries else sc.BANDS, **settings)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import geo
+from .functions.hashing import DRAWS, draw_sql
 from .operators import anchors as an
+from .operators import evaluation as ev
 from .operators import filters as fl
 from .operators import metrics as me
 from .operators import powerlaw as pl
@@ -24,6 +27,7 @@ from .operators import split as sp
 from .operators import stays as st
 from .operators import tokens as tk
 from .operators import vocab as vo
+from .plans import workflows as wf
 from .sources import readers as rd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,11 +143,14 @@ def bin3(spark, d):
 
 @query("src1_gps_text", with_sql(S) + " SELECT user_id, lng, lat, CAST(t_in AS DOUBLE) AS ts FROM stays")
 def src1(spark, d):
-    """The points written as text files of the format, one for each user, and parsed again."""
+    """The points as text files of the format, one for each user-day, and parsed again."""
     s = fx.stays(spark, d)
-    local = F.from_utc_timestamp(F.timestamp_seconds("t_in"), "+08:00")
-    line = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"), F.lit("0"), F.lit("0"), F.lit("0"), F.date_format(local, "yyyy-MM-dd"), F.date_format(local, "HH:mm:ss"))
-    text = s.groupBy("user_id").agg(F.concat_ws("\n", F.lit("h\nh\nh\nh\nh\nh"), F.array_join(F.collect_list(line), "\n"), F.lit("bad,line")).alias("value"))
+    local = F.col("t_in") + rd.UTC8_SECONDS
+    second = F.pmod(local, F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(local / 86400).cast("int")).cast("string")
+    line = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"), F.lit("0"), F.lit("0"), F.lit("0"), day, clock)
+    text = s.groupBy("user_id", "date").agg(F.concat_ws("\n", F.lit("h\nh\nh\nh\nh\nh"), F.array_join(F.collect_list(line), "\n"), F.lit("bad,line")).alias("value"))
     return rd.parse_gps(text.select(F.concat(F.lit("data/"), "user_id", F.lit("/Trajectory/a.plt")).alias("path"), "value"))
 
 
@@ -151,7 +158,7 @@ def src1(spark, d):
 def src2(spark, d):
     s = fx.stays(spark, d)
     one = F.concat(F.lit("("), F.concat_ws(", ", F.col("lng").cast("string"), F.col("lat").cast("string"), F.col("t_in").cast("string"), F.col("t_out").cast("string")), F.lit(")"))
-    lines = s.groupBy("user_id").agg(F.concat_ws("", F.col("user_id"), F.lit("\t["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("value")).select("value")
+    lines = s.groupBy("user_id", "date").agg(F.concat_ws("", F.col("user_id"), F.lit("\t["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("value")).select("value")
     return rd.parse_tower(lines).select("user_id", "lng", "lat", "t_in", "t_out")
 
 
@@ -181,21 +188,28 @@ def src5(spark, d):
     return rd.to_long(nested).select("user_id", "date", "day_type", F.col("seq").cast("long").alias("nth"), "start_min", "end_min", "lng", "lat")
 
 
-@query("prj4_normalise_points", with_sql(S) + " SELECT shape, n, round(s, 6) AS s FROM (SELECT unnest(['stay', 'slot', 'named', 'span', 'visit']) AS shape), (SELECT count(*) AS n, sum(start_min / 1440) + sum(lat) + sum(lng) AS s FROM stays)")
+_SHAPES = """ SELECT shape, traj_id, nth, round(CASE WHEN slot > 1.5 THEN slot / 144 ELSE slot END, 6) AS t_start, round(CASE WHEN shape IN ('stay', 'span') THEN end_min / 1440 WHEN slot > 1.5 THEN slot / 144 ELSE slot END, 6) AS t_end,
+  round(lat, 6) AS lat, round(lng, 6) AS lng, CASE shape WHEN 'stay' THEN 't1' WHEN 'span' THEN 'name' WHEN 'visit' THEN '' ELSE 'x' END AS category, CASE shape WHEN 'span' THEN 'id' WHEN 'visit' THEN 'poi' ELSE '' END AS poi_id
+FROM (SELECT *, user_id || '|' || CAST(date AS VARCHAR) AS traj_id, CASE WHEN shape = 'slot' THEN start_min / 10 ELSE start_min / 1440 END AS slot FROM nth, (SELECT unnest(['stay', 'slot', 'named', 'span', 'visit']) AS shape))"""
+
+
+@query("prj4_normalise_points", with_sql(S, NTH) + _SHAPES)
 def prj4(spark, d):
-    s = fx.stays(spark, d).withColumn("traj_id", F.col("user_id"))
-    slot = F.col("start_min") / 10
+    """Each shape is told by the type of its points; the named one goes by aliases."""
+    s = fx.stays(spark, d).withColumn("traj_id", F.concat_ws("|", "user_id", F.col("date").cast("string")))
+    part = F.col("start_min") / 1440
     shapes = {
         "stay": F.struct("start_min", "end_min", F.array("lng", "lat").alias("coord"), F.lit("t1").alias("intent_class")),
-        "slot": F.struct(F.when(slot > 1.5, slot).otherwise(F.col("start_min") / 1440).alias("t_i"), F.array("lat", "lng").alias("l_i"), F.lit("x").alias("o_i")),
-        "named": F.struct("lat", "lng", (F.col("start_min") / 1440).alias("time"), F.lit("x").alias("category")),
-        "span": F.array(*[c.cast("string") for c in (F.col("start_min") / 1440, F.col("end_min") / 1440, F.lit("name"), F.lit("id"), F.col("lng"), F.col("lat"))]),
-        "visit": F.array(*[c.cast("string") for c in (F.col("start_min") / 1440, F.lit("poi"), F.col("lat"), F.col("lng"))]),
+        "slot": F.struct((F.col("start_min") / 10).alias("t_i"), F.array("lng", "lat").alias("l_i"), F.lit("x").alias("o_i")),
+        "named": F.struct(F.col("lat").alias("latitude"), F.col("lng").alias("lon"), part.alias("t_start"), F.lit("x").alias("intent")),
+        "span": F.array(*[c.cast("string") for c in (part, F.col("end_min") / 1440, F.lit("name"), F.lit("id"), F.col("lng"), F.col("lat"))]),
+        "visit": F.array(*[c.cast("string") for c in (part, F.lit("poi"), F.col("lat"), F.col("lng"))]),
     }
     out = None
     for name, point in shapes.items():
-        p = rd.normalise_points(s.groupBy("traj_id").agg(F.collect_list(point).alias("points")), name, "real")
-        one = p.agg(F.count("*").alias("n"), r6(F.sum("t_start") + F.sum("lat") + F.sum("lng"), "s")).select(F.lit(name).alias("shape"), "n", "s")
+        days = s.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("start_min", "seq", point.alias("p")))).alias("points"))
+        p = rd.normalise_points(days.select("traj_id", F.transform("points", lambda x: x["p"]).alias("points")), None, "real")
+        one = p.select(F.lit(name).alias("shape"), "traj_id", F.col("seq").cast("long").alias("nth"), r6("t_start"), r6("t_end"), r6("lat"), r6("lng"), "category", "poi_id")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -272,9 +286,9 @@ def fil7(spark, d):
     return fl.few_stays_a_day(fx.stays(spark, d), 7).select("seq")
 
 
-@query("fil9_sample_users", with_sql(S) + " SELECT CAST(least(count(DISTINCT user_id), 40) AS BIGINT) AS users FROM stays")
+@query("fil9_sample_users", with_sql(S) + f" SELECT seq FROM stays SEMI JOIN (SELECT user_id FROM (SELECT DISTINCT user_id FROM stays) ORDER BY {draw_sql('user_id')}, user_id LIMIT 40) USING (user_id)")
 def fil9(spark, d):
-    return fl.sample_users(fx.stays(spark, d), 40).agg(F.countDistinct("user_id").alias("users"))
+    return fl.sample_users(fx.stays(spark, d), 40).select("seq")
 
 
 @query("fil10_valid_points", with_sql(S) + " SELECT seq FROM stays WHERE lat * (1 + seq % 3) BETWEEN -90 AND 90 AND lng * (1 + seq % 2) BETWEEN -180 AND 180")
@@ -398,9 +412,20 @@ def rel1(spark, d):
     return r.select("user_id", "p_cx", "p_cy", "p_n", mean6("p_lng"), mean6("p_lat"), "s_cx", "s_cy", "s_n", mean6("s_lng"), mean6("s_lat"))
 
 
-@query("rel2_rank_clusters")
+_CLUSTERS = f"""pl AS (SELECT user_id, lng, lat, count(*) AS n, {_SEEN} AS seen FROM stays GROUP BY 1, 2, 3),
+near AS (SELECT a.user_id, a.seen AS a, b.seen AS b FROM pl a JOIN pl b ON a.user_id = b.user_id AND {fx.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} <= 300),
+reach AS (SELECT user_id, seen AS id, seen AS other FROM pl UNION SELECT reach.user_id, reach.id, near.b FROM reach JOIN near ON near.user_id = reach.user_id AND near.a = reach.other),
+lab AS (SELECT user_id, id AS seen, min(other) AS cluster FROM reach GROUP BY 1, 2),
+cl AS (SELECT user_id, cluster, CAST(sum(n) AS BIGINT) AS n, sum(lng * n) / sum(n) AS lng, sum(lat * n) / sum(n) AS lat FROM pl JOIN lab USING (user_id, seen) GROUP BY 1, 2),
+cr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, cluster) AS r FROM cl)
+SELECT user_id, a.n AS p_n, round(a.lng + 1e-9, 6) AS p_lng, round(a.lat + 1e-9, 6) AS p_lat, coalesce(b.n, a.n) AS s_n, round(coalesce(b.lng, a.lng) + 1e-9, 6) AS s_lng, round(coalesce(b.lat, a.lat) + 1e-9, 6) AS s_lat
+FROM (SELECT * FROM cr WHERE r = 1) a LEFT JOIN (SELECT * FROM cr WHERE r = 2) b USING (user_id)"""
+
+
+@query("rel2_rank_clusters", "WITH RECURSIVE " + S + ", " + _CLUSTERS)
 def rel2(spark, d):
-    return rl.rank_clusters(fx.stays(spark, d))
+    r = rl.rank_clusters(fx.stays(spark, d))
+    return r.select("user_id", "p_n", mean6("p_lng"), mean6("p_lat"), "s_n", mean6("s_lng"), mean6("s_lat"))
 
 
 _AT = lambda k: f"({_FLOOR('stays.lng')} = {k}_cx AND {_FLOOR('stays.lat')} = {k}_cy)"
@@ -452,7 +477,7 @@ def spl4(spark, d):
     return sp.split_statistics(sp.split_days(fx.stays(spark, d)))
 
 
-@query("spl5_validation_split")
+@query("spl5_validation_split", with_sql(S) + f" SELECT user_id, date, CASE WHEN {draw_sql('user_id', 'date')} < {int(0.1 * DRAWS)} THEN 'validation' ELSE 'train' END AS fold FROM (SELECT DISTINCT user_id, date FROM stays)")
 def spl5(spark, d):
     return sp.validation_split(fx.stays(spark, d).select("user_id", "date").distinct(), ["user_id", "date"])
 
@@ -512,10 +537,25 @@ def gmm4(spark, d):
     return me.band_statistics(km.select(F.lit("all").alias("side"), "km"), bands)
 
 
+_MIX = "mix AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {m!r}::DOUBLE, {v!r}::DOUBLE, {w!r}::DOUBLE)" for i, (m, v, w) in enumerate(zip(SCALES.mu, SCALES.var, SCALES.weight, strict=True))) + ") t(i, m, v, w))"
+_MEET = """, pairs AS (SELECT a.i, a.m AS m1, b.m AS m2, 0.5 / a.v - 0.5 / b.v AS qa, b.m / b.v - a.m / a.v AS qb, a.m * a.m / 2 / a.v - b.m * b.m / 2 / b.v + ln(b.w / a.w) + 0.5 * ln(a.v / b.v) AS qc FROM mix a JOIN mix b ON b.i = a.i + 1),
+roots AS (SELECT i, m1, m2, unnest([(-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)]) AS x FROM pairs),
+edge AS (SELECT i, exp(arg_min(x, abs(x - (m1 + m2) / 2))) AS km FROM roots GROUP BY i)
+SELECT 's' || CAST(k AS VARCHAR) AS band, count(km) AS n, round(count(km) / sum(count(km)) OVER (), 6) AS fraction, round(avg(km), 6) AS mean_km
+FROM (SELECT unnest(range(1, 5)) AS k) LEFT JOIN (SELECT km, 1 + (SELECT count(*) FROM edge WHERE edge.km <= steps.km) AS b FROM steps WHERE km > 0.01) ON b = k GROUP BY k"""
+
+
+@query("gmm4_given_scales", with_sql(S, STEPS, _MIX) + _MEET)
+def gmm4_given(spark, d):
+    km = sc.day_steps(fx.stays(spark, d), 0.01)
+    out = me.band_statistics(km.select(F.lit("all").alias("side"), "km"), sc.bands_from(SCALES.boundaries()))
+    return out.select("band", "n", r6("fraction"), r6("mean_km"))
+
+
 @query("gmm5_choose_scales")
 def gmm5(spark, d):
     best, scores = sc.choose_scales(sc.weighted_logs(sc.day_steps(fx.stays(spark, d))))
-    return spark.createDataFrame([(k, b, a, k == len(best.mu)) for k, b, a in scores], "k int, bic double, aic double, chosen boolean")
+    return spark.createDataFrame([(k, b, a, best is not None and k == len(best.mu)) for k, b, a in scores], "k int, bic double, aic double, chosen boolean")
 
 
 TOKENS = f"""tok0 AS (SELECT ids.*, day_type, row_number() OVER w AS nth, lag(lat) OVER w AS p_lat, lag(lng) OVER w AS p_lng FROM ids JOIN calendar USING (date) WHERE cell_id >= 0 WINDOW w AS (PARTITION BY user_id, date ORDER BY start_min, seq)),
@@ -526,10 +566,11 @@ TOKEN_SQL = with_sql(S, C, META, CELLED, VOCAB30, IDS, FREQ, TOKENS)
 
 
 def token_rows(spark, d, least=30):
+    """Tokens, vocabulary and places; grid and vocabulary are stored, as several steps read them."""
     s = typed(spark, d)
-    meta = vo.grid_meta(s)
-    vocab = vo.build_vocab(s, meta, least)
-    places = an.frequent_cells(vo.with_cell_id(s, vocab, meta))
+    meta = rd.stored(vo.grid_meta(s))
+    vocab = rd.stored(vo.build_vocab(s, meta, least))
+    places = rd.stored(an.frequent_cells(vo.with_cell_id(s, vocab, meta)))
     return tk.tokens(s, vocab, meta, SCALES, places), vocab, places
 
 
@@ -605,7 +646,12 @@ def pri1(spark, d):
     return tk.stays_per_day_prior(typed(spark, d)).select("day_type", "n", r6("prob"))
 
 
-@query("pri2_draw_stay_counts")
+_PRI2 = f""", prior AS (SELECT day_type, n, sum(prob) OVER (PARTITION BY day_type ORDER BY n) AS upto FROM (SELECT day_type, n, CASE WHEN total IS NULL THEN n ELSE coalesce(c, 0) / total END AS prob FROM grid LEFT JOIN cnt USING (day_type, n))),
+dd AS (SELECT DISTINCT user_id, date, day_type, {draw_sql('user_id', 'date')} / {DRAWS}e0 AS u FROM stays JOIN calendar USING (date))
+SELECT user_id, date, dd.day_type, CAST(greatest(2, coalesce(min(n) FILTER (u <= upto), max(n))) AS BIGINT) AS n FROM dd JOIN prior ON prior.day_type = dd.day_type GROUP BY 1, 2, 3"""
+
+
+@query("pri2_draw_stay_counts", with_sql(S, C) + _PRI1.rsplit("\nSELECT", 1)[0] + _PRI2)
 def pri2(spark, d):
     s = typed(spark, d)
     return tk.draw_stay_counts(s.select("user_id", "date", "day_type").distinct(), tk.stays_per_day_prior(s))
@@ -639,6 +685,11 @@ def pri7(spark, d):
     return longs(pr.log_distances(grid(spark, d)[2]).select("prev", "cell", r6("log_km")))
 
 
+@query("pri7_near_distances", with_sql(S, META, CELLED, VOCAB1, LOGD) + " SELECT prev, cell, round(log_km, 6) AS log_km FROM ld WHERE log_km <= ln(8)")
+def pri7_near(spark, d):
+    return longs(pr.log_distances(grid(spark, d)[2], most_km=8.0).select("prev", "cell", r6("log_km")))
+
+
 _BW = "[" + ", ".join(repr(max(0.05, math.sqrt(v) * 0.5)) for v in SCALES.var) + "]"
 DENS = f"dens AS (SELECT a.prev, s AS scale, a.cell, ln(greatest(avg(exp(-0.5 * pow((a.log_km - b.log_km) / {_BW}[s + 1], 2))), 1e-9)) AS log_density FROM ld a JOIN ld b USING (prev), (SELECT unnest(range(0, 4)) AS s) GROUP BY 1, 2, 3)"
 
@@ -655,10 +706,14 @@ def pri10(spark, d):
     return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
 
 
-@query("pri9_next_cells")
+_PRI9 = f" SELECT prev, scale, cell, round(score, 6) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY prev, scale ORDER BY round(score, 9) DESC, cell) AS nth FROM (SELECT prev, i AS scale, cell, -0.5 * (log_km - m) * (log_km - m) / greatest(v, 0.01) - log_density AS score FROM ld JOIN dens USING (prev, cell) JOIN mix ON mix.i = dens.scale)) WHERE nth <= 5"
+
+
+@query("pri9_next_cells", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS, _MIX) + _PRI9)
 def pri9(spark, d):
-    vocab = grid(spark, d)[2]
-    return pr.next_cells(pr.log_distances(vocab), pr.log_cell_density(vocab, SCALES), SCALES.table(spark))
+    vocab = rd.stored(grid(spark, d)[2])
+    out = pr.next_cells(pr.log_distances(vocab), pr.log_cell_density(vocab, SCALES), SCALES.table(spark))
+    return longs(out.select("prev", "scale", "cell", F.round("score", 6).alias("score"), "nth"))
 
 
 # -- training samples ------------------------------------------------------------------------------
@@ -679,22 +734,46 @@ def trn1(spark, d):
     return longs(rows.select("user_id", "date", F.size("context").alias("context_days"), F.size("hist").alias("history_days"), F.aggregate("context", F.lit(0), lambda a, x: a + F.size(x)).alias("context_tokens")))
 
 
-_FLAT = _DAYS + """, voc AS (SELECT count(*) AS v FROM vocab), t AS (SELECT tokens.*, k FROM tokens JOIN days USING (user_id, date) WHERE nth <= 20),
+_FLAT = _DAYS + f""", voc AS (SELECT count(*) AS v FROM vocab), t AS (SELECT tokens.*, k, {_LOWS}[duration + 1] AS low FROM tokens JOIN days USING (user_id, date) WHERE nth <= 20),
+ta AS (SELECT t.*, CASE WHEN coalesce(cell_id = home_cell, false) THEN 0 WHEN coalesce(cell_id = work_cell, false) THEN 1 WHEN low <= 30 THEN 2 WHEN arrival * 5 BETWEEN 360 AND 1320 AND low >= 180 THEN 1 WHEN (arrival * 5 <= 360 OR arrival * 5 >= 1260) AND low >= 240 THEN 0 ELSE 3 END AS act FROM t LEFT JOIN freq USING (user_id)),
 parts AS (
-  SELECT d.user_id, d.date, 0 AS o1, 0 AS o2, (SELECT v + 1 FROM voc) AS cell FROM days d
-  UNION ALL SELECT d.user_id, d.date, t.k - d.k + 10, t.nth, t.cell_id FROM days d JOIN t ON t.user_id = d.user_id AND t.k BETWEEN d.k - 3 AND d.k
-  UNION ALL SELECT d.user_id, d.date, c.k - d.k + 10, 1000, (SELECT v + CASE WHEN c.k = d.k THEN 2 ELSE 3 END FROM voc) FROM days d JOIN days c ON c.user_id = d.user_id AND c.k BETWEEN d.k - 3 AND d.k)"""
+  SELECT d.user_id, d.date, 0 AS o1, 0 AS o2, (SELECT v + 1 FROM voc) AS cell, 5 AS scale, 0 AS duration, 0 AS arrival, 0 AS loc, 4 AS act FROM days d
+  UNION ALL SELECT d.user_id, d.date, ta.k - d.k + 10, nth, cell_id, scale, duration, arrival, loc_type, act FROM days d JOIN ta ON ta.user_id = d.user_id AND ta.k BETWEEN d.k - 3 AND d.k
+  UNION ALL SELECT d.user_id, d.date, c.k - d.k + 10, 1000, (SELECT v + CASE WHEN c.k = d.k THEN 2 ELSE 3 END FROM voc), CASE WHEN c.k = d.k THEN 6 ELSE 7 END, CASE WHEN c.k = d.k THEN 24 ELSE 0 END, CASE WHEN c.k = d.k THEN 288 ELSE 0 END, 0, 4 FROM days d JOIN days c ON c.user_id = d.user_id AND c.k BETWEEN d.k - 3 AND d.k),
+hd AS (SELECT d.user_id, d.date, c.k AS ck, c.n, CAST(sum(c.n) OVER (PARTITION BY d.user_id, d.date ORDER BY c.k) - c.n AS BIGINT) AS before FROM days d JOIN days c ON c.user_id = d.user_id AND c.k BETWEEN d.k - 33 AND d.k - 4),
+hk AS (SELECT * FROM hd WHERE before < 200),
+ht AS (SELECT hk.user_id, hk.date, hk.ck, t.nth, t.cell_id, t.scale, t.duration, t.arrival, t.loc_type FROM hk JOIN t ON t.user_id = hk.user_id AND t.k = hk.ck)"""
+_LIST = lambda c, order: f"string_agg(CAST({c} AS VARCHAR), ' ' ORDER BY {order})"
+_SAMPLE = ", ".join(f"{_LIST(c, 'o1, o2')} AS {n}" for c, n in (("cell", "cells"), ("scale", "scales"), ("duration", "durations"), ("arrival", "arrivals"), ("loc", "loc_types"), ("act", "activities")))
+_HIST = ", ".join(f"coalesce({_LIST(c, 'ck, nth')}, '0') AS hist_{n}" for c, n in (("cell_id", "cells"), ("scale", "scales"), ("duration", "durations"), ("arrival", "arrivals"), ("loc_type", "loc_types")))
+_BOUNDS = "SELECT user_id, date, string_agg(before || '-' || (before + n), ' ' ORDER BY ck) AS b, count(*) AS c FROM hk GROUP BY 1, 2"
 
 
-@query("trn2_flat_samples", TOKEN_SQL + _FLAT + " SELECT user_id, date, string_agg(CAST(cell AS VARCHAR), ' ' ORDER BY o1, o2) AS cells, CAST(count(*) FILTER (o1 < 10) AS BIGINT) AS ctx_len FROM parts GROUP BY 1, 2")
+def spaced(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+
+
+@query("trn2_flat_samples", TOKEN_SQL + _FLAT + f" SELECT user_id, date, CAST(day_type AS BIGINT) AS day_type, s.* EXCLUDE (user_id, date), coalesce(home_cell, v) AS home_cell, coalesce(work_cell, v) AS work_cell FROM (SELECT user_id, date, {_SAMPLE}, CAST(count(*) FILTER (o1 < 10) AS BIGINT) AS ctx_len FROM parts GROUP BY 1, 2) s JOIN (SELECT DISTINCT user_id, date, day_type FROM tokens) USING (user_id, date) LEFT JOIN freq USING (user_id), voc")
 def trn2(spark, d):
     out, _ = samples(spark, d)
-    return longs(out.select("user_id", "date", F.array_join(F.transform("cells", lambda c: c.cast("string")), " ").alias("cells"), "ctx_len"))
+    arrays = [spaced(c) for c in ("cells", "scales", "durations", "arrivals", "loc_types", "activities")]
+    return longs(out.select("user_id", "date", "day_type", *arrays, "ctx_len", "home_cell", "work_cell"))
+
+
+@query("trn2_people", TOKEN_SQL + _DAYS + ", users AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM tokens)) SELECT user_id, date, CAST(CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN 0 ELSE CAST(user_id AS BIGINT) % 4 END AS BIGINT) AS persona_id, user_idx FROM days JOIN users USING (user_id)")
+def trn2_people(spark, d):
+    """Samples with personas (here by user number, and none for every third user) and user numbers."""
+    rows, vocab, places = token_rows(spark, d)
+    out = sa.flatten(sa.windows(tk.day_sequences(rows)), vocab.count(), 4, places)
+    members = places.where("CAST(user_id AS BIGINT) % 3 != 0").select("user_id", (F.col("user_id").cast("long") % 4).cast("int").alias("persona"))
+    return longs(sa.with_people(out, members, tk.user_index(rows)).select("user_id", "date", "persona_id", "user_idx"))
 
 
-@query("trn3_history")
+@query("trn3_history", TOKEN_SQL + _FLAT + f" SELECT user_id, date, {_HIST}, coalesce(first(b), '0-0') AS hist_day_boundaries, coalesce(first(c), 1) AS hist_day_counts FROM days LEFT JOIN ht USING (user_id, date) LEFT JOIN ({_BOUNDS}) USING (user_id, date) GROUP BY 1, 2")
 def trn3(spark, d):
-    return sa.history_arrays(samples(spark, d)[0]).select("user_id", "date", "hist_cells", "hist_scales", "hist_durations", "hist_arrivals", "hist_loc_types", "hist_day_boundaries")
+    out = sa.history_arrays(samples(spark, d)[0])
+    bounds = F.array_join(F.transform("hist_day_boundaries", lambda b: F.concat_ws("-", b[0].cast("string"), b[1].cast("string"))), " ").alias("hist_day_boundaries")
+    return longs(out.select("user_id", "date", *[spaced(f"hist_{n}") for n in ("cells", "scales", "durations", "arrivals", "loc_types")], bounds, F.greatest("hist_day_counts", F.lit(1)).alias("hist_day_counts")))
 
 
 @query("trn4_daily_stats", TOKEN_SQL + f" SELECT user_id, date, CAST(count(*) AS DOUBLE) AS visits, round(avg({_LOWS}[duration + 1]) / 1440, 6) AS mean_duration, CAST(max(scale) AS DOUBLE) AS max_scale FROM tokens WHERE nth <= 20 GROUP BY 1, 2")
@@ -704,11 +783,15 @@ def trn4(spark, d):
     return out.select("user_id", "date", s[0].alias("visits"), r6(s[1], "mean_duration"), s[2].alias("max_scale"))
 
 
-@query("trn5_padded", TOKEN_SQL + _FLAT + " SELECT user_id, date, 128 AS length, CAST(count(*) AS BIGINT) AS filled FROM parts GROUP BY 1, 2")
+_PADDED = ", ".join(f"{_LIST(c, 'o1, o2')} || repeat(' ' || {p}, greatest(0, 128 - count(*))::BIGINT) AS {n}" for c, n, p in (("cell", "cells", "(SELECT CAST(v AS VARCHAR) FROM voc)"), ("scale", "scales", "'4'"), ("duration", "durations", "'24'"), ("arrival", "arrivals", "'288'"), ("act", "activities", "'4'")))
+
+
+@query("trn5_padded", TOKEN_SQL + _FLAT + f" SELECT user_id, date, p.* EXCLUDE (user_id, date), coalesce(h, '0') || repeat(' 0', (240 - greatest(1, coalesce(m, 0)))::BIGINT) AS hist_cells, coalesce(b, '0-0') || repeat(' 0-0', (30 - coalesce(c, 1))::BIGINT) AS hist_day_boundaries FROM (SELECT user_id, date, {_PADDED}, CAST(count(*) AS BIGINT) AS filled FROM parts GROUP BY 1, 2) p LEFT JOIN (SELECT user_id, date, {_LIST('cell_id', 'ck, nth')} AS h, count(*) AS m FROM ht GROUP BY 1, 2) USING (user_id, date) LEFT JOIN ({_BOUNDS}) USING (user_id, date)")
 def trn5(spark, d):
     out, n = samples(spark, d)
-    p = sa.pad_to(out, 128, n, 4)
-    return p.select("user_id", "date", F.size("cells").alias("length"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("filled"))
+    p = sa.pad_history(sa.pad_to(sa.history_arrays(out), 128, n, 4), 240)
+    bounds = F.array_join(F.transform("hist_day_boundaries", lambda b: F.concat_ws("-", b[0].cast("string"), b[1].cast("string"))), " ").alias("hist_day_boundaries")
+    return p.select("user_id", "date", *[spaced(c) for c in ("cells", "scales", "durations", "arrivals", "activities", "hist_cells")], bounds, F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("filled"))
 
 
 @query("trn6_day_weights", TOKEN_SQL + _DAYS + " SELECT user_id, date, round(1e0, 6) AS total, round(1 / (n + 1), 6) AS each FROM days")
@@ -796,9 +879,9 @@ def moments(spark, d):
     return me.metric_moments(_scored(spark, d)).select("side", "metric", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query("hst1_histograms", EVAL + " SELECT g.metric, g.bin, coalesce(r, 0) AS real, coalesce(s, 0) AS sim FROM (SELECT metric, unnest(range(0, 100)) AS bin FROM ends WHERE nr > 0 AND ns > 0) g LEFT JOIN ct ON ct.metric = g.metric AND ct.bin = g.bin")
+@query("hst1_histograms", EVAL + " SELECT g.metric, g.bin, round(CASE WHEN lg THEN pow(10, log10(lo * 0.99e0) + g.bin * (log10(hi * 1.01e0) - log10(lo * 0.99e0)) / 100) ELSE g.bin * hi / 100 END, 5) AS low, coalesce(r, 0) AS real, coalesce(s, 0) AS sim FROM (SELECT metric, lg, lo, hi, unnest(range(0, 100)) AS bin FROM ends WHERE nr > 0 AND ns > 0) g LEFT JOIN ct ON ct.metric = g.metric AND ct.bin = g.bin")
 def hst1(spark, d):
-    return longs(me.histogram_table(_scored(spark, d)).select("metric", "bin", "real", "sim"))
+    return longs(me.histogram_table(_scored(spark, d)).select("metric", "bin", F.round("low", 5).alias("low"), "real", "sim"))
 
 
 RAW_STEPS = "km AS (SELECT side, km FROM ss WHERE km > 0)"
@@ -842,9 +925,13 @@ def plc(spark, d):
     return pl.tail_fits(side_steps(spark, d)).select("side", "x_min", "n_tail", F.round("alpha", 5).alias("alpha"), F.round("ks", 5).alias("ks"))
 
 
-@query("ev_plc_best")
+_BEST = _PLC.replace("\nSELECT", ",\nfits AS (SELECT", 1) + ") SELECT side, x_min, n_tail, alpha, ks, alpha_2km, n_2km FROM (SELECT *, max(CASE WHEN x_min = 2 THEN alpha END) OVER (PARTITION BY side) AS alpha_2km, max(CASE WHEN x_min = 2 THEN n_tail END) OVER (PARTITION BY side) AS n_2km, row_number() OVER (PARTITION BY side ORDER BY ks, x_min) AS r FROM fits) WHERE r = 1"
+
+
+@query("ev_plc_best", STEP_SQL + _BEST)
 def plc_best(spark, d):
-    return pl.best_tail(pl.tail_fits(side_steps(spark, d)))
+    out = pl.best_tail(pl.tail_fits(side_steps(spark, d)))
+    return out.select("side", "x_min", "n_tail", F.round("alpha", 5).alias("alpha"), F.round("ks", 5).alias("ks"), F.round("alpha_2km", 5).alias("alpha_2km"), "n_2km")
 
 
 @query("ev_plk_cutoff")
@@ -904,10 +991,61 @@ def snp4(spark, d):
     return me.snap_to_known(fx.stays(spark, d).select("seq", "lat", "lng"), train_locations(spark, d)).select("seq", "lat", "lng")
 
 
+_MOM = "SELECT metric || '.' || side || '_' || item AS metric, value FROM (SELECT side, metric, unnest(['n', 'mean', 'std']) AS item, unnest([count(*)::DOUBLE, avg(value), stddev_pop(value)]) AS value FROM vals WHERE metric IN ('DTD', 'DUL', 'VIS') GROUP BY 1, 2)"
+
+
+@query("ev_all_scores", EVAL + f" SELECT metric, round(value, 5) AS value FROM (SELECT metric || '.jsd' AS metric, jsd AS value FROM div UNION ALL {_MOM})")
+def ev_all_scores(spark, d):
+    return ev.evaluate(pts(spark, d), scaling=False).select("metric", F.round("value", 5).alias("value"))
+
+
 @query("ev_all")
 def ev_all(spark, d):
     p = pts(spark, d)
-    return me.evaluate(p, p.where("side = 'real'").select("lat", "lng").distinct())
+    return ev.evaluate(p, p.where("side = 'real'").select("lat", "lng").distinct())
+
+
+# -- whole workflows -------------------------------------------------------------------------------
+
+
+@query("w1_gps")
+def w1_gps(spark, d):
+    """From points to split, labelled days, with labels and anchors anew from clusters."""
+    stays, _ = wf.preprocess_gps(fx.points(fx.stays(spark, d)), fx.calendar(spark, d), replace(wf.GPS, relabel="cluster"))
+    return stays
+
+
+_W1 = f""", fr AS (SELECT * FROM merged), an AS (SELECT * FROM hints SEMI JOIN stays USING (user_id)),
+k1 AS (SELECT fr.* FROM fr SEMI JOIN an USING (user_id)), k2 AS (SELECT * FROM k1 SEMI JOIN (SELECT user_id FROM k1 GROUP BY 1 HAVING count(DISTINCT date) >= 5) USING (user_id)),
+md AS (SELECT user_id, median(km) AS m FROM (SELECT user_id, {fx.haversine_sql('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS km FROM k2 WINDOW w AS (PARTITION BY user_id ORDER BY date, start_min, seq)) GROUP BY 1),
+k3 AS (SELECT * FROM k2 ANTI JOIN (SELECT user_id FROM md WHERE m > 50) USING (user_id)),
+k4 AS (SELECT * FROM k3 SEMI JOIN (SELECT user_id, date FROM k3 GROUP BY ALL HAVING arg_max(end_min, start_min * 1000000000 + seq) - min(start_min) >= 240) USING (user_id, date)),
+k5 AS (SELECT * FROM k4 SEMI JOIN (SELECT user_id FROM k4 GROUP BY 1 HAVING count(DISTINCT date) >= 5) USING (user_id)),
+k6 AS (SELECT * FROM k5 SEMI JOIN (SELECT user_id FROM (SELECT DISTINCT user_id FROM k5) ORDER BY {draw_sql('user_id')}, user_id LIMIT 500) USING (user_id)),
+k7 AS (SELECT user_id, date, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY date) <= greatest(1, floor(count(*) OVER (PARTITION BY user_id) * 0.8e0)) THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT user_id, date FROM k6))
+SELECT user_id, date, day_type, seq, start_min, end_min, round(lng, 6) AS lng, round(lat, 6) AS lat, split, CASE WHEN coalesce(floor(lng / 0.005e0) = floor(home_lng / 0.005e0) AND floor(lat / 0.005e0) = floor(home_lat / 0.005e0), false) THEN 't1' WHEN coalesce(floor(lng / 0.005e0) = floor(work_lng / 0.005e0) AND floor(lat / 0.005e0) = floor(work_lat / 0.005e0), false) THEN 't2' ELSE 'other' END AS intent_class
+FROM k6 JOIN k7 USING (user_id, date) JOIN calendar USING (date) JOIN an USING (user_id)"""
+
+
+@query("w1_tower", _PLAIN_SQL.replace("WITH ", f"WITH {C}, {H}, ", 1).replace("FROM islands GROUP", "FROM islands GROUP") + _W1)
+def w1_tower(spark, d):
+    """From tower stays and hints to split, labelled days."""
+    raw = fx.stays(spark, d, jitter=False).select("user_id", "seq", "lng", "lat", "t_in", "t_out")
+    stays, _ = wf.preprocess_tower(raw, fx.hints(spark, d), fx.calendar(spark, d))
+    return stays.select("user_id", "date", "day_type", "seq", "start_min", "end_min", r6("lng"), r6("lat"), "split", "intent_class")
+
+
+@query("w2_training_samples")
+def w2(spark, d):
+    """From days to padded samples with personas and user numbers."""
+    return wf.prepare_training(typed(spark, d)).samples
+
+
+@query("w3_compare")
+def w3(spark, d):
+    """Both sides against one another, steps of at most 30 km in the scaling part."""
+    p = pts(spark, d)
+    return wf.compare(p.where("side = 'real'"), p.where("side = 'sim'"), boundaries=SCALES.boundaries(), most_km=30.0)
 
 
 # -- reports ---------------------------------------------------------------------------------------

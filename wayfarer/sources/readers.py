@@ -34,11 +34,17 @@ def parse_gps(files: DataFrame) -> DataFrame:
     """
     lines = files.select(F.regexp_extract("path", "([^/]+)/Trajectory/[^/]*$", 1).alias("user_id"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("at >= 6")
     f = lines.select("user_id", F.split("line", ",").alias("f")).where(F.size("f") >= 7)
-    local = F.try_to_timestamp(F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6])), F.lit("yyyy-MM-dd HH:mm:ss"))
-    out = f.select("user_id", F.col("f")[1].try_cast("double").alias("lng"), F.col("f")[0].try_cast("double").alias("lat"), (F.unix_timestamp(local.cast("timestamp_ntz").cast("timestamp")) - UTC8_SECONDS).cast("double").alias("ts"))
+    text = F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))
+    local = F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), text).try_cast("timestamp_ntz")
+    out = f.select("user_id", F.col("f")[1].try_cast("double").alias("lng"), F.col("f")[0].try_cast("double").alias("lat"), (wall_seconds(local) - UTC8_SECONDS).cast("double").alias("ts"))
     return out.where("lng != 0 AND lat != 0 AND ts IS NOT NULL")
 
 
+def wall_seconds(local: Column) -> Column:
+    """Seconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.datediff(F.to_date(local), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+
+
 def parse_tower(lines: DataFrame) -> DataFrame:
     """``(user_id, seq, lng, lat, t_in, t_out)`` of ``lines(value)``: a user, a tab, then ``[(lng, lat, t_in, t_out), …]``.
 
@@ -140,32 +146,62 @@ def load_vocab(vocab: DataFrame, meta: DataFrame) -> DataFrame:
 # -- shapes of trajectories to compare -------------------------------------------------------------
 
 
-def normalise_points(df: DataFrame, shape: str, side: str) -> DataFrame:
-    """``pts`` rows of trajectories ``df(traj_id, points)`` in one of the declared shapes.
+def shape_of(df: DataFrame) -> str:
+    """The shape of ``df(traj_id, points)`` by the type of its points; lists of text are told apart row by row."""
+    element = df.schema["points"].dataType.elementType
+    if not isinstance(element, T.StructType):
+        return "list"
+    if "start_min" in element.names:
+        return "stay"
+    return "slot" if {"t_i", "l_i"} <= set(element.names) else "named"
+
+
+def normalise_points(df: DataFrame, shape: str | None, side: str) -> DataFrame:
+    """``pts`` rows of trajectories ``df(traj_id, points)`` in one of the declared shapes, or in that of their type.
 
-    ``stay``: struct(start_min, end_min, coord, intent_class); ``slot``: struct(t_i, l_i array<lat, lng>, o_i);
-    ``named``: struct(lat, lng, time, category) with times in slots of ten minutes if above 1.5;
-    ``span``: array<string> of t0, t1, name, id, lon, lat; ``visit``: array<string> of t, poi, lat, lng.
+    ``stay``: struct(start_min, end_min, coord or coord_snapped, intent_semantic or intent_class);
+    ``slot``: struct(t_i, l_i array<lng, lat>, o_i); ``named``: struct(lat or latitude; lng, lon or longitude;
+    time, t_start or t_i; category, activity or intent). These may have t_end and poi_id as well.
+    ``span``: array<string> of t0, t1, name, id, lon, lat; ``visit``: array<string> of t, poi, lat, lng;
+    ``list``: either, by length. Times above 1.5 are slots of ten minutes.
     Points without a valid coordinate and trajectories without points go.
     """
+    shape = shape or shape_of(df)
+    if shape == "list":
+        size = lambda keep: df.withColumn("points", F.filter("points", keep))
+        return normalise_points(size(lambda p: F.size(p) >= 6), "span", side).unionByName(normalise_points(size(lambda p: F.size(p) < 6), "visit", side))
     rows = df.select("traj_id", F.posexplode("points").alias("seq", "p"))
+    element = df.schema["points"].dataType.elementType
+    names = set(element.names) if isinstance(element, T.StructType) else set()
     num = lambda i: F.get("p", F.lit(i)).try_cast("double")
     slot = lambda t: F.when(t > 1.5, t / 144).otherwise(t)
     none = F.lit("")
+
+    def field(*aliases: str, other: Column) -> Column:
+        """The first of the fields that the points have, else ``other``."""
+        return F.coalesce(*[F.col(f"p.{a}") for a in aliases if a in names], other)
+
+    def number(*aliases: str, other: Column) -> Column:
+        return F.coalesce(*[F.col(f"p.{a}").cast("double") for a in aliases if a in names], other)
+
+    poi = field("poi_id", other=none)
     if shape == "stay":
-        cols = (F.col("p.start_min") / 1440, F.col("p.end_min") / 1440, F.get("p.coord", F.lit(1)), F.get("p.coord", F.lit(0)), F.coalesce("p.intent_class", none), none)
+        start = F.col("p.start_min")
+        at = field("coord", "coord_snapped", other=F.lit(None))
+        cols = (start / 1440, number("end_min", other=start) / 1440, F.get(at, F.lit(1)), F.get(at, F.lit(0)), field("intent_semantic", "intent_class", other=none), poi)
     elif shape == "slot":
-        t = slot(F.col("p.t_i").cast("double"))
-        cols = (t, t, F.get("p.l_i", F.lit(0)), F.get("p.l_i", F.lit(1)), F.coalesce("p.o_i", none), none)
+        t = F.col("p.t_i").cast("double")
+        cols = (slot(t), slot(number("t_end", other=t)), F.get("p.l_i", F.lit(1)), F.get("p.l_i", F.lit(0)), field("o_i", other=none), poi)
     elif shape == "named":
-        t = slot(F.coalesce(F.col("p.time").cast("double"), F.lit(0.0)))
-        cols = (t, t, F.col("p.lat"), F.col("p.lng"), F.coalesce("p.category", none), none)
+        zero = F.lit(0.0)
+        t = number("time", "t_start", "t_i", other=zero)
+        cols = (slot(t), slot(number("t_end", other=t)), number("lat", "latitude", other=zero), number("lng", "lon", "longitude", other=zero), field("category", "activity", "intent", other=none), poi)
     elif shape == "span":
         cols = (slot(num(0)), slot(num(1)), num(5), num(4), F.get("p", F.lit(2)), F.get("p", F.lit(3)))
     elif shape == "visit":
         cols = (slot(num(0)), slot(num(0)), num(2), num(3), none, F.get("p", F.lit(1)))
     else:
         raise ValueError(f"unknown shape {shape!r}")
-    names = ("t_start", "t_end", "lat", "lng", "category", "poi_id")
-    out = rows.select(F.lit(side).alias("side"), "traj_id", "seq", *[c.alias(n) for c, n in zip(cols, names, strict=True)])
+    out = ("t_start", "t_end", "lat", "lng", "category", "poi_id")
+    out = rows.select(F.lit(side).alias("side"), "traj_id", "seq", *[c.alias(n) for c, n in zip(cols, out, strict=True)])
     return out.where(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
