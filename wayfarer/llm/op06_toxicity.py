@@ -115,25 +115,28 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
         return ToxicityModel(p, np.zeros(0, np.int64), np.zeros(0), z)
     make, size = Features(p), 1 << p.bits
     df = np.zeros((2, size), np.int32)
-    found = []
     for text, label in zip(texts, y, strict=True):
-        b = make.of(text)
-        df[int(label), b] += 1
-        found.append(b)
+        df[int(label), make.of(text)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
-    share = (df[0] + df[1]) / len(y)
-    apart = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    apart[(df[0] + df[1]) < p.least_df] = 0
-    keep = np.sort(np.argsort(-apart, kind="stable")[: p.kept])
-    keep = keep[(apart[keep] > 0) & ((apart[keep] >= p.least_apart) | (np.argsort(np.argsort(-apart[keep], kind="stable"), kind="stable") < p.least_kept))]
+    some = np.flatnonzero(df.sum(axis=0) >= p.least_df)
+    toxic, clean = df[1, some], df[0, some]
+    ratio = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    share = (toxic + clean) / len(y)
+    apart = np.abs(toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    best = np.argsort(-apart, kind="stable")[: p.kept]
+    best = best[(apart[best] > 0) & ((apart[best] >= p.least_apart) | (np.arange(len(best)) < p.least_kept))]
+    best = np.sort(best)
+    keep, ratio = some[best], ratio[best]
     place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    cols = [place[b] for b in found]
-    cols = [c[c >= 0] for c in cols]
+    # Texts are read again, so that their other buckets needn't be held.
+    cols = []
+    for text in texts:
+        c = place[make.of(text)]
+        cols.append(c[c >= 0])
     col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    r = ratio[keep]
+    r = ratio
     share = n1 / len(y) if toxic_share is None else toxic_share
     weight = np.where(y == 1, share / n1, (1 - share) / n0)
     w, b = np.zeros(len(keep)), 0.0
