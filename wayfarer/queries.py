@@ -706,7 +706,7 @@ def pri10(spark, d):
     return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
 
 
-_PRI9 = f" SELECT prev, scale, cell, round(score, 6) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY prev, scale ORDER BY round(score, 9) DESC, cell) AS nth FROM (SELECT prev, i AS scale, cell, -0.5 * (log_km - m) * (log_km - m) / greatest(v, 0.01) - log_density AS score FROM ld JOIN dens USING (prev, cell) JOIN mix ON mix.i = dens.scale)) WHERE nth <= 5"
+_PRI9 = f" SELECT prev, scale, cell, round(score, 6) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY prev, scale ORDER BY round(score, 9) DESC, cell) AS nth FROM (SELECT prev, CAST(i AS BIGINT) AS scale, cell, -0.5 * (log_km - m) * (log_km - m) / greatest(v, 0.01) - log_density AS score FROM ld JOIN dens USING (prev, cell) JOIN mix ON mix.i = dens.scale)) WHERE nth <= 5"
 
 
 @query("pri9_next_cells", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS, _MIX) + _PRI9)
