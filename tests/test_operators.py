@@ -342,3 +342,41 @@ def test_rare_cells_are_next_cells(spark, small):
         dens = np.exp(-0.5 * ((d[r.prev][:, None] - d[r.prev]) / w) ** 2).mean(axis=1)
         score = -0.5 * (d[r.prev] - mu) ** 2 / max(var, 0.01) - np.log(np.maximum(dens, 1e-9))
         assert r.score == pytest.approx(score[r.cell], abs=1e-5) and (score > r.score + 1e-5).sum() < r.nth
+
+
+@pytest.mark.parametrize(("n", "spread", "metres"), [(400, 0.02, 300), (600, 0.004, 100), (60, 3.0, 20_000), (300, 0.0, 50)])
+def test_clusters_of_dense_and_thin_places(n, spread, metres):
+    rng = np.random.default_rng(n)
+    for south in (0.0, 64.0, -39.0):
+        lng, lat = -1 + np.round(rng.random(n) * spread, 4), south + np.round(rng.random(n) * spread, 4)
+        got = relabel.eps_components(lng, lat, metres)
+        near, label = stays._metres(lat[:, None], lng[:, None], lat[None], lng[None]) <= metres, np.arange(n)
+        while True:
+            low = np.where(near, label[None], n).min(axis=1)
+            if (low == label).all():
+                break
+            label = low
+        seen = {}
+        assert got.tolist() == [seen.setdefault(int(v), len(seen)) for v in label]
+
+
+def test_median_steps_by_counts(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for user in range(60):
+        n = int(rng.integers(1, 9))
+        lat = 39 + np.cumsum(rng.choice([0.0, 0.05, 0.1, 0.2], n))
+        rows += [(str(user), "2024-01-01", i, i, 116.0, float(v)) for i, v in enumerate(lat)]
+        km = np.diff(lat) * np.pi / 180 * 6371.0
+        if not len(km) or np.median(km) <= 8.5:
+            want.add(str(user))
+    df = spark.createDataFrame(rows, "user_id string, date string, start_min int, seq int, lng double, lat double")
+    got = {r["user_id"] for r in filters.plausible_steps(df, 8.5).select("user_id").distinct().collect()}
+    assert got == want and 0 < len(want) < 60
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 1.0, 5.0], [0.0, 0.5, 2.0, 9.0, 9.0, 9.5, 20.0]])
+def test_quantiles_of_ranked_values(spark, values):
+    df = spark.createDataFrame([("a", v) for v in values], "side string, x double")
+    got = metrics.ranked(df, 3).agg(*[metrics.quantile(p) for p in (0.0, 0.3, 0.5, 0.95, 1.0)]).first()
+    assert list(got) == (pytest.approx(np.quantile(values, [0, 0.3, 0.5, 0.95, 1]).tolist()) if values else [None] * 5)

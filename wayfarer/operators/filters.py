@@ -38,10 +38,19 @@ def observed_users(stays: DataFrame, least_days: int) -> DataFrame:
 
 
 def plausible_steps(stays: DataFrame, max_median_km: float = MAX_STEP_KM) -> DataFrame:
-    """Drops users whose exact median step, over all days in time order, is too long. Users without steps stay."""
+    """Drops users whose exact median step, over all days in time order, is too long. Users without steps stay.
+
+    Whether a median lies beyond a bound is told by counts and by the two values next to the bound, so no
+    user's steps are gathered.
+    """
     w = Window.partitionBy("user_id").orderBy("date", "start_min", "seq")
     step = haversine(F.lag("lat").over(w), F.lag("lng").over(w), "lat", "lng", R_METRES) / 1000
-    bad = stays.select("user_id", step.alias("km")).groupBy("user_id").agg(F.median("km").alias("m")).where(F.col("m") > max_median_km)
+    within = F.col("km") <= max_median_km
+    sums = stays.select("user_id", step.alias("km")).where("km IS NOT NULL").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_if(within).alias("short"), F.max(F.when(within, F.col("km"))).alias("low"), F.min(F.when(~within, F.col("km"))).alias("high")
+    )
+    twice = 2 * F.col("short")
+    bad = sums.where((twice < F.col("n")) | ((twice == F.col("n")) & ((F.col("low") + F.col("high")) / 2 > max_median_km)))
     return stays.join(bad, "user_id", "left_anti")
 
 

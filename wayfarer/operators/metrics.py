@@ -209,18 +209,32 @@ def summary(pts: DataFrame) -> DataFrame:
     return metric_divergences(features(coarse(pts), ("SD", "SI", "STAY", "RG")))
 
 
-def ccdf(km: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``(side, x, p)``: share of values that are x or more. Values are counted first, then summed by range.
+def ranked(values: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(side, x, n, below, total)`` of each distinct value of ``values(side, x)``: its copies, values below it, values of its side.
 
-    Each range of values is one partition; a small table of range totals carries the sums across, so no
-    task sees all values.
+    Values are counted first, then each range of them is one partition; a small table of range totals carries
+    the sums across, so no task sees all values.
     """
-    counts = km.where("km > 0").groupBy("side", F.col("km").alias("x")).agg(F.count("*").alias("n"))
-    n = partitions or int(km.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, "side", "x").withColumn("part", F.spark_partition_id())
+    counts = values.groupBy("side", "x").agg(F.count("*").alias("n"))
+    parts = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, "side", "x").withColumn("part", F.spark_partition_id())
     ranged = stored(ranged)  # ranges are drawn anew when rows are computed again; what is written stays
     sums = ranged.groupBy("side", "part").agg(F.sum("n").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("side").orderBy("part")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy("side")))
     upto = F.sum("n").over(Window.partitionBy("side", "part").orderBy("x")) - F.col("n")
     rows = ranged.withColumn("upto", upto).join(F.broadcast(before.select("side", "part", "before", "total")), ["side", "part"])
-    return rows.select("side", "x", ((F.col("total") - F.col("before") - F.col("upto")) / F.col("total")).alias("p"))
+    return rows.select("side", "x", "n", (F.col("before") + F.col("upto")).alias("below"), "total")
+
+
+def ccdf(km: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(side, x, p)``: share of values that are x or more."""
+    rows = ranked(km.where("km > 0").select("side", F.col("km").alias("x")), partitions)
+    return rows.select("side", "x", ((F.col("total") - F.col("below")) / F.col("total")).alias("p"))
+
+
+def quantile(p: float) -> Column:
+    """Over rows of ``ranked`` of one side: the quantile, interpolated between the two values next to its place."""
+    place = (F.col("total") - 1) * F.lit(p)
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("x")))
+    low, part = F.floor(place), F.max(place - F.floor(place))
+    return at(low) * (1 - part) + at(F.ceil(place)) * part

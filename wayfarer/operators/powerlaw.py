@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import ccdf
+from .metrics import ranked
 from .scales import Scales, choose_scales, weighted_logs
 
 #: Tail starts that are tried, and least numbers of values.
@@ -25,16 +25,14 @@ def tail_fits(km: DataFrame, starts: tuple[float, ...] = STARTS) -> DataFrame:
     Ranks come from counts of values and range sums; the statistic compares the share up to and with a
     value to the fitted one.
     """
-    pos = km.where("km > 0")
-    enough = pos.groupBy("side").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST).select("side")
-    tails = pos.join(F.broadcast(enough), "side").withColumn("x_min", F.explode(F.array(*[F.lit(s) for s in starts]))).where("km >= x_min")
-    alpha = tails.groupBy("side", "x_min").agg(F.count("*").alias("n_tail"), F.sum(F.log(F.col("km") / F.col("x_min"))).alias("s")).where((F.col("n_tail") >= LEAST_TAIL) & (F.col("s") > 0))
+    values = ranked(km.where("km > 0").select("side", F.col("km").alias("x")))
+    tail = lambda v, x_min: F.sum(F.when(F.col("x") >= x_min, v))
+    each = [F.struct(F.lit(s).alias("x_min"), tail(F.col("n"), s).alias("n_tail"), tail(F.col("n") * F.log(F.col("x") / s), s).alias("s")) for s in starts]
+    sums = values.groupBy("side").agg(F.sum("n").alias("all"), F.array(*each).alias("tails")).where(F.col("all") >= LEAST)
+    alpha = sums.select("side", F.explode("tails").alias("t")).select("side", "t.*").where((F.col("n_tail") >= LEAST_TAIL) & (F.col("s") > 0))
     alpha = alpha.select("side", "x_min", "n_tail", (1 + F.col("n_tail") / F.col("s")).alias("alpha"))
-    shares = ccdf(pos)  # P(X >= x) of all values; within a tail it scales by the tail's own share
-    counts = pos.groupBy("side", F.col("km").alias("x")).agg(F.count("*").alias("n"))
-    total = pos.groupBy("side").agg(F.count("*").alias("total"))
-    rows = shares.join(counts, ["side", "x"]).join(F.broadcast(total), "side").join(F.broadcast(alpha), "side").where("x >= x_min")
-    last = F.rint(F.col("n_tail") - F.col("p") * F.col("total") + F.col("n"))  # rank of the value's last copy in the tail
+    rows = values.join(F.broadcast(alpha), "side").where("x >= x_min")
+    last = F.col("n_tail") - F.col("total") + F.col("below") + F.col("n")  # rank of the value's last copy in the tail
     fitted = 1 - F.pow(F.col("x") / F.col("x_min"), 1 - F.col("alpha"))
     # Copies of a value have ranks from last - n + 1 to last; the largest distance is at one of both ends.
     gap = F.greatest(F.abs(last / F.col("n_tail") - fitted), F.abs((last - F.col("n") + 1) / F.col("n_tail") - fitted))

@@ -29,33 +29,53 @@ def _two(top: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def eps_components(lng: np.ndarray, lat: np.ndarray, metres: float) -> np.ndarray:
-    """Labels of the graph that joins points within ``metres``, in order of first point. Only neighbouring buckets are compared."""
-    n = len(lng)
-    up = list(range(n))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    step = metres / 111_000
-    wide = step / max(0.01, float(np.cos(np.radians(np.abs(lat).max() + step)))) if n else step
-    buckets: dict[tuple[int, int], list[int]] = {}
-    for i, key in enumerate(zip(np.floor(lat / step).astype(int).tolist(), np.floor(lng / wide).astype(int).tolist(), strict=True)):
-        buckets.setdefault(key, []).append(i)
-    for (a, b), own in buckets.items():
-        near = np.array([j for da in (-1, 0, 1) for db in (-1, 0, 1) for j in buckets.get((a + da, b + db), ())])
-        for i in own:
-            p1, p2 = np.radians(lat[i]), np.radians(lat[near])
-            h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lng[near] - lng[i]) / 2) ** 2
-            for j in near[2 * 6371000.0 * np.arcsin(np.minimum(1, np.sqrt(h))) <= metres].tolist():
-                x, y = find(i), find(j)
-                up[max(x, y)] = min(x, y)
-    roots, labels = {}, np.zeros(n, int)
-    for i in range(n):
-        labels[i] = roots.setdefault(find(i), len(roots))
-    return labels
+    """Labels of the graph that joins points within ``metres``, in order of first point.
+
+    Points of a box whose diagonal is shorter are linked at once. Boxes near enough to hold a link are then
+    joined by their first points, and only those still apart compare all their points.
+    """
+    if not len(lng):
+        return np.zeros(0, int)
+    degree = np.radians(1) * 6371000.0
+    side = 0.999 * metres / np.sqrt(2) / degree
+    y, x = np.floor(lat / side).astype(np.int64), np.floor(lng / side).astype(np.int64)
+    reach = 1.001 * metres / degree
+    wide = int(np.ceil(reach / side / max(0.01, float(np.cos(np.radians(np.abs(lat).max() + reach))))))
+    width = int(np.ptp(x)) + 2 * wide + 1
+    keys, first, box, size = np.unique((y - y.min()) * width + x - x.min() + wide, return_index=True, return_inverse=True, return_counts=True)
+    members = np.split(np.argsort(box, kind="stable"), np.cumsum(size)[:-1])
+    up = list(range(len(keys)))
+
+    def find(a: int) -> int:
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p, q = np.radians(lat[a]), np.radians(lat[b])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lng[b] - lng[a]) / 2) ** 2
+        return 2 * 6371000.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        rows = max(1, 65_536 // len(b))
+        return any((distance(a[at : at + rows, None], b[None]) <= metres).any() for at in range(0, len(a), rows))
+
+    # Offsets to boxes that hold a link; in rows, less than three boxes off.
+    offsets = sorted(((dy, dx) for dy in (0, 1, 2) for dx in range(-wide, wide + 1) if (dy, dx) > (0, 0)), key=lambda o: o[0] ** 2 + o[1] ** 2)
+    for dy, dx in offsets:
+        want = keys + dy * width + dx
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        a = np.flatnonzero(keys[at] == want)
+        b = at[a]
+        sure = distance(first[a], first[b]) <= metres
+        for i, j, linked in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True):
+            p, q = find(i), find(j)
+            if p != q and (linked or near(members[i], members[j])):
+                up[max(p, q)] = min(p, q)
+    roots = np.array([find(i) for i in range(len(keys))])[box]
+    _, start, label = np.unique(roots, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(start))[label]
 
 
 def rank_clusters(stays: DataFrame, metres: float = 300.0) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import quantile, ranked
 from .scales import day_steps
 
 
 def step_quantiles(stays: DataFrame) -> DataFrame:
-    """``(p50, p95, longest)`` of step distances in km, interpolated between values."""
-    return day_steps(stays).agg(F.percentile("km", 0.5).alias("p50"), F.percentile("km", 0.95).alias("p95"), F.max("km").alias("longest"))
+    """``(p50, p95, longest)`` of step distances in km, exact and interpolated between values; nulls without steps."""
+    rows = ranked(day_steps(stays).select(F.lit("all").alias("side"), F.col("km").alias("x")))
+    return rows.agg(quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), F.max("x").alias("longest"))
 
 
 def kept_report(before: DataFrame, after: DataFrame) -> DataFrame:

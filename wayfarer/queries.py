@@ -378,9 +378,9 @@ def frequent(spark, d, least=1):
     return an.frequent_cells(vo.with_cell_id(s, vocab, meta))
 
 
-@query("anc3_frequent_cells", with_sql(S, META, CELLED, VOCAB30, IDS, FREQ) + " SELECT user_id, home_cell, work_cell FROM freq")
+@query("anc3_frequent_cells", with_sql(S, META, CELLED, VOCAB1, IDS, FREQ) + " SELECT user_id, home_cell, work_cell FROM freq")
 def anc3(spark, d):
-    return frequent(spark, d, 30).select("user_id", F.col("home_cell").cast("long").alias("home_cell"), F.col("work_cell").cast("long").alias("work_cell"))
+    return frequent(spark, d).select("user_id", F.col("home_cell").cast("long").alias("home_cell"), F.col("work_cell").cast("long").alias("work_cell"))
 
 
 _NEAR = lambda k, m: f"coalesce({fx.haversine_sql('lat', 'lng', k + '_lat', k + '_lng', 6371000.0)} <= {m}, false)"
@@ -496,9 +496,9 @@ def src7(spark, d):
     return rd.load_vocab(vocab.select("cell_id", "city_cell", "cnt"), meta).select(F.col("cell_id").cast("long").alias("cell_id"), "city_cell", r6("lng"), r6("lat"), "cnt")
 
 
-@query("geo7_cell_ids", with_sql(S, META, CELLED, VOCAB30, IDS) + " SELECT seq, cell_id FROM ids")
+@query("geo7_cell_ids", with_sql(S, META, CELLED, VOCAB1, IDS) + " SELECT seq, cell_id FROM ids")
 def geo7(spark, d):
-    s, meta, vocab = grid(spark, d, 30)
+    s, meta, vocab = grid(spark, d)
     return vo.with_cell_id(s, vocab, meta).select("seq", F.col("cell_id").cast("long").alias("cell_id"))
 
 
@@ -562,10 +562,10 @@ TOKENS = f"""tok0 AS (SELECT ids.*, day_type, row_number() OVER w AS nth, lag(la
 tokens AS (SELECT user_id, date, CAST(CASE day_type WHEN 'weekend' THEN 1 WHEN 'holiday' THEN 2 ELSE 0 END AS BIGINT) AS day_type, nth, cell_id, CASE WHEN p_lat IS NULL THEN 0 ELSE {_SCALE} END AS scale, {_DUR} AS duration, CAST(least(floor(start_min / 5), 287) AS BIGINT) AS arrival,
   CAST(CASE WHEN coalesce(cell_id = home_cell, false) THEN 1 WHEN coalesce(cell_id = work_cell, false) THEN 2 ELSE 0 END AS BIGINT) AS loc_type
   FROM (SELECT *, {fx.haversine_sql('p_lat', 'p_lng', 'lat', 'lng')} AS km FROM tok0) LEFT JOIN freq USING (user_id))"""
-TOKEN_SQL = with_sql(S, C, META, CELLED, VOCAB30, IDS, FREQ, TOKENS)
+TOKEN_SQL = with_sql(S, C, META, CELLED, VOCAB1, IDS, FREQ, TOKENS)
 
 
-def token_rows(spark, d, least=30):
+def token_rows(spark, d, least=1):
     """Tokens, vocabulary and places; grid and vocabulary are stored, as several steps read them."""
     s = typed(spark, d)
     meta = rd.stored(vo.grid_meta(s))
@@ -629,9 +629,9 @@ def per2(spark, d):
     return tk.personas(tk.scale_vectors(fx.stays(spark, d), SCALES))
 
 
-@query("per3_persona_places", with_sql(S, META, CELLED, VOCAB30, IDS, FREQ) + ", u AS (SELECT CAST(user_id AS BIGINT) % 4 AS persona, unnest(['home', 'work']) AS kind, unnest([home_cell, work_cell]) AS cell_id FROM freq) SELECT persona, kind, cell_id, round(count(*) / sum(count(*)) OVER (PARTITION BY persona, kind), 6) AS prob FROM u WHERE cell_id IS NOT NULL GROUP BY 1, 2, 3")
+@query("per3_persona_places", with_sql(S, META, CELLED, VOCAB1, IDS, FREQ) + ", u AS (SELECT CAST(user_id AS BIGINT) % 4 AS persona, unnest(['home', 'work']) AS kind, unnest([home_cell, work_cell]) AS cell_id FROM freq) SELECT persona, kind, cell_id, round(count(*) / sum(count(*)) OVER (PARTITION BY persona, kind), 6) AS prob FROM u WHERE cell_id IS NOT NULL GROUP BY 1, 2, 3")
 def per3(spark, d):
-    places = frequent(spark, d, 30)
+    places = frequent(spark, d)
     members = places.select("user_id", (F.col("user_id").cast("long") % 4).alias("persona"))
     return longs(tk.persona_places(members, places).select("persona", "kind", "cell_id", r6("prob")))
 
@@ -694,9 +694,9 @@ _BW = "[" + ", ".join(repr(max(0.05, math.sqrt(v) * 0.5)) for v in SCALES.var) +
 DENS = f"dens AS (SELECT a.prev, s AS scale, a.cell, ln(greatest(avg(exp(-0.5 * pow((a.log_km - b.log_km) / {_BW}[s + 1], 2))), 1e-9)) AS log_density FROM ld a JOIN ld b USING (prev), (SELECT unnest(range(0, 4)) AS s) GROUP BY 1, 2, 3)"
 
 
-@query("pri8_cell_density", with_sql(S, META, CELLED, VOCAB.format(least=60), LOGD, DENS) + " SELECT prev, scale, cell, round(log_density, 5) AS log_density FROM dens")
+@query("pri8_cell_density", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS) + " SELECT prev, scale, cell, round(log_density, 5) AS log_density FROM dens")
 def pri8(spark, d):
-    out = pr.log_cell_density(grid(spark, d, 60)[2], SCALES)
+    out = pr.log_cell_density(grid(spark, d)[2], SCALES)
     return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
 
 
@@ -960,18 +960,18 @@ def dlt_fits(spark, d):
     return spark.createDataFrame(pl.fit_deltas(side_steps(spark, d)), "item string, delta double")
 
 
-_KNOWN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays WHERE seq % 50 = 0)"
+_KNOWN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays WHERE seq % 2 = 0)"
 
 
 @query("snp1_known_locations", with_sql(S) + f" SELECT * FROM {_KNOWN}")
 def snp1(spark, d):
-    return fx.stays(spark, d).where("seq % 50 = 0").select(F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")).distinct()
+    return fx.stays(spark, d).where("seq % 2 = 0").select(F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")).distinct()
 
 
 @query("snp2_snap", with_sql(S) + f" SELECT seq, k_lat AS lat, k_lng AS lng FROM stays JOIN (SELECT lat, lng, k_lat, k_lng FROM (SELECT DISTINCT lat, lng FROM stays), {_KNOWN} QUALIFY row_number() OVER (PARTITION BY lat, lng ORDER BY round((lat - k_lat) * (lat - k_lat) + (lng - k_lng) * (lng - k_lng), 15), k_lat, k_lng) = 1) USING (lat, lng)")
 def snp2(spark, d):
     s = fx.stays(spark, d)
-    return me.snap_to_known(s.select("seq", "lat", "lng"), s.where("seq % 50 = 0").select("lat", "lng")).select("seq", "lat", "lng")
+    return me.snap_to_known(s.select("seq", "lat", "lng"), s.where("seq % 2 = 0").select("lat", "lng")).select("seq", "lat", "lng")
 
 
 _TRAIN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays JOIN split USING (user_id, date) WHERE split = 'train')"
