@@ -77,6 +77,8 @@ def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0
         rows = rows.withColumn("gap", F.coalesce((F.col("ts") - F.lag("ts").over(w) > max_gap_s).cast("int"), F.lit(0)))
         part = F.sum("gap").over(w)
     rows = rows.select("user_id", part.alias("part"), F.max("cut").over(w).alias("cut"), "ts", "lng", "lat")
+    # Without this the cuts of a user would stay where the user's points were sorted, in one task.
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id", "cut")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "lng", "lat"], kind="stable")
