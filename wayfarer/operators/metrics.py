@@ -27,8 +27,9 @@ def coarse(pts: DataFrame, metres: float = 500.0, slots: int = 48) -> DataFrame:
     return pts.withColumns({"t_start": snap("t_start"), "t_end": snap("t_end"), "lat": metric_centre_lat("lat", metres), "lng": metric_centre_lng("lat", "lng", metres)})
 
 
-def snap_to_known(pts: DataFrame, known: DataFrame, degrees: float = 0.01, rings: int = 6) -> DataFrame:
-    """Moves points to the nearest location of ``known(lat, lng)`` by distance in degrees; ties to the smaller location.
+def snap_to_known(pts: DataFrame, known: DataFrame, degrees: float = 0.01, rings: int = 6, places_equal: int | None = None) -> DataFrame:
+    """Moves points to the nearest location of ``known(lat, lng)`` by distance in degrees; ties to the smaller
+    location. With ``places_equal``, squares that agree to so many places are ties too.
 
     Only distinct coordinates search, in buckets: first the nine around their own, then ever wider rings
     for those whose best candidate may still be beaten. What no ring settles meets whole degrees first, whose
@@ -36,7 +37,7 @@ def snap_to_known(pts: DataFrame, known: DataFrame, degrees: float = 0.01, rings
     """
     places = stored(known.select(F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")).distinct().withColumn("kx", F.floor(F.col("k_lng") / degrees)).withColumn("ky", F.floor(F.col("k_lat") / degrees)))
     d2 = (F.col("lat") - F.col("k_lat")) * (F.col("lat") - F.col("k_lat")) + (F.col("lng") - F.col("k_lng")) * (F.col("lng") - F.col("k_lng"))
-    best = F.min(F.struct(d2.alias("d2"), F.col("k_lat"), F.col("k_lng"))).alias("b")
+    best = F.min(F.struct((d2 if places_equal is None else F.round(d2, places_equal)).alias("d2"), F.col("k_lat"), F.col("k_lng"))).alias("b")
     open_, settled, width = stored(pts.select("lat", "lng").distinct()), None, 1
     for _ in range(rings):
         around = F.sequence(F.lit(-width), F.lit(width))

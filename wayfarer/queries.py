@@ -971,7 +971,7 @@ def snp1(spark, d):
 @query("snp2_snap", with_sql(S) + f" SELECT seq, k_lat AS lat, k_lng AS lng FROM stays JOIN (SELECT lat, lng, k_lat, k_lng FROM (SELECT DISTINCT lat, lng FROM stays), {_KNOWN} QUALIFY row_number() OVER (PARTITION BY lat, lng ORDER BY round((lat - k_lat) * (lat - k_lat) + (lng - k_lng) * (lng - k_lng), 15), k_lat, k_lng) = 1) USING (lat, lng)")
 def snp2(spark, d):
     s = fx.stays(spark, d)
-    return me.snap_to_known(s.select("seq", "lat", "lng"), s.where("seq % 2 = 0").select("lat", "lng")).select("seq", "lat", "lng")
+    return me.snap_to_known(s.select("seq", "lat", "lng"), s.where("seq % 2 = 0").select("lat", "lng"), places_equal=15).select("seq", "lat", "lng")
 
 
 _TRAIN = "(SELECT DISTINCT lat AS k_lat, lng AS k_lng FROM stays JOIN split USING (user_id, date) WHERE split = 'train')"
