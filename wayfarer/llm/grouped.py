@@ -24,3 +24,16 @@ def by_first_column(batches: Iterator[pa.RecordBatch], each: Callable[[pa.Table]
             parts.append(batch.slice(lo, hi - lo))
     if parts:
         yield each(pa.Table.from_batches(parts))
+
+
+def many(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches joined to tables of about ``rows`` rows: what is small is worked on together."""
+    parts, n = [], 0
+    for batch in batches:
+        parts.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(parts)
+            parts, n = [], 0
+    if parts:
+        yield pa.Table.from_batches(parts)

@@ -147,3 +147,41 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words]).astype(np.int64)
     return span_hashes(data, ends - np.array([len(w) for w in words], np.int64), ends)
+
+
+def take_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, glued: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the spans end to end and where each begins, with the end behind; a space follows spans that are ``glued``."""
+    sizes = ends - starts if glued is None else ends - starts + glued
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    place = np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes)
+    if glued is None:
+        return data[place], at
+    out = data[np.minimum(place, len(data) - 1)] if len(data) else data
+    out[at[1:][glued] - 1] = 32
+    return out, at
+
+
+def strings(data: np.ndarray, at: np.ndarray) -> pa.StringArray:
+    """An Arrow array of the texts that begin at ``at``."""
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def span_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    return strings(*take_spans(data, starts, ends))
+
+
+def runs(data: np.ndarray, apart: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that end behind a byte of ``apart``; where none comes for longer, the range goes on."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + limit)
+        if to < len(data):
+            found = np.flatnonzero(apart[data[at:to]])
+            if len(found):
+                to = at + int(found[-1]) + 1
+            while not len(found) and to < len(data):
+                found = np.flatnonzero(apart[data[to : to + limit]])
+                to = to + int(found[0]) + 1 if len(found) else min(len(data), to + limit)
+        yield at, to
+        at = to
