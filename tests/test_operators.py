@@ -328,6 +328,42 @@ def test_a_long_history_is_cut_without_a_change(spark):
     assert gaps(40) == gaps(10**9) and len(gaps(40)) > len(got)
 
 
+def test_one_history_in_many_ranges_is_the_scan(spark):
+    rng = np.random.default_rng(8)
+    n = 6000
+    # A walk, then a long rest that holds whole ranges, then places near each other; some points share their time.
+    step = rng.normal(0, 1.2e-3, (n, 2)) * (rng.random((n, 1)) < 0.2)
+    step[2000:3800] = rng.normal(0, 1e-6, (1800, 2))
+    step[4500:] = rng.normal(0, 3e-4, (n - 4500, 2))
+    walk = np.cumsum(step, axis=0)
+    ts = np.cumsum(rng.integers(0, 90, n)).astype(float) + 0.25
+    rows = [("hot", float(t), float(116 + x), float(39 + y)) for t, (x, y) in zip(ts, walk, strict=True)]
+    rows = sorted(rows, key=lambda r: r[1:]) + [("cold", 5.0, 116.0, 39.0), ("zero", None, 116.0, 39.0), ("zero", 5.0, None, 39.0)]
+    lng, lat, ts = (np.array([r[i] for r in rows[:n]]) for i in (2, 3, 1))
+    want = naive_stays(lng, lat, ts, 200, 10)
+    df = spark.createDataFrame(rows, "user_id string, ts double, lng double, lat double").repartition(5)
+    for ranges, chunk in ((1, 10**9), (3, 100), (17, 64)):
+        got = sorted(tuple(r) for r in stays.detect_stays(df, merge_metres=None, chunk=chunk, ranges=ranges).collect())
+        assert [g[:2] for g in got] == [("hot", i) for i in range(len(want))] and np.allclose([g[2:] for g in got], want, rtol=1e-12)
+    assert stays.detect_stays(df.limit(0)).count() == 0
+
+
+def test_a_search_goes_on_from_its_state():
+    rng = np.random.default_rng(9)
+    walk = np.cumsum(rng.normal(0, 1e-3, (900, 2)) * (rng.random((900, 1)) < 0.1), axis=0)
+    p = np.stack([116 + walk[:, 0], 39 + walk[:, 1], np.cumsum(rng.integers(1, 200, 900)).astype(float)])
+    for gap in (None, 180.0):
+        whole = stays.StayScan(200, 10, gap)
+        want = whole.feed(p) + whole.finish()
+        for size in (1, 7, 400):
+            state, got = b"", []
+            for at in range(0, 900, size):
+                scan = stays.StayScan(200, 10, gap, state)
+                got += scan.feed(p[:, at : at + size])
+                state = scan.state()
+            assert got + stays.StayScan(200, 10, gap, state).finish() == want and len(want) > 5
+
+
 def test_rare_cells_are_next_cells(spark, small):
     from wayfarer import queries
 

@@ -304,14 +304,38 @@ def fil11(spark, d):
 # -- stays -----------------------------------------------------------------------------------------
 
 
-@query("sty1_detect_stays")
+_DOTS = """dots AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, lng, lat) AS i
+  FROM (SELECT user_id, CAST(t_in + k * 60 AS DOUBLE) AS ts, lng + (k % 3) * 1e-5 AS lng, lat FROM (SELECT *, unnest(range(0, CAST(floor((t_out - t_in) / 300) AS INTEGER) + 1)) AS k FROM stays)))"""
+# Points that may begin a stay (the one that completes its time is near), and where their runs end.
+_STARTS = f"""ready AS MATERIALIZED (SELECT a.user_id, a.i, min(b.i) AS k FROM dots a ASOF JOIN (SELECT user_id, ts, min(i) AS i FROM dots GROUP BY ALL) b ON a.user_id = b.user_id AND b.ts >= a.ts + 600 GROUP BY ALL),
+maybe AS MATERIALIZED (SELECT r.user_id, r.i, r.k, a.lng, a.lat FROM ready r JOIN dots a ON a.user_id = r.user_id AND a.i = r.i JOIN dots b ON b.user_id = r.user_id AND b.i = r.k WHERE {fx.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} <= 200),
+far AS (SELECT m.user_id, m.i, min(d.i) AS j FROM maybe m JOIN dots d ON d.user_id = m.user_id AND d.i > m.i AND {fx.haversine_sql('m.lat', 'm.lng', 'd.lat', 'd.lng', 6371000.0)} > 200 GROUP BY ALL),
+sizes AS (SELECT user_id, max(i) AS n FROM dots GROUP BY ALL),
+starts AS MATERIALIZED (SELECT m.user_id, m.i, coalesce(f.j, s.n + 1) AS j FROM maybe m JOIN sizes s USING (user_id) LEFT JOIN far f ON f.user_id = m.user_id AND f.i = m.i WHERE coalesce(f.j, s.n + 1) > m.k),
+nexts AS MATERIALIZED (SELECT a.user_id, a.i, a.j, b.i AS to_i FROM starts a ASOF LEFT JOIN starts b ON a.user_id = b.user_id AND b.i >= a.j),
+walk AS (SELECT n.*, 0 AS seq FROM nexts n JOIN (SELECT user_id, min(i) AS i FROM starts GROUP BY ALL) f USING (user_id, i)
+  UNION ALL SELECT n.*, w.seq + 1 FROM walk w JOIN nexts n ON n.user_id = w.user_id AND n.i = w.to_i),
+found AS MATERIALIZED (SELECT w.user_id, w.seq, avg(d.lng) AS lng, avg(d.lat) AS lat, min(d.ts) AS t_in, max(d.ts) AS t_out FROM walk w JOIN dots d ON d.user_id = w.user_id AND d.i >= w.i AND d.i < w.j GROUP BY ALL)"""
+_JOINED = f"""joined AS (SELECT user_id, seq AS n, 0 AS seq, lng, lat, t_in, t_out FROM found WHERE seq = 0
+  UNION ALL SELECT user_id, n, CASE WHEN near THEN seq ELSE seq + 1 END, CASE WHEN near THEN (lng * a + x * b) / (a + b) ELSE x END, CASE WHEN near THEN (lat * a + y * b) / (a + b) ELSE y END, CASE WHEN near THEN t_in ELSE f_in END, f_out
+  FROM (SELECT j.user_id, f.seq AS n, j.seq, j.lng, j.lat, j.t_in, f.lng AS x, f.lat AS y, f.t_in AS f_in, f.t_out AS f_out, greatest(1, j.t_out - j.t_in) AS a, greatest(1, f.t_out - f.t_in) AS b, {fx.haversine_sql('j.lat', 'j.lng', 'f.lat', 'f.lng', 6371000.0)} <= 200 AS near
+    FROM joined j JOIN found f ON f.user_id = j.user_id AND f.seq = j.n + 1))"""
+_STAY_COLUMNS = "user_id, CAST(seq AS INTEGER) AS seq, round(lng + 1e-9, 6) AS lng, round(lat + 1e-9, 6) AS lat, t_in, t_out"
+_STAYS_OF_POINTS = "WITH RECURSIVE " + ", ".join([S, _DOTS, _STARTS])
+
+
+def _stay_columns(raw: DataFrame) -> DataFrame:
+    return raw.select("user_id", "seq", mean6("lng"), mean6("lat"), "t_in", "t_out")
+
+
+@query("sty1_detect_stays", f"{_STAYS_OF_POINTS} SELECT {_STAY_COLUMNS} FROM found")
 def sty1(spark, d):
-    return st.detect_stays(fx.points(fx.stays(spark, d)), merge_metres=None)
+    return _stay_columns(st.detect_stays(fx.points(fx.stays(spark, d)), merge_metres=None))
 
 
-@query("sty2_merge_stays")
+@query("sty2_merge_stays", f"{_STAYS_OF_POINTS}, {_JOINED} SELECT {_STAY_COLUMNS} FROM joined QUALIFY row_number() OVER (PARTITION BY user_id, seq ORDER BY n DESC) = 1")
 def sty2(spark, d):
-    return st.detect_stays(fx.points(fx.stays(spark, d)))
+    return _stay_columns(st.detect_stays(fx.points(fx.stays(spark, d))))
 
 
 PLAIN = "stays AS (SELECT * REPLACE (round(lng - (seq % 5) * 300 / 1e6, 6) AS lng, round(lat - (seq % 3) * 200 / 1e6, 6) AS lat) FROM jittered)"
