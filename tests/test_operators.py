@@ -364,6 +364,22 @@ def test_a_search_goes_on_from_its_state():
             assert got + stays.StayScan(200, 10, gap, state).finish() == want and len(want) > 5
 
 
+def test_clusters_across_tasks_are_those_of_a_group(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for user, base, n in (("mid", 39.9, 700), ("north", 78.0, 300), ("south", -45.0, 200), ("one", 10.0, 1)):
+        # Rows of places close together, thin bridges of places between them, and single ones.
+        lat = base + np.concatenate([rng.normal(0, 0.004, n // 2), rng.random(n - n // 2) * 0.05])
+        lng = 116 + np.concatenate([rng.normal(0, 0.004, n // 2), rng.random(n - n // 2) * 0.05]) / math.cos(math.radians(base))
+        rows += [(user, DAY, i, float(i % 1440), 1440.0, float(x), float(y)) for i, (x, y) in enumerate(zip(lng, lat, strict=True))]
+    df = spark.createDataFrame(rows + rows[:50], STAY)
+    for metres in (120.0, 300.0):
+        near, far = relabel.rank_clusters(df, metres), relabel.rank_clusters(df, metres, most=0)
+        key = lambda r: (r["user_id"], r["p_n"], r["s_n"], *(round(r[c], 9) for c in ("p_lng", "p_lat", "s_lng", "s_lat")))
+        assert sorted(map(key, near.collect())) == sorted(map(key, far.collect())) and near.count() == 4
+    assert relabel.rank_clusters(df.limit(0), most=0).count() == 0
+
+
 def test_rare_cells_are_next_cells(spark, small):
     from wayfarer import queries
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_METRES, cell_floor, haversine
+from ..functions.graph import BROADCAST_ROWS, components
+from ..sources.readers import counted, stored
 from .anchors import intent
 
-_CLUSTERS = "user_id string, cluster int, n long, lng double, lat double"
+#: Distinct places of a user that one task links; about 100 bytes each.
+MOST_PLACES = 100_000
 
 
 def rank_cells(stays: DataFrame, degrees: float = 0.001) -> DataFrame:
@@ -78,26 +83,82 @@ def eps_components(lng: np.ndarray, lat: np.ndarray, metres: float) -> np.ndarra
     return np.argsort(np.argsort(start))[label]
 
 
-def rank_clusters(stays: DataFrame, metres: float = 300.0) -> DataFrame:
+def rank_clusters(stays: DataFrame, metres: float = 300.0, most: int = MOST_PLACES) -> DataFrame:
     """The two largest clusters of each user: components of the graph of places within ``metres``, visits counted.
 
-    Only distinct coordinates of a user with their visits meet in a task.
+    Only distinct coordinates of a user with their visits count. Users of up to ``most`` of them are one group each; the
+    places of others are linked across tasks (``far_clusters``), with the same result.
     """
     places = stays.groupBy("user_id", "lng", "lat").agg(F.count("*").alias("n"), F.min(F.struct("date", "start_min", "seq")).alias("seen"))
-    places = places.select("user_id", "lng", "lat", "n", F.unix_date(F.col("seen.date").cast("date")).alias("d"), F.col("seen.start_min").alias("m"), F.col("seen.seq").alias("s"))
+    places = stored(places.select("user_id", "lng", "lat", "n", F.struct(F.unix_date(F.col("seen.date").cast("date")).alias("d"), F.col("seen.start_min").alias("m"), F.col("seen.seq").alias("s")).alias("seen")))
+    large, n = counted(places.groupBy("user_id").count().where(F.col("count") > most).select("user_id"))
+    found = near_clusters(places if not n else places.join(large, "user_id", "left_anti"), metres)
+    if n:
+        # Users with so many places are few; their rows are spread by place, whatever the user.
+        found = found.unionByName(far_clusters(places.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "user_id"), metres))
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "seen"))).where("r <= 2")
+    return _two(top, ["n", "lng", "lat"])
+
+
+def near_clusters(places: DataFrame, metres: float) -> DataFrame:
+    """``(user_id, n, lng, lat, seen)`` of the clusters of ``places(user_id, lng, lat, n, seen)``, each user a group."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["s"], pdf["m"], pdf["d"]))
-        lng, lat, n = (pdf[c].to_numpy()[order] for c in ("lng", "lat", "n"))
+        pdf = pdf.sort_values(["d", "m", "s"], kind="stable")
+        lng, lat, n = (pdf[c].to_numpy() for c in ("lng", "lat", "n"))
         label = eps_components(lng, lat, metres)
-        visits = np.bincount(label, n)
-        return pd.DataFrame({"user_id": key[0], "cluster": np.arange(len(visits), dtype=np.int32), "n": visits.astype(np.int64), "lng": np.bincount(label, lng * n) / visits, "lat": np.bincount(label, lat * n) / visits})
+        visits, first = np.bincount(label, n), np.unique(label, return_index=True)[1]
+        return pd.DataFrame({"user_id": key[0], "n": visits.astype(np.int64), "lng": np.bincount(label, lng * n) / visits, "lat": np.bincount(label, lat * n) / visits, **{c: pdf[c].to_numpy()[first] for c in "dms"}})
 
     # Few bytes but much work: as many tasks as set, not as few as the bytes would fill.
-    spread = places.repartition(int(stays.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
-    found = spread.groupBy("user_id").applyInPandas(run, _CLUSTERS)
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "cluster"))).where("r <= 2")
-    return _two(top, ["n", "lng", "lat"])
+    spread = places.select("user_id", "lng", "lat", "n", "seen.*").repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    kinds = {f.name: f.dataType.simpleString() for f in places.schema["seen"].dataType}
+    found = spread.groupBy("user_id").applyInPandas(run, f"user_id string, n long, lng double, lat double, d {kinds['d']}, m {kinds['m']}, s {kinds['s']}")
+    return found.select("user_id", "n", "lng", "lat", F.struct("d", "m", "s").alias("seen"))
+
+
+def far_clusters(places: DataFrame, metres: float) -> DataFrame:
+    """``near_clusters`` for users of any number of places: no user is a group.
+
+    Places of a box whose diagonal is shorter than ``metres`` are linked at once. Boxes near enough to hold a link meet by their
+    places in the grid; those whose first places are near are linked, and components of these are formed. Only
+    boxes that are still apart then compare the places that lie near the other box, and what they link is joined once more.
+    """
+    degree = math.radians(1) * 6371000.0
+    side, reach = 0.999 * metres / math.sqrt(2) / degree, 1.001 * metres / degree
+    cell = lambda c: F.floor(F.col(c) / F.lit(side))
+    rows = places.withColumn("y", cell("lat")).withColumn("x", cell("lng"))
+    boxes = rows.groupBy("user_id", "y", "x").agg(
+        F.sum("n").alias("n"), F.sum(F.col("lng") * F.col("n")).alias("sx"), F.sum(F.col("lat") * F.col("n")).alias("sy"), F.min("seen").alias("seen"), F.min(F.struct("lng", "lat")).alias("one"),
+        *[f(c).alias(f"{k}_{c}") for c in ("lng", "lat") for k, f in (("lo", F.min), ("hi", F.max))],
+    )
+    boxes = stored(boxes.withColumn("id", F.monotonically_increasing_id()))
+    # Offsets to boxes that may hold a link: up to two rows on, and as many columns as the reach has where the row is narrowest.
+    wide = F.ceil(F.lit(reach / side) / F.greatest(F.lit(0.01), F.cos(F.radians((F.abs(F.col("y")) + 3) * side + reach))))
+    there = boxes.select("user_id", F.col("id").alias("b"), "y", "x", *[F.col(c).alias(f"b_{c}") for c in ("one", "lo_lng", "hi_lng", "lo_lat", "hi_lat")])
+    here = boxes.select("user_id", F.col("id").alias("a"), F.col("y").alias("a_y"), F.col("x").alias("a_x"), wide.alias("wide"), *[F.col(c).alias(f"a_{c}") for c in ("one", "lo_lng", "hi_lng", "lo_lat", "hi_lat")])
+    here = here.withColumn("dy", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 1, 2)]))).withColumn("dx", F.explode(F.sequence(F.when(F.col("dy") == 0, F.lit(1)).otherwise(-F.col("wide")).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("wide")))))
+    pairs = here.withColumn("y", F.col("a_y") + F.col("dy")).withColumn("x", F.col("a_x") + F.col("dx")).join(there, ["user_id", "y", "x"])
+    near = haversine("a_one.lat", "a_one.lng", "b_one.lat", "b_one.lng", R_METRES) <= metres
+    pairs = stored(pairs.select("user_id", "a", "b", near.alias("near"), *[f"{s}_{k}_{c}" for s in "ab" for k in ("lo", "hi") for c in ("lng", "lat")]))
+    first = stored(components(pairs.where("near").select("a", "b")))
+    of = lambda key: first.select(F.col("id").alias(key), F.col("component").alias(f"{key}_root"))
+    apart = pairs.where("NOT near").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"a_root": F.coalesce("a_root", "a"), "b_root": F.coalesce("b_root", "b")}).where("a_root != b_root")
+    # Of the places of a box, those that the other one's extent is within reach of.
+    at = rows.select("user_id", "y", "x", "lng", "lat").join(boxes.select("user_id", "y", "x", "id"), ["user_id", "y", "x"]).select("id", "lng", "lat")
+    across = F.lit(reach) / F.greatest(F.lit(0.01), F.cos(F.radians(F.greatest(F.abs("a_hi_lat"), F.abs("b_hi_lat"), F.abs("a_lo_lat"), F.abs("b_lo_lat")) + reach)))
+
+    def close(c: str, s: str) -> Column:
+        room = F.lit(reach) if c == "lat" else F.col("across")
+        return F.col(c).between(F.col(f"{s}_lo_{c}") - room, F.col(f"{s}_hi_{c}") + room)
+
+    open_ = stored(apart.withColumn("across", across))
+    some = lambda own, other: open_.join(at.withColumnRenamed("id", own), own).where(close("lng", other) & close("lat", other)).select("a", "b", "a_root", "b_root", F.col("lng").alias(f"{own}_lng"), F.col("lat").alias(f"{own}_lat"))
+    met = some("a", "b").join(some("b", "a").drop("a_root", "b_root"), ["a", "b"]).where(haversine("a_lat", "a_lng", "b_lat", "b_lng", R_METRES) <= metres)
+    second = stored(components(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()))
+    labelled = boxes.join(of("id"), "id", "left").withColumn("id_root", F.coalesce("id_root", "id")).join(second.select(F.col("id").alias("id_root"), "component"), "id_root", "left")
+    clusters = labelled.groupBy("user_id", F.coalesce("component", "id_root").alias("label")).agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.min("seen").alias("seen"))
+    return clusters.select("user_id", "n", (F.col("sx") / F.col("n")).alias("lng"), (F.col("sy") / F.col("n")).alias("lat"), "seen")
 
 
 def relabel_by_cell(stays: DataFrame, ranks: DataFrame, degrees: float = 0.001) -> DataFrame:
