@@ -380,6 +380,20 @@ def test_clusters_across_tasks_are_those_of_a_group(spark):
     assert relabel.rank_clusters(df.limit(0), most=0).count() == 0
 
 
+def test_nearest_places_of_many_tiles(spark):
+    rng = np.random.default_rng(14)
+    known = [(float(a), float(b)) for a, b in np.concatenate([rng.normal(0, 0.2, (400, 2)), rng.integers(-9, 9, (200, 2)), [[60.0, 170.0]]])]
+    spots = [(float(a), float(b)) for a, b in np.concatenate([rng.normal(0, 0.3, (300, 2)), rng.integers(-19, 19, (200, 2)) / 2, [[-80.0, -179.0], [60.0, 171.0]]])]
+    rows = [(i, *s) for i, s in enumerate(spots + spots[:40] + [spots[7]] * 3000)] + [(9999, None, 1.0)]
+    df = spark.createDataFrame(rows, "seq int, lat double, lng double").repartition(6)
+    places = spark.createDataFrame(known + known[:9], "lat double, lng double")
+    want = {s: min(known, key=lambda k: ((s[0] - k[0]) * (s[0] - k[0]) + (s[1] - k[1]) * (s[1] - k[1]), k)) for s in spots}
+    for tile in (4, 50, 1024):
+        got = {r["seq"]: (r["lat"], r["lng"]) for r in metrics.snap_to_known(df, places, tile=tile).collect()}
+        assert got == {i: want[y, x] for i, y, x in rows[:-1]}
+    assert metrics.snap_to_known(df, places.limit(0)).count() == 0 == metrics.snap_to_known(df.limit(0), places).count()
+
+
 def test_rare_cells_are_next_cells(spark, small):
     from wayfarer import queries
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_KM_MEAN, haversine, metric_centre_lat, metric_centre_lng, metric_column, metric_row
-from ..sources.readers import stored
+from ..functions.graph import join_skewed
+from ..sources.readers import counted, stored
+from .nearest import TILE, nearest_places, pack_tiles
 from .scales import BANDS, band
 
 BINS, SMOOTH = 100, 1e-9
@@ -27,45 +29,22 @@ def coarse(pts: DataFrame, metres: float = 500.0, slots: int = 48) -> DataFrame:
     return pts.withColumns({"t_start": snap("t_start"), "t_end": snap("t_end"), "lat": metric_centre_lat("lat", metres), "lng": metric_centre_lng("lat", "lng", metres)})
 
 
-def snap_to_known(pts: DataFrame, known: DataFrame, degrees: float = 0.01, rings: int = 6, places_equal: int | None = None) -> DataFrame:
+def snap_to_known(pts: DataFrame, known: DataFrame, places_equal: int | None = None, tile: int = TILE) -> DataFrame:
     """Moves points to the nearest location of ``known(lat, lng)`` by distance in degrees; ties to the smaller
-    location. With ``places_equal``, squares that agree to so many places are ties too.
+    location. With ``places_equal``, squares that agree to so many places are ties too. Points without a place go.
 
-    Only distinct coordinates search, in buckets: first the nine around their own, then ever wider rings
-    for those whose best candidate may still be beaten. What no ring settles meets whole degrees first, whose
-    number doesn't grow with the data, and then the locations of those degrees that may hold the nearest one.
+    Distinct coordinates search a packed index of the locations (``nearest``), once; points then meet their answers, those of
+    popular coordinates dealt over several tasks.
     """
-    places = stored(known.select(F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")).distinct().withColumn("kx", F.floor(F.col("k_lng") / degrees)).withColumn("ky", F.floor(F.col("k_lat") / degrees)))
+    locations, n = counted(known.select(F.col("lat").cast("double").alias("k_lat"), F.col("lng").cast("double").alias("k_lng")).where("k_lat IS NOT NULL AND k_lng IS NOT NULL").distinct())
+    spots = stored(pts.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("lat", "lng").agg(F.count("*").alias("n")))
+    total = spots.agg(F.sum("n")).first()[0] or 0
     d2 = (F.col("lat") - F.col("k_lat")) * (F.col("lat") - F.col("k_lat")) + (F.col("lng") - F.col("k_lng")) * (F.col("lng") - F.col("k_lng"))
     best = F.min(F.struct((d2 if places_equal is None else F.round(d2, places_equal)).alias("d2"), F.col("k_lat"), F.col("k_lng"))).alias("b")
-    open_, settled, width = stored(pts.select("lat", "lng").distinct()), None, 1
-    for _ in range(rings):
-        around = F.sequence(F.lit(-width), F.lit(width))
-        probes = open_.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("kx", F.floor(F.col("lng") / degrees) + F.col("dx")).withColumn("ky", F.floor(F.col("lat") / degrees) + F.col("dy"))
-        found = probes.join(places, ["kx", "ky"]).groupBy("lat", "lng").agg(best)
-        sure = stored(found.where(F.col("b.d2") <= (width * degrees) ** 2).select("lat", "lng", "b.k_lat", "b.k_lng"))
-        settled = sure if settled is None else settled.unionByName(sure)
-        open_ = stored(open_.join(sure.select("lat", "lng"), ["lat", "lng"], "left_anti"))
-        if open_.isEmpty():
-            break
-        width *= 2
-    else:
-        rest = _nearest_by_degree(open_, places.select("k_lat", "k_lng"), best)
-        settled = rest if settled is None else settled.unionByName(rest)
-    return pts.join(settled, ["lat", "lng"]).withColumns({"lat": F.col("k_lat"), "lng": F.col("k_lng")}).drop("k_lat", "k_lng")
-
-
-def _nearest_by_degree(spots: DataFrame, places: DataFrame, best: Column) -> DataFrame:
-    """The nearest place of each spot by way of whole degrees: of their boxes, those no further than the nearest box's far corner."""
-    places = places.withColumn("gx", F.floor("k_lng")).withColumn("gy", F.floor("k_lat"))
-    boxes = places.groupBy("gx", "gy").agg(F.min("k_lat").alias("s"), F.max("k_lat").alias("n"), F.min("k_lng").alias("w"), F.max("k_lng").alias("e"))
-    square = lambda y, x: y * y + x * x
-    near = square(F.greatest(F.lit(0.0), F.col("s") - F.col("lat"), F.col("lat") - F.col("n")), F.greatest(F.lit(0.0), F.col("w") - F.col("lng"), F.col("lng") - F.col("e")))
-    far = square(F.greatest(F.col("lat") - F.col("s"), F.col("n") - F.col("lat")), F.greatest(F.col("lng") - F.col("w"), F.col("e") - F.col("lng")))
-    boxes = F.broadcast(boxes)  # 64,800 on the globe
-    reach = spots.join(boxes).groupBy("lat", "lng").agg(F.min(far).alias("reach"))
-    wanted = reach.join(boxes).where(near <= F.col("reach")).select("lat", "lng", "gx", "gy")
-    return wanted.join(places, ["gx", "gy"]).groupBy("lat", "lng").agg(best).select("lat", "lng", "b.k_lat", "b.k_lng")
+    found = nearest_places(spots, pack_tiles(locations, n, tile), 0.0 if places_equal is None else 2 * 10.0**-places_equal)
+    settled = stored(found.groupBy("lat", "lng").agg(F.max("n").alias("_n"), best)).select("lat", "lng", "_n", "b.k_lat", "b.k_lng")
+    spread = next(c for c in pts.columns if c not in ("lat", "lng")) if len(pts.columns) > 2 else "lat"
+    return join_skewed(pts, settled, ["lat", "lng"], "_n", total, spread).withColumns({"lat": F.col("k_lat"), "lng": F.col("k_lng")}).drop("k_lat", "k_lng", "_n")
 
 
 def steps(pts: DataFrame) -> DataFrame:
