@@ -394,6 +394,16 @@ def test_nearest_places_of_many_tiles(spark):
     assert metrics.snap_to_known(df, places.limit(0)).count() == 0 == metrics.snap_to_known(df.limit(0), places).count()
 
 
+def test_kernel_means_are_within_their_bound():
+    from wayfarer.operators import priors
+
+    rng = np.random.default_rng(4)
+    bound = 2.2 * 0.5**priors.TERMS / math.sqrt(math.factorial(priors.TERMS))
+    for d in (rng.normal(0, 1.5, (3, 400)), np.log(np.maximum(0.05, rng.random((2, 300)) * 40)), np.full((2, 5), 0.7), rng.random((1, 1))):
+        for width in (0.05, 0.22, 0.5, 3.0):
+            assert np.abs(priors.kernel_means(d, width) - priors.exact_kernel_means(d, width)).max() <= bound < 1e-11
+
+
 def test_rare_cells_are_next_cells(spark, small):
     from wayfarer import queries
 

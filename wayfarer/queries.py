@@ -726,7 +726,7 @@ def pri8(spark, d):
 
 @query("pri10_density_of_all_cells", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS) + " SELECT prev, scale, cell, round(log_density, 5) AS log_density FROM dens")
 def pri10(spark, d):
-    out = pr.log_cell_density(grid(spark, d)[2], SCALES)
+    out = pr.log_cell_density(grid(spark, d)[2], SCALES, exact=True)
     return longs(out.select("prev", "scale", "cell", F.round("log_density", 5).alias("log_density")))
 
 
@@ -735,8 +735,7 @@ _PRI9 = f" SELECT prev, scale, cell, round(score, 6) AS score, nth FROM (SELECT
 
 @query("pri9_next_cells", with_sql(S, META, CELLED, VOCAB1, LOGD, DENS, _MIX) + _PRI9)
 def pri9(spark, d):
-    vocab = rd.stored(grid(spark, d)[2])
-    out = pr.next_cells(pr.log_distances(vocab), pr.log_cell_density(vocab, SCALES), SCALES.table(spark))
+    out = pr.next_cells(rd.stored(grid(spark, d)[2]), SCALES)
     return longs(out.select("prev", "scale", "cell", F.round("score", 6).alias("score"), "nth"))
 
 
