@@ -1,14 +1,15 @@
 """Main text of web pages: flat blocks, words and links of a block and its neighbours, a decision tree.
 
 A page is read once from front to back. Block-level tags cut its text into blocks; each gets its number
-of words and the share of words inside links. A small decision tree over these two numbers of the block
-and of the two blocks on either side keeps or drops it; the tree is grown on the labelled page sketches
-below. What counts can't tell (a reader's comment reads like an article) is settled after the tree:
+of words, the share of words inside links, and whether its tag makes it a heading, a paragraph or neither. A
+small decision tree over these numbers of the block and the first two of the two blocks on either side keeps or
+drops it; the tree is grown on the labelled page sketches below. What counts can't tell (a reader's comment reads like an article) is settled after the tree:
 blocks inside an element that the page itself marks as something else (menu, footer, form, comments,
 advert, hidden) go as well. On the given tables the tree alone settles every block.
 
 Defined cases: a null or empty page, and one without kept blocks, has an empty text; tags that are never
-closed end with their container; a page of any length is read whole, in time linear in its length;
+closed end with their container; an element that isn't shown as text and is never closed, or closes itself, hides only its
+tag, but a script or style that is never closed runs to the end of the page, as in browsers; a page of any length is read whole, in time linear in its length;
 repeated rows give the same; other columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from . import tables
 
 # Element names, roles, and whole parts of class and id attributes.
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Elements that are nothing but data to a browser until their end tag, and ones that may close themselves.
+_DATA, _FOREIGN = set("script style".split()), set("svg math".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
 _CONTAINER = set("article aside body details dialog div fieldset figure footer form header html main menu nav ol section table tbody tfoot thead tr td th ul dl button label".split())
@@ -53,6 +56,8 @@ class Block:
     words: int
     link: float
     marked: bool
+    #: 2 for a heading, 1 for a paragraph, else 0.
+    kind: int = 0
 
 
 def _is_bad_token(token: str) -> bool:
@@ -78,13 +83,17 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _kind(name: str) -> int:
+    return 2 if len(name) == 2 and name[0] == "h" and name[1].isdigit() else int(name == "p")
+
+
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, begins an article, is marked
-    articles = marks = links = 0
+    articles = marks = links = kind = 0
     open_names: dict[str, int] = {}
     gone: set[str] = set()  # names without a further end tag
 
@@ -94,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 inside = len(html.unescape(" ".join(linked)).split())
-                out.append(Block(text, n, min(1.0, inside / n), marks > 0))
+                out.append(Block(text, n, min(1.0, inside / n), marks > 0, kind))
             parts.clear()
             linked.clear()
 
@@ -106,7 +115,7 @@ def blocks(page: str) -> list[Block]:
 
     def end_of(name: str, at: int) -> int | None:
         """Behind the next end tag of that name; each name is looked for in vain once."""
-        found = None if name in gone else re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+        found = None if name in gone else re.compile(f"</{name}\\b[^<>]*>", re.I).search(page, at)
         if found is None:
             gone.add(name)
         return found.end() if found else None
@@ -146,6 +155,7 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name not in _INLINE:
                 close()
+                kind = 0
                 if name in open_names:
                     i = len(stack) - 1
                     while stack[i][0] != name:
@@ -155,7 +165,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _RAW:
             if name != "head":
-                at = end_of(name, at) or size
+                closed = name in _FOREIGN and m[3].endswith("/")
+                at = at if closed else end_of(name, at) or (size if name in _DATA else at)
                 if name in ("title", "svg", "math", "canvas", "object", "iframe"):
                     continue
             close()
@@ -168,6 +179,7 @@ def blocks(page: str) -> list[Block]:
                 at = end_of(name, at) or at
         else:
             close()
+            kind = _kind(name)
             if name in _CONTAINER and name not in _VOID and not m[3].endswith("/"):
                 push(name, name in ("article", "main"), _marked(name, m[3], articles > 0))
                 links = 0
@@ -181,8 +193,8 @@ def blocks(page: str) -> list[Block]:
 
 # -- decision tree -------------------------------------------------------------------------------
 
-#: Labelled pages as sketches of their blocks, each its number of words, then + (kept) or - (dropped);
-#: "1l" is a dropped link of one word, "30@.5+" a kept block with half of its words in links.
+#: Labelled pages as sketches of their blocks, each its number of words, then h or p if its tag says so, then + (kept) or
+#: - (dropped); "1l" is a dropped link of one word, "30@.5p+" a kept paragraph with half of its words in links.
 SKETCHES = (
     "1l 1l 2l 1l 8- 9+ 60+ 85+ 3+ 44+ 120+ 15-",
     "1l 1l 1l 1l 12- 10+ 30+ 9-",
@@ -205,6 +217,33 @@ SKETCHES = (
     "3l 2l 4l 18- 9+ 40+ 8-",
     "1+",
     "14+",
+    "1l 1l 1l 1l 8- 9h+ 60p+ 85p+ 3p+ 44p+ 120p+ 15-",
+    "1l 1l 1l 12- 10h+ 30p+ 9-",
+    "1l 3l 1l 5- 4h+ 12p+ 2p+ 1p+ 70p+ 1p+ 12-",
+    "1l 1l 1l 1l 13- 24h+ 95p+ 30p+ 1p+ 16-",
+    "2l 1l 1l 6- 11h+ 200p+ 140@.1p+ 4p+ 14-",
+    "1l 1l 1l 7- 2h+ 5p+ 3p+ 8-",
+    "1l 2l 1l 1l 8h+ 3p+ 60p+ 40p+ 12-",
+    "1l 1l 2l 6h+ 4+ 50p+ 30p+ 18p+ 9-",
+    "2l 1l 3l 10h+ 2+ 25p+ 70p+ 7p+",
+    "1l 1l 1l 9h+ 14p+ 70p+ 33p+",
+    "3l 1l 2l 5h+ 8p+ 20p+ 45p+ 5p+",
+    "12h+ 3p+ 90p+ 6h+ 40p+ 12p+",
+    "1l 2l 11h+ 70p+ 25p+ 3h- 4l 6l 5l",
+    "2l 2l 7h+ 40p+ 30p+ 55p+ 5l 7l 6l 8l 10-",
+    "1l 1l 9h+ 35p+ 6+ 9+ 4+ 12+ 3+ 48p+ 20p+ 11-",
+    "1l 2l 1l 8h+ 50p+ 1+ 2+ 1+ 3+ 2+ 1+ 40p+ 15p+",
+    "18- 1l 1l 1l 9h+ 42p+ 61p+ 9p+ 6-",
+    "2l 1l 7h+ 26@.3p+ 80@.1p+ 12@.5p+ 31p+ 2l 2l 1l",
+    "10h+ 2p+ 5p+ 60p+ 3h+ 25p+ 2h+ 44p+ 8-",
+    "1l 1l 1l 14h+ 3p+ 16p+ 20p+ 9p+ 3l 4l 13-",
+    "5h+ 20p+ 6p+",
+    "3l 4l 2h- 6l 5l 7l 9h+ 30p+ 50p+ 2h- 3l 5l",
+    "40p+",
+    "60p+ 60+",
+    "45p+ 70+ 90p+ 55+",
+    "50+ 80+",
+    "9h+",
 )
 
 
@@ -212,17 +251,17 @@ def sketched(sketches: tuple[str, ...] = SKETCHES) -> np.ndarray:
     """The labelled table: ``features`` of each sketched block, then 1 (kept) or 0."""
     rows = []
     for page in sketches:
-        found = re.findall(r"(\d+)(?:@([.\d]+))?([-+l])", page)
-        shape = [(int(n), 1.0 if kind == "l" else float(share or 0)) for n, share, kind in found]
-        rows += [(*f, kind == "+") for f, (_, _, kind) in zip(features(shape), found, strict=True)]
+        found = re.findall(r"(\d+)(?:@([.\d]+))?([hp]?)([-+l])", page)
+        shape = [(int(n), 1.0 if kept == "l" else float(share or 0), " ph".index(kind or " ")) for n, share, kind, kept in found]
+        rows += [(*f, kept == "+") for f, (_, _, _, kept) in zip(features(shape), found, strict=True)]
     return np.array(rows, float)
 
 
-def features(shape: list[tuple[int, float]]) -> list[tuple[float, ...]]:
-    """Words and link share of each block, of the two before and of the two behind it; zeros beyond the page's ends."""
-    edge = [(0, 0.0)] * 2
+def features(shape: list[tuple[int, float, int]]) -> list[tuple[float, ...]]:
+    """Words, link share and kind of each block, words and link share of the two before and behind it; zeros beyond the page's ends."""
+    edge = [(0, 0.0, 0)] * 2
     wide = [*edge, *shape, *edge]
-    return [(*wide[i + 2], *wide[i + 1], *wide[i + 3], *wide[i], *wide[i + 4]) for i in range(len(shape))]
+    return [(*wide[i + 2], *(x for j in (1, 3, 0, 4) for x in wide[i + j][:2])) for i in range(len(shape))]
 
 
 @dataclass
@@ -234,8 +273,8 @@ class Node:
     high: Node | None = None
 
 
-def grow(rows: np.ndarray, depth: int = 8, least: int = 1) -> Node:
-    """Splits by the largest drop in Gini impurity; equal drops go to the first feature and limit."""
+def grow(rows: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+    """Splits by the largest drop in Gini impurity, into leaves of two rows at least; equal drops go to the first feature and limit."""
     x, y = rows[:, :-1], rows[:, -1]
     node = Node(bool(y.mean() >= 0.5))
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -266,7 +305,7 @@ def keeps(tree: Node, row: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None, tree: Node) -> str:
     found = blocks(page or "")
-    shape = features([(b.words, b.link) for b in found])
+    shape = features([(b.words, b.link, b.kind) for b in found])
     return "\n".join(b.text for b, row in zip(found, shape, strict=True) if keeps(tree, row) and not b.marked)
 
 
