@@ -395,6 +395,53 @@ def test_an_element_that_never_ends_hides_itself_alone(tag):
     assert op07_html.main_text(f"<p>{after}</p><svg><text>x</text></svg><p>{after}</p><script>x", op07_html.Node(True)) == f"{after}\n{after}"
 
 
+def test_language_sample_is_blind_to_repeats(spark):
+    rows = [(i, f"{lang} {' '.join(w for _ in range(i % 7 + 1))} {i}", lang, "s", 0, None, None) for lang, w in (("en", "the house"), ("de", "das haus")) for i in range(90)]
+    p = op02_language.LanguageParams(per_language=25, epochs=1, windows=2)
+    once = op02_language.fit(spark.createDataFrame(rows, DOC), p)
+    again = rows + rows[:40] * 30 + [(1000 + r[0], *r[1:]) for r in rows if r[0] % 4 == 0 for _ in range(5)]
+    kept = [r for r in again if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    texts = {(r[1], r[2]) for r in kept}
+    same = op02_language.fit(spark.createDataFrame(rows + rows[:40] * 30, DOC), p)
+    assert all(np.array_equal(once.net.w[k], same.net.w[k]) for k in once.net.w) and len(texts) >= 100
+    sizes = []
+    real = op02_language.fit_sample
+    try:
+        op02_language.fit_sample = lambda sample, p: sizes.append(sample) or real(sample, p)
+        op02_language.fit(spark.createDataFrame(again, DOC), p)
+    finally:
+        op02_language.fit_sample = real
+    assert len(sizes[0]) == 50 == len(set(sizes[0]))
+    none = op02_language.fit(documents(spark, []), p)
+    assert none.languages == [] and op02_language.identify(documents(spark, []), none).count() == 0
+
+
+def test_language_pooling_is_the_plain_mean_over_positions():
+    p = op02_language.LanguageParams(window=8, hidden=4, block=3)
+    net = byte_gru.ByteGru(4, 3, seed=2)
+    model = op02_language.LanguageModel(p, ["a", "b", "c"], net)
+    texts = ["x", "some words here and there", "é" * 11, "12345678", "a" * 30]
+    names, scores = model.predict(pa.array(texts, pa.large_string()))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), 8):
+            x = np.frombuffer(raw[at : at + 8], np.uint8)[:, None]
+            f, b, h = [], [], 4
+            for out, order, d in ((f, range(len(x)), "f"), (b, range(len(x) - 1, -1, -1), "b")):
+                s = np.zeros(h)
+                for t in order:
+                    gate, inner = net.w["x" + d][:, x[t, 0]], net.w["u" + d] @ s
+                    z, r = (1 / (1 + np.exp(-(gate[i : i + h] + inner[i : i + h]))) for i in (0, h))
+                    s = (1 - z) * np.tanh(gate[2 * h :] + r * inner[2 * h :]) + z * s
+                    out.append(s)
+            for k in range(len(x)):
+                e = np.exp(net.w["out"] @ np.concatenate([f[k], b[len(x) - 1 - k]]) + net.w["bias"][:, 0])
+                total += e / e.sum()
+        mean = total / len(raw)
+        want = "abc"[int(mean.argmax())] if any(c.isalpha() for c in text) else "und"
+        assert name == want and (want == "und" or abs(score - mean.max()) < 1e-5)
+
+
 def test_licences_are_brute_force(spark):
     texts = [*ODD, "cc by cc-by CC.By", "All rights", "reserved", "GNU general public license all rights reserved ALL RIGHTS RESERVED", "é cc", "by", "so Released under the MIT License. end", "released then under a mit thing license"]
     rows = {r["doc_id"]: r for r in op10_licences.scan(documents(spark, texts)).collect()}

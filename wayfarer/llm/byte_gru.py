@@ -30,8 +30,9 @@ class ByteGru:
         self.w["out"] = rng.normal(0, 0.3, (labels, 2 * h)).astype(np.float32)
         self.w["bias"] = np.zeros((labels, 1), np.float32)
 
-    def _steps(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (steps x hidden x sequences) in reading order of direction ``d``, and what training needs."""
+    def _steps(self, x: np.ndarray, d: str, keep: bool, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States (steps x hidden x sequences) in reading order of direction ``d``, and what training needs. Outside of
+        ``inside`` (steps x sequences) a state stays at its beginning."""
         h, w, u = self.hidden, self.w["x" + d], self.w["u" + d]
         steps, n = x.shape
         states, kept = np.empty((steps, h, n), np.float32), []
@@ -51,15 +52,18 @@ class ByteGru:
             new += cand
             if keep:
                 kept.append((t, s, z, r, cand, gate_s[2 * h :]))
+            if inside is not None:
+                new *= inside[t]
             s = new
             states[t] = s
         return states, kept
 
-    def position_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Label probabilities (steps x labels x sequences) of bytes ``x`` (steps x sequences)."""
+    def position_probabilities(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities (steps x labels x sequences) of bytes ``x`` (steps x sequences), of which only ``inside`` ones are
+        a sequence's own."""
         h, out = self.hidden, self.w["out"]
         f, _ = self._steps(x, "f", False)
-        b, _ = self._steps(x, "b", False)
+        b, _ = self._steps(x, "b", False, inside)
         logits = np.matmul(out[:, :h], f)
         logits += np.matmul(out[:, h:], b)
         logits += self.w["bias"]

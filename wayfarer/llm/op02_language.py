@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained on the driver from a bounded sample (``per_language`` texts of each language in
-hash order, ``windows`` windows of each). A text is read whole, in windows of ``window`` bytes; every
+The network is trained on the driver from a bounded sample: ``per_language`` distinct texts of each language in
+the order of their hashes, of at most ``longest`` bytes each, ``windows`` windows of each. A text is read whole, in windows of ``window`` bytes; every
 position gets label probabilities, and their mean over all positions of the text is its distribution.
 
 Defined cases: a null text and a text without any letter get ``und`` with score 0; without labelled
 rows everything is ``und``; with one language that one is predicted; a text of any length is read
-window by window; repeated rows and clashing extra columns change nothing.
+window by window; equal probabilities go to the first language by name; repeated rows teach once, under whatever id, and
+clashing extra columns change nothing.
 """
 
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
@@ -70,9 +71,10 @@ class LanguageModel:
             own = order[at : at + p.block]
             steps = int(fill[own[0]])
             x = padded[np.arange(steps)[:, None] + start[own][None]]
-            prob = self.net.position_probabilities(x)
             inside = np.arange(steps)[:, None] < fill[own][None]
-            if not inside.all():
+            whole = inside.all()
+            prob = self.net.position_probabilities(x, None if whole else inside)
+            if not whole:
                 prob *= inside[:, None]
             each = prob.sum(axis=0)
             for k in range(len(self.languages)):
@@ -121,22 +123,23 @@ def fit_sample(sample: list[tuple[str, str]], p: LanguageParams = LanguageParams
 
 
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Trains on the bounded sample of rows of ``docs(doc_id, text, lang, ...)`` that ``held_out`` leaves."""
+    """Trains on the bounded sample of rows of ``docs(doc_id, text, lang, ...)`` that ``held_out`` leaves.
+
+    A text counts by the hash of its whole, once a language. Some more than ``per_language`` hashes of each language are let
+    through, by the number of its distinct ones, then the first ones are taken.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, p.longest))
+    known = known.withColumn("place", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
+    share = lambda n: min(1.0, 1.5 * p.per_language / n + 20 / n)
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (place < int(min(1.0, 1.5 * p.per_language / n + 20 / n) * 1_000_000) + 1))
-    sample = known.where(chosen & (F.octet_length("text").between(1, p.longest))).select("text", "lang", place.alias("place"), "doc_id").collect() if counts else []
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(sample, key=lambda r: (r["place"], r["doc_id"], r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= p.per_language:
-            out.append((r["text"], r["lang"]))
-    return fit_sample(out, p)
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("place") <= min(2**63 - 1, int((2 * share(n) - 1) * 2**63))))
+    first = known.where(chosen).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy("place")
+    sample = first.withColumn("k", F.row_number().over(w)).where(F.col("k") <= p.per_language).orderBy("lang", "place").collect() if counts else []
+    return fit_sample([(r["text"], r["lang"]) for r in sample], p)
 
 
 def identify(docs: DataFrame, model: LanguageModel, name: str = "language") -> DataFrame:
