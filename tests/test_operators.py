@@ -394,6 +394,41 @@ def test_nearest_places_of_many_tiles(spark):
     assert metrics.snap_to_known(df, places.limit(0)).count() == 0 == metrics.snap_to_known(df.limit(0), places).count()
 
 
+def test_a_run_over_points_reports_what_it_lost(spark):
+    day, at = 86400, {"home": (116.4, 39.9), "work": (116.45, 39.95), "far": (100.0, 20.0), "there": (100.05, 20.05)}
+    points = []
+
+    def stay(user, place, t, n=5):
+        points.extend((user, t + m * 300.0, at[place][0] + 1e-7, at[place][1]) for m in range(n))
+
+    for user, places, days in (("kept", ("home", "work"), 5), ("short", ("home", "work"), 2), ("away", ("far", "there"), 5)):
+        for k in range(days):
+            for i in range(4):
+                stay(user, places[i % 2], k * day + i * 18000.0 - 28800 + 3600)
+    stay("one place", "home", 0.0)
+    points += [("passing", i * 60.0, 116 + i * 0.01, 39.9) for i in range(30)] + [("silent", None, 116.0, 39.0)]
+    df = spark.createDataFrame(points, "user_id string, ts double, lng double, lat double")
+    cal = spark.createDataFrame([(dt.date(1970, 1, 1) + dt.timedelta(k), "workday") for k in range(-1, 8)], "date date, day_type string")
+    stays_, anchors, report = workflows.preprocess_gps_reported(df, cal, users=df.select("user_id"))
+    got = {r["item"]: r["value"] for r in report.collect()}
+    lost = {k[8:]: v for k, v in got.items() if k.startswith("dropped.") and v}
+    assert lost.pop("few_days", 0) + lost.pop("no_home", 0) == 2  # "short" and "one place"
+    assert lost == {"no_points": 1, "no_stays": 1, "outside_box": 1} and (got["n_users_in"], got["n_users_kept"]) == (6, 1)
+    assert (got["n_stays"], got["n_days"]) == (stays_.count(), stays_.select("date").distinct().count()) and got["avg_stays_per_day"] == got["n_stays"] / got["n_days"]
+    assert sum(v for k, v in got.items() if k.startswith("intent.")) == got["n_stays"] and got["day_type.workday"] == got["n_days"]
+    assert got["step_km.max"] == got["step_km.p95"] == round(got["step_km.p50"], 1) > 5
+
+
+def test_tower_text_is_counted_while_it_is_read(spark):
+    from wayfarer.operators import reports
+
+    lines = ["u\t[(116.4, 39.9, 0, 3600), (0, 0, 10, 20), (116.4, 39.9, 30, 30)]", "", "v\t[(116.5, 39.9, 0, 90000)]", "w", "x\t[oops]", "y\t[]", "z\t[(1, 2)]"]
+    ledger = reports.Ledger()
+    rows = readers.stored(readers.parse_tower(spark.createDataFrame([(x,) for x in lines], "value string"), ledger))
+    assert {(r["user_id"], r["t_out"]) for r in rows.collect()} == {("u", 3600), ("v", 90000)}
+    assert ledger.values() == {"n_lines": 6, "n_dropped_unparsed": 4, "n_dropped_coord": 1, "n_dropped_duration": 1, "n_stays_loaded": 2}
+
+
 def test_kernel_means_are_within_their_bound():
     from wayfarer.operators import priors
 

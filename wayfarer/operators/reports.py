@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import quantile, ranked
@@ -56,3 +56,50 @@ def exclusive_quartiles(values: DataFrame, column: str) -> DataFrame:
         low = F.greatest(F.lit(1), F.least(F.floor(at), F.col("total") - 1))
         cols.append((nth(low) + (at - low) * (nth(low + 1) - nth(low))).alias(f"q{i}"))
     return table.select(*cols)
+
+
+class Ledger:
+    """Counters that ride along with the steps of a run: each is observed when its step is written, without a scan of its own."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[Observation, dict[str, Column]]] = []
+
+    def watch(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """``df`` with counters; it must be written once by the run, and only once."""
+        observed = Observation()
+        self.seen.append((observed, counts))
+        return df.observe(observed, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in counts.items()])
+
+    def values(self) -> dict[str, float]:
+        """All counters; waits for the steps that hold them."""
+        return {name: float(seen.get.get(name) or 0.0) for seen, counts in self.seen for name in counts}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.values().items()), "item string, value double")
+
+
+def fates(users: DataFrame, steps: dict[str, DataFrame]) -> DataFrame:
+    """``(item, value)``: how many of ``users(user_id)`` each step lost first. ``steps`` in order, by the reason that one has
+    for losing a user: tables that hold the users left behind it."""
+    rows = users.select("user_id").distinct()
+    reason = F.lit(None).cast("string")
+    for name, left in steps.items():
+        rows = rows.join(left.select("user_id").distinct().withColumn(f"in_{name}", F.lit(True)), "user_id", "left")
+    for name in reversed(steps):
+        reason = F.when(F.col(f"in_{name}").isNull(), f"dropped.{name}").otherwise(reason)
+    counts = rows.agg(F.count("*").alias("n_users_in"), *[F.count_if(reason == f"dropped.{n}").alias(f"dropped.{n}") for n in steps], F.count_if(reason.isNull()).alias("n_users_kept"))
+    return items(counts)
+
+
+def items(one: DataFrame) -> DataFrame:
+    """The columns of a single row as ``(item, value)``."""
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(f"`{c}`").cast("double").alias("value")) for c in one.columns])).alias("r")).select("r.item", "r.value")
+
+
+def kept_summary(stays: DataFrame) -> DataFrame:
+    """``(item, value)`` of labelled stays: days, stays, averages, shares of intents and day types, steps in km."""
+    one = stays.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("user_id", "date").alias("n_days"), F.count("*").alias("n_stays"))
+    one = one.select("n_days", "n_stays", F.round(F.col("n_days") / F.greatest(F.lit(1), "users"), 1).alias("avg_days_per_user"), F.round(F.col("n_stays") / F.greatest(F.lit(1), "n_days"), 1).alias("avg_stays_per_day"))
+    named = lambda df, head: df.select(F.concat(F.lit(head), F.col("label").cast("string")).alias("item"), F.col("n").cast("double").alias("value"))
+    steps = step_quantiles(stays).select(F.coalesce(F.round("p50", 2), F.lit(0.0)).alias("step_km.p50"), F.coalesce(F.round("p95", 1), F.lit(0.0)).alias("step_km.p95"), F.coalesce(F.round("longest", 1), F.lit(0.0)).alias("step_km.max"))
+    return items(one).unionByName(named(shares(stays, "intent_class"), "intent.")).unionByName(named(shares(stays, "day_type"), "day_type.")).unionByName(items(steps))

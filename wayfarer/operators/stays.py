@@ -172,6 +172,7 @@ def _scan_range(batches: Iterator[pa.RecordBatch], new: Callable[[], StayScan],
             held, n, blocks = [], 0, blocks + 1
 
     def close(last: bool) -> None:
+        rows.append({"user_id": user, "part": part, "kind": "user"})
         if opening or last:
             block()
             rows.append({"user_id": user, "part": part, "kind": "state", "nth": nth, "data": scan.state(), "box": box.tobytes()})
@@ -269,8 +270,8 @@ def _search_again(batches: Iterator[pa.RecordBatch], new: Callable[[bytes], Stay
     yield pa.RecordBatch.from_pylist(close(), _AGAIN)
 
 
-def _found_stays(points: DataFrame, metres: float, minutes: float, max_gap_s: float | None, chunk: int, ranges: int | None) -> DataFrame:
-    """``(user_id, part, nth, lng, lat, t_in, t_out, cut)``: stays in order of part and nth."""
+def _found_stays(points: DataFrame, metres: float, minutes: float, max_gap_s: float | None, chunk: int, ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """``(user_id, part, nth, lng, lat, t_in, t_out, cut)``: stays in order of part and nth; and ``(user_id)`` of all with points."""
     n = ranges or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = lambda c: F.col(c).cast("double").alias(c)
     rows = points.select(F.col("user_id").cast("string").alias("user_id"), number("lng"), number("lat"), number("ts")).where("lng IS NOT NULL AND lat IS NOT NULL AND ts IS NOT NULL")
@@ -294,7 +295,7 @@ def _found_stays(points: DataFrame, metres: float, minutes: float, max_gap_s: fl
         searched = searched.unionByName(again.where("kind = 'guess'").select(*columns, "entry"))
     used = searched.join(way.where("action = 'use'").select("user_id", "part", "entry"), ["user_id", "part", "entry"]).select(*columns)
     ends = way.where("action = 'end'").withColumn("nth", F.lit(2**31 - 1)).select(*columns)
-    return first.where("kind = 'stay'").select(*columns).unionByName(used).unionByName(ends)
+    return first.where("kind = 'stay'").select(*columns).unionByName(used).unionByName(ends), first.where("kind = 'user'").select("user_id").distinct()
 
 
 def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0, merge_metres: float | None = 200.0, max_gap_s: float | None = None, chunk: int = 50_000, ranges: int | None = None) -> DataFrame:
@@ -307,7 +308,12 @@ def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0
     ``max_gap_s`` also cuts histories at longer gaps, with numbers of their own. Points without a time or place go.
     Stays, far fewer, are then merged and numbered row by row.
     """
-    found = _found_stays(points, metres, minutes, max_gap_s, chunk, ranges)
+    return detect_stays_of_users(points, metres, minutes, merge_metres, max_gap_s, chunk, ranges)[0]
+
+
+def detect_stays_of_users(points: DataFrame, metres: float = 200.0, minutes: float = 10.0, merge_metres: float | None = 200.0, max_gap_s: float | None = None, chunk: int = 50_000, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``detect_stays``, and ``(user_id)`` of all users that have points, from the same pass."""
+    found, users = _found_stays(points, metres, minutes, max_gap_s, chunk, ranges)
     in_order = found.repartition("user_id").sortWithinPartitions("user_id", "part", "nth").select("user_id", "lng", "lat", "t_in", "t_out", "cut")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,7 +332,7 @@ def detect_stays(points: DataFrame, metres: float = 200.0, minutes: float = 10.0
         if last:
             yield pd.DataFrame([(key, seq, *last[0])], columns=["user_id", "seq", "lng", "lat", "t_in", "t_out"])
 
-    return in_order.mapInPandas(join, _RAW)
+    return in_order.mapInPandas(join, _RAW), users
 
 
 def with_local_time(raw: DataFrame, with_seconds: bool = False, day_start_hour: int = 0) -> DataFrame:

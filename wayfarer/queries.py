@@ -176,8 +176,7 @@ NTH = "nth AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, date ORDE
 @query("src4_daily_json", with_sql(S, C, NTH) + " SELECT user_id, date, day_type, nth, start_min, end_min, lng, lat FROM nth JOIN calendar USING (date)")
 def src4(spark, d):
     """Daily records written as JSON lines into the shared folder, read again and taken apart."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{folder}/daily-{uuid.uuid4().hex}"
+    path = f"{rd.shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     rd.write_daily(rd.to_daily(typed(spark, d).withColumn("intent_class", F.lit(None).cast("string"))), path)
     return rd.to_long(rd.read_daily(spark, path)).select("user_id", "date", "day_type", F.col("seq").cast("long").alias("nth"), "start_min", "end_min", "lng", "lat")
 
@@ -216,7 +215,7 @@ def prj4(spark, d):
 
 def _written(spark: SparkSession, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """``df`` written as a table into the shared folder and read again."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    folder = rd.shared_folder(spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     rd.write_table(df, path, partition)
     return spark.read.schema(df.schema).parquet(path)
@@ -1096,6 +1095,39 @@ def rpt2b(spark, d):
     return rp.drop_reasons(s, {"no_anchor": fl.with_anchor(s, _hint_anchors(spark, d))[0], "few_days": fl.observed_users(s, 27)})
 
 
+_W1_HEAD, _W1_ROWS = _W1.rsplit("\nSELECT user_id, date, day_type", 1)
+_USERS = lambda t: f"(SELECT count(DISTINCT user_id) FROM {t})"
+_DAYS_OF = lambda t: f"(SELECT count(*) FROM (SELECT DISTINCT user_id, date FROM {t}))"
+_RUN_ITEMS = {
+    "n_stays_loaded": "(SELECT count(*) FROM stays)", "n_hw_entries": "(SELECT count(*) FROM hints)", "n_past_midnight": "(SELECT count(*) FROM stays WHERE start_min + (t_out - t_in) / 60e0 > 1440)",
+    "n_users_in": _USERS("fr"), "dropped.no_home": f"{_USERS('fr')} - {_USERS('k1')}", "dropped.few_days": f"{_USERS('k1')} - {_USERS('k2')}", "dropped.median_step": f"{_USERS('k2')} - {_USERS('k3')}",
+    "dropped.few_long_days": f"{_USERS('k3')} - {_USERS('k5')}", "dropped.not_sampled": f"{_USERS('k5')} - {_USERS('k6')}", "n_users_kept": _USERS("k6"), "n_user_days_in": _DAYS_OF("k3"), "n_user_days_dropped.span": f"{_DAYS_OF('k3')} - {_DAYS_OF('k4')}",
+    "n_days": _DAYS_OF("k6"), "n_stays": "(SELECT count(*) FROM k6)", "avg_days_per_user": f"round({_DAYS_OF('k6')} / greatest(1, {_USERS('k6')}), 1)", "avg_stays_per_day": f"round((SELECT count(*) FROM k6) / greatest(1, {_DAYS_OF('k6')}), 1)",
+    "step_km.p50": "(SELECT round(coalesce(quantile_cont(km, 0.5), 0), 2) FROM ks)", "step_km.p95": "(SELECT round(coalesce(quantile_cont(km, 0.95), 0), 1) FROM ks)", "step_km.max": "(SELECT round(coalesce(max(km), 0), 1) FROM ks)",
+}
+_RUN_SQL = (
+    _PLAIN_SQL.replace("WITH ", f"WITH {C}, {H}, ", 1) + _W1_HEAD + f", labelled AS (SELECT user_id, date, day_type{_W1_ROWS}), "
+    + f"ks AS (SELECT {fx.haversine_sql('p_lat', 'p_lng', 'lat', 'lng')} AS km FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lng) OVER w AS p_lng FROM k6 WINDOW w AS (PARTITION BY user_id, date ORDER BY start_min, seq)) WHERE p_lat IS NOT NULL) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS item, CAST({v} AS DOUBLE) AS value" for k, v in _RUN_ITEMS.items())
+    + " UNION ALL SELECT 'intent.' || intent_class, CAST(count(*) AS DOUBLE) FROM labelled GROUP BY 1 UNION ALL SELECT 'day_type.' || day_type, CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT user_id, date, day_type FROM labelled) GROUP BY 1"
+)
+
+
+@query("rpt2_tower_run", _RUN_SQL)
+def rpt2_run(spark, d):
+    """The report of a whole run over tower stays."""
+    ledger = rp.Ledger()
+    raw = fx.stays(spark, d, jitter=False).select("user_id", "seq", "lng", "lat", "t_in", "t_out")
+    return wf.preprocess_tower_reported(ledger.watch(raw, n_stays_loaded=F.count(F.lit(1))), fx.hints(spark, d), fx.calendar(spark, d), ledger=ledger)[2]
+
+
+@query("rpt1_gps_run")
+def rpt1_run(spark, d):
+    """The report of a whole run over points, for all users that have events."""
+    s = fx.stays(spark, d)
+    return wf.preprocess_gps_reported(fx.points(s.where("user_id % 13 != 0")), fx.calendar(spark, d), users=s.select("user_id"))[2]
+
+
 _QX = "SELECT {name} AS stage, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM (SELECT {cols} FROM (SELECT list(n ORDER BY n) AS l, count(*) AS t FROM (SELECT count(*) AS n FROM {src} GROUP BY user_id, date)))"
 _QC = ", ".join(f"l[greatest(1, least(CAST(floor((t + 1) * {p}e0) AS BIGINT), t - 1))] + ((t + 1) * {p}e0 - greatest(1, least(CAST(floor((t + 1) * {p}e0) AS BIGINT), t - 1))) * (l[greatest(1, least(CAST(floor((t + 1) * {p}e0) AS BIGINT), t - 1)) + 1] - l[greatest(1, least(CAST(floor((t + 1) * {p}e0) AS BIGINT), t - 1))]) AS q{i}" for i, p in enumerate((0.25, 0.5, 0.75), 1))
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from ..operators.reports import Ledger
+
 UTC8_SECONDS = 28800
 
 STAY = T.StructType([
@@ -45,16 +49,27 @@ def wall_seconds(local: Column) -> Column:
     return F.datediff(F.to_date(local), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
 
 
-def parse_tower(lines: DataFrame) -> DataFrame:
+def parse_tower(lines: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """``(user_id, seq, lng, lat, t_in, t_out)`` of ``lines(value)``: a user, a tab, then ``[(lng, lat, t_in, t_out), …]``.
 
-    Zero coordinates and stays that don't last go; blank lines and lists that don't parse too.
+    Zero coordinates and stays that don't last go; blank lines and lists that don't parse too. A ``ledger`` counts them.
     """
-    rows = lines.where(F.trim("value") != "").select(F.split("value", "\t", 2).alias("f")).where(F.size("f") == 2)
-    stays = F.from_json(F.translate(F.col("f")[1], "()", "[]"), "array<array<double>>")
-    out = rows.select(F.trim(F.col("f")[0]).alias("user_id"), F.posexplode(stays).alias("seq", "s")).where(F.size("s") == 4)
-    out = out.select("user_id", "seq", F.col("s")[0].alias("lng"), F.col("s")[1].alias("lat"), F.col("s")[2].cast("long").alias("t_in"), F.col("s")[3].cast("long").alias("t_out"))
-    return out.where("NOT (lng = 0 AND lat = 0) AND t_in < t_out")
+    rows = lines.where(F.trim("value") != "").select(F.split("value", "\t", 2).alias("f"))
+    rows = rows.select(F.trim(F.col("f")[0]).alias("user_id"), F.from_json(F.translate(F.get("f", F.lit(1)), "()", "[]"), "array<array<double>>").alias("stays"))
+    out = rows.select("user_id", F.posexplode_outer("stays").alias("seq", "s"))
+    out = out.select("user_id", "seq", F.size("s").alias("fields"), *[F.get("s", F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate((("lng", "double"), ("lat", "double"), ("t_in", "long"), ("t_out", "long")))])
+    usable, nowhere = F.col("fields") == 4, (F.col("lng") == 0) & (F.col("lat") == 0)
+    if ledger is not None:
+        lasts = F.col("t_in") < F.col("t_out")
+        out = ledger.watch(
+            out,
+            n_lines=F.count_if(F.coalesce(F.col("seq"), F.lit(0)) == 0),
+            n_dropped_unparsed=F.count_if(~F.coalesce(usable, F.lit(False))),
+            n_dropped_coord=F.count_if(usable & nowhere),
+            n_dropped_duration=F.count_if(usable & ~nowhere & ~lasts),
+            n_stays_loaded=F.count_if(usable & ~nowhere & lasts),
+        )
+    return out.where(usable & ~nowhere & (F.col("t_in") < F.col("t_out"))).drop("fields")
 
 
 def parse_hints(lines: DataFrame) -> DataFrame:
