@@ -429,6 +429,82 @@ def test_tower_text_is_counted_while_it_is_read(spark):
     assert ledger.values() == {"n_lines": 6, "n_dropped_unparsed": 4, "n_dropped_coord": 1, "n_dropped_duration": 1, "n_stays_loaded": 2}
 
 
+def test_gps_files_are_read_in_splits(spark, tmp_path):
+    want = []
+    for user, name, n in (("000", "a", 4000), ("000", "b", 3), ("zz", "c", 0), ("zz", "d", 700), ("none", "e", 0)):
+        folder = tmp_path / user / "Trajectory"
+        folder.mkdir(parents=True, exist_ok=True)
+        lines = [f"39.{i:06d},116.5,0,0,0,2024-01-02,{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}" for i in range(1, n + 1)]
+        # A header may look like a point, which it isn't.
+        (folder / f"{name}.plt").write_text("\r\n".join(["39.5,116.5,0,0,0,2024-01-02,00:00:00"] * 6 + lines + ["bad,line"]) + "\r\n")
+        want += [(user, 116.5, float(f"39.{i:06d}"), 1704124800.0 + i) for i in range(1, n + 1)]
+    key, keep = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(key, "20000")
+        df = readers.read_gps(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5 and sorted(tuple(r) for r in df.collect()) == sorted(want)
+        assert {r["user_id"] for r in readers.gps_users(spark, str(tmp_path)).collect()} == {"000", "zz", "none"}
+    finally:
+        spark.conf.set(key, keep)
+
+
+def test_a_stored_mixture_is_loaded(spark):
+    from wayfarer import queries
+
+    table = queries.SCALES.table(spark)
+    got = scales.Scales.of(table.repartition(3))
+    assert (got.mu, got.var, got.weight) == (queries.SCALES.mu, queries.SCALES.var, queries.SCALES.weight)
+    for bad in (table.limit(0), table.where("rank > 0"), table.withColumn("var_log", F.lit(0.0)), table.withColumn("mu_log", -F.col("mu_log")), table.withColumn("weight", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            scales.Scales.of(bad)
+
+
+def test_fits_start_alike_from_counts_and_from_rows(spark):
+    rng = np.random.default_rng(5)
+    logs = spark.createDataFrame([(float(x), int(n)) for x, n in zip(np.sort(rng.normal(0, 1, 300)), rng.integers(1, 9, 300), strict=True)], "x double, n long")
+    pdf = logs.toPandas()
+    a, b = scales._Counts(pdf["x"].to_numpy(), pdf["n"].to_numpy()), scales._Rows(logs)
+    for k in (1, 2, 5):
+        (qa, va), (qb, vb) = a.start(k), b.start(k)
+        assert qa == pytest.approx(qb, rel=1e-12) and va == pytest.approx(vb, rel=1e-9)
+        assert scales.fit_scales(a, k, 5).mu == pytest.approx(scales.fit_scales(b, k, 5).mu, rel=1e-9)
+
+
+def test_a_thin_side_has_no_cutoff(spark):
+    km = [("real", 2.0 + 40 * i / 400) for i in range(400)] + [("sim", 5.0)] * 9
+    got = {r[0]: r for r in powerlaw.cutoffs(spark.createDataFrame(km, "side string, km double"))}
+    assert got["real"][3] == 400 and got["real"][2] > 0 and got["sim"][3] == 9 and math.isnan(got["sim"][1]) and math.isnan(got["sim"][2])
+    assert [r[3] for r in powerlaw.cutoffs(spark.createDataFrame([], "side string, km double"))] == [0, 0]
+
+
+def test_jobs_of_the_command_line(spark, tmp_path, small):
+    from wayfarer import __main__ as command
+    from wayfarer import fixtures as fx
+    from wayfarer import queries
+
+    p = queries.pts(spark, small)
+    for side in ("real", "sim"):
+        p.where(f"side = '{side}'").write.parquet(str(tmp_path / side))
+    p.where("side = 'real'").select("lat", "lng").write.parquet(str(tmp_path / "known"))
+    fx.calendar(spark, small).write.parquet(str(tmp_path / "calendar"))
+    lines = [f"{u}\t[" + ", ".join(f"(116.4{j % 2}, 39.9, {1704067200 + k * 86400 + j * 20000 - 28800}, {1704067200 + k * 86400 + j * 20000 + 15000 - 28800})" for k in range(7) for j in range(3)) + ", (0, 0, 1, 2)]" for u in ("a", "b")]
+    (tmp_path / "stays.txt").write_text("\n".join(lines))
+    (tmp_path / "hints.txt").write_text("{'user_id': 'a', 'home': [116.4, 39.9], 'work': [116.41, 39.9]}\n{'user_id': 'b', 'home': None, 'work': None}\n")
+    out = lambda *names: str(tmp_path.joinpath("out", *names))
+    stop, command.readers.forget_stored = command.readers.forget_stored, lambda s: None
+    try:
+        command.main(["compare", str(tmp_path / "real"), str(tmp_path / "sim"), out("plain"), "--no-scaling"])
+        command.main(["compare", str(tmp_path / "real"), str(tmp_path / "sim"), out("bands"), "--boundaries", "1", "10", "--sizes", "2", "--most-km", "30", "--known", str(tmp_path / "known")])
+        command.main(["tower", str(tmp_path / "stays.txt"), str(tmp_path / "hints.txt"), str(tmp_path / "calendar"), out("tower"), "--relabel", "grid"])
+    finally:
+        command.readers.forget_stored = stop
+    plain, bands = ({r["metric"] for r in spark.read.parquet(out(k, "metrics")).collect()} for k in ("plain", "bands"))
+    assert "SD.jsd" in plain & bands and not any(m.startswith("SFP") for m in plain) and sum(m.startswith("SFP.") for m in bands) == 5
+    report = {r["item"]: r["value"] for r in spark.read.parquet(out("tower", "report")).collect()}
+    assert (report["n_lines"], report["n_stays_loaded"], report["n_dropped_coord"], report["n_hw_entries"]) == (2, 42, 2, 2)
+    assert report["n_users_in"] == 2 and report["n_users_kept"] + report["dropped.no_home"] == 2 and spark.read.parquet(out("tower", "stays")).count() == report["n_stays"]
+
+
 def test_kernel_means_are_within_their_bound():
     from wayfarer.operators import priors
 

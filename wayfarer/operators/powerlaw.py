@@ -108,16 +108,23 @@ def fit_joint(stats: dict, x_min: float = 2.0, r0: float = 1.5) -> tuple[float,
 NAN = float("nan")
 
 
+def cutoffs(km: DataFrame, x_min: float = 2.0, r0: float = 1.5) -> list[tuple[str, float, float, int]]:
+    """``(side, exponent, cutoff, number of values)`` of both sides; NaN where a side has too few values in its tail."""
+    sums = sums_of(km, x_min, r0)
+    tails = {r["side"]: r["alpha_2km"] for r in best_tail(tail_fits(km)).collect()}
+    out = []
+    for side in ("real", "sim"):
+        beta, found = tails.get(side), sums.get(side)
+        out.append((side, NAN if beta is None else float(beta), NAN if beta is None or found is None else float(fit_cutoff(found, beta, x_min, r0)), int(found["n"]) if found else 0))
+    return out
+
+
 def analyse(km: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic", r0: float = 1.5) -> dict[str, dict]:
     """Exponent, cutoff, number of values and mixture of each side; NaN and None where a side has too few values."""
-    sums = sums_of(km, r0=r0)
-    tails = {r["side"]: r["alpha_2km"] for r in best_tail(tail_fits(km)).collect()}
     out = {}
-    for side in ("real", "sim"):
-        beta = tails.get(side)
-        kappa = fit_cutoff(sums[side], beta, r0=r0) if beta is not None and side in sums else NAN
+    for side, beta, kappa, n in cutoffs(km, r0=r0):
         scales, _ = choose_scales(weighted_logs(km.where(F.col("side") == side)), sizes, criterion)
-        out[side] = {"beta": NAN if beta is None else float(beta), "kappa": kappa, "n": int(sums[side]["n"]) if side in sums else 0, "scales": scales}
+        out[side] = {"beta": beta, "kappa": kappa, "n": n, "scales": scales}
     return out
 
 

@@ -54,6 +54,17 @@ class Scales:
         rows = [(i, *r) for i, r in enumerate(zip(self.mu, self.var, self.weight, strict=True))]
         return spark.createDataFrame(rows, "rank int, mu_log double, var_log double, weight double")
 
+    @classmethod
+    def of(cls, table: DataFrame) -> Scales:
+        """A mixture that ``table`` has stored; one that isn't a mixture of ranked scales stops the job."""
+        rows = table.select(*[F.col(c).cast("double") for c in ("rank", "mu_log", "var_log", "weight")]).orderBy("rank").limit(MOST_SCALES + 1).collect()
+        if not rows or len(rows) > MOST_SCALES or [r[0] for r in rows] != list(range(len(rows))):
+            raise ValueError("a stored mixture must hold one row for each rank from zero")
+        mu, var, weight = (tuple(r[i] for r in rows) for i in (1, 2, 3))
+        if any(v is None for r in rows for v in r) or any(v <= 0 for v in var) or any(w < 0 for w in weight) or list(mu) != sorted(mu) or abs(sum(weight) - 1) > 1e-6:
+            raise ValueError("a stored mixture needs rising means, positive variances and weights that add up to one")
+        return cls(mu, var, weight)
+
 
 def _meeting(one: tuple[float, float, float], two: tuple[float, float, float], sign: float) -> float:
     """Where the weighted densities of two normals (mean, variance, weight) are equal, as near to the middle as can be.
@@ -84,6 +95,8 @@ def weighted_logs(km: DataFrame, bins: float | None = 1e-3) -> DataFrame:
     return km.where("km > 0").groupBy((F.rint(x / bins) * bins if bins else x).alias("x")).agg(F.count("*").alias("n"))
 
 
+#: Components that a stored mixture may have.
+MOST_SCALES = 64
 #: A table of at most this many different log distances is fitted from its counts; bins of a thousandth
 #: over all distances on Earth are some twenty thousand. A larger one (exact values) stays in Spark.
 MOST_COUNTS = 200_000
@@ -96,9 +109,11 @@ class _Counts:
         self.x, self.n = x, n.astype(float)
 
     def start(self, k: int) -> tuple[list[float], float]:
-        upto = np.cumsum(self.n) / self.n.sum()
-        mean = (self.n @ self.x) / self.n.sum()
-        return [float(self.x[np.searchsorted(upto, (i + 0.5) / k)]) for i in range(k)], float(self.n @ (self.x - mean) ** 2 / self.n.sum())
+        """Quantiles, interpolated between the two values next to their places as Spark does, and the variance."""
+        upto, mean = np.cumsum(self.n), (self.n @ self.x) / self.n.sum()
+        place = (upto[-1] - 1) * (np.arange(k) + 0.5) / k
+        low, high = (self.x[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+        return (low + (high - low) * (place - np.floor(place))).tolist(), float(self.n @ (self.x - mean) ** 2 / self.n.sum())
 
     def round(self, mu: list[float], var: list[float], w: list[float]) -> tuple[float, float, list[tuple[float, float, float]]]:
         m, v = np.array(mu)[:, None], np.array(var)[:, None]

@@ -148,12 +148,13 @@ class Prepared:
     samples: DataFrame
 
 
-def prepare_training(stays: DataFrame, min_count: int = 1, scales: int = 4, max_sigma: float = 0.7) -> Prepared:
-    """Vocabulary, scales, personas and samples of training stays with day types."""
+def prepare_training(stays: DataFrame, min_count: int = 1, scales: int = 4, max_sigma: float = 0.7, fitted: sc.Scales | None = None) -> Prepared:
+    """Vocabulary, scales, personas and samples of training stays with day types; ``fitted`` are scales of an earlier job."""
     stays = stored(stays)
     meta = stored(vo.grid_meta(stays))
     vocab = stored(vo.build_vocab(stays, meta, min_count))
-    fitted = sc.fit_capped_scales(sc.weighted_logs(sc.day_steps(stays, 0.01)), scales, max_sigma)
+    fitted = fitted or sc.fit_capped_scales(sc.weighted_logs(sc.day_steps(stays, 0.01)), scales, max_sigma)
+    scales = len(fitted.mu)
     places = stored(an.frequent_cells(vo.with_cell_id(stays, vocab, meta)))
     rows = stored(tk.tokens(stays, vocab, meta, fitted, places))
     members = stored(tk.personas(tk.scale_vectors(stays, fitted)))

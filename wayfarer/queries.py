@@ -547,6 +547,13 @@ def _scores(km: str) -> str:
 _SCALE = f"CAST(CASE WHEN km < 0.01 THEN 0 ELSE list_position([{_scores('greatest(km, 1e-9)')}], greatest({_scores('greatest(km, 1e-9)')})) - 1 END AS BIGINT)"
 
 
+@query("src7_load_scales", with_sql(S, STEPS) + f" SELECT seq, {_SCALE} AS scale FROM steps")
+def load_scales(spark, d):
+    """A mixture written as a table and read again, as a later job does, that tells the scale of every step."""
+    scales = sc.Scales.of(_written(spark, SCALES.table(spark), "scales"))
+    return sc.day_steps(fx.stays(spark, d)).select("seq", scales.assign(F.col("km")).cast("long").alias("scale"))
+
+
 @query("gmm3_assign_scale", with_sql(S, STEPS) + f" SELECT seq, {_SCALE} AS scale FROM steps")
 def gmm3(spark, d):
     return sc.day_steps(fx.stays(spark, d)).select("seq", SCALES.assign(F.col("km")).cast("long").alias("scale"))
@@ -868,7 +875,9 @@ EVAL = with_sql(S, PTS, CG, FEATURES, _divergence_sql("vals", "metric", "metric
 
 
 def _scored(spark, d, only=None):
-    return me.features(me.coarse(pts(spark, d)), only)
+    """Features, stored once for what reads them several times, of points that are read once."""
+    p = me.coarse(pts(spark, d))
+    return rd.stored(me.features(p if only else rd.stored(p), only))
 
 
 def _add_metric(name: str, metric: str) -> None:
@@ -934,7 +943,7 @@ _SFP = (
 
 @query("ev_sfp", STEP_SQL + ", " + BANDS + ", " + _divergence_sql("bd", "band", "true") + _SFP)
 def sfp(spark, d):
-    return me.scale_profile(side_steps(spark, d)).select("item", F.round("jsd", 5).alias("jsd"), "n_real", "n_sim", r6("weight"))
+    return me.scale_profile(rd.stored(side_steps(spark, d))).select("item", F.round("jsd", 5).alias("jsd"), "n_real", "n_sim", r6("weight"))
 
 
 _PLC = """, st AS (SELECT unnest([0.5e0, 1e0, 2e0, 3e0, 5e0, 7.5e0, 10e0]) AS x_min), tl AS (SELECT side, x_min, km, row_number() OVER (PARTITION BY side, x_min ORDER BY km) AS i FROM km, st WHERE km >= x_min),
@@ -958,11 +967,7 @@ def plc_best(spark, d):
 
 @query("ev_plk_cutoff")
 def plk(spark, d):
-    km = side_steps(spark, d)
-    sums = pl.sums_of(km)
-    betas = {r["side"]: r["alpha_2km"] for r in pl.best_tail(pl.tail_fits(km)).collect()}
-    rows = [(s, float(betas[s]), pl.fit_cutoff(sums[s], betas[s]), int(sums[s]["n"])) for s in sorted(sums) if betas.get(s)]
-    return spark.createDataFrame(rows, "side string, beta double, kappa double, n long")
+    return spark.createDataFrame(pl.cutoffs(rd.stored(side_steps(spark, d))), "side string, beta double, kappa double, n long")
 
 
 @query("ev_plj_joint")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,8 @@ if TYPE_CHECKING:
     from ..operators.reports import Ledger
 
 UTC8_SECONDS = 28800
+#: Lines before the points of a file, and where its path names the user.
+GPS_HEADER, _GPS_USER = 6, "([^/]+)/Trajectory/[^/]*$"
 
 STAY = T.StructType([
     T.StructField("start_min", T.DoubleType()),
@@ -26,17 +31,48 @@ POINT = T.StructType([T.StructField("lng", T.DoubleType()), T.StructField("lat",
 
 
 def read_gps(spark: SparkSession, root: str) -> DataFrame:
-    """Points of all ``<root>/<user>/Trajectory/*.plt`` files."""
-    files = spark.read.text(f"{root}/*/Trajectory/*.plt", wholetext=True)
-    return parse_gps(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    """Points of all ``<root>/<user>/Trajectory/*.plt`` files. Large files are read in splits, line by line."""
+    lines = spark.read.text(f"{root}/*/Trajectory/*.plt").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    kept = lines.mapInArrow(_behind_headers, "value string, path string")
+    return parse_gps_lines(kept.select(F.regexp_extract("path", _GPS_USER, 1).alias("user_id"), F.rtrim("value").alias("line")))
+
+
+def _behind_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines without the first GPS_HEADER ones of each file; the lines of a split come one after another."""
+    key, left = None, 0
+    for batch in batches:
+        path, start = batch.column(1).dictionary_encode().indices.to_numpy(), batch.column(2).to_numpy()
+        names = batch.column(1)
+        keep = np.ones(batch.num_rows, bool)
+        edges = (np.flatnonzero((path[1:] != path[:-1]) | (start[1:] != start[:-1])) + 1).tolist()
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            now = (names[lo].as_py(), int(start[lo]))
+            if now != key:
+                key, left = now, GPS_HEADER if now[1] == 0 else 0
+            n = min(left, hi - lo)
+            keep[lo : lo + n], left = False, left - n
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def gps_users(spark: SparkSession, root: str) -> DataFrame:
+    """``(user_id)`` of all folders with files of ``read_gps``, whether they hold points or not; no file is opened."""
+    files = spark.read.format("binaryFile").load(f"{root}/*/Trajectory/*.plt")
+    return files.select(F.regexp_extract("path", _GPS_USER, 1).alias("user_id")).distinct()
 
 
 def parse_gps(files: DataFrame) -> DataFrame:
-    """``(user_id, lng, lat, ts)`` of ``files(path, value)``: six header lines, then comma-separated fields.
+    """``parse_gps_lines`` of whole ``files(path, value)``, behind their header lines."""
+    lines = files.select(F.regexp_extract("path", _GPS_USER, 1).alias("user_id"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    return parse_gps_lines(lines.where(F.col("at") >= GPS_HEADER))
+
+
+def parse_gps_lines(lines: DataFrame) -> DataFrame:
+    """``(user_id, lng, lat, ts)`` of ``lines(user_id, line)`` of comma-separated fields.
 
     Lines with fewer than seven fields, numbers or times that don't parse and zero coordinates go. Times are UTC+8.
     """
-    lines = files.select(F.regexp_extract("path", "([^/]+)/Trajectory/[^/]*$", 1).alias("user_id"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("at >= 6")
     f = lines.select("user_id", F.split("line", ",").alias("f")).where(F.size("f") >= 7)
     text = F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))
     local = F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), text).try_cast("timestamp_ntz")
