@@ -505,6 +505,19 @@ def test_jobs_of_the_command_line(spark, tmp_path, small):
     assert report["n_users_in"] == 2 and report["n_users_kept"] + report["dropped.no_home"] == 2 and spark.read.parquet(out("tower", "stays")).count() == report["n_stays"]
 
 
+def test_personas_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.dirichlet(30 * np.array(c), 70) for c in ((1, 0.1, 0.1), (0.1, 1, 0.1), (0.1, 0.1, 1), (1, 1, 1))])
+    rows = [(f"u{i}", *map(float, v)) for i, v in enumerate(x)] + [("twin", *map(float, x[3]))]
+    df = spark.createDataFrame(rows, "user_id string, s0 double, s1 double, s2 double")
+    got = [{r["user_id"]: r["persona"] for r in tokens.personas(df.repartition(n, "user_id")).collect()} for n in (1, 7, 40)]
+    assert got[0] == got[1] == got[2] and set(got[0].values()) == {0, 1, 2, 3} and got[0]["twin"] == got[0]["u3"]
+    # The four clouds are found, whatever single starts would have found.
+    assert all(len({got[0][f"u{i}"] for i in range(70 * k, 70 * k + 70)}) == 1 for k in range(4))
+    same = spark.createDataFrame([(str(i), 0.5, 0.25, 0.25) for i in range(9)], df.schema)
+    assert {r["persona"] for r in tokens.personas(same).collect()} == {0} and tokens.personas(df.limit(0)).count() == 0
+
+
 def test_kernel_means_are_within_their_bound():
     from wayfarer.operators import priors
 

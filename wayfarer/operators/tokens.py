@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from .vocab import with_cell_id
 DAY_TYPES = ("workday", "weekend", "holiday")
 HOME, WORK, TRANSIT, OTHER = 0, 1, 2, 3
 LOC_OTHER, LOC_HOME, LOC_WORK = 0, 1, 2
+#: Whole units of a share in sums, and users among whom the starts of personas are chosen.
+UNITS, POOL = 2.0**40, 2000
 
 
 def day_type_index(c: Column | str) -> Column:
@@ -112,11 +113,66 @@ def scale_vectors(stays: DataFrame, scales: Scales) -> DataFrame:
     return rows.groupBy("user_id").agg(*[(F.count_if(F.col("scale") == i) / F.count("*")).alias(f"s{i}") for i in range(len(scales.mu))])
 
 
-def personas(vectors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """``(user_id, persona)`` by k-means on the shares."""
+def personas(vectors: DataFrame, k: int = 4, seed: int = 42, starts: int = 10, rounds: int = 100, given: list[list[float]] | None = None) -> DataFrame:
+    """``(user_id, persona)`` by k-means on the shares; the best of several ``starts``, or of the one that is ``given``.
+
+    Starts are spread over POOL users by their draws. All of them take a round in one aggregate, over sums of whole units, so
+    partitions don't matter. Equal distances go to the first centre, an empty cluster keeps its centre, and personas are
+    numbered by the order of their centres.
+    """
     cols = [c for c in vectors.columns if c != "user_id"]
-    rows = vectors.select("user_id", array_to_vector(F.array(*cols)).alias("features"))
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="persona").fit(rows).transform(rows).select("user_id", "persona")
+    rows = stored(vectors.select("user_id", *[F.col(c).cast("double").alias(c) for c in cols]))
+    centres = _starts(rows, cols, k, seed, starts) if given is None else [given]
+    if not centres:
+        return rows.select("user_id", F.lit(0).alias("persona"))
+    found: list[tuple[int, list[list[float]]]] = []
+    before = [-1] * len(centres)
+    for _ in range(rounds):
+        each = rows.select(*cols, F.posexplode(F.array(*[_nearest(cols, c) for c in centres])).alias("start", "to"))
+        units = lambda c: F.sum(F.rint(c * UNITS).cast("decimal(20,0)"))
+        sums = each.groupBy("start", "to.at").agg(F.count("*").alias("n"), units(F.col("to.d")).alias("cost"), *[units(F.col(c)).alias(c) for c in cols]).collect()
+        costs = [sum(int(r["cost"]) for r in sums if r["start"] == i) for i in range(len(centres))]
+        moved = [[list(m) for m in c] for c in centres]
+        for r in sums:
+            moved[r["start"]][r["at"]] = [float(r[c]) / r["n"] / UNITS for c in cols]
+        settled = [costs[i] == before[i] or moved[i] == centres[i] for i in range(len(centres))]
+        found += [(costs[i], moved[i]) for i in range(len(centres)) if settled[i]]
+        centres, before = [m for m, done in zip(moved, settled, strict=True) if not done], [c for c, done in zip(costs, settled, strict=True) if not done]
+        if not centres:
+            break
+    best = sorted(min(found + list(zip(before, centres, strict=True)))[1])
+    return rows.select("user_id", _nearest(cols, best)["at"].cast("int").alias("persona"))
+
+
+def _nearest(cols: list[str], centres: list[list[float]]) -> Column:
+    """Distance to the nearest centre, squared, and its number."""
+
+    def apart(m: list[float]) -> Column:
+        parts = [(F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(cols, m, strict=True)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out + p
+        return out
+
+    return F.array_min(F.array(*[F.struct(apart(m).alias("d"), F.lit(i).alias("at")) for i, m in enumerate(centres)]))
+
+
+def _starts(rows: DataFrame, cols: list[str], k: int, seed: int, n: int) -> list[list[list[float]]]:
+    """``n`` lists of up to k different centres among the POOL users with the lowest draws: each far from those before it, by
+    squared distance and a fixed sequence of numbers."""
+    pool = rows.select(draw("user_id", seed=seed).alias("draw"), "user_id", *cols).orderBy("draw", "user_id").limit(POOL).collect()
+    x = np.array([[r[c] for c in cols] for r in pool], float).reshape(len(pool), len(cols))
+    out = []
+    for i in range(n if len(x) else 0):
+        rng = np.random.default_rng([seed, i])
+        chosen = [x[int(rng.integers(len(x)))]]
+        while len(chosen) < k:
+            d = ((x[:, None] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
+            if d.sum() <= 0:
+                break
+            chosen.append(x[int(np.searchsorted(np.cumsum(d), rng.random() * d.sum(), "right"))])
+        out.append([c.tolist() for c in chosen])
+    return out
 
 
 def persona_places(members: DataFrame, anchors: DataFrame) -> DataFrame:

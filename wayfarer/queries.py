@@ -659,6 +659,23 @@ def per2(spark, d):
     return tk.personas(tk.scale_vectors(fx.stays(spark, d), SCALES))
 
 
+#: Centres that a plain run of k-means begins with, for the query that SQL can follow round by round.
+_GIVEN = [[0.4, 0.2, 0.2, 0.2], [0.1, 0.5, 0.3, 0.1], [0.1, 0.2, 0.6, 0.1], [0.0, 0.1, 0.3, 0.6]]
+_NEAR = "min(struct_pack(d := (v.s0 - k.m0) * (v.s0 - k.m0) + (v.s1 - k.m1) * (v.s1 - k.m1) + (v.s2 - k.m2) * (v.s2 - k.m2) + (v.s3 - k.m3) * (v.s3 - k.m3), c := k.c)).c"
+_KMEANS = f""", vec AS MATERIALIZED (SELECT user_id, {", ".join(f"count(*) FILTER (scale = {i}) / count(*) AS s{i}" for i in range(4))} FROM (SELECT user_id, {_SCALE} AS scale FROM steps) GROUP BY user_id),
+km AS (SELECT 0 AS round, * FROM (VALUES {", ".join(f"({i}, {', '.join(f'{x}e0' for x in c)})" for i, c in enumerate(_GIVEN))}) t(c, m0, m1, m2, m3)
+  UNION ALL SELECT o.round + 1, o.c, {", ".join(f"coalesce(n.m{i}, o.m{i})" for i in range(4))} FROM km o LEFT JOIN (
+    SELECT c, {", ".join(f"CAST(sum(CAST(round_even(s{i} * {2**40}e0, 0) AS HUGEINT)) AS DOUBLE) / count(*) / {2**40}e0 AS m{i}" for i in range(4))}
+    FROM (SELECT v.user_id, any_value(v.s0) AS s0, any_value(v.s1) AS s1, any_value(v.s2) AS s2, any_value(v.s3) AS s3, {_NEAR} AS c FROM vec v, km k GROUP BY v.user_id) GROUP BY c) n ON n.c = o.c WHERE o.round < 60),
+fin AS (SELECT row_number() OVER (ORDER BY m0, m1, m2, m3) - 1 AS c, m0, m1, m2, m3 FROM km WHERE round = 60)
+SELECT v.user_id, CAST({_NEAR} AS INTEGER) AS persona FROM vec v, fin k GROUP BY v.user_id"""
+
+
+@query("per2_given_start", "WITH RECURSIVE " + ", ".join([S, STEPS]) + _KMEANS)
+def per2_given(spark, d):
+    return tk.personas(tk.scale_vectors(fx.stays(spark, d), SCALES), given=_GIVEN)
+
+
 @query("per3_persona_places", with_sql(S, META, CELLED, VOCAB1, IDS, FREQ) + ", u AS (SELECT CAST(user_id AS BIGINT) % 4 AS persona, unnest(['home', 'work']) AS kind, unnest([home_cell, work_cell]) AS cell_id FROM freq) SELECT persona, kind, cell_id, round(count(*) / sum(count(*)) OVER (PARTITION BY persona, kind), 6) AS prob FROM u WHERE cell_id IS NOT NULL GROUP BY 1, 2, 3")
 def per3(spark, d):
     places = frequent(spark, d)
