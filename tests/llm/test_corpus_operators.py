@@ -674,3 +674,16 @@ def test_the_query_digests_the_tensors(spark, small):
     for r in rows:
         assert (out[r["doc_id"]]["tensor_bytes"], out[r["doc_id"]]["tensors_sha256"]) == (len(r["tensors"]), hashlib.sha256(r["tensors"]).hexdigest())
     assert len(out) == len(rows) > 0
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_vectors_of_any_size_and_labels_of_any_type(spark, kind):
+    base = np.array([1.0, 2.0, -3.0])
+    near = np.array([1.0, 2.0, -3.1])
+    vectors = [base, 1e200 * near, 1e-200 * near, 2.5e307 * near, 5e-324 * np.array([1.0, 2.0, -3.0]), -base, np.array([0.0, 0.0, 1e-300])]
+    labels = ["one", "two"] if kind == "string" else [2**40 + 1, 2**40 + 2]
+    rows = [(i + 10 * k, v.tolist(), labels[k]) for k in (0, 1) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op01_embeddings.near_duplicates(df).collect()}
+    for k in (0, 10):
+        assert [out[i + k] for i in range(7)] == [(4, k)] * 5 + [(0, 5 + k), (0, 6 + k)]

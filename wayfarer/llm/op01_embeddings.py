@@ -12,7 +12,8 @@ are guests at each other's, the pair counts in the cell with the smaller number.
 
 Defined cases: null and zero vectors, vectors with null, infinite or NaN components and vectors without
 a label link with nothing; vectors of different lengths are never compared; repeated rows link with
-one another; rows with a null id stay, without links; other columns are ignored.
+one another; rows with a null id stay, without links; labels of any type are compared by their text; finite vectors of any
+size count; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(column)
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
     x = flat.reshape(n, -1)
+    # By a power of two first, so that no square leaves the range of doubles.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / norm, norm[:, 0]
 
@@ -66,11 +69,11 @@ def usable(df: DataFrame) -> DataFrame:
                 x = x + x.dtype.type(0)  # no negative zeros
                 for c, v in zip(rows, (vec_id, label, hashlib.blake2b(x.tobytes() + str(label).encode(), digest_size=16).digest(), x), strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.float32() if single else pa.float64()))
+            types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.float32() if single else pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["vec_id", "label", "fp", "embedding"])
 
-    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), F.col("label").cast("int")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    return rows.mapInArrow(run, f"vec_id long, label int, fp binary, embedding array<{kind}>")
+    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), F.col("label").cast("string")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
+    return rows.mapInArrow(run, f"vec_id long, label string, fp binary, embedding array<{kind}>")
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -156,7 +159,7 @@ def _centres(reps: DataFrame) -> DataFrame:
         return t.select(["label", "n", "total"]).slice(0, 1).append_column("centres", pa.array([centres.ravel()], pa.list_(pa.float64())))
 
     some = reps.where(F.pmod(F.xxhash64("rep", F.lit(7)), "total") < SAMPLE)
-    return some.groupBy("label", "n").applyInArrow(fit, "label int, n int, total long, centres array<double>")
+    return some.groupBy("label", "n").applyInArrow(fit, "label string, n int, total long, centres array<double>")
 
 
 def _placed(reps: DataFrame, centres: DataFrame, threshold: float, kind: str) -> DataFrame:
@@ -167,7 +170,7 @@ def _placed(reps: DataFrame, centres: DataFrame, threshold: float, kind: str) ->
     parts = F.ceil(F.col("total") / CHUNK)
     dealt = reps.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(11)), parts))
     copies = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("label", "n", "part", "centres")
-    schema = f"rep long, label int, mult long, embedding array<{kind}>, n int, cell long, home long, guests array<long>"
+    schema = f"rep long, label string, mult long, embedding array<{kind}>, n int, cell long, home long, guests array<long>"
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["rep", "label", "mult", "embedding", "n"]
@@ -224,7 +227,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = reps.select("fp", "rep", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("fp", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     linked = tables.join_skewed(rows.select("vec_id", "fp"), known, ["fp"], "mult", n_rows, "vec_id").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    ids = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("int").alias("label"))
+    ids = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("string").alias("label"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     can = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("e", lambda v: v != 0), F.lit(False))
     alone = ids.where(~can).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
