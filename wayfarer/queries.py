@@ -530,6 +530,23 @@ def dst1(spark, d):
     return sc.day_steps(fx.stays(spark, d)).select("user_id", "date", "seq", r6("km"))
 
 
+_EM = f""", logs AS MATERIALIZED (SELECT round_even(ln(km) / 0.001e0, 0) * 0.001e0 AS x, count(*) AS n FROM steps WHERE km > 0.01 GROUP BY 1),
+em AS (SELECT 0 AS round, * FROM (VALUES {", ".join(f"({i}, {w!r}::DOUBLE, {m!r}::DOUBLE, {v!r}::DOUBLE)" for i, (m, v, w) in enumerate(zip(SCALES.mu, SCALES.var, SCALES.weight, strict=True)))}) t(i, w, m, v)
+  UNION ALL SELECT round + 1, i, r / total, rx / r, greatest(1e-6, rxx / r - (rx / r) * (rx / r)) FROM (
+    SELECT round, i, greatest(1e-12, sum(r)) AS r, sum(r * x) AS rx, sum(r * x * x) AS rxx, sum(sum(r)) OVER () AS total FROM (
+      SELECT *, n * e / sum(e) OVER (PARTITION BY x) AS r FROM (
+        SELECT *, exp(p - max(p) OVER (PARTITION BY x)) AS e FROM (
+          SELECT em.round, em.i, l.x, l.n, ln(em.w) - 0.5 * ln(2 * pi() * em.v) - (l.x - em.m) * (l.x - em.m) / (2 * em.v) AS p FROM em, logs l WHERE em.round < 12))) GROUP BY round, i))
+SELECT row_number() OVER (ORDER BY m) - 1 AS rank, round(m, 6) AS mu_log, round(v, 6) AS var_log, round(w, 6) AS weight FROM em WHERE round = 12"""
+
+
+@query("gmm1_given_start", "WITH RECURSIVE " + ", ".join([S, STEPS]) + _EM)
+def gmm1_given(spark, d):
+    """Twelve rounds from a start that SQL can follow."""
+    fitted = sc.fit_scales(sc.weighted_logs(sc.day_steps(fx.stays(spark, d), 0.01)), rounds=12, start=SCALES)
+    return longs(fitted.table(spark).select("rank", r6("mu_log"), r6("var_log"), r6("weight")))
+
+
 @query("gmm1_fit_scales")
 def gmm1(spark, d):
     return sc.fit_scales(sc.weighted_logs(sc.day_steps(fx.stays(spark, d), 0.01))).table(spark)
