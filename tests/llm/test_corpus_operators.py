@@ -687,3 +687,48 @@ def test_vectors_of_any_size_and_labels_of_any_type(spark, kind):
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op01_embeddings.near_duplicates(df).collect()}
     for k in (0, 10):
         assert [out[i + k] for i in range(7)] == [(4, k)] * 5 + [(0, 5 + k), (0, 6 + k)]
+
+
+def test_licence_chains_are_those_of_a_plain_scan():
+    scanner = op10_licences.Scanner(op10_licences.NOTICES, op10_licences.BASE)
+    texts = [t.split() for ts in op10_licences.NOTICES.values() for t in ts]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t} | {w for p in op10_licences.BASE for w in p}))}
+    notices = [[number[w] for w in t] for t in texts]
+    r = random.Random(6)
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            t = r.choice(notices)
+            a = r.randrange(len(t))
+            words += t[a : a + r.randint(1, len(t))] + [r.choice([-1, 0, 3])] * r.randint(0, 3)
+        # The longest match that ends at each word, word by word, and the notices that hold it.
+        best, chains, lengths = {}, {}, []
+        for i in range(len(words)):
+            n = 0
+            while n <= i and -1 not in words[i - n : i + 1] and any(t[k : k + n + 1] == words[i - n : i + 1] for t in notices for k in range(len(t) - n)):
+                n += 1
+            lengths.append(n)
+        for i, n in enumerate(lengths):
+            if n < op10_licences.LEAST_MATCH or (i + 1 < len(words) and lengths[i + 1] == n + 1):
+                continue
+            for k, t in enumerate(notices):
+                if any(t[j : j + n] == words[i + 1 - n : i + 1] for j in range(len(t))):
+                    lo, hi = i + 1 - n, i + 1
+                    old = chains.get(k)
+                    chains[k] = (old[0], max(hi, old[1]), old[2] + max(0, hi - max(lo, old[1]))) if old and lo - old[1] <= op10_licences.CHAIN_GAP else (lo, hi, n)
+                    share = min(1.0, chains[k][2] / len(t))
+                    if share >= op10_licences.COVERED and share > best.get(scanner.labels[k], (0.0,))[0]:
+                        best[scanner.labels[k]] = (share, chains[k][0], chains[k][1])
+        assert scanner.notices_in(np.array(words)) == best
+
+
+def test_a_long_run_of_known_words_is_streamed():
+    import tracemalloc
+
+    scanner = op10_licences.Scanner(op10_licences.NOTICES, op10_licences.BASE)
+    words = np.tile(np.array([1, 2], np.int32), 200_000)
+    tracemalloc.start()
+    scanner.notices_in(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000

@@ -16,6 +16,7 @@ streamed whole; repeated rows give the same; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ COVERED = 0.75
 CHAIN_GAP = 4
 
 _CHUNK = 1 << 20
+#: Words of a run that are streamed at a time.
+_PIECE = 4096
 
 
 class SuffixAutomaton:
@@ -103,17 +106,18 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return new
 
-    def matches(self, words: list[int]) -> list[tuple[int, int, int]]:
-        """Matching statistics: (state, longest match ending at the word, word position) per word."""
-        out, state, size = [], 0, 0
-        for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if w in self.next[state]:
-                state, size = self.next[state][w], size + 1
-            out.append((state, size, i))
-        return out
+    def matches(self, words: list[int] | np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Matching statistics: (state, longest match ending at the word, word position) per word, streamed: the state goes on from
+        one piece of words to the next."""
+        state, size = 0, 0
+        for at in range(0, len(words), _PIECE):
+            for i, w in enumerate(np.asarray(words[at : at + _PIECE]).tolist(), at):
+                while state and w not in self.next[state]:
+                    state = self.link[state]
+                    size = self.length[state]
+                if w in self.next[state]:
+                    state, size = self.next[state][w], size + 1
+                yield state, size, i
 
 
 class Scanner:
@@ -161,23 +165,23 @@ class Scanner:
         best: dict[str, tuple[float, int, int]] = {}
         long = runs[1] - runs[0] >= LEAST_MATCH
         for lo, hi in zip(runs[0][long].tolist(), runs[1][long].tolist(), strict=True):
-            stats = self.automaton.matches(words[lo:hi].tolist())
-            for k, (state, size, i) in enumerate(stats):
-                if size < LEAST_MATCH or (k + 1 < len(stats) and stats[k + 1][1] == size + 1):
+            # A match counts where the next word doesn't make it longer.
+            for (state, size, i), (_, longer, _) in pairwise(chain(self.automaton.matches(words[lo:hi]), [(0, 0, 0)])):
+                if size < LEAST_MATCH or longer == size + 1:
                     continue
                 start, end = lo + i + 1 - size, lo + i + 1
                 for notice in self.automaton.owners[state]:
-                    chain = chains.get(notice)
-                    if chain and start - chain[1] <= CHAIN_GAP:
-                        fresh = max(0, end - max(start, chain[1]))
-                        chain = (chain[0], max(end, chain[1]), chain[2] + fresh)
+                    held = chains.get(notice)
+                    if held and start - held[1] <= CHAIN_GAP:
+                        fresh = max(0, end - max(start, held[1]))
+                        held = (held[0], max(end, held[1]), held[2] + fresh)
                     else:
-                        chain = (start, end, size)
-                    chains[notice] = chain
-                    share = min(1.0, chain[2] / self.sizes[notice])
+                        held = (start, end, size)
+                    chains[notice] = held
+                    share = min(1.0, held[2] / self.sizes[notice])
                     label = self.labels[notice]
                     if share >= COVERED and share > best.get(label, (0.0, 0, 0))[0]:
-                        best[label] = (share, chain[0], chain[1])
+                        best[label] = (share, held[0], held[1])
         return best
 
 
