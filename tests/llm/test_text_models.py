@@ -1,5 +1,6 @@
 """Collocations, prefix tries and language-model scores against brute force, on small tables with edge cases."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -282,6 +283,36 @@ def test_gradients_are_differences():
             assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=2e-2, abs=2e-4)
 
 
+def test_every_window_teaches_once(spark, monkeypatch):
+    p = dataclasses.replace(SMALL, sample=1, epochs=1)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 60, n).astype(np.uint16) for n in [0, 1, 7, 8, 9, 16, 17, *rng.integers(1, 90, 80)]]
+    rows = [(i, t.tobytes()) for i, t in enumerate(texts)] + [(3, texts[3].tobytes())] * 5
+    teach = spark.createDataFrame(rows, "doc_id long, ids binary")
+    counts, n = op13_scoring.id_counts(teach, p.window)
+    classes = causal_attention.classes_of(counts, p.classes)
+    read = np.bincount([op13_scoring.END_ID] * len(rows) + [i for _, t in rows for i in np.frombuffer(t, np.uint16).tolist()], minlength=op13_scoring.IDS)
+    for shard, block in ((1 << 17, 1 << 13), (30, 11), (7, 3)):
+        monkeypatch.setattr(op13_scoring, "SHARD", shard)
+        monkeypatch.setattr(op13_scoring, "BLOCK", block)
+        net, reads = op13_scoring.taught(teach, counts, classes, n, p)
+        seen = np.flatnonzero(read)
+        assert reads[net.local[seen]].tolist() == read[seen].tolist() and reads.sum() == read.sum()
+        again, _ = op13_scoring.taught(teach.repartition(5, "ids"), counts, classes, n, p)
+        assert all(np.allclose(net.w[k], again.w[k], rtol=1e-4, atol=1e-5) for k in net.w)
+    assert sum(len(x) for x, _ in op13_scoring._blocks(teach.select("ids").toArrow().to_batches(), p)) == n
+
+
+def test_whole_corpus_teaches_whatever_the_sample(spark):
+    texts = ["a b c d e f g h " * 3, "h g f e d c b a " * 3, "a c e g b d f h " * 3]
+    rows = [(i, texts[i % 3], "en") for i in range(60)]
+    said = []
+    for sample in (1, 20):
+        p = dataclasses.replace(SMALL, sample=sample, epochs=1)
+        said.append([r["score"] for r in op13_scoring.score(documents(spark, rows), p).orderBy("doc_id").collect()])
+    assert said[0] == pytest.approx(said[1], rel=1e-5)
+
+
 def test_training_beats_counts_on_held_out_rows(spark, small):
     rows = [r for r in op13_scoring.op13_lm_scores(spark, small).collect() if r["held_out"]]
     assert len(rows) > 10

@@ -7,10 +7,18 @@ bias for each distance, so for scoring they are tables by id and a window's work
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Rate of a row of ``e``, as a multiple of that of the other parameters.
+ROW_RATE = 10.0
+#: Exponents within this need no maximum taken off: sums of their powers, weighted, stay in the range of the type.
+FAR = 60
+#: Places whose classes are worked on together.
+TOGETHER = 768
+
 
 @dataclass(frozen=True)
 class AttentionParams:
@@ -23,7 +31,7 @@ class AttentionParams:
     #: Places of a window, and how many of them the next window scores anew.
     window: int = 24
     stride: int = 20
-    #: Windows that teach, passes over them and windows a step.
+    #: Tables of fewer than ``epochs * sample`` windows are read more than once, to as many; windows a step.
     sample: int = 10_000
     epochs: int = 6
     batch: int = 64
@@ -72,6 +80,7 @@ class CausalAttention:
         self.w |= {"x": draw(d, h), "a": draw(d, h), "b": np.zeros(h, np.float32), "out": draw(h, p.classes), "bias": np.zeros(p.classes, np.float32)}
         #: Row of ``e`` of each id.
         self.local = np.arange(ids, dtype=np.int32)
+        self.rooms: dict[str, np.ndarray] = {}
         place = np.arange(p.window)
         self.distance = place[:, None] - place[None, :]
 
@@ -88,69 +97,150 @@ class CausalAttention:
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the classes ``target`` (windows x places), and its gradients."""
-        w, d = self.w, self.p.width
-        x = w["e"][ids]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-        att = np.matmul(q, k.transpose(0, 2, 1)) / np.float32(np.sqrt(d)) + self._mask(w["far"])
-        att = np.exp(att - att.max(axis=2, keepdims=True))
-        att /= att.sum(axis=2, keepdims=True)
-        mixed = np.matmul(att, v)
-        h = np.tanh(x @ w["x"] + mixed @ w["a"] + w["b"])
-        logits = h @ w["out"] + w["bias"]
-        prob = np.exp(logits - logits.max(axis=2, keepdims=True))
-        prob /= prob.sum(axis=2, keepdims=True)
-        n, t = ids.shape
-        rows, cols, total = np.arange(n)[:, None], np.arange(t)[None, :], max(1.0, float(weight.sum()))
-        loss = float(-(np.log(prob[rows, cols, target] + 1e-30) * weight).sum() / total)
-        prob[rows, cols, target] -= 1
-        prob *= (weight / total)[:, :, None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(prob), "bias": flat(prob).sum(axis=0)}
-        dh = (prob @ w["out"].T) * (1 - h * h)
-        g["x"], g["a"], g["b"] = flat(x).T @ flat(dh), flat(mixed).T @ flat(dh), flat(dh).sum(axis=0)
-        dx, dmixed = dh @ w["x"].T, dh @ w["a"].T
-        datt, dv = np.matmul(dmixed, v.transpose(0, 2, 1)), np.matmul(att.transpose(0, 2, 1), dmixed)
-        ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-        over = np.maximum(self.distance[:t, :t], 0)
-        g["far"] = np.bincount(over[self.distance[:t, :t] >= 0], ds.sum(axis=0)[self.distance[:t, :t] >= 0], self.p.window).astype(np.float32)
-        ds /= np.float32(np.sqrt(d))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+        logs, (rows, sums), g = self._slopes(ids, target, weight)
+        g["e"] = np.zeros_like(self.w["e"])
+        g["e"][rows] = sums
+        return float(-(logs * weight).sum() / max(1.0, float(weight.sum()))), g
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is used again at the next call: fresh pages cost more than what is written to them."""
+        kind = self.w["e"].dtype
+        if (old := self.rooms.get(name)) is None or old.shape != shape or old.dtype != kind:
+            self.rooms[name] = np.empty(shape, kind)
+        return self.rooms[name]
+
+    def _slopes(self, rows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+        """Log probabilities of the targets; rows of ``e`` and their gradients; the other gradients, all of the mean cross entropy.
+
+        What all places share a product for lies by place or by component, whichever the next product reads in order.
+        """
+        w, (n, t), d, h = self.w, rows.shape, self.p.width, self.p.hidden
+        flat, goal, room, places = rows.reshape(-1), target.reshape(-1), self._room, n * t
+        scale = w["e"].dtype.type(1 / np.sqrt(d))
+        x = np.take(w["e"], flat, axis=0, out=room("x", places, d), mode="clip")
+        proj = np.matmul(np.concatenate([w["q"].T * scale, w["k"].T, w["v"].T, w["x"].T]), x.T, out=room("proj", 3 * d + h, places))
+        q, k, v = (proj[i * d : (i + 1) * d].reshape(d, n, t).transpose(1, 0, 2) for i in range(3))
+        att = np.matmul(q.transpose(0, 2, 1), k, out=room("att", n, t, t))
+        att += self._mask(w["far"])[:t, :t]
+        if att.max() > FAR or att[:, np.arange(t), np.arange(t)].min() < -FAR:
+            att -= att.max(axis=2, keepdims=True)
+        np.exp(att, out=att)
+        att *= (1 / (att.reshape(-1, t) @ np.ones(t, att.dtype))).reshape(n, t, 1)
+        mixed = np.matmul(att, v.transpose(0, 2, 1), out=room("mixed", n, t, d)).reshape(places, d)
+        full = room("full", h + 1, places)
+        hid = np.matmul(w["a"].T, mixed.T, out=full[:h])
+        hid += proj[3 * d :]
+        hid += w["b"][:, None]
+        np.tanh(hid, out=hid)
+        full[h] = 1
+        out = np.concatenate([w["out"], w["bias"][None]])
+        far, ones = np.abs(out).sum(axis=0).max() > FAR, np.ones(out.shape[1], x.dtype)
+        share, logs = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(x.dtype), np.empty(places, x.dtype)
+        dh, to_out = room("dh", h, places), np.zeros_like(out)
+        # Probabilities of all classes are needed for a few places at a time, which stay in a core's cache.
+        for lo in range(0, places, TOGETHER):
+            own = slice(lo, min(places, lo + TOGETHER))
+            prob = np.matmul(full[:, own].T, out, out=room("prob", TOGETHER, len(ones))[: own.stop - lo])
+            if far:
+                prob -= prob.max(axis=1, keepdims=True)
+            place = np.arange(0, prob.size, len(ones)) + goal[own]
+            logs[own] = prob.reshape(-1).take(place)
+            np.exp(prob, out=prob)
+            # Exponents are never divided by their sums, which go to the narrow side of each product.
+            total = prob @ ones
+            logs[own] -= np.log(total)
+            share[own] /= total
+            prob.reshape(-1)[place] -= total
+            np.matmul(w["out"], prob.T, out=dh[:, own])
+            to_out += (full[:, own] * share[own]) @ prob
+        dh *= share
+        bent = np.multiply(hid, hid, out=room("bent", h, places))
+        bent *= dh
+        dh -= bent
+        dmixed = np.matmul(dh.T, w["a"].T, out=room("dmixed", places, d))
+        g = {"out": to_out[:h], "bias": to_out[h], "a": mixed.T @ dh.T, "b": dh.sum(axis=1), "x": x.T @ dh.T}
+        inner, dproj = dmixed.reshape(n, t, d), room("dproj", 3, n, t, d)
+        np.matmul(att.transpose(0, 2, 1), inner, out=dproj[2])
+        datt = np.matmul(inner, v, out=room("datt", n, t, t))
+        mixed *= dmixed
+        datt -= (mixed @ np.ones(d, mixed.dtype)).reshape(n, t, 1)
+        datt *= att
+        np.matmul(datt, k.transpose(0, 2, 1), out=dproj[0])
+        np.matmul(datt.transpose(0, 2, 1), q.transpose(0, 2, 1), out=dproj[1])
+        dproj[0] *= scale
+        reach = self.distance[:t, :t] >= 0
+        g["far"] = np.bincount(self.distance[:t, :t][reach], datt.sum(axis=0)[reach], self.p.window).astype(x.dtype)
+        dq, dk, dv = dproj.reshape(3, places, d)
+        g |= {"q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
+        dx = np.matmul(dh.T, w["x"].T, out=room("dx", places, d))
         for name, dy in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(x).T @ flat(dy)
-            dx = dx + dy @ w[name].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], ids.reshape(-1), flat(dx))
-        return loss, g
-
-
-def train(windows: np.ndarray, sizes: np.ndarray, classes: np.ndarray, p: AttentionParams) -> CausalAttention:
-    """Adam over shuffled batches. ``windows`` (n x window + 1): ids, of which the first ``sizes`` + 1 are real; each predicts
-    the class of the next."""
-    used = np.unique(windows)
-    local = np.searchsorted(used, windows)
-    net, rng = CausalAttention(p, len(used)), np.random.default_rng(p.seed)
-    weight = (np.arange(p.window)[None, :] < sizes[:, None]).astype(np.float32)
-    target = classes[windows[:, 1:]]
-    m, v = ({k: np.zeros_like(w) for k, w in net.w.items()} for _ in range(2))
-    # Few windows are read more often, so that small tables teach as many steps.
-    epochs = min(40, max(p.epochs, -(-p.epochs * p.sample // (2 * max(1, len(windows))))))
-    step, steps = 0, epochs * -(-len(windows) // p.batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
+            dx += np.matmul(dy, w[name].T, out=room("part", places, d))
+        order = np.argsort(flat.astype(np.uint16) if len(w["e"]) <= 1 << 16 else flat, kind="stable")
+        ranked = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        return logs.reshape(n, t), (ranked[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)), g
+
+
+#: Parameters that all windows move, in the order in which they are joined to one vector.
+DENSE = ("q", "k", "v", "far", "x", "a", "b", "out", "bias")
+
+
+@dataclass
+class Learned:
+    """A layer on its way: rows of ``e``, what squares of gradients each has gathered, the other parameters and their mean squares."""
+
+    e: np.ndarray
+    gathered: np.ndarray
+    dense: np.ndarray
+    squares: np.ndarray
+    steps: int = 0
+
+    @classmethod
+    def start(cls, p: AttentionParams, rows: int) -> Learned:
+        w = CausalAttention(p, rows).w
+        dense = np.concatenate([w[k].ravel() for k in DENSE])
+        return cls(w["e"] * np.float32(0.2), np.zeros(rows, np.float32), dense, np.zeros_like(dense))
+
+    def net(self, p: AttentionParams) -> CausalAttention:
+        """The layer whose parameters are views of these."""
+        out, at = CausalAttention(p, 1), 0
+        for k in DENSE:
+            size = out.w[k].size
+            out.w[k] = self.dense[at : at + size].reshape(out.w[k].shape)
+            at += size
+        out.w["e"], out.local = self.e, np.arange(len(self.e), dtype=np.int32)
+        return out
+
+
+def learn(state: Learned, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], p: AttentionParams, rates: Callable[[int], float], seed: int | list[int]) -> np.ndarray:
+    """Moves ``state`` by blocks of windows (rows of ``e``, windows x window + 1; classes of the next ids; sizes), each window once.
+
+    ``rates`` gives the part of the rate that is left after so many windows. The rows move as their own gathered squares allow,
+    the other parameters by Adam. Returns how often each row was read.
+    """
+    net, rng = state.net(p), np.random.default_rng(seed)
+    m, begun, done = np.zeros_like(state.dense), 0, 0
+    reads, even = np.zeros(len(state.e), np.int64), np.full(p.width, 1 / p.width, np.float32)
+    for rows, target, sizes in blocks:
+        order = rng.permutation(len(rows))
+        weight = (np.arange(p.window)[None, :] < sizes[:, None]).astype(np.float32)
+        reads += np.bincount(rows[:, :-1][weight > 0], minlength=len(reads))
         for at in range(0, len(order), p.batch):
             own = order[at : at + p.batch]
-            _, g = net.gradients(local[own, :-1], target[own], weight[own])
-            step += 1
-            now = p.rate * (1 - step / (steps + 1))
-            for k, a in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * a
-                v[k] = 0.99 * v[k] + 0.01 * a * a
-                net.w[k] -= np.float32(now) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + np.float32(1e-6))
-    # Ids that taught nothing look like the average one.
-    net.w["e"] = np.concatenate([net.w["e"], net.w["e"].mean(axis=0, keepdims=True)])
-    net.local = np.full(len(classes), len(used), np.int32)
-    net.local[used] = np.arange(len(used))
-    return net
+            _, (at_rows, sums), g = net._slopes(rows[own, :-1], target[own], weight[own])
+            left = p.rate * rates(done)
+            done += len(own)
+            begun += 1
+            state.steps += 1
+            flat = np.concatenate([g[k].ravel() for k in DENSE])
+            m += np.float32(0.1) * (flat - m)
+            state.squares += np.float32(0.01) * (flat * flat - state.squares)
+            state.dense -= m * np.float32(left / (1 - 0.9**begun)) / (np.sqrt(state.squares / np.float32(1 - 0.99**state.steps)) + np.float32(1e-6))
+            gathered = state.gathered[at_rows] + (sums * sums) @ even
+            state.gathered[at_rows] = gathered
+            sums *= (np.float32(ROW_RATE * left) / (np.sqrt(gathered) + np.float32(1e-9)))[:, None]
+            state.e[at_rows] -= sums
+    return reads
 
 
 class Scorer:
@@ -167,8 +257,8 @@ class Scorer:
         self.ones = np.ones(max(p.window, p.classes), np.float32)
         self.mask = net._mask(w["far"])
         longest = lambda m: float(np.sqrt((m * m).sum(axis=1).max()))
-        #: Exponents that can't leave the range of their type need no maximum taken off.
-        self.calm = longest(self.query) * longest(self.key) + float(np.abs(w["far"]).max()) < 40 and float(np.abs(self.out).sum(axis=0).max()) < 40
+        #: Exponents that can't leave the range of their type aren't looked through for those that would.
+        self.calm = longest(self.query) * longest(self.key) + float(np.abs(w["far"]).max()) < FAR and float(np.abs(self.out).sum(axis=0).max()) < FAR
 
     def totals(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """Log probability of each sequence ``ids[offsets[i] : offsets[i + 1]]`` after its first id, which only opens it.
@@ -200,7 +290,7 @@ class Scorer:
         asking, t = x[:, lo:], self.p.window
         att = np.matmul(self.query.take(asking, axis=0), self.key.take(x, axis=0).transpose(0, 2, 1))
         att += self.mask[lo:t]
-        if not self.calm:
+        if not self.calm and (att.max() > FAR or att[:, np.arange(t - lo), np.arange(lo, t)].min() < -FAR):
             att -= att.max(axis=2, keepdims=True)
         np.exp(att, out=att)
         mixed = np.matmul(att, self.value.take(x, axis=0)).reshape(-1, self.value.shape[1])
@@ -211,7 +301,7 @@ class Scorer:
         np.tanh(h[:, :-1], out=h[:, :-1])
         h[:, -1] = 1
         logits = h @ self.out
-        if not self.calm:
+        if not self.calm and np.abs(logits).max() > FAR:
             logits -= logits.max(axis=1, keepdims=True)
         said = logits[np.arange(len(logits)), nexts.reshape(-1)].astype(np.float64)
         np.exp(logits, out=logits)

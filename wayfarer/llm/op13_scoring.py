@@ -2,8 +2,7 @@
 
 Words are counted over all teaching texts. The commonest ones, of bounded number, reach every task; the others
 are looked up by a join, with what a text needs of them summed before. Subword ids are counted over
-the same texts; the attention layer learns from a bounded sample of distinct windows of them (``AttentionParams.sample``,
-by hash, from anywhere in any text). A text is the ids of its lower-cased words between two end ids, so letter case and white space
+the same texts, and the attention layer learns from every window of them, once each (``taught``). A text is the ids of its lower-cased words between two end ids, so letter case and white space
 don't count; overlapping windows score each id once, the last end id included.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is neither held out nor teaches; repeated rows
@@ -13,7 +12,8 @@ frequency go by id; clashing extra columns are ignored; an empty table has no ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import copy
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 
 from . import tables
 from . import textbytes as tb
-from .causal_attention import AttentionParams, CausalAttention, Scorer, classes_of, log_shares, train
+from .causal_attention import AttentionParams, CausalAttention, Learned, Scorer, classes_of, learn, log_shares
 from .grouped import many
 from .word_pieces import WordPieces
 
 VOCAB, IDS, END_ID = "byte_bpe_50k.tiktoken", 50_257, 50_256
 #: Words that every task knows, and ids that a task scores together.
 MOST_WORDS, TOGETHER = 1 << 18, 400_000
+#: Windows that a task learns from in a round, those that are shuffled among each other, and rows of the embedding that travel together.
+SHARD, BLOCK, PIECE = 1 << 17, 1 << 13, 1 << 8
+#: Parts of one to which parameters are rounded before they are added up; some 2 ** 34 of them fit.
+GRID = float(1 << 18)
 _WORD = ~tb.SPACES
 _STEP = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("ids", pa.binary()), ("word", pa.string()), ("n", pa.int64())])
 _TYPES = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, ids binary, word string, n long"
@@ -151,11 +155,8 @@ def steps(docs: DataFrame, model: WordModel, path: str) -> DataFrame:
 
 def rare_words(found: DataFrame, counts: DataFrame, rest: int) -> DataFrame:
     """``(uid, n_known, known)`` of what the words beyond the commonest ones give to a text."""
-    rare = found.where("ids IS NULL").select("uid", "word", "n")
-    total = rare.count()
-    uses = rare.groupBy("word").agg(F.count("*").alias("m"))
-    table = uses.join(counts.where(F.col("c") <= rest), "word")
-    rows = tables.join_skewed(rare, table, ["word"], "m", total, "uid")
+    # A text has one row a word and batch, and the commonest words aren't here; Spark splits what a word of many held-out texts fills.
+    rows = found.where("ids IS NULL").select("uid", "word", "n").join(counts.where(F.col("c") <= rest), "word")
     return rows.groupBy("uid").agg(F.sum("n").alias("n_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("known"))
 
 
@@ -207,28 +208,127 @@ def pair_counts(teach: DataFrame, classes: np.ndarray, least: int) -> tuple[np.n
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
-def sample_windows(teach: DataFrame, n: int, p: AttentionParams) -> tuple[np.ndarray, np.ndarray]:
-    """About ``p.sample`` distinct ones of the ``n`` windows of ``teach(ids)``, by the hash of their ids, and their sizes."""
-    rng = np.random.default_rng(p.seed)
-    factor = rng.integers(1, 1 << 62, p.window + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-    below = np.uint64(min(1.0, p.sample / max(1, n)) * ((1 << 64) - 2048))
+def _blocks(batches: Iterable[pa.RecordBatch], p: AttentionParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of ``ids``, each id to follow in exactly one, in blocks of ``BLOCK`` and a last one: ids, of which the
+    first ``size`` + 1 are real, and those sizes."""
+    parts, held = [], 0
+    for batch in batches:
+        ids, offsets = _sequences(batch.column(0))
+        count = -(-(np.diff(offsets) - 1) // p.window)
+        row = np.repeat(np.arange(len(count)), count)
+        start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * p.window
+        size = np.minimum(p.window, offsets[row + 1] - 1 - start)
+        ids, at = np.concatenate([ids, np.zeros(p.window, np.int32)]), 0
+        while at < len(start):
+            to = min(len(start), at + BLOCK - held)
+            x = ids[start[at:to, None] + np.arange(p.window + 1)[None, :]]
+            x *= np.arange(p.window + 1)[None, :] <= size[at:to, None]
+            parts.append((x, size[at:to]))
+            held, at = held + to - at, to
+            if held == BLOCK:
+                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                parts, held = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _learned(start: Learned, state: Learned, reads: np.ndarray, windows: int) -> pa.RecordBatch:
+    """What a task has learned from a shard: the parameters that all windows move, and the rows that were read, in pieces."""
+    pieces, data = [-1], [np.concatenate([state.dense, state.squares]).astype(np.float32).tobytes()]
+    for piece in range(-(-len(reads) // PIECE)):
+        own = slice(piece * PIECE, (piece + 1) * PIECE)
+        if reads[own].any():
+            pieces.append(piece)
+            data.append(np.column_stack([state.e[own], state.gathered[own] - start.gathered[own], reads[own].astype(np.float32)]).astype(np.float32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([windows] * len(pieces), pa.int64()), pa.array(data, pa.binary())], ["piece", "n", "data"])
+
+
+def _sums(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of each piece over shards: rows weigh by how often a shard read them, other parameters by windows.
+
+    What is added is rounded to a grid on which sums are exact, so the order in which it comes doesn't matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        windows: dict[int, int] = {}
         for batch in batches:
-            ids, offsets = _sequences(batch.column(0))
-            count = -(-(np.diff(offsets) - 1) // p.window)
-            row = np.repeat(np.arange(len(count)), count)
-            start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * p.window
-            size = np.minimum(p.window, offsets[row + 1] - 1 - start)
-            x = np.concatenate([ids, np.zeros(p.window, np.int32)])[start[:, None] + np.arange(p.window + 1)[None, :]]
-            x *= np.arange(p.window + 1)[None, :] <= size[:, None]
-            h = tb.mix64((x.astype(np.uint64) + np.uint64(1)) @ factor + size.astype(np.uint64))
-            own = np.flatnonzero(h <= below)
-            yield pa.RecordBatch.from_arrays([pa.array(h[own].astype(np.int64)), pa.array(size[own]), pa.array([r.tobytes() for r in x[own]], pa.binary())], ["h", "size", "x"])
-
-    found = teach.select("ids").mapInArrow(run, "h long, size long, x binary").groupBy("h").agg(F.min(F.struct("size", "x")).alias("w"))
-    rows = sorted(found.select("h", "w.size", "w.x").orderBy("h").limit(p.sample).collect())
-    return np.array([np.frombuffer(r["x"], np.int32) for r in rows], np.int32).reshape(-1, p.window + 1), np.array([r["size"] for r in rows], np.int64)
+            for piece, n, data in zip(batch["piece"].to_pylist(), batch["n"].to_pylist(), batch["data"], strict=True):
+                x = np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
+                if piece < 0:
+                    x *= n
+                else:
+                    x = x.reshape(-1, width + 2)
+                    x[:, :width] *= x[:, -1:]
+                x = np.rint(x * GRID) / GRID
+                total[piece] = total[piece] + x if piece in total else x
+                windows[piece] = windows.get(piece, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(windows.values()), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "n", "data"])
+
+    return run
+
+
+def taught(teach: DataFrame, counts: np.ndarray, classes: np.ndarray, n: int, p: AttentionParams) -> tuple[CausalAttention, np.ndarray]:
+    """The layer that all ``n`` windows of ``teach(doc_id, ids)`` have taught, and how often each row of its embedding was read.
+
+    Texts fall into shards by a hash of what they hold, whatever files or tasks they come from, so a task gets about ``SHARD``
+    windows, which it goes through in the hashes' order. The first shard is learned alone; then each round takes
+    four times as many as the one before, side by side from the same start, and averages what their tasks have
+    learned. Every window is in one shard of one round. Only tables of few windows are read several times.
+    """
+    order, seen = np.argsort(-counts, kind="stable"), int(np.count_nonzero(counts))
+    rank = np.full(IDS, seen, np.int32)
+    rank[order[:seen]] = np.arange(seen)
+    shards, passes = -(-n // SHARD), max(1, min(40, -(-p.epochs * p.sample // n)))
+    state, reads = Learned.start(p, seen + 1), np.zeros(seen + 1)
+    hashed = teach.select(F.xxhash64("doc_id", "ids").alias("h"), "ids").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    first, size = 0, 1
+    while first < shards:
+        last = min(shards, first + size)
+        shared = teach.sparkSession.sparkContext.broadcast((state, rank, classes.astype(np.int16)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            start, rank, classes = shared.value
+            shard, state, windows = first + TaskContext.get().partitionId(), copy.deepcopy(start), 0
+
+            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                nonlocal windows
+                kept = []
+                for x, sizes in _blocks(batches, p):
+                    block = rank[x], classes[x[:, 1:]], sizes
+                    windows += len(sizes)
+                    kept += [block] * (passes > 1)
+                    yield block
+                for _ in range(passes - 1):
+                    yield from kept
+
+            rates = lambda done: 1 - (first + (last - first) * min(1.0, done * shards / (n * passes))) / shards
+            read = learn(state, blocks(), p, lambda done: max(0.01, rates(done)), [p.seed, shard])
+            if windows:
+                yield _learned(start, state, read, windows)
+
+        mine = hashed.where(F.col("shard").between(first, last - 1)).repartitionById(last - first, F.col("shard") - first).sortWithinPartitions("h").select("ids")
+        pieces = -(-(seen + 1) // PIECE) + 1
+        each = mine.mapInArrow(run, "piece int, n long, data binary").repartitionById(min(pieces, 32), F.pmod(F.col("piece") + 1, F.lit(min(pieces, 32))))
+        now = copy.deepcopy(state)
+        for r in each.mapInArrow(_sums(p.width), "piece int, n long, data binary").collect():
+            x = np.frombuffer(r["data"], np.float64)
+            if r["piece"] < 0:
+                now.dense, now.squares = (x / r["n"]).astype(np.float32).reshape(2, -1)
+                now.steps += max(1, r["n"] * passes // ((last - first) * p.batch))
+                continue
+            x = x.reshape(-1, p.width + 2)
+            own = np.flatnonzero(x[:, -1]) + r["piece"] * PIECE
+            x = x[x[:, -1] > 0]
+            now.e[own], reads[own] = x[:, :-2] / x[:, -1:], reads[own] + x[:, -1]
+            now.gathered[own] += x[:, -2].astype(np.float32)
+        shared.unpersist()
+        state, first, size = now, last, size * 4
+    # Ids that no window holds look like the average one.
+    state.e[reads == 0] = np.average(state.e, axis=0, weights=reads)
+    net = state.net(p)
+    net.local = rank
+    return net, reads
 
 
 def fit(found: DataFrame, p: AttentionParams) -> Scorer:
@@ -236,8 +336,7 @@ def fit(found: DataFrame, p: AttentionParams) -> Scorer:
     teach = found.where("ids IS NOT NULL AND doc_id IS NOT NULL AND NOT held_out")
     counts, n = id_counts(teach, p.window)
     classes = classes_of(counts, p.classes)
-    windows, sizes = sample_windows(teach, n, p)
-    net = train(windows, sizes, classes, p) if len(windows) else CausalAttention.even(p, IDS)
+    net = taught(teach, counts, classes, n, p)[0] if n else CausalAttention.even(p, IDS)
     return Scorer(net, classes, *log_shares(counts, classes, p.classes, *pair_counts(teach, classes, p.least_pair), p.faith))
 
 
