@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -332,6 +333,21 @@ def test_words_are_cut_as_the_library_does():
     assert at == len(ids) and pieces.cut("", 0)[0].size == 0
 
 
+def test_commonest_words_are_cut_once(monkeypatch):
+    pieces = WordPieces.of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    common, cut = ["the", "don't", "日本語"], []
+    model = op13_scoring.WordModel(pa.array(common), np.array([9, 8, 7]), 1, 30, 9, 3)
+    assert model.looked_up(pieces) is model.looked_up(pieces)
+    monkeypatch.setattr(WordPieces, "cut", lambda self, joined, n, f=WordPieces.cut: cut.append(joined) or f(self, joined, n))
+    for words in (["日本語", "rare", "the", "é", "the2"], ["the"], ["rare"], []):
+        cut.clear()
+        at, flat, begin, size = model.looked_up(pieces).ids_of(pa.array(words, pa.string()), pieces)
+        assert at.tolist() == [common.index(w) if w in common else -1 for w in words]
+        assert cut == [" ".join(w for w in words if w not in common)]
+        ids = [int(i) for b, n in zip(begin.tolist(), size.tolist(), strict=True) for i in flat[b : b + n]]
+        assert pieces.encoding.decode(ids) == "".join(" " + w for w in words)
+
+
 def test_runs_end_behind_the_bytes_that_part(monkeypatch):
     data = np.frombuffer(b"aa bb " + b"c" * 50 + b" dd", np.uint8)
     got = [bytes(data[a:b]) for a, b in textbytes.runs(data, textbytes.SPACES, 8)]

@@ -16,8 +16,10 @@ import numpy as np
 ROW_RATE = 10.0
 #: Exponents within this need no maximum taken off: sums of their powers, weighted, stay in the range of the type.
 FAR = 60
-#: Places whose classes are worked on together.
-TOGETHER = 768
+#: Places whose classes are worked on together, and rows of other products: as many as small products take without copies.
+TOGETHER, STEP = 384, 512
+#: What a hidden place that is always one gets: its hyperbolic tangent is one in either type.
+ONE = 20.0
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,16 @@ def log_shares(counts: np.ndarray, classes: np.ndarray, k: int, pairs: np.ndarra
     return np.log((table + faith * share) / (total[:, of] + faith)).astype(np.float32), column
 
 
-class CausalAttention:
+class _Rooms:
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of ``kind`` that is used again at the next call: fresh pages cost more than what is written to them."""
+        rooms = self.__dict__.setdefault("rooms", {})
+        if (old := rooms.get(name)) is None or old.shape != shape or old.dtype != self.kind:
+            rooms[name] = np.empty(shape, self.kind)
+        return rooms[name]
+
+
+class CausalAttention(_Rooms):
     """``e`` (ids x width); ``q``, ``k``, ``v``; ``far`` (bias by distance); ``x``, ``a`` and ``b`` (hidden layer); ``out``, ``bias``."""
 
     def __init__(self, p: AttentionParams, ids: int) -> None:
@@ -80,9 +91,10 @@ class CausalAttention:
         self.w |= {"x": draw(d, h), "a": draw(d, h), "b": np.zeros(h, np.float32), "out": draw(h, p.classes), "bias": np.zeros(p.classes, np.float32)}
         #: Row of ``e`` of each id.
         self.local = np.arange(ids, dtype=np.int32)
-        self.rooms: dict[str, np.ndarray] = {}
         place = np.arange(p.window)
-        self.distance = place[:, None] - place[None, :]
+        self.distance = np.maximum(place[:, None] - place[None, :], 0)
+        #: Later places are out of reach.
+        self.shut = np.where(place[:, None] >= place[None, :], 0, -1e9).astype(np.float32)
 
     @classmethod
     def even(cls, p: AttentionParams, ids: int) -> CausalAttention:
@@ -91,94 +103,113 @@ class CausalAttention:
         net.w["out"][:], net.local = 0, np.zeros(ids, np.int32)
         return net
 
+    @property
+    def kind(self) -> np.dtype:
+        return self.w["e"].dtype
+
     def _mask(self, far: np.ndarray) -> np.ndarray:
-        """Bias of each pair of places; later places are out of reach."""
-        return np.where(self.distance >= 0, far[np.maximum(self.distance, 0)], np.float32(-1e9)).astype(np.float32)
+        """Bias of each pair of places."""
+        return (far.take(self.distance) + self.shut).astype(np.float32)
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the classes ``target`` (windows x places), and its gradients."""
-        logs, (rows, sums), g = self._slopes(ids, target, weight)
+        logs = np.empty(ids.size)
+        (rows, sums), g = self._slopes(ids, target, weight, logs)
+        logs = logs.reshape(ids.shape)
         g["e"] = np.zeros_like(self.w["e"])
         g["e"][rows] = sums
         return float(-(logs * weight).sum() / max(1.0, float(weight.sum()))), g
 
-    def _room(self, name: str, *shape: int) -> np.ndarray:
-        """An array that is used again at the next call: fresh pages cost more than what is written to them."""
-        kind = self.w["e"].dtype
-        if (old := self.rooms.get(name)) is None or old.shape != shape or old.dtype != kind:
-            self.rooms[name] = np.empty(shape, kind)
-        return self.rooms[name]
-
-    def _slopes(self, rows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
-        """Log probabilities of the targets; rows of ``e`` and their gradients; the other gradients, all of the mean cross entropy.
+    def _slopes(self, rows: np.ndarray, target: np.ndarray, weight: np.ndarray, logs: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+        """Rows of ``e`` and their gradients; the other gradients, all of the mean cross entropy. ``logs`` gets the log probabilities of the targets.
 
-        What all places share a product for lies by place or by component, whichever the next product reads in order.
+        Products of a row are taken once for all places that read it. Values only reach the hidden layer by way of
+        ``a``, so ``v`` and ``a`` are one product. There is one column more than the hidden layer: the place that is always one, for the bias.
         """
         w, (n, t), d, h = self.w, rows.shape, self.p.width, self.p.hidden
-        flat, goal, room, places = rows.reshape(-1), target.reshape(-1), self._room, n * t
-        scale = w["e"].dtype.type(1 / np.sqrt(d))
-        x = np.take(w["e"], flat, axis=0, out=room("x", places, d), mode="clip")
-        proj = np.matmul(np.concatenate([w["q"].T * scale, w["k"].T, w["v"].T, w["x"].T]), x.T, out=room("proj", 3 * d + h, places))
-        q, k, v = (proj[i * d : (i + 1) * d].reshape(d, n, t).transpose(1, 0, 2) for i in range(3))
-        att = np.matmul(q.transpose(0, 2, 1), k, out=room("att", n, t, t))
+        flat, goal, room, places, kind = rows.reshape(-1), target.reshape(-1), self._room, n * t, self.kind
+        scale, cols, ones = kind.type(1 / np.sqrt(d)), 2 * d + h + 1, np.ones(max(places, self.p.classes), kind)
+        order = np.argsort(flat.astype(np.uint16) if len(w["e"]) <= 1 << 16 else flat, kind="stable")
+        ranked = flat[order]
+        begins, which = np.empty(places, np.bool_), np.empty(places, np.intp)
+        begins[0] = True
+        np.not_equal(ranked[1:], ranked[:-1], out=begins[1:])
+        which[order] = begins.cumsum()
+        which -= 1
+        first = np.flatnonzero(begins)
+        distinct = ranked[first]
+        x = w["e"].take(distinct, axis=0)
+        wide = np.zeros((d, cols + h + 1), kind)
+        wide[:, :d], wide[:, d : 2 * d], wide[:, 2 * d : cols - 1], wide[:, cols:-1] = w["q"] * scale, w["k"], w["v"] @ w["a"], w["x"]
+        asked, alone = x @ wide[:, :cols], x @ wide[:, cols:]
+        asked[:, -1] = 1
+        alone[:, :-1] += w["b"]
+        alone[:, -1] = ONE
+        proj = np.take(asked, which, axis=0, out=room("proj", places, cols), mode="clip")
+        q, key, v = (proj[:, lo:hi].reshape(n, t, -1) for lo, hi in ((0, d), (d, 2 * d), (2 * d, cols)))
+        att = np.matmul(q, key.transpose(0, 2, 1), out=room("att", n, t, t))
         att += self._mask(w["far"])[:t, :t]
-        if att.max() > FAR or att[:, np.arange(t), np.arange(t)].min() < -FAR:
+        if att.max() > FAR or att.reshape(n, t * t)[:, :: t + 1].min() < -FAR:
             att -= att.max(axis=2, keepdims=True)
         np.exp(att, out=att)
-        att *= (1 / (att.reshape(-1, t) @ np.ones(t, att.dtype))).reshape(n, t, 1)
-        mixed = np.matmul(att, v.transpose(0, 2, 1), out=room("mixed", n, t, d)).reshape(places, d)
-        full = room("full", h + 1, places)
-        hid = np.matmul(w["a"].T, mixed.T, out=full[:h])
-        hid += proj[3 * d :]
-        hid += w["b"][:, None]
-        np.tanh(hid, out=hid)
-        full[h] = 1
+        att *= (1 / (att.reshape(places, t) @ ones[:t])).reshape(n, t, 1)
+        mixed = np.matmul(att, v, out=room("mixed", n, t, h + 1)).reshape(places, h + 1)
+        full = np.take(alone, which, axis=0, out=room("full", places, h + 1), mode="clip")
+        full += mixed
+        np.tanh(full, out=full)
         out = np.concatenate([w["out"], w["bias"][None]])
-        far, ones = np.abs(out).sum(axis=0).max() > FAR, np.ones(out.shape[1], x.dtype)
-        share, logs = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(x.dtype), np.empty(places, x.dtype)
-        dh, to_out = room("dh", h, places), np.zeros_like(out)
+        back, far, k = np.ascontiguousarray(out.T), (ones[: h + 1] @ np.abs(out)).max() > FAR, out.shape[1]
+        share = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(kind)
+        dh, to_out, starts = room("dh", places, h + 1), np.zeros_like(out), np.arange(0, TOGETHER * k, k)
         # Probabilities of all classes are needed for a few places at a time, which stay in a core's cache.
         for lo in range(0, places, TOGETHER):
             own = slice(lo, min(places, lo + TOGETHER))
-            prob = np.matmul(full[:, own].T, out, out=room("prob", TOGETHER, len(ones))[: own.stop - lo])
+            prob = np.matmul(full[own], out, out=room("prob", TOGETHER, k)[: own.stop - lo])
             if far:
                 prob -= prob.max(axis=1, keepdims=True)
-            place = np.arange(0, prob.size, len(ones)) + goal[own]
-            logs[own] = prob.reshape(-1).take(place)
+            every, place = prob.reshape(-1), starts[: own.stop - lo] + goal[own]
+            if logs is not None:
+                logs[own] = every[place]
             np.exp(prob, out=prob)
             # Exponents are never divided by their sums, which go to the narrow side of each product.
-            total = prob @ ones
-            logs[own] -= np.log(total)
-            share[own] /= total
-            prob.reshape(-1)[place] -= total
-            np.matmul(w["out"], prob.T, out=dh[:, own])
-            to_out += (full[:, own] * share[own]) @ prob
-        dh *= share
-        bent = np.multiply(hid, hid, out=room("bent", h, places))
+            total = prob @ ones[:k]
+            if logs is not None:
+                logs[own] -= np.log(total)
+            every[place] -= total
+            part = np.repeat(share[own] / total, h + 1).reshape(-1, h + 1)
+            np.matmul(prob, back, out=dh[own])
+            dh[own] *= part
+            part *= full[own]
+            to_out += part.T @ prob
+        bent = np.multiply(full, full, out=room("bent", places, h + 1))
         bent *= dh
         dh -= bent
-        dmixed = np.matmul(dh.T, w["a"].T, out=room("dmixed", places, d))
-        g = {"out": to_out[:h], "bias": to_out[h], "a": mixed.T @ dh.T, "b": dh.sum(axis=1), "x": x.T @ dh.T}
-        inner, dproj = dmixed.reshape(n, t, d), room("dproj", 3, n, t, d)
-        np.matmul(att.transpose(0, 2, 1), inner, out=dproj[2])
-        datt = np.matmul(inner, v, out=room("datt", n, t, t))
-        mixed *= dmixed
-        datt -= (mixed @ np.ones(d, mixed.dtype)).reshape(n, t, 1)
+        mixed *= dh
+        slopes = room("slopes", places, cols + h + 1)
+        slopes[:, cols:] = dh
+        # The last column of dh is zero and that of v one: what a softmax takes off all its slopes travels there.
+        dh[:, -1] = mixed @ -ones[: h + 1]
+        inner, parts = dh.reshape(n, t, h + 1), slopes.reshape(n, t, -1)
+        datt = np.matmul(inner, v.transpose(0, 2, 1), out=room("datt", n, t, t))
         datt *= att
-        np.matmul(datt, k.transpose(0, 2, 1), out=dproj[0])
-        np.matmul(datt.transpose(0, 2, 1), q.transpose(0, 2, 1), out=dproj[1])
-        dproj[0] *= scale
-        reach = self.distance[:t, :t] >= 0
-        g["far"] = np.bincount(self.distance[:t, :t][reach], datt.sum(axis=0)[reach], self.p.window).astype(x.dtype)
-        dq, dk, dv = dproj.reshape(3, places, d)
-        g |= {"q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
-        dx = np.matmul(dh.T, w["x"].T, out=room("dx", places, d))
-        for name, dy in (("q", dq), ("k", dk), ("v", dv)):
-            dx += np.matmul(dy, w[name].T, out=room("part", places, d))
-        order = np.argsort(flat.astype(np.uint16) if len(w["e"]) <= 1 << 16 else flat, kind="stable")
-        ranked = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        return logs.reshape(n, t), (ranked[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)), g
+        np.matmul(att.transpose(0, 2, 1), inner, out=parts[:, :, 2 * d : cols])
+        np.matmul(datt, key, out=parts[:, :, :d])
+        np.matmul(datt.transpose(0, 2, 1), q, out=parts[:, :, d : 2 * d])
+        read, dx, back = np.take(x, which, axis=0, out=room("read", places, d), mode="clip"), room("dx", places, d), np.ascontiguousarray(wide.T)
+        to_wide = np.zeros_like(back)
+        for lo in range(0, places, STEP):
+            some = slopes[lo : lo + STEP]
+            np.matmul(some, back, out=dx[lo : lo + STEP])
+            to_wide += some.T @ read[lo : lo + STEP]
+        to_wide = to_wide.T
+        to_v = to_wide[:, 2 * d : cols - 1]
+        g = {"q": to_wide[:, :d] * scale, "k": to_wide[:, d : 2 * d], "v": to_v @ w["a"].T, "a": w["v"].T @ to_v, "x": to_wide[:, cols:-1]}
+        g |= {"b": ones[:places] @ slopes[:, cols:-1], "out": to_out[:h], "bias": to_out[h]}
+        g["far"] = np.bincount(self.distance[:t, :t].ravel(), ones[:n] @ datt.reshape(n, t * t), self.p.window).astype(kind)
+        # Slopes of the same row are added two by two, as complex numbers are.
+        dx = dx.take(order, axis=0)
+        dx = dx.view(np.complex64) if kind == np.float32 and d % 2 == 0 else dx
+        return (distinct, np.add.reduceat(dx, first, axis=0).view(kind)), g
 
 
 #: Parameters that all windows move, in the order in which they are joined to one vector.
@@ -225,17 +256,26 @@ def learn(state: Learned, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndar
         order = rng.permutation(len(rows))
         weight = (np.arange(p.window)[None, :] < sizes[:, None]).astype(np.float32)
         reads += np.bincount(rows[:, :-1][weight > 0], minlength=len(reads))
+        rows, target, weight = rows[order, :-1].astype(np.intp), target[order].astype(np.intp), weight[order]
         for at in range(0, len(order), p.batch):
-            own = order[at : at + p.batch]
-            _, (at_rows, sums), g = net._slopes(rows[own, :-1], target[own], weight[own])
+            own = slice(at, at + p.batch)
+            (at_rows, sums), g = net._slopes(rows[own], target[own], weight[own])
             left = p.rate * rates(done)
-            done += len(own)
+            done += len(rows[own])
             begun += 1
             state.steps += 1
             flat = np.concatenate([g[k].ravel() for k in DENSE])
             m += np.float32(0.1) * (flat - m)
-            state.squares += np.float32(0.01) * (flat * flat - state.squares)
-            state.dense -= m * np.float32(left / (1 - 0.9**begun)) / (np.sqrt(state.squares / np.float32(1 - 0.99**state.steps)) + np.float32(1e-6))
+            flat *= flat
+            flat -= state.squares
+            flat *= np.float32(0.01)
+            state.squares += flat
+            np.multiply(state.squares, np.float32(1 / (1 - 0.99**state.steps)), out=flat)
+            np.sqrt(flat, out=flat)
+            flat += np.float32(1e-6)
+            np.divide(m, flat, out=flat)
+            flat *= np.float32(left / (1 - 0.9**begun))
+            state.dense -= flat
             gathered = state.gathered[at_rows] + (sums * sums) @ even
             state.gathered[at_rows] = gathered
             sums *= (np.float32(ROW_RATE * left) / (np.sqrt(gathered) + np.float32(1e-9)))[:, None]
@@ -243,22 +283,24 @@ def learn(state: Learned, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndar
     return reads
 
 
-class Scorer:
+class Scorer(_Rooms):
     """Log probabilities of sequences of ids, each id scored once, in windows that overlap."""
 
     def __init__(self, net: CausalAttention, classes: np.ndarray, shares: np.ndarray, column: np.ndarray) -> None:
         w, p = net.w, net.p
         self.p, self.classes, self.shares, self.column, self.local = p, classes, shares, column, net.local
-        self.query = w["e"] @ w["q"] / np.float32(np.sqrt(p.width))
-        self.key, self.value, self.mix = w["e"] @ w["k"], w["e"] @ w["v"], w["a"]
-        self.own = w["e"] @ w["x"] + w["b"]
-        # The hidden layer gets one more place, which is always one, for the bias of the classes.
+        self.kind, rows, d, h = w["e"].dtype, len(w["e"]), p.width, p.hidden
+        self.query = w["e"] @ w["q"] / np.float32(np.sqrt(d))
+        # Keys and values lie side by side. Values come as what they give to the hidden layer, and have one column of ones more: the
+        # sum of the exponents. The hidden layer gets one more place too, which is always one, for the bias of the classes.
+        self.read = np.concatenate([w["e"] @ w["k"], w["e"] @ (w["v"] @ w["a"]), np.ones((rows, 1), self.kind)], axis=1)
+        self.own = np.concatenate([w["e"] @ w["x"] + w["b"], np.full((rows, 1), ONE, self.kind)], axis=1)
         self.out = np.concatenate([w["out"], w["bias"][None]])
-        self.ones = np.ones(max(p.window, p.classes), np.float32)
+        self.ones = np.ones(p.classes, self.kind)
         self.mask = net._mask(w["far"])
         longest = lambda m: float(np.sqrt((m * m).sum(axis=1).max()))
         #: Exponents that can't leave the range of their type aren't looked through for those that would.
-        self.calm = longest(self.query) * longest(self.key) + float(np.abs(w["far"]).max()) < FAR and float(np.abs(self.out).sum(axis=0).max()) < FAR
+        self.calm = longest(self.query) * longest(self.read[:, :d]) + float(np.abs(w["far"]).max()) < FAR and float(np.abs(self.out).sum(axis=0).max()) < FAR
 
     def totals(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """Log probability of each sequence ``ids[offsets[i] : offsets[i + 1]]`` after its first id, which only opens it.
@@ -287,23 +329,26 @@ class Scorer:
 
     def _logs(self, x: np.ndarray, nexts: np.ndarray, lo: int) -> np.ndarray:
         """Log probabilities of the classes ``nexts`` behind places ``lo`` and later of the windows ``x``."""
-        asking, t = x[:, lo:], self.p.window
-        att = np.matmul(self.query.take(asking, axis=0), self.key.take(x, axis=0).transpose(0, 2, 1))
+        (n, t), d, room, cols, k = x.shape, self.p.width, self._room, self.read.shape[1], len(self.ones)
+        asking, places, h = np.ascontiguousarray(x[:, lo:]), n * (t - lo), cols - d
+        read = np.take(self.read, x, axis=0, out=room("read", n, t, cols), mode="clip")
+        query = np.take(self.query, asking, axis=0, out=room("query", n, t - lo, d), mode="clip")
+        att = np.matmul(query, read[:, :, :d].transpose(0, 2, 1), out=room("att", n, t - lo, t))
         att += self.mask[lo:t]
         if not self.calm and (att.max() > FAR or att[:, np.arange(t - lo), np.arange(lo, t)].min() < -FAR):
             att -= att.max(axis=2, keepdims=True)
         np.exp(att, out=att)
-        mixed = np.matmul(att, self.value.take(x, axis=0)).reshape(-1, self.value.shape[1])
-        mixed /= (att.reshape(-1, t) @ self.ones[:t])[:, None]
-        h = np.empty((len(mixed), len(self.out)), np.float32)
-        h[:, :-1] = mixed @ self.mix
-        h[:, :-1] += self.own.take(asking.reshape(-1), axis=0)
-        np.tanh(h[:, :-1], out=h[:, :-1])
-        h[:, -1] = 1
-        logits = h @ self.out
-        if not self.calm and np.abs(logits).max() > FAR:
-            logits -= logits.max(axis=1, keepdims=True)
-        said = logits[np.arange(len(logits)), nexts.reshape(-1)].astype(np.float64)
-        np.exp(logits, out=logits)
-        said -= np.log(logits @ self.ones[: logits.shape[1]])
-        return said.reshape(nexts.shape)
+        mixed = np.matmul(att, read[:, :, d:], out=room("mixed", n, t - lo, h)).reshape(places, h)
+        mixed *= np.repeat(1 / mixed[:, -1], h).reshape(places, h)
+        mixed += np.take(self.own, asking.reshape(-1), axis=0, out=room("own", places, h), mode="clip")
+        np.tanh(mixed, out=mixed)
+        said, total, goal, starts = np.empty(places, self.kind), np.empty(places, self.kind), nexts.reshape(-1), np.arange(0, TOGETHER * k, k)
+        for at in range(0, places, TOGETHER):
+            those = slice(at, min(places, at + TOGETHER))
+            logits = np.matmul(mixed[those], self.out, out=room("logits", TOGETHER, k)[: those.stop - at])
+            if not self.calm and np.abs(logits).max() > FAR:
+                logits -= logits.max(axis=1, keepdims=True)
+            said[those] = logits.reshape(-1)[starts[: those.stop - at] + goal[those]]
+            np.exp(logits, out=logits)
+            np.matmul(logits, self.ones, out=total[those])
+        return (said.astype(np.float64) - np.log(total)).reshape(nexts.shape)

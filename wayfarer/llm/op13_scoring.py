@@ -15,6 +15,7 @@ from __future__ import annotations
 import copy
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,8 @@ from .causal_attention import AttentionParams, CausalAttention, Learned, Scorer,
 from .grouped import many
 from .word_pieces import WordPieces
 
+#: Bytes of texts whose words are looked up together.
+RUN = 1 << 22
 VOCAB, IDS, END_ID = "byte_bpe_50k.tiktoken", 50_257, 50_256
 #: Words that every task knows, and ids that a task scores together.
 MOST_WORDS, TOGETHER = 1 << 18, 400_000
@@ -53,7 +56,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
     """Row and text of the words of a run of texts, lowered; a long text comes in several runs."""
-    for at, to, raw, offsets in tb.slices(texts):
+    for at, to, raw, offsets in tb.slices(texts, RUN):
         parts = [(raw, offsets)] if to - at > 1 else [(raw[lo:hi], np.array([0, hi - lo])) for lo, hi in tb.runs(raw, tb.SPACES)]
         for data, where in parts:
             low = tb.lower_ascii(data)
@@ -90,6 +93,34 @@ class WordModel:
     def log_total(self) -> float:
         return float(np.log10(self.total + self.distinct + 1))
 
+    def looked_up(self, pieces: WordPieces) -> Known:
+        """What tasks look up of the commonest words; a Python worker keeps it with the model."""
+        if (known := self.__dict__.get("known")) is None:
+            known = self.__dict__["known"] = Known(self, pieces)
+        return known
+
+
+class Known:
+    """Place, gain and ids of each of the commonest words."""
+
+    def __init__(self, m: WordModel, pieces: WordPieces) -> None:
+        listed = m.words.to_pylist()
+        self.place, self.logs = dict(zip(listed, range(len(listed)), strict=True)).get, np.log10(m.counts + 1.0)
+        self.ids, self.sizes = pieces.cut(" ".join(listed), len(listed))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def ids_of(self, words: pa.Array, pieces: WordPieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each word among the commonest, or -1; ids, and where those of each word begin and how many it has."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        listed = joined.split(" ") if len(words) else []
+        at = np.fromiter(map(self.place, listed, repeat(-1)), np.int64, len(words))
+        hit, rest = at >= 0, np.flatnonzero(at < 0)
+        flat, size = pieces.cut(" ".join([listed[i] for i in rest.tolist()]), len(rest))
+        begin, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begin[rest], sizes[rest] = len(self.ids) + np.cumsum(size) - size, size
+        begin[hit], sizes[hit] = self.begin[at[hit]], self.sizes[at[hit]]
+        return at, np.concatenate([self.ids, flat]), begin, sizes
+
 
 def word_model(counts: DataFrame, most: int = MOST_WORDS) -> WordModel:
     """Of stored ``word_counts``; ``most`` bounds the words that are sent to tasks."""
@@ -113,17 +144,17 @@ def steps(docs: DataFrame, model: WordModel, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, pieces_of, uid = shared.value, WordPieces.of(path), TaskContext.get().partitionId() << 40
-        logs, place = np.log10(m.counts + 1.0), dict(zip(m.words.to_pylist(), range(len(m.words)), strict=True)).get
+        common = m.looked_up(pieces_of)
+        logs = common.logs
         for batch in batches:
             n = batch.num_rows
             n_tokens, n_known, known = np.ones(n, np.int64), np.full(n, int(m.end > 0)), np.full(n, np.log10(m.end + 1.0))
             rare, pieces, rows = [], [], []
             for row, words in _words(batch.column(1)):
-                # Each distinct word of a run is looked up and cut into ids once.
+                # Each distinct word of a run is looked up once, and cut into ids if it isn't among the commonest.
                 coded = words.dictionary_encode()
                 code, distinct = coded.indices.to_numpy(), coded.dictionary
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py()
-                at = np.array([place(w, -1) for w in joined.split(" ")] if len(distinct) else [], np.int64)
+                at, flat, begin, size = common.ids_of(distinct, pieces_of)
                 hit = at >= 0
                 gain = np.where(hit, logs[at], 0.0) if len(logs) else np.zeros(len(at))
                 n_tokens += np.bincount(row, minlength=n)
@@ -131,8 +162,6 @@ def steps(docs: DataFrame, model: WordModel, path: str) -> DataFrame:
                 known += np.bincount(row, gain[code], n)
                 missed = np.flatnonzero(~hit[code])
                 rare.append(pa.table({"uid": pa.array(row[missed] + uid), "word": words.take(pa.array(missed))}))
-                flat, size = pieces_of.cut(joined, len(distinct))
-                begin = np.cumsum(size) - size
                 each = size[code]
                 end = np.cumsum(each)
                 pieces.append(flat[np.arange(each.sum()) + np.repeat(begin[code] - end + each, each)])
