@@ -335,11 +335,11 @@ def test_words_are_cut_as_the_library_does():
 
 def test_commonest_words_are_cut_once(monkeypatch):
     pieces = WordPieces.of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    common, cut = ["the", "don't", "日本語"], []
-    model = op13_scoring.WordModel(pa.array(common), np.array([9, 8, 7]), 1, 30, 9, 3)
+    common, cut = ["the", "don't", "日本語", "long" * 30], []
+    model = op13_scoring.WordModel(pa.array(common), np.array([9, 8, 7, 6]), 1, 30, 9, 3)
     assert model.looked_up(pieces) is model.looked_up(pieces)
     monkeypatch.setattr(WordPieces, "cut", lambda self, joined, n, f=WordPieces.cut: cut.append(joined) or f(self, joined, n))
-    for words in (["日本語", "rare", "the", "é", "the2"], ["the"], ["rare"], []):
+    for words in (["日本語", "rare", "the", "é", "the2", "long" * 30, "long" * 31], ["the"], ["rare"], []):
         cut.clear()
         at, flat, begin, size = model.looked_up(pieces).ids_of(pa.array(words, pa.string()), pieces)
         assert at.tolist() == [common.index(w) if w in common else -1 for w in words]
@@ -348,6 +348,28 @@ def test_commonest_words_are_cut_once(monkeypatch):
         assert pieces.encoding.decode(ids) == "".join(" " + w for w in words)
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 1 << 60])
+def test_words_that_share_a_hash_are_told_apart(monkeypatch, kinds):
+    monkeypatch.setattr(textbytes, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(kinds))
+    common = ["a", "b", "cc", "dd", "e"]
+    known = op13_scoring.Known(op13_scoring.WordModel(pa.array(common), np.ones(5), 0, 5, 5, 0), WordPieces.of(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    words = ["e", "x", "dd", "a", "yy", "cc", "b", "zzz"]
+    assert known.places(pa.array(words)).tolist() == [common.index(w) if w in common else -1 for w in words]
+
+
+def test_rare_words_are_joined_without_sorting_where_they_fit(spark, monkeypatch):
+    found = spark.createDataFrame([(1, None, "a", 2), (2, None, "a", 1), (2, None, "b", 5), (2, b"", None, None)], "uid long, ids binary, word string, n long")
+    counts = spark.createDataFrame([("a", 3), ("c", 1), ("z", 90)], "word string, c long")
+    said = []
+    for held in (1 << 20, 0):
+        monkeypatch.setattr(op13_scoring, "HELD", held)
+        got = op13_scoring.rare_words(found, counts, 9, 3)
+        said.append(sorted((r["uid"], r["n_known"], round(r["known"], 9)) for r in got.collect()))
+        hints = got._jdf.queryExecution().analyzed().toString()
+        assert ("shuffle_hash" in hints) == (held > 0)
+    assert said[0] == said[1] == [(1, 2, round(2 * math.log10(4), 9)), (2, 1, round(math.log10(4), 9))]
+
+
 def test_runs_end_behind_the_bytes_that_part(monkeypatch):
     data = np.frombuffer(b"aa bb " + b"c" * 50 + b" dd", np.uint8)
     got = [bytes(data[a:b]) for a, b in textbytes.runs(data, textbytes.SPACES, 8)]

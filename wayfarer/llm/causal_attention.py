@@ -153,14 +153,18 @@ class CausalAttention(_Rooms):
             att -= att.max(axis=2, keepdims=True)
         np.exp(att, out=att)
         att *= (1 / (att.reshape(places, t) @ ones[:t])).reshape(n, t, 1)
-        mixed = np.matmul(att, v, out=room("mixed", n, t, h + 1)).reshape(places, h + 1)
+        mixed = room("mixed", n, t, h + 1)
+        np.matmul(att, v[:, :, :h], out=mixed[:, :, :h])
+        mixed = mixed.reshape(places, h + 1)
+        mixed[:, -1] = 0
         full = np.take(alone, which, axis=0, out=room("full", places, h + 1), mode="clip")
         full += mixed
         np.tanh(full, out=full)
         out = np.concatenate([w["out"], w["bias"][None]])
-        back, far, k = np.ascontiguousarray(out.T), (ones[: h + 1] @ np.abs(out)).max() > FAR, out.shape[1]
+        back, far, k = np.ascontiguousarray(w["out"].T), (ones[: h + 1] @ np.abs(out)).max() > FAR, out.shape[1]
         share = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(kind)
         dh, to_out, starts = room("dh", places, h + 1), np.zeros_like(out), np.arange(0, TOGETHER * k, k)
+        dh[:, -1] = 0
         # Probabilities of all classes are needed for a few places at a time, which stay in a core's cache.
         for lo in range(0, places, TOGETHER):
             own = slice(lo, min(places, lo + TOGETHER))
@@ -177,7 +181,7 @@ class CausalAttention(_Rooms):
                 logs[own] -= np.log(total)
             every[place] -= total
             part = np.repeat(share[own] / total, h + 1).reshape(-1, h + 1)
-            np.matmul(prob, back, out=dh[own])
+            np.matmul(prob, back, out=dh[own, :h])
             dh[own] *= part
             part *= full[own]
             to_out += part.T @ prob
@@ -192,7 +196,8 @@ class CausalAttention(_Rooms):
         inner, parts = dh.reshape(n, t, h + 1), slopes.reshape(n, t, -1)
         datt = np.matmul(inner, v.transpose(0, 2, 1), out=room("datt", n, t, t))
         datt *= att
-        np.matmul(att.transpose(0, 2, 1), inner, out=parts[:, :, 2 * d : cols])
+        np.matmul(att.transpose(0, 2, 1), inner[:, :, :h], out=parts[:, :, 2 * d : cols - 1])
+        parts[:, :, cols - 1] = 0
         np.matmul(datt, key, out=parts[:, :, :d])
         np.matmul(datt.transpose(0, 2, 1), q, out=parts[:, :, d : 2 * d])
         read, dx, back = np.take(x, which, axis=0, out=room("read", places, d), mode="clip"), room("dx", places, d), np.ascontiguousarray(wide.T)
@@ -302,7 +307,7 @@ class Scorer(_Rooms):
         #: Exponents that can't leave the range of their type aren't looked through for those that would.
         self.calm = longest(self.query) * longest(self.read[:, :d]) + float(np.abs(w["far"]).max()) < FAR and float(np.abs(self.out).sum(axis=0).max()) < FAR
 
-    def totals(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
+    def totals(self, ids: np.ndarray, offsets: np.ndarray, block: int = 256) -> np.ndarray:
         """Log probability of each sequence ``ids[offsets[i] : offsets[i + 1]]`` after its first id, which only opens it.
 
         The first window of a sequence scores all its places, each later one those behind the overlap.
@@ -316,13 +321,17 @@ class Scorer(_Rooms):
         size = np.minimum(p.window, offsets[1:][row] - 1 - start)
         padded = np.concatenate([ids, np.zeros(p.window + 1, ids.dtype)])
         known, said = self.local[padded], np.arange(p.window + 1)
-        class_, column = self.classes[padded], self.column[padded]
+        class_ = self.classes[padded]
+        # Shares of ids don't depend on windows.
+        of = np.repeat(np.arange(len(places)), places)
+        at = np.arange(len(of)) + (offsets[:-1] - np.cumsum(places) + places)[of]
+        shares = self.shares.reshape(-1).take(class_[at] * self.shares.shape[1] + self.column[ids[at + 1]])
+        out += np.bincount(of, shares, len(out))
         for those, lo in ((np.flatnonzero(nth > 0), p.window - p.stride), (np.flatnonzero(nth == 0), 0)):
             for at in range(0, len(those), block):
                 own = those[at : at + block]
                 x = start[own][:, None] + said[None, :]
-                nexts = x[:, lo + 1 :]
-                logs = self._logs(known[x[:, :-1]], class_[nexts], lo) + self.shares[class_[x[:, lo:-1]], column[nexts]]
+                logs = self._logs(known[x[:, :-1]], class_[x[:, lo + 1 :]], lo)
                 logs *= np.arange(lo, p.window)[None, :] < size[own][:, None]
                 out += np.bincount(row[own], logs.sum(axis=1), len(out))
         return out

@@ -15,7 +15,6 @@ from __future__ import annotations
 import copy
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +32,10 @@ from .word_pieces import WordPieces
 
 #: Bytes of texts whose words are looked up together.
 RUN = 1 << 22
+#: Bytes of a word that is looked up by its hash.
+SHORT = 64
+#: Words of a partition that a join may hold in a table of hashes; beyond, it sorts.
+HELD = 1 << 20
 VOCAB, IDS, END_ID = "byte_bpe_50k.tiktoken", 50_257, 50_256
 #: Words that every task knows, and ids that a task scores together.
 MOST_WORDS, TOGETHER = 1 << 18, 400_000
@@ -100,22 +103,50 @@ class WordModel:
         return known
 
 
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return tb.span_hashes(data, at[:-1] - at[0], at[1:] - at[0])
+
+
 class Known:
-    """Place, gain and ids of each of the commonest words."""
+    """Place, gain and ids of each of the commonest words. Words are found by hashes, and compared."""
 
     def __init__(self, m: WordModel, pieces: WordPieces) -> None:
-        listed = m.words.to_pylist()
-        self.place, self.logs = dict(zip(listed, range(len(listed)), strict=True)).get, np.log10(m.counts + 1.0)
+        listed, self.words, self.logs = m.words.to_pylist(), m.words, np.log10(m.counts + 1.0)
         self.ids, self.sizes = pieces.cut(" ".join(listed), len(listed))
         self.begin = np.cumsum(self.sizes) - self.sizes
-
-    def ids_of(self, words: pa.Array, pieces: WordPieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each word among the commonest, or -1; ids, and where those of each word begin and how many it has."""
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
-        listed = joined.split(" ") if len(words) else []
-        at = np.fromiter(map(self.place, listed, repeat(-1)), np.int64, len(words))
+        short = np.flatnonzero(pc.binary_length(m.words).to_numpy() <= SHORT)
+        hashes = _hashes(m.words.take(pa.array(short)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at = hashes[order], short[order]
+        #: Words that their hashes don't tell: long ones and those that share one.
+        again = self.at[1:][self.hashes[1:] == self.hashes[:-1]]
+        self.odd = {listed[i]: i for i in [*np.setdiff1d(np.arange(len(listed)), short).tolist(), *again.tolist()]}
+
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """Place of each word among the commonest, or -1."""
+        at = np.full(len(words), -1, np.int64)
+        short = np.flatnonzero(pc.binary_length(words).to_numpy() <= SHORT)
+        if len(short) and len(self.hashes):
+            those = words.take(pa.array(short))
+            h = _hashes(those)
+            found = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            like = np.flatnonzero(self.hashes[found] == h)
+            place = self.at[found[like]]
+            same = pc.equal(those.take(pa.array(like)), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            at[short[like[same]]] = place[same]
+        if self.odd:
+            rest = np.flatnonzero(at < 0)
+            at[rest] = np.fromiter((self.odd.get(w, -1) for w in words.take(pa.array(rest)).to_pylist()), np.int64, len(rest))
+        return at
+
+    def ids_of(self, words: pa.StringArray, pieces: WordPieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``places``; ids, and where those of each word begin and how many it has."""
+        at = self.places(words)
         hit, rest = at >= 0, np.flatnonzero(at < 0)
-        flat, size = pieces.cut(" ".join([listed[i] for i in rest.tolist()]), len(rest))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), words.take(pa.array(rest))), " ")[0].as_py()
+        flat, size = pieces.cut(joined, len(rest))
         begin, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         begin[rest], sizes[rest] = len(self.ids) + np.cumsum(size) - size, size
         begin[hit], sizes[hit] = self.begin[at[hit]], self.sizes[at[hit]]
@@ -182,10 +213,13 @@ def steps(docs: DataFrame, model: WordModel, path: str) -> DataFrame:
     return _plain(docs).select("doc_id", "text", "held_out").mapInArrow(run, _TYPES)
 
 
-def rare_words(found: DataFrame, counts: DataFrame, rest: int) -> DataFrame:
+def rare_words(found: DataFrame, counts: DataFrame, rest: int, distinct: int = 0) -> DataFrame:
     """``(uid, n_known, known)`` of what the words beyond the commonest ones give to a text."""
     # A text has one row a word and batch, and the commonest words aren't here; Spark splits what a word of many held-out texts fills.
-    rows = found.where("ids IS NULL").select("uid", "word", "n").join(counts.where(F.col("c") <= rest), "word")
+    rare, parts = counts.where(F.col("c") <= rest), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each word has one row there, so partitions are even.
+    rare = rare.hint("shuffle_hash") if distinct <= HELD * parts else rare
+    rows = found.where("ids IS NULL").select("uid", "word", "n").join(rare, "word")
     return rows.groupBy("uid").agg(F.sum("n").alias("n_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("known"))
 
 
@@ -387,7 +421,7 @@ def score(docs: DataFrame, p: AttentionParams = AttentionParams(), path: str | N
 
     texts = found.where("ids IS NOT NULL").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "known", "ids")
     main = texts.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, score double")
-    rare = rare_words(found, counts, words.rest).select("uid", F.col("n_known").alias("rare_n"), F.col("known").alias("rare_known"))
+    rare = rare_words(found, counts, words.rest, words.distinct).select("uid", F.col("n_known").alias("rare_n"), F.col("known").alias("rare_known"))
     out = main.join(rare, "uid", "left")
     base = F.col("known") + F.coalesce("rare_known", F.lit(0.0)) - F.col("n_tokens") * F.lit(words.log_total)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_n", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
