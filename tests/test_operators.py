@@ -518,6 +518,14 @@ def test_personas_do_not_depend_on_partitions(spark):
     assert {r["persona"] for r in tokens.personas(same).collect()} == {0} and tokens.personas(df.limit(0)).count() == 0
 
 
+def test_personas_from_a_given_start_go_on_at_equal_costs(spark):
+    # 512 first goes to the lower centre, then, as near to both, to the first: at no gain, but 480 and after it 448 follow.
+    low, rest = [0] * 5, [448, 480, 512] + [844] * 7
+    df = spark.createDataFrame([(str(i), x / 1024) for i, x in enumerate(low + rest)], "user_id string, s0 double")
+    got = {int(r["user_id"]): r["persona"] for r in tokens.personas(df, given=[[844 / 1024], [180 / 1024 + 1e-14]]).collect()}
+    assert got == {i: int(i >= len(low)) for i in range(len(low + rest))}
+
+
 def test_kernel_means_are_within_their_bound():
     from wayfarer.operators import priors
 

@@ -118,7 +118,7 @@ def personas(vectors: DataFrame, k: int = 4, seed: int = 42, starts: int = 10, r
 
     Starts are spread over POOL users by their draws. All of them take a round in one aggregate, over sums of whole units, so
     partitions don't matter. Equal distances go to the first centre, an empty cluster keeps its centre, and personas are
-    numbered by the order of their centres.
+    numbered by the order of their centres. A given start takes all its ``rounds``, but for those that would change nothing.
     """
     cols = [c for c in vectors.columns if c != "user_id"]
     rows = stored(vectors.select("user_id", *[F.col(c).cast("double").alias(c) for c in cols]))
@@ -135,7 +135,7 @@ def personas(vectors: DataFrame, k: int = 4, seed: int = 42, starts: int = 10, r
         moved = [[list(m) for m in c] for c in centres]
         for r in sums:
             moved[r["start"]][r["at"]] = [float(r[c]) / r["n"] / UNITS for c in cols]
-        settled = [costs[i] == before[i] or moved[i] == centres[i] for i in range(len(centres))]
+        settled = [moved[i] == centres[i] or (given is None and costs[i] == before[i]) for i in range(len(centres))]
         found += [(costs[i], moved[i]) for i in range(len(centres)) if settled[i]]
         centres, before = [m for m, done in zip(moved, settled, strict=True) if not done], [c for c, done in zip(costs, settled, strict=True) if not done]
         if not centres:
